@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -66,13 +67,6 @@ class Vocabulary:
         bucket = F.get(table, (F.crc32(piece.cast("binary")) % self.buckets).cast("int"))
         return F.coalesce(F.try_element_at(bucket, piece), F.lit(NONE))
 
-    def pieces(self) -> Column:
-        """Literal array of the pieces in hex, by rank."""
-        found = [""] * (max(self.ranks.values()) + 1)
-        for key, rank in self.ranks.items():
-            found[rank] = key.hex().upper()
-        return F.split(F.lit(",".join(found)), ",")
-
 
 def _bind(value: Column, use) -> Column:
     """use(value), with the value computed once."""
@@ -146,7 +140,11 @@ def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int) -> DataFrame:
-    """Rows of documents (row, number list) and of words (number, word) by batch."""
+    """Rows of documents (row, list of unit numbers), of units (number, list of word numbers) and of words (number, word).
+
+    A unit is a stretch of text between single spaces. The pattern always cuts there, so that equal units hold equal
+    words and only a batch's distinct units need the pattern. Texts with other spacing are one unit of their own.
+    """
     import regex
 
     passed = [c for c in docs.columns if c != text]
@@ -154,64 +152,84 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int) -> Data
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
+        odd = regex.compile(r"\s |  | \s|^ ").search
         press = zstandard.ZstdCompressor(level=1).compress
-        part, k = TaskContext.get().partitionId() << 24, 0
-        numbers: dict[str, int] = defaultdict()
-        numbers.default_factory = numbers.__len__  # an unseen word gets the next number
-        held = 0
+        part, k, held = TaskContext.get().partitionId() << 24, 0, 0
+        words_: dict[str, int] = defaultdict()
+        words_.default_factory = words_.__len__  # an unseen word gets the next number
+        units: dict[str, int] = defaultdict()
+        units.default_factory = units.__len__
+
+        def numbers(mapped: dict[str, int], some: list[str]) -> np.ndarray:
+            return np.fromiter(map(mapped.__getitem__, some), np.uint32, len(some))
+
+        def batch_of(kind, number, word, codes, kept) -> pa.RecordBatch:
+            n = len(number)
+            arrays = [pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(number, pa.int32()), pa.array(word, pa.binary()), pa.array(codes, pa.binary())]
+            arrays += [pa.nulls(n, t) for t in types] if kept is None else kept.columns
+            return pa.RecordBatch.from_arrays(arrays, ["batch", "kind", "number", "word", "codes", *passed])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            listed = [w.encode("utf-8", "surrogatepass") for w in numbers]
-            for at in range(0, len(listed), 50_000):
-                some = listed[at : at + 50_000]
-                yield batch_of([part + k] * len(some), list(range(at, at + len(some))), some, [None] * len(some), None)
-            numbers.clear()
-
-        def batch_of(batch, number, word, codes, kept) -> pa.RecordBatch:
-            arrays = [pa.array(batch, pa.int64()), pa.array(number, pa.int32()), pa.array(word, pa.binary()), pa.array(codes, pa.binary())]
-            for field in kept.schema if kept is not None else []:
-                arrays.append(kept.column(field.name))
-            if kept is None:
-                arrays += [pa.nulls(len(batch), t) for t in types]
-            return pa.RecordBatch.from_arrays(arrays, ["batch", "number", "word", "codes", *passed])
+            listed, sizes, inside = list(units), [], []
+            for unit in listed:
+                found = find(unit)
+                sizes.append(len(found))
+                inside.append(numbers(words_, found))
+            if listed:
+                whole = [press(np.array(sizes, np.uint32).tobytes()), press(np.concatenate(inside).tobytes())]
+                yield batch_of(1, [0, 1], [None] * 2, whole, None)
+            found = [w.encode("utf-8", "surrogatepass") for w in words_]
+            for at in range(0, len(found), 50_000):
+                some = found[at : at + 50_000]
+                yield batch_of(2, range(at, at + len(some)), some, [None] * len(some), None)
+            words_.clear()
+            units.clear()
 
         types: list[pa.DataType] = []
         for rows_in in rows:
             others = rows_in.select(passed)
             types = [f.type for f in others.schema]
-            done, codes, owners = 0, [], []
+            done, codes = 0, []
             for n, value in enumerate(rows_in.column(rows_in.schema.get_field_index(text))):
                 s = value.as_py() or ""
-                found = find(s)
-                codes.append(press(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)).tobytes()))
-                owners.append(part + k)
+                if odd(s) or s.endswith(" "):
+                    parts = [s]
+                else:
+                    first, *rest = s.split(" ")
+                    parts = [first, *map(" ".__add__, rest)]
+                codes.append(press(numbers(units, parts).tobytes()))
                 held += len(s)
                 if held >= batch_bytes:
-                    yield batch_of(owners, [None] * len(codes), [None] * len(codes), codes, others.slice(done, n + 1 - done))
+                    yield batch_of(0, [0] * len(codes), [None] * len(codes), codes, others.slice(done, n + 1 - done))
                     yield from flush()
-                    done, codes, owners, held, k = n + 1, [], [], 0, k + 1
+                    done, codes, held, k = n + 1, [], 0, k + 1
             if codes:
-                yield batch_of(owners, [None] * len(codes), [None] * len(codes), codes, others.slice(done))
-        if numbers:
+                yield batch_of(0, [0] * len(codes), [None] * len(codes), codes, others.slice(done))
+        if units:
             yield from flush()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(cut, f"batch long, number int, word binary, codes binary{', ' if fields else ''}{fields}")
+    return docs.mapInArrow(cut, f"batch long, kind int, number int, word binary, codes binary{', ' if fields else ''}{fields}")
+
+
+def _words_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of words. As a task and not a filter, so that both uses of the batches share one shuffle."""
+    for batch in rows:
+        table = pa.Table.from_batches([batch]).select(["batch", "kind", "number", "word"])
+        yield from table.filter(pc.equal(table["kind"], 2)).select(["batch", "number", "word"]).to_batches()
 
 
 def encode_words(words_: DataFrame, vocabulary: Vocabulary, fold_bytes: int = 256) -> DataFrame:
-    """(word) to (word, ids, pieces): token ids and the bytes that they decode to, of distinct words."""
+    """(word) to (word, ids): token ids of distinct words."""
     ranks = vocabulary.ranks
 
     @F.pandas_udf("array<int>")
     def long_ids(some: pd.Series) -> pd.Series:
-        return some.map(lambda w: heap_encode(bytes(w), ranks))
+        return some.map(lambda w: None if w is None else heap_encode(bytes(w), ranks))
 
-    short = words_.where(F.octet_length("word") <= fold_bytes).select("word", fold_encode(F.col("word"), vocabulary).alias("ids"))
-    long = words_.where(F.octet_length("word") > fold_bytes).select("word", long_ids("word").alias("ids"))
-    pieces = vocabulary.pieces()
-    decoded = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), ""))
-    return short.unionAll(long).select("word", "ids", decoded.alias("pieces"))
+    long = F.octet_length("word") > fold_bytes
+    ids = F.coalesce(long_ids(F.when(long, F.col("word"))), F.when(~long, fold_encode(F.col("word"), vocabulary)))
+    return words_.select("word", ids.alias("ids"))
 
 
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, digests: bool = False, batch_bytes: int = 32 << 20, fold_bytes: int = 256) -> DataFrame:
@@ -225,34 +243,51 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     renamed = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     rows = _batches(renamed, "_text", vocabulary.pattern, batch_bytes).repartition(n, "batch")
-    numbered = rows.where("word IS NOT NULL").select("batch", "number", "word").repartition(n, "word")
+    numbered = rows.mapInArrow(_words_of, "batch long, number int, word binary").repartition(n, "word")
     encoded = encode_words(numbered.select("word").distinct(), vocabulary, fold_bytes)
-    back = numbered.join(encoded.hint("shuffle_hash"), "word").select(F.col("batch").alias("part"), "number", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").alias("n"), "pieces")
-    documents = rows.where("word IS NULL").drop("number", "word")
+    back = numbered.join(encoded.hint("shuffle_hash"), "word").select(F.col("batch").alias("part"), "number", "ids")
     result = [("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>"), ("decoded", "binary")]
     types = [renamed.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]
+    piece = {rank: key for key, rank in vocabulary.ranks.items()}
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("number").to_numpy())
-        ids = np.array(right.column("ids").to_pylist(), object)[order] if right.num_rows else np.empty(0, object)
-        pieces = np.array(right.column("pieces").to_pylist(), object)[order] if right.num_rows else np.empty(0, object)
-        sizes = right.column("n").to_numpy()[order]
         expand = zstandard.ZstdDecompressor().decompress
+        kinds = left.column("kind").to_numpy()
+        found: list[list[int]] = [[]] * right.num_rows
+        for number, ids in zip(right.column("number").to_pylist(), right.column("ids").to_pylist(), strict=True):
+            found[number] = ids
+        sizes = inside = np.empty(0, np.uint32)
+        rows_of_units = left.filter(pa.array(kinds == 1))
+        for number, code in zip(rows_of_units.column("number").to_pylist(), rows_of_units.column("codes").to_pylist(), strict=True):
+            if number:
+                inside = np.frombuffer(expand(code), np.uint32)
+            else:
+                sizes = np.frombuffer(expand(code), np.uint32)
+        joined, bytes_, counts_of, at = [], [], np.zeros(len(sizes), np.int64), 0
+        numbers = inside.tolist()
+        for unit, size in enumerate(sizes.tolist()):  # once per distinct unit of the batch
+            ids = [i for w in numbers[at : at + size] for i in found[w]]
+            joined.append(",".join(map(str, ids)))
+            bytes_.append(b"".join([piece[i] for i in ids]))
+            counts_of[unit], at = len(ids), at + size
+        documents = left.filter(pa.array(kinds == 0))
         counts, first, second = [], [], []
-        for code in left.column("codes"):
-            at = np.frombuffer(expand(code.as_py()), np.uint32)
-            joined, bytes_ = ",".join(ids[at]), b"".join(pieces[at])
-            counts.append(int(sizes[at].sum()))
+        for code in documents.column("codes"):
+            units = np.frombuffer(expand(code.as_py()), np.uint32)
+            listed = units.tolist()
+            text_of_ids = ",".join([joined[u] for u in listed if joined[u]])
+            decoded = b"".join([bytes_[u] for u in listed])
+            counts.append(int(counts_of[units].sum()))
             if digests:
-                first.append(hashlib.sha256(joined.encode()).hexdigest())
-                second.append(hashlib.sha256(bytes_).hexdigest())
+                first.append(hashlib.sha256(text_of_ids.encode()).hexdigest())
+                second.append(hashlib.sha256(decoded).hexdigest())
             else:
-                first.append(np.array(joined.split(",") if joined else [], np.int32))
-                second.append(bytes_)
-        kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-        arrays = [left.column(f"_{i}") for i in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
+                first.append(np.array(text_of_ids.split(",") if text_of_ids else [], np.int32))
+                second.append(decoded)
+        into = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
+        arrays = [documents.column(f"_{i}") for i in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(first, into[0]), pa.array(second, into[1])]
         return pa.table(arrays, [*(f"_{i}" for i in range(len(keep))), "n_tokens", *(c for c, _ in result)])
 
     fields = ", ".join([f"_{i} {t}" for i, t in enumerate(types)] + ["n_tokens long"] + [f"{c} {t}" for c, t in result])
-    out = documents.groupBy("batch").cogroup(back.groupBy("part")).applyInArrow(join, fields)
+    out = rows.groupBy("batch").cogroup(back.groupBy("part")).applyInArrow(join, fields)
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", *[c for c, _ in result])
