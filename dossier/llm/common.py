@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that end a word; bytes.split() cuts at exactly these.
+#: A word: what bytes.split() cuts, the ASCII white space being the only separator.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,18 +30,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written once to the folder that all executors share, so that later steps don't repeat the work.
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once to the folder that all executors share, and read from there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a folder beside the
-    warehouse serves.
+    Later steps then neither repeat the work nor depend on an executor's disk. The folder is the session's
+    spark.checkpoint.dir; only where that is unset (tests) the warehouse serves.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/dossier-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id and different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def word_offsets(some: list[bytes]) -> np.ndarray:
+    """Where each word starts in the words joined by one space, and where a next one would."""
+    return np.r_[0, np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)]
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +59,3 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     return starts, np.diff(np.r_[starts, len(values)])
-
-
-def missing(pattern: str, text: str) -> bool:
-    return re.search(pattern, text) is None

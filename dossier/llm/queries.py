@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe
+from dossier.llm import bpe, decontaminate, outliers, simhash, substrings
 from dossier.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,8 +22,35 @@ def query(run):
     return run
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by 50-word windows that also start in a document of a smaller id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids and their decoding, as digests per document."""
     vocabulary = bpe.Vocabulary.read(TOKENIZER, public_tokenizers.PATTERN)
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"], digests=True)
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and the components of those at 4 bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts, the base rules and the robust outlier verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return outliers.judge(docs).select("doc_id", *outliers.FACTS, "base_failed", "kept", "distance")
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of the benchmark items found in documents, with the tokens that match."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
