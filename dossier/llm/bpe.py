@@ -5,9 +5,9 @@ ranked merges over its bytes in Spark's higher-order functions. The ranks are on
 crc32 of a piece's hex form choosing the map, so that a lookup looks at an entry or two.
 
 How documents meet their words without a shuffle of every occurrence: a task numbers the distinct words of its part of
-the table (a *batch*) and keeps each document as a compressed list of those numbers. Only (batch, number, word) rows
-travel to the word's partition, where the word is encoded once, and back to the batch. A batch is bounded by
-``batch_bytes``, so what meets in one task is bounded too, whatever the words' frequencies.
+the table (a *batch*) and keeps each document as a compressed list of numbers. Only a batch's distinct words travel to
+the word's bucket, where each is encoded once, and the ids back to the batch. A batch is bounded by ``batch_bytes``,
+so what meets in one task is bounded too, whatever the words' frequencies.
 
 Defined cases: a null text counts as empty and gives no tokens; decoding gives back the text's bytes; documents with
 equal ids or texts stay separate rows; an empty table gives an empty result; other columns are left out of the result
@@ -139,11 +139,31 @@ def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int) -> DataFrame:
-    """Rows of documents (row, list of unit numbers), of units (number, list of word numbers) and of words (number, word).
+#: White space besides the space itself, as the pattern sees it (Unicode's White_Space).
+OTHER_WHITE = [chr(c) for c in (*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _single_spaced(text: str) -> bool:
+    """No space touches other white space, an end of the text or a space."""
+    return bool(text) and text[0] != " " != text[-1] and "  " not in text and not any(f" {w}" in text or f"{w} " in text for w in OTHER_WHITE)
+
+
+def _pack(values: np.ndarray, level: int = 1) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+
+
+def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets: int) -> DataFrame:
+    """Rows of a batch by kind: 0 a document (its unit numbers), 1 the units (sizes, then word numbers), 2 a bucket's words.
 
     A unit is a stretch of text between single spaces. The pattern always cuts there, so that equal units hold equal
-    words and only a batch's distinct units need the pattern. Texts with other spacing are one unit of their own.
+    words and only a batch's distinct units need the pattern. A text with other spacing is one unit.
     """
     import regex
 
@@ -152,36 +172,37 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int) -> Data
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        odd = regex.compile(r"\s |  | \s|^ ").search
-        press = zstandard.ZstdCompressor(level=1).compress
         part, k, held = TaskContext.get().partitionId() << 24, 0, 0
         words_: dict[str, int] = defaultdict()
         words_.default_factory = words_.__len__  # an unseen word gets the next number
-        units: dict[str, int] = defaultdict()
+        units: dict[str, int] = defaultdict()  # a unit with the space before it left out; one that starts a text has a space
         units.default_factory = units.__len__
 
         def numbers(mapped: dict[str, int], some: list[str]) -> np.ndarray:
             return np.fromiter(map(mapped.__getitem__, some), np.uint32, len(some))
 
-        def batch_of(kind, number, word, codes, kept) -> pa.RecordBatch:
-            n = len(number)
-            arrays = [pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(number, pa.int32()), pa.array(word, pa.binary()), pa.array(codes, pa.binary())]
+        def batch_of(kind, bucket, codes, more, kept) -> pa.RecordBatch:
+            n = len(codes)
+            arrays = [pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary()), pa.array(more, pa.binary())]
             arrays += [pa.nulls(n, t) for t in types] if kept is None else kept.columns
-            return pa.RecordBatch.from_arrays(arrays, ["batch", "kind", "number", "word", "codes", *passed])
+            return pa.RecordBatch.from_arrays(arrays, ["batch", "kind", "bucket", "codes", "more", *passed])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            listed, sizes, inside = list(units), [], []
-            for unit in listed:
-                found = find(unit)
-                sizes.append(len(found))
-                inside.append(numbers(words_, found))
-            if listed:
-                whole = [press(np.array(sizes, np.uint32).tobytes()), press(np.concatenate(inside).tobytes())]
-                yield batch_of(1, [0, 1], [None] * 2, whole, None)
+            sizes, inside = np.zeros(len(units), np.uint32), []
+            for n, unit in enumerate(units):
+                found = find(unit[1:] if unit[:1] == " " else f" {unit}")
+                sizes[n] = len(found)
+                inside += found
+            yield batch_of(1, [0], [_pack(sizes)], [_pack(numbers(words_, inside))], None)
             found = [w.encode("utf-8", "surrogatepass") for w in words_]
-            for at in range(0, len(found), 50_000):
-                some = found[at : at + 50_000]
-                yield batch_of(2, range(at, at + len(some)), some, [None] * len(some), None)
+            bucket = np.fromiter(map(zlib.crc32, found), np.uint32, len(found)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            press = zstandard.ZstdCompressor(level=1).compress
+            for members in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(members):
+                    strings = pa.array([found[m] for m in members.tolist()], pa.binary())
+                    lengths, bytes_ = np.fromiter(map(len, (found[m] for m in members.tolist())), np.uint32, len(members)), b"".join(strings.to_pylist())
+                    yield batch_of(2, [int(bucket[members[0]])], [_pack(np.r_[members.astype(np.uint32), lengths])], [press(bytes_)], None)
             words_.clear()
             units.clear()
 
@@ -192,35 +213,80 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int) -> Data
             done, codes = 0, []
             for n, value in enumerate(rows_in.column(rows_in.schema.get_field_index(text))):
                 s = value.as_py() or ""
-                if odd(s) or s.endswith(" "):
-                    parts = [s]
+                if _single_spaced(s):
+                    parts = s.split(" ")
+                    parts[0] = f" {parts[0]}"
                 else:
-                    first, *rest = s.split(" ")
-                    parts = [first, *map(" ".__add__, rest)]
-                codes.append(press(numbers(units, parts).tobytes()))
+                    parts = [f" {s}"]
+                codes.append(_pack(numbers(units, parts)))
                 held += len(s)
                 if held >= batch_bytes:
-                    yield batch_of(0, [0] * len(codes), [None] * len(codes), codes, others.slice(done, n + 1 - done))
+                    yield batch_of(0, [0] * len(codes), codes, [None] * len(codes), others.slice(done, n + 1 - done))
                     yield from flush()
                     done, codes, held, k = n + 1, [], 0, k + 1
             if codes:
-                yield batch_of(0, [0] * len(codes), [None] * len(codes), codes, others.slice(done))
+                yield batch_of(0, [0] * len(codes), codes, [None] * len(codes), others.slice(done))
         if units:
             yield from flush()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(cut, f"batch long, kind int, number int, word binary, codes binary{', ' if fields else ''}{fields}")
+    return docs.mapInArrow(cut, f"batch long, kind int, bucket int, codes binary, more binary{', ' if fields else ''}{fields}")
 
 
-def _words_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of words. As a task and not a filter, so that both uses of the batches share one shuffle."""
     for batch in rows:
-        table = pa.Table.from_batches([batch]).select(["batch", "kind", "number", "word"])
-        yield from table.filter(pc.equal(table["kind"], 2)).select(["batch", "number", "word"]).to_batches()
+        table = pa.Table.from_batches([batch]).select(["batch", "kind", "bucket", "codes", "more"])
+        yield from table.filter(pc.equal(table["kind"], 2)).drop_columns(["kind"]).to_batches()
+
+
+def _distinct_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, batches, numbers): each word of the partition's buckets once, with the places that ask for it."""
+    expand = zstandard.ZstdDecompressor().decompress
+    places: dict[bytes, list[int]] = defaultdict(list)
+    for batch in rows:
+        for owner, codes, more in zip(*(batch.column(c).to_pylist() for c in ("batch", "codes", "more")), strict=True):
+            members, lengths = np.split(_unpack(codes), 2)
+            bytes_, at = expand(more), 0
+            for number, size in zip(members.tolist(), lengths.tolist(), strict=True):
+                places[bytes_[at : at + size]].append(owner << 32 | number)
+                at += size
+    listed = list(places)
+    for at in range(0, len(listed), 10_000):
+        some = listed[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([np.array(places[w], np.int64).tobytes() for w in some], pa.binary())], ["word", "places"])
+
+
+def _answers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, numbers, sizes, ids): what the partition's words are in each batch, packed."""
+    sizes, ids, places, owners = [], [], [], []
+    seen = 0
+    for batch in rows:
+        listed = batch.column("ids")
+        sizes.append(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        ids.append(listed.flatten().to_numpy())
+        for asked in batch.column("places").to_pylist():
+            place = np.frombuffer(asked, np.int64)
+            places.append(place)
+            owners.append(np.full(len(place), seen))
+            seen += 1
+    if not seen:
+        return
+    size, flat, place, owner = np.concatenate(sizes), np.concatenate(ids), np.concatenate(places), np.concatenate(owners)
+    start = np.r_[0, np.cumsum(size)]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    part = place >> 32
+    for a, b in zip(cuts := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), np.r_[cuts[1:], len(part)], strict=True):
+        mine = owner[a:b]
+        within = np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+        taken = flat[np.repeat(start[mine], size[mine]) + within]
+        packed = [_pack(np.diff(place[a:b] & 0xFFFFFFFF, prepend=0)), _pack(size[mine]), _pack(taken)]
+        yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["part", "numbers", "sizes", "ids"])
 
 
 def encode_words(words_: DataFrame, vocabulary: Vocabulary, fold_bytes: int = 256) -> DataFrame:
-    """(word) to (word, ids): token ids of distinct words."""
+    """Rows of a word each with ids, its token ids."""
     ranks = vocabulary.ranks
 
     @F.pandas_udf("array<int>")
@@ -229,7 +295,7 @@ def encode_words(words_: DataFrame, vocabulary: Vocabulary, fold_bytes: int = 25
 
     long = F.octet_length("word") > fold_bytes
     ids = F.coalesce(long_ids(F.when(long, F.col("word"))), F.when(~long, fold_encode(F.col("word"), vocabulary)))
-    return words_.select("word", ids.alias("ids"))
+    return words_.select("*", ids.alias("ids"))
 
 
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, digests: bool = False, batch_bytes: int = 32 << 20, fold_bytes: int = 256) -> DataFrame:
@@ -242,38 +308,35 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     renamed = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    rows = _batches(renamed, "_text", vocabulary.pattern, batch_bytes).repartition(n, "batch")
-    numbered = rows.mapInArrow(_words_of, "batch long, number int, word binary").repartition(n, "word")
-    encoded = encode_words(numbered.select("word").distinct(), vocabulary, fold_bytes)
-    back = numbered.join(encoded.hint("shuffle_hash"), "word").select(F.col("batch").alias("part"), "number", "ids")
+    rows = _batches(renamed, "_text", vocabulary.pattern, batch_bytes, 16 * n).repartition(n, "batch")
+    asked = rows.mapInArrow(_bucket_rows, "batch long, bucket int, codes binary, more binary").repartition(n, "bucket")
+    encoded = encode_words(asked.mapInArrow(_distinct_words, "word binary, places binary"), vocabulary, fold_bytes)
+    back = encoded.select("ids", "places").mapInArrow(_answers, "part long, numbers binary, sizes binary, ids binary")
     result = [("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>"), ("decoded", "binary")]
     types = [renamed.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]
     piece = {rank: key for key, rank in vocabulary.ranks.items()}
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        expand = zstandard.ZstdDecompressor().decompress
         kinds = left.column("kind").to_numpy()
-        found: list[list[int]] = [[]] * right.num_rows
-        for number, ids in zip(right.column("number").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            found[number] = ids
-        sizes = inside = np.empty(0, np.uint32)
-        rows_of_units = left.filter(pa.array(kinds == 1))
-        for number, code in zip(rows_of_units.column("number").to_pylist(), rows_of_units.column("codes").to_pylist(), strict=True):
-            if number:
-                inside = np.frombuffer(expand(code), np.uint32)
-            else:
-                sizes = np.frombuffer(expand(code), np.uint32)
+        words_: dict[int, list[int]] = {}
+        for numbers, sizes, ids in zip(*(right.column(c).to_pylist() for c in ("numbers", "sizes", "ids")), strict=True):
+            flat, at = _unpack(ids).tolist(), 0
+            for number, size in zip(np.cumsum(_unpack(numbers)).tolist(), _unpack(sizes).tolist(), strict=True):
+                words_[number] = flat[at : at + size]
+                at += size
+        units = left.filter(pa.array(kinds == 1))
+        sizes, inside = _unpack(units.column("codes")[0].as_py()), _unpack(units.column("more")[0].as_py())
         joined, bytes_, counts_of, at = [], [], np.zeros(len(sizes), np.int64), 0
         numbers = inside.tolist()
         for unit, size in enumerate(sizes.tolist()):  # once per distinct unit of the batch
-            ids = [i for w in numbers[at : at + size] for i in found[w]]
+            ids = [i for w in numbers[at : at + size] for i in words_[w]]
             joined.append(",".join(map(str, ids)))
             bytes_.append(b"".join([piece[i] for i in ids]))
             counts_of[unit], at = len(ids), at + size
         documents = left.filter(pa.array(kinds == 0))
         counts, first, second = [], [], []
         for code in documents.column("codes"):
-            units = np.frombuffer(expand(code.as_py()), np.uint32)
+            units = _unpack(code.as_py())
             listed = units.tolist()
             text_of_ids = ",".join([joined[u] for u in listed if joined[u]])
             decoded = b"".join([bytes_[u] for u in listed])
