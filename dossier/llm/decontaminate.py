@@ -23,12 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.common import stored, text_key
+
 #: Unit words that may follow a number.
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hz khz mhz ghz w kw kwh mw v j kj cal kcal pa kpa b kb mb gb tb usd eur gbp percent euro euros dollar dollars pounds miles meters metres kilometers kilometres grams kilograms litres liters seconds minutes hours days weeks months years degrees".split()
 
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
-#: Sentence ends, numbers, words.
-TOKEN = r"[.!?:\n]+|[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
+#: A token of a text, and of a text with placeholders: these match one to one.
+RAW = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
+TOKEN = r"[\u0001-\u0003]|[\p{L}\p{M}]+"
 
 
 def _bind(value: Column, use) -> Column:
@@ -36,78 +39,64 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _is_number(x: Column) -> Column:
-    return (x >= "0") & (x < ":")
-
-
-def _is_break(x: Column) -> Column:
-    return F.substring(x, 1, 1).isin(".", "!", "?", ":", "\n")
-
-
-def tokens(text: Column) -> Column:
-    """array<struct<c, v>>: each token's canonical form, and its value where it is a placeholder."""
-
-    def kind(raw: Column):
-        def one(x: Column, i: Column) -> Column:
-            before = F.get(raw, i - 1)
-            small = F.lower(x)
-            first = F.substring(x, 1, 1)
-            as_is = F.struct(small.alias("c"), F.lit(None).cast("string").alias("v"))
-            slot = lambda mark: F.struct(F.lit(mark).alias("c"), small.alias("v"))
-            return (
-                F.when(_is_number(x), slot(NUMBER))
-                .when((i > 0) & _is_number(before) & F.array_contains(F.lit(UNITS), small), slot(UNIT))
-                .when((i > 0) & (first != F.lower(first)) & ~_is_break(before), slot(NAME))
-                .otherwise(as_is)
-            )
+def _clean(text: Column) -> Column:
+    """The text without characters that stand for placeholders."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]+", " ")
 
-        return F.filter(F.transform(raw, one), lambda t: ~_is_break(t["c"]))
 
-    return _bind(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), kind)
+def template(text: Column) -> Column:
+    """array<string>: the tokens of a text, numbers, names and units as placeholders."""
+    named = F.regexp_replace(_clean(text), r"\p{Lu}(?<=[\p{L}\p{M}\p{N},;'\u2019)\]\"]\x20\p{Lu})[\p{L}\p{M}]*", NAME)
+    numbered = F.regexp_replace(named, r"[0-9]+(?:[.,][0-9]+)*", NUMBER)
+    units = F.regexp_replace(numbered, rf"(?i){NUMBER}(\x20?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", f"{NUMBER}$1{UNIT}")
+    return F.regexp_extract_all(F.lower(units), F.lit(TOKEN), F.lit(0))
 
 
-def windows(found: Column, window: int) -> Column:
-    """array<struct<h, p, v>>: hash and place of each usable window of tokens, and its values if it has placeholders."""
-    marks = [F.xxhash64(F.lit(m)) for m in (NUMBER, NAME, UNIT)]
+def values(text: Column) -> Column:
+    """array<string>: the tokens as written, lower-cased, in the same places."""
+    return F.regexp_extract_all(F.lower(_clean(text)), F.lit(RAW), F.lit(0))
 
-    def build(toks: Column) -> Column:
-        def over(codes: Column) -> Column:
-            def one(i: Column) -> Column:
-                part = F.slice(codes, i, window)
-                slots = F.size(F.filter(part, lambda h: h.isin(*marks)))
-                return F.struct(
-                    F.when(slots < window, F.xxhash64(part)).alias("h"),
-                    i.alias("p"),
-                    F.when(slots > 0, F.transform(F.slice(toks, i, window), lambda t: t["v"])).alias("v"),
-                )
 
-            return F.when(F.size(codes) >= window, F.transform(F.sequence(F.lit(1), F.size(codes) - (window - 1)), one))
+def windows(tokens: Column, window: int) -> Column:
+    """array<long>: the hash of the window that starts at each token."""
 
-        return _bind(F.transform(toks, lambda t: F.xxhash64(t["c"])), over)
+    def over(codes: Column) -> Column:
+        found = F.transform(codes, lambda h, i: F.xxhash64(h, *[F.get(codes, i + k) for k in range(1, window)]))
+        return F.slice(found, F.lit(1), F.greatest(F.size(codes) - (window - 1), F.lit(0)))
 
-    return _bind(found, build)
+    return _bind(F.transform(tokens, lambda t: F.xxhash64(t)), over)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, item_id, covered, n_tokens): items found in documents; covered of the item's n_tokens tokens match."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).select("item_id", F.size("toks").alias("n_tokens"), windows(F.col("toks"), window).alias("w"))
-    asked = items.select("item_id", "n_tokens", F.inline("w")).where("h IS NOT NULL").select("h", "item_id", "n_tokens", F.col("p").alias("ip"), F.col("v").alias("iv"))
+    key = ["doc_id", "tk"]
+    items = benchmark.select("item_id", template(F.col("text")).alias("t"), values(F.col("text")).alias("v")).select("item_id", "t", "v", F.size("t").alias("n_tokens"), F.posexplode(windows(F.col("t"), window)).alias("ip", "h"))
+    part = F.slice("t", F.col("ip") + 1, window)
+    slots = F.size(F.filter(part, lambda t: t.isin(NUMBER, NAME, UNIT)))
+    asked = items.select("h", "item_id", "n_tokens", "ip", slots.alias("slots"), F.when(slots > 0, F.transform(F.slice("v", F.col("ip") + 1, window), lambda v, i: F.when(F.get(part, i).isin(NUMBER, NAME, UNIT), v))).alias("iv"))
+    asked = asked.where(F.col("slots") < window).drop("slots")
     if asked.count() <= broadcast_rows:
         asked = F.broadcast(asked)
-    rows = docs.select("doc_id", F.inline(windows(tokens(F.col("text")), window))).where("h IS NOT NULL")
-    met = rows.join(asked, "h").select("doc_id", "item_id", "n_tokens", "ip", (F.col("p") - F.col("ip")).alias("shift"), F.arrays_zip(F.col("iv").alias("iv"), F.col("v").alias("v")).alias("slots"))
-    # Of one alignment: the item's places that match, and the pairs of values seen in its slots.
-    pairs = F.filter("slots", lambda s: s["iv"].isNotNull())
-    aligned = met.groupBy("doc_id", "item_id", "n_tokens", "shift").agg(
-        F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda s: s["iv"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda s: s["v"]))) == F.size("pairs"))
-    consistent = aligned.where(one_to_one)
-    places = consistent.select("doc_id", "item_id", "n_tokens", F.explode("ips").alias("ip")).groupBy("doc_id", "item_id", "n_tokens").agg(F.sort_array(F.collect_set("ip")).alias("ips"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.posexplode(windows(template(F.col("text")), window)).alias("p", "h"))
+    met = stored(rows.join(asked, "h").select(*key, "item_id", "n_tokens", "ip", "p", (F.col("p") - F.col("ip")).alias("shift"), "iv"))
+    aligned = [*key, "item_id", "n_tokens", "shift"]
+    free = met.where("iv IS NULL").select(*aligned, "ip")
+    # Windows with slots need the document's values: only these documents are read again.
+    held = met.where("iv IS NOT NULL")
+    wanted = held.groupBy(*key).agg(F.collect_list(F.struct("item_id", "n_tokens", "shift", "ip", "p", "iv")).alias("asked"))  # of one document
+    again = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text")
+    same = again["doc_id"].eqNullSafe(wanted["doc_id"]) & (again["tk"] == wanted["tk"])
+    seen = again.join(wanted.hint("shuffle_hash"), same).select(again["doc_id"], again["tk"], values(F.col("text")).alias("dv"), "asked")
+    pair = lambda x, dv: F.filter(F.arrays_zip(x["iv"].alias("iv"), F.slice(dv, x["p"] + 1, window).alias("v")), lambda s: s["iv"].isNotNull())
+    slotted = seen.select(*key, F.inline(F.transform("asked", lambda x: F.struct(x["item_id"].alias("item_id"), x["n_tokens"].alias("n_tokens"), x["shift"].alias("shift"), x["ip"].alias("ip"), pair(x, F.col("dv")).alias("pairs")))))
+    # Along one alignment an item's value stands for one value of the document, and the other way round.
+    judged = slotted.groupBy(*aligned).agg(F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    single = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda s: s[name]))) == F.size("pairs")
+    consistent = judged.where(single("iv") & single("v")).select(*aligned, F.explode("ips").alias("ip"))
+    places = free.unionAll(consistent).groupBy("doc_id", "tk", "item_id", "n_tokens").agg(F.sort_array(F.collect_set("ip")).alias("ips"))
     gaps = F.transform("ips", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("ips", i + 1) - p, F.lit(window))))
     counted = places.select("doc_id", "item_id", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long").alias("covered"), F.col("n_tokens").cast("long"))
-    return counted.where(F.col("covered") >= coverage * F.col("n_tokens"))
+    return counted.where(F.col("covered") >= coverage * F.col("n_tokens")).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("n_tokens").alias("n_tokens"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

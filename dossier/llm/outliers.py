@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import stored
 
-SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 STOPS = ".,;:!?"
+CAPITALS = "A-Z"
 #: Median of the chi-square distribution with four degrees of freedom.
 MEDIAN = 3.3567
 DIMENSIONS = 4
@@ -47,48 +47,50 @@ def _repeated(words: Column, window: int) -> Column:
     def count(hashes: Column) -> Column:
         def judge(wins: Column) -> Column:
             def spread(pairs: Column) -> Column:
-                same = F.filter(pairs, lambda x, i: F.coalesce(F.get(pairs, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(pairs, i + 1)["h"] == x["h"], F.lit(False)))
-                at = lambda places: F.aggregate(F.transform(places, lambda p, i: F.least(F.lit(window), F.coalesce(F.get(places, i + 1) - p, F.lit(window)))), F.lit(0), lambda a, x: a + x)
-                return _bind(F.array_sort(F.transform(same, lambda x: x["i"])), at)
+                alike = lambda x, other: F.coalesce(other["h"] == x["h"], F.lit(False))
+                same = F.filter(pairs, lambda x, i: alike(x, F.get(pairs, i - 1)) | alike(x, F.get(pairs, i + 1)))
+                return _bind(F.array_sort(F.transform(same, lambda x: x["i"])), covered)
+
+            def covered(places: Column) -> Column:
+                steps = F.transform(places, lambda p, i: F.least(F.lit(window), F.coalesce(F.get(places, i + 1) - p, F.lit(window))))
+                return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
             ordered = F.array_sort(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
             return F.when(F.size(F.array_distinct(wins)) == F.size(wins), F.lit(0)).otherwise(_bind(ordered, spread))
 
-        found = F.transform(F.sequence(F.lit(1), F.size(hashes) - (window - 1)), lambda i: F.xxhash64(F.slice(hashes, i, window)))
-        return F.when(F.size(hashes) < window, F.lit(0)).otherwise(_bind(found, judge))
+        found = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, window)]))
+        return F.when(F.size(hashes) < window, F.lit(0)).otherwise(_bind(F.slice(found, F.lit(1), F.size(hashes) - (window - 1)), judge))
 
     return _bind(F.transform(words, lambda w: F.xxhash64(w)), count)
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def _only(text: Column, characters: str) -> Column:
+    """The text without all other characters; a regular expression passes over whole runs of these."""
+    return F.regexp_replace(text, rf"[^{characters}]+", "")
 
 
 def counts(docs: DataFrame, window: int = 8) -> DataFrame:
     """docs with the plain counts of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACE, "")) > 0)
-    return docs.select(
-        *[c for c in docs.columns if c not in ("text", *FACTS, "n_caps", "n_stops")],
-        F.inline(
-            F.array(
-                _bind(
-                    F.struct(words.alias("w"), lines.alias("l"), F.length(text).alias("n"), text.alias("t")),
-                    lambda s: F.struct(
-                        F.size(s["w"]).cast("long").alias("n_words"),
-                        _without(s["t"], SPACE).cast("long").alias("word_chars"),
-                        (s["n"] - _without(s["t"], SYMBOLS)).cast("long").alias("n_symbols"),
-                        (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))).cast("long").alias("n_dup_lines"),
-                        _repeated(s["w"], window).cast("long").alias("n_repeat_words"),
-                        (s["n"] - _without(s["t"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_caps"),
-                        (s["n"] - _without(s["t"], STOPS)).cast("long").alias("n_stops"),
-                    ),
-                )
-            )
-        ),
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    facts = F.struct(
+        words.alias("w"), lines.alias("l"), F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"), _only(text, SYMBOLS + STOPS + CAPITALS).alias("rare")
     )
 
+    def result(s: Column) -> Column:
+        return F.struct(
+            F.size(s["w"]).cast("long").alias("n_words"),
+            s["word_chars"].alias("word_chars"),
+            F.length(_only(s["rare"], SYMBOLS)).cast("long").alias("n_symbols"),
+            (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))).cast("long").alias("n_dup_lines"),
+            _repeated(s["w"], window).cast("long").alias("n_repeat_words"),
+            F.length(_only(s["rare"], CAPITALS)).cast("long").alias("n_caps"),
+            F.length(_only(s["rare"], STOPS)).cast("long").alias("n_stops"),
+        )
+
+    return docs.select(*[c for c in docs.columns if c not in ("text", *FACTS, "n_caps", "n_stops")], F.inline(F.array(_bind(facts, result))))
+
 
 def _center(rows: DataFrame, keys: list[str]) -> DataFrame:
     """First estimate by group: medians, and deviations from them as a diagonal covariance."""
