@@ -137,7 +137,7 @@ def estimate(rows: DataFrame, keys: list[str], core: float = 0.75, steps: int =
     return found
 
 
-def judge(docs: DataFrame, window: int = 8, least_words: int = 20, repeat_percent: int = 30, core: float = 0.75, steps: int = 3, prior: int = 200, smooth: float = 200.0, cut: float = 60.0) -> DataFrame:
+def judge(docs: DataFrame, window: int = 8, least_words: int = 20, repeat_percent: int = 30, core: float = 0.75, steps: int = 3, prior: int = 200, smooth: float = 200.0, cut: float = 55.0) -> DataFrame:
     """The other columns of docs with the counts, base_failed, distance (null where the base failed) and kept."""
     results = {*FACTS, "n_caps", "n_stops", "base_failed", "distance", "kept"}
     names = [c for c in docs.columns if c not in results and c != "text"]
