@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontaminate, langid, outliers, simhash, substrings, toxicity
+import corpus_pipeline
+from dossier.llm import bpe, decontaminate, langid, outliers, quality, simhash, substrings, toxicity
 from dossier.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by attention over its passages, learned from the labels not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
+    found = quality.score(docs, quality.train(docs, labels))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the weighted lexicon, learned from the labels not held out."""
@@ -71,3 +81,9 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of the benchmark items found in documents, with the tokens that match."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline over the documents table."""
+    return corpus_pipeline.run(spark, sf_dir)
