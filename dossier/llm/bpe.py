@@ -298,7 +298,7 @@ def encode_words(words_: DataFrame, vocabulary: Vocabulary, fold_bytes: int = 25
     return words_.select("*", ids.alias("ids"))
 
 
-def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, digests: bool = False, batch_bytes: int = 32 << 20, fold_bytes: int = 256) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, digests: bool = False, batch_bytes: int = 16 << 20, fold_bytes: int = 256) -> DataFrame:
     """Tokens of every document.
 
     Returns the columns ``keep`` (all but the text by default) with ids array<int>, n_tokens long and decoded binary;
@@ -315,24 +315,30 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
     result = [("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>"), ("decoded", "binary")]
     types = [renamed.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]
     piece = {rank: key for key, rank in vocabulary.ranks.items()}
+    names = {rank: str(rank) for rank in piece}
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = left.column("kind").to_numpy()
-        words_: dict[int, list[int]] = {}
-        for numbers, sizes, ids in zip(*(right.column(c).to_pylist() for c in ("numbers", "sizes", "ids")), strict=True):
-            flat, at = _unpack(ids).tolist(), 0
-            for number, size in zip(np.cumsum(_unpack(numbers)).tolist(), _unpack(sizes).tolist(), strict=True):
-                words_[number] = flat[at : at + size]
-                at += size
+        answers = [[_unpack(x.as_py()) for x in right.column(c)] for c in ("numbers", "sizes", "ids")]
+        number = np.concatenate([np.empty(0, np.int64), *map(np.cumsum, answers[0])]).astype(np.int64)
+        size, flat = (np.concatenate([np.empty(0, np.uint32), *x]).astype(np.int64) for x in answers[1:])
+        start = np.cumsum(size) - size
+        place = np.empty(len(number), np.int64)
+        place[number] = np.arange(len(number))
         units = left.filter(pa.array(kinds == 1))
-        sizes, inside = _unpack(units.column("codes")[0].as_py()), _unpack(units.column("more")[0].as_py())
-        joined, bytes_, counts_of, at = [], [], np.zeros(len(sizes), np.int64), 0
-        numbers = inside.tolist()
-        for unit, size in enumerate(sizes.tolist()):  # once per distinct unit of the batch
-            ids = [i for w in numbers[at : at + size] for i in words_[w]]
-            joined.append(",".join(map(str, ids)))
-            bytes_.append(b"".join([piece[i] for i in ids]))
-            counts_of[unit], at = len(ids), at + size
+        sizes, inside = _unpack(units.column("codes")[0].as_py()).astype(np.int64), place[_unpack(units.column("more")[0].as_py())]
+        ends = np.r_[0, np.cumsum(sizes)]
+        joined, bytes_, counts_of = [], [], np.zeros(len(sizes), np.int64)
+        for at in range(0, len(sizes), 20_000):  # once per distinct unit of the batch
+            to = min(at + 20_000, len(sizes))
+            mine = inside[ends[at] : ends[to]]
+            within = np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+            ids = flat[np.repeat(start[mine], size[mine]) + within].tolist()
+            cuts = np.r_[0, np.cumsum(size[mine])][ends[at : to + 1] - ends[at]]
+            counts_of[at:to] = np.diff(cuts)
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                joined.append(",".join([names[i] for i in ids[a:b]]))
+                bytes_.append(b"".join([piece[i] for i in ids[a:b]]))
         documents = left.filter(pa.array(kinds == 0))
         counts, first, second = [], [], []
         for code in documents.column("codes"):
