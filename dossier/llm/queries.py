@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dossier.llm import bpe, decontaminate, langid, outliers, quality, simhash, substrings, toxicity
+from dossier.llm import bpe, decontaminate, langid, outliers, quality, simhash, substrings, toxicity, urls
 from dossier.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"], digests=True)
 
 
+#: The rules of the URL query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 @query
 def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by output codes, learned from the rows not held out."""
