@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dossier.llm import bpe, decontaminate, langid, outliers, quality, simhash, substrings, toxicity, urls
+from dossier.llm import bpe, decontaminate, langid, lm, outliers, quality, simhash, substrings, toxicity, urls
 from dossier.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document, the counts being the whole corpus's."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids and their decoding, as digests per document."""
