@@ -1,0 +1,282 @@
+"""The training-data operators against brute force, and in the cases that their docstrings define."""
+
+import collections
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+pytest.importorskip("dossier.llm")
+
+import public_tokenizers
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from dossier.llm import bpe, decontaminate, langid, lm, outliers, quality, simhash, substrings, toxicity, urls
+from dossier.llm.common import remainder
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tk string, row string, at int"
+VOCABULARY = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def rows_of(texts, start=0):
+    return [(start + i, t, "en", "s", len(t) if t is not None else None, "x", "y", 1) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and columns with clashing names."""
+    long = " ".join(f"w{i % 977} x{i % 31}." for i in range(30_000))
+    texts = [None, "", "  \n\t ", "one", "a b c d", long, long, "İstanbul straße \x1c  two  spaces \n\n x", "é" * 3000, "12 34 " * 400, "word " * 500]
+    rows = rows_of(texts) + rows_of([long])[:1] + [(5, long, "en", "s", 1, "x", "y", 1), (None, long, None, None, None, None, None, None), (3, "other text of the same id", "en", "s", 1, "x", "y", 1)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_repeats(docs, window):
+    first = {}
+    split = [(d, (t or "").encode().split()) for d, t in docs]
+    for d, w in split:
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if d is not None:
+                first[key] = min(d, first.get(key, d))
+    out = collections.Counter()
+    for d, w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if d is not None and first[tuple(w[i : i + window])] < d:
+                gone |= set(range(i, i + window))
+        out[d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()] += 1
+    return out
+
+
+@pytest.mark.parametrize("crowd", [1, 8192])
+def test_substrings_are_those_of_brute_force(spark, crowd):
+    rng = np.random.default_rng(1)
+    shared = [" ".join(f"p{j}_{i}" for i in range(90)) for j in range(3)]
+    texts = []
+    for k in range(60):
+        own = " ".join(f"u{rng.integers(0, 4000)}" for _ in range(int(rng.integers(0, 120))))
+        texts.append(f"{own} {shared[k % 3]} end{k} {own}" if k % 2 else own)
+    texts[7] = texts[3]
+    docs = list(enumerate(texts)) + [(None, texts[3]), (3, texts[3]), (9, None)]
+    found = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), crowd=crowd).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found) == brute_repeats(docs, 50)
+
+
+def test_substrings_of_hard_and_empty_tables(hard, none):
+    found = substrings.remove_repeats(hard)
+    assert found.columns == [*hard.columns, "n_words", "n_removed", "kept"]
+    by = {r.doc_id: r for r in found.collect()}
+    assert by[6].n_removed == by[6].n_words == 60_000 and by[None].n_removed == 0
+    assert substrings.remove_repeats(none).count() == 0
+
+
+def test_lm_scores_are_those_of_brute_force(spark):
+    docs = [(0, "the cat sat on the mat"), (1, "The cat ran.\nThe dog sat"), (2, ""), (3, None), (4, "zzz"), (4, "the cat sat on the mat")]
+    found = lm.scores(spark.createDataFrame(docs, "doc_id long, text string"), order=3).collect()
+    folded = [(d, lm.folded(t or "")) for d, t in docs]
+    seen = collections.Counter(x[i : i + n] for _, x in folded for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    total = sum(v for k, v in seen.items() if len(k) == 1)
+    want = []
+    for d, x in folded:
+        s = 0.0
+        for i in range(len(x)):
+            for n in range(min(3, i + 1), 0, -1):
+                g = x[i + 1 - n : i + 1]
+                if n == 1 or seen[g] > 1:
+                    s += math.log10((seen[g] - 1) / max(seen[g[:-1]] - 1, 1) * 0.4 ** (3 - n) if n > 1 else max(seen[g] - 1, 0.5) / (total - 1) * 0.16)
+                    break
+        want.append((d, len(x), round(s, 6) if x else None))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_bytes, r.log10_sum if r.log10_sum is None else round(r.log10_sum, 6))) for r in found)
+
+
+def test_lm_of_hard_and_empty_tables(hard, none):
+    assert lm.scores(hard).count() == hard.count() and lm.scores(none).count() == 0
+
+
+def test_bpe_is_that_of_the_library(hard, none):
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=VOCABULARY.ranks, special_tokens={})
+    want = collections.Counter()
+    for r in hard.collect():
+        ids, text = other.encode_ordinary(r.text or ""), (r.text or "").encode()
+        want[r.doc_id, len(ids), ",".join(map(str, ids)), text] += 1
+    found = bpe.encode_decode(hard, VOCABULARY, keep=["doc_id"], batch_bytes=1 << 20).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, ",".join(map(str, r.ids)), bytes(r.decoded)) for r in found) == want
+    digest = bpe.encode_decode(hard, VOCABULARY, digests=True).where("doc_id = 4").first()
+    assert digest.decoded_sha256 == hashlib.sha256(b"a b c d").hexdigest() and digest.tk == "x"
+    assert bpe.encode_decode(none, VOCABULARY).count() == 0
+
+
+def test_heap_and_fold_agree(spark):
+    words = [b"", b"a", b" thing", "größe".encode(), b"=" * 90, b"abcabcabcabd" * 6, bytes(range(128, 200))]
+    frame = spark.createDataFrame([(w,) for w in words], "word binary")
+    for limit in (0, 10_000):
+        for r in bpe.encode_words(frame, VOCABULARY, limit).collect():
+            assert list(r.ids) == (bpe.heap_encode(bytes(r.word), VOCABULARY.ranks) if r.word else []), (limit, r.word)
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def test_url_rules_and_templates(spark):
+    cases = [
+        ("https://A.Example.com/en/1?x#y", "a.example.com", "/en/1", "example.com/en/", "block"), ("http://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"), ("x://com", "com", "", None, "allow"),
+        ("http://y.net/es/2", "y.net", "/es/2", "net/es/", "block"), ("no scheme", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://h?q://z/", "h", "", None, "allow"), ("http://snet/es/", "snet", "/es/", None, "allow"),
+    ]
+    found = {r.n: r for r in urls.judge(spark.createDataFrame([(i, c[0], "x") for i, c in enumerate(cases)], "n int, url string, rule string"), RULES).collect()}
+    assert [(found[i].host, found[i].path, found[i].rule, found[i].verdict) for i in range(len(cases))] == [c[1:] for c in cases]
+    # A path whose labelled urls are blocked is learned for urls that no rule reaches.
+    rows = [(f"http://h.org/bad/{i}",) for i in range(40)] + [(f"http://h.org/good/{i}",) for i in range(40)]
+    rules = [("block", f"h.org/bad/{i}") for i in range(1, 10)]
+    got = urls.judge(spark.createDataFrame(rows, "url string"), rules, alike=0.6).groupBy("template", "verdict").count().collect()
+    assert ("/<open>/*", "allow") in {(r.template, r.verdict) for r in got}
+    assert urls.judge(spark.createDataFrame([], "url string"), RULES).count() == 0
+
+
+def test_language_codes(spark, sf_dir, none, hard):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held", remainder(F.col("doc_id"), 4) == 2)
+    found = langid.predict(docs.where("held"), langid.train(docs.where("NOT held")))
+    right, n = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
+    assert right >= 0.93 * n
+    model = langid.train(none)
+    assert {r.lang_pred for r in langid.predict(hard, model).collect()} == {"und"}
+    one = langid.predict(hard, langid.train(hard)).collect()
+    assert {r.lang_pred for r in one if (r.text or "").strip(" \n\t0123456789") == ""} == {"und"} and all(0 <= r.score <= 1 for r in one)
+    assert langid.codewords(12).shape[0] == 12 and len({tuple(c) for c in langid.codewords(12)}) == 12
+
+
+def brute_components(fps, distance):
+    label = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= distance and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("crowd", [4, 16384])
+def test_simhash_links_are_all_found(spark, crowd):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = []
+    for b in base:
+        at = int(b)
+        for _ in range(int(rng.integers(1, 12))):
+            fps.append(at)
+            for _ in range(int(rng.integers(1, 6))):
+                at ^= 1 << int(rng.integers(0, 64))
+    fps = sorted(set(fps))
+    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, first long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, crowd)).collect()}
+    assert [roots.get(i, i) for i in range(len(fps))] == brute_components(fps, 4)
+
+
+def test_bucket_groups_with_levels():
+    rng = np.random.default_rng(2)
+    fps = np.unique(np.concatenate([rng.integers(0, 2**63, 1500, dtype=np.uint64), np.uint64(7) << np.arange(60, dtype=np.uint64)]))
+    got = simhash.bucket_groups(fps, 4)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    want = np.arange(len(fps))
+    while True:
+        fresh = np.where(near, want[None, :], len(fps)).min(1)
+        if (fresh == want).all():
+            break
+        want = fresh
+    assert (got == want).all()
+
+
+def test_fingerprints(spark, hard, none):
+    text = "A b c d e"
+    shingles = ["a b c d", "b c d e"]
+    ones = [sum(xxhash.xxh64_intdigest(s, 42) >> k & 1 for s in shingles) for k in range(64)]
+    want = sum(1 << k for k in range(64) if 2 * ones[k] > 2)
+    row = simhash.near_duplicates(spark.createDataFrame([(1, text), (2, text), (2, "quite another text here"), (9, None), (8, "")], "doc_id long, text string")).select("doc_id", simhash.hex_digits(F.col("fp")).alias("f"), "component_id")
+    got = sorted(map(tuple, row.collect()))
+    assert (1, f"{want:016x}", 1) in got and all(c == 1 for d, _, c in got if d in (1, 2)) and (8, "0" * 16, 8) in got and (9, "0" * 16, 8) in got
+    assert simhash.near_duplicates(hard).count() == hard.count() and simhash.near_duplicates(none).count() == 0
+
+
+def test_quality(spark, sf_dir, hard, none):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
+    held = quality.score(docs.select("doc_id", "text"), model).join(labels.where(remainder(F.col("doc_id"), 5) == 0), "doc_id").collect()
+    assert sum((r.score >= 0.3) == (r.quality == 1) for r in held) >= 0.85 * len(held)
+    got = quality.score(hard, model).collect()
+    assert len(got) == hard.count() and all(0 <= r.score <= 1 for r in got)
+    assert quality.score(none, model).count() == 0
+    assert {r.score for r in quality.score(hard, quality.train(none, labels)).collect()} == {0.5}
+    x, starts, y = np.random.default_rng(0).normal(size=(9, 5)), np.array([0, 4]), np.array([1.0, 0.0])
+    net = quality.AttentionModel(np.zeros(5), np.ones(5), 4, 3)
+    loss = lambda: -(lambda s: (y * np.log(s) + (1 - y) * np.log(1 - s)).mean())(net.forward(x, starts)[0])
+    gradient = net.gradient(y, starts, *net.forward(x, starts))
+    for name in net.NAMES:
+        flat, base = net.p[name].reshape(-1), loss()
+        flat[0] += 1e-6
+        assert (loss() - base) / 1e-6 == pytest.approx(gradient[name].reshape(-1)[0], abs=1e-4)
+        flat[0] -= 1e-6
+
+
+def test_toxicity(spark, sf_dir, hard, none):
+    lexicon = toxicity.Lexicon({"idiot": 4.0, "trash": 3.0}, ["trash can"])
+    texts = ["you 1d10t", "you іdіоt!!", "ID­IOT$$$", "idiotic", "the trash can", "trash, can", "", None, "x" * 100_000 + " idiot"]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()}
+    assert [got[i].n_matches for i in range(len(texts))] == [1, 1, 1, 0, 0, 1, 0, 0, 1]
+    assert got[0].score > got[6].score == got[7].score
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    learned = toxicity.learn(docs, labels)
+    assert toxicity.score(hard, learned).count() == hard.count() and toxicity.score(none, learned).count() == 0
+    assert toxicity.learn(docs, labels.limit(0)).weights["idiot"] == toxicity.SEED_WEIGHT
+
+
+def brute_counts(text):
+    words = (text or "").encode().split()
+    spots = collections.defaultdict(list)
+    for i in range(len(words) - 7):
+        spots[tuple(words[i : i + 8])].append(i)
+    covered = {i + k for s in spots.values() if len(s) > 1 for i in s for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_outlier_counts(spark, sf_dir, hard, none):
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), hard):
+        for r in outliers.counts(docs.withColumn("t2", F.col("text")).select("t2", "text")).collect():
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(r.t2)
+    got = outliers.judge(hard.withColumn("kept", F.lit("x"))).collect()
+    assert len(got) == hard.count() and all(r.base_failed != r.kept or r.distance > 55 for r in got)
+    assert outliers.judge(none).count() == 0
+
+
+def test_outliers_are_found(spark):
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join("".join(rng.choice(list("aeinrst"), int(rng.integers(2, 9)))) for _ in range(150)) + "."
+    rows = [(i, text(), "en", f"s{i % 3}") for i in range(300)] + [(1000 + i, text().upper().replace(" ", "%%% "), "en", "s0") for i in range(20)]
+    got = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("NOT kept").select("doc_id").collect()
+    found = {r.doc_id for r in got}
+    assert set(range(1000, 1020)) <= found and len(found) <= 23  # a random clean text may be far off
+
+
+def test_decontamination(spark, sf_dir, hard, none):
+    item = "A train leaves the old station at 12 km per hour and reaches Paris after it has passed 12 small towns on its way"
+    docs = [
+        (1, f"Some words before. {item}. And after."), (2, item.replace("12", "45").replace("Paris", "Rome")), (3, item.replace("12", "45", 1)), (4, "Nothing of the kind is in this text at all, I say"),
+        (5, " ".join(item.split()[:9])), (6, None), (7, ""), (1, f"Some words before. {item}. And after."),
+    ]
+    items = spark.createDataFrame([(0, item), (1, "too short"), (2, None)], "item_id long, text string")
+    for limit in (0, 1000):
+        got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, broadcast_rows=limit).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 0), (2, 0)], limit
+    assert decontaminate.leaks(hard, items).count() == 0 and decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(hard, items.limit(0)).count() == 0
+    table, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench).collect()}
+    whole = {(d.doc_id, b.item_id) for d in table.collect() for b in bench.collect() if d.text and b.text in d.text}
+    assert whole <= found
