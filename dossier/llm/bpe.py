@@ -12,7 +12,7 @@ so what meets in one task is bounded too, whatever the words' frequencies.
 Defined cases: a null text counts as empty and gives no tokens; decoding gives back the text's bytes; documents with
 equal ids or texts stay separate rows; an empty table gives an empty result; other columns are left out of the result
 unless named in ``keep``. Words of over ``fold_bytes`` bytes (runs of one letter a book long, say) would make the fold
-quadratic; these are merged with a heap in a pandas UDF, with the same result.
+quadratic; these are merged with a heap in Python, with the same result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -172,61 +171,68 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
+        press = zstandard.ZstdCompressor(level=1).compress
         part, k, held = TaskContext.get().partitionId() << 24, 0, 0
-        words_: dict[str, int] = defaultdict()
-        words_.default_factory = words_.__len__  # an unseen word gets the next number
-        units: dict[str, int] = defaultdict()  # a unit with the space before it left out; one that starts a text has a space
-        units.default_factory = units.__len__
-
-        def numbers(mapped: dict[str, int], some: list[str]) -> np.ndarray:
-            return np.fromiter(map(mapped.__getitem__, some), np.uint32, len(some))
+        texts: list[str] = []
+        beside: list[pa.RecordBatch] = []  # the other columns of texts
 
         def batch_of(kind, bucket, codes, more, kept) -> pa.RecordBatch:
             n = len(codes)
             arrays = [pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary()), pa.array(more, pa.binary())]
-            arrays += [pa.nulls(n, t) for t in types] if kept is None else kept.columns
+            arrays += [pa.nulls(n, f.type) for f in beside[0].schema] if kept is None else kept.columns
             return pa.RecordBatch.from_arrays(arrays, ["batch", "kind", "bucket", "codes", "more", *passed])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sizes, inside = np.zeros(len(units), np.uint32), []
-            for n, unit in enumerate(units):
-                found = find(unit[1:] if unit[:1] == " " else f" {unit}")
-                sizes[n] = len(found)
+            # The first unit of a text has no space before it; the others are split and numbered at once.
+            heads, rests = [], []
+            for s in texts:
+                head, space, rest = s.partition(" ") if _single_spaced(s) else (s, "", "")
+                heads.append(head)
+                rests.append(rest if space else None)
+            texts.clear()
+            split = pc.split_pattern(pa.array(rests, pa.string()), " ")
+            sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+            coded = split.flatten().dictionary_encode()
+            del rests, split
+            units, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            first = pa.array(heads, pa.string()).dictionary_encode()
+            at_head = first.indices.to_numpy(zero_copy_only=False) + len(units)
+            ends = np.r_[0, np.cumsum(sizes)].tolist()
+            done = 0
+            for others in beside:
+                codes = [_pack(np.r_[at_head[i], numbers[ends[i] : ends[i + 1]]]) for i in range(done, done + others.num_rows)]
+                yield batch_of(0, [0] * len(codes), codes, [None] * len(codes), others)
+                done += others.num_rows
+            inside, lengths = [], []
+            for unit in (*map(" ".__add__, units), *first.dictionary.to_pylist()):
+                found = find(unit)
+                lengths.append(len(found))
                 inside += found
-            yield batch_of(1, [0], [_pack(sizes)], [_pack(numbers(words_, inside))], None)
-            found = [w.encode("utf-8", "surrogatepass") for w in words_]
-            bucket = np.fromiter(map(zlib.crc32, found), np.uint32, len(found)) % buckets
+            del units
+            words_ = pa.array(inside, pa.string()).dictionary_encode()
+            del inside
+            yield batch_of(1, [0], [_pack(np.array(lengths))], [_pack(words_.indices.to_numpy(zero_copy_only=False))], None)
+            listed = words_.dictionary.cast(pa.binary()).to_pylist()
+            bucket = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)) % buckets
             order = np.argsort(bucket, kind="stable")
-            press = zstandard.ZstdCompressor(level=1).compress
             for members in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 if len(members):
-                    strings = pa.array([found[m] for m in members.tolist()], pa.binary())
-                    lengths, bytes_ = np.fromiter(map(len, (found[m] for m in members.tolist())), np.uint32, len(members)), b"".join(strings.to_pylist())
-                    yield batch_of(2, [int(bucket[members[0]])], [_pack(np.r_[members.astype(np.uint32), lengths])], [press(bytes_)], None)
-            words_.clear()
-            units.clear()
+                    some = [listed[m] for m in members.tolist()]
+                    yield batch_of(2, [int(bucket[members[0]])], [_pack(np.r_[members, [len(w) for w in some]])], [press(b"".join(some))], None)
+            beside.clear()
 
-        types: list[pa.DataType] = []
         for rows_in in rows:
-            others = rows_in.select(passed)
-            types = [f.type for f in others.schema]
-            done, codes = 0, []
+            others, done = rows_in.select(passed), 0
             for n, value in enumerate(rows_in.column(rows_in.schema.get_field_index(text))):
-                s = value.as_py() or ""
-                if _single_spaced(s):
-                    parts = s.split(" ")
-                    parts[0] = f" {parts[0]}"
-                else:
-                    parts = [f" {s}"]
-                codes.append(_pack(numbers(units, parts)))
-                held += len(s)
+                texts.append(value.as_py() or "")
+                held += len(texts[-1])
                 if held >= batch_bytes:
-                    yield batch_of(0, [0] * len(codes), codes, [None] * len(codes), others.slice(done, n + 1 - done))
+                    beside.append(others.slice(done, n + 1 - done))
                     yield from flush()
-                    done, codes, held, k = n + 1, [], 0, k + 1
-            if codes:
-                yield batch_of(0, [0] * len(codes), codes, [None] * len(codes), others.slice(done))
-        if units:
+                    done, held, k = n + 1, 0, k + 1
+            if done < rows_in.num_rows:
+                beside.append(others.slice(done))
+        if texts:
             yield from flush()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
@@ -240,21 +246,29 @@ def _bucket_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.filter(pc.equal(table["kind"], 2)).drop_columns(["kind"]).to_batches()
 
 
-def _distinct_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, batches, numbers): each word of the partition's buckets once, with the places that ask for it."""
-    expand = zstandard.ZstdDecompressor().decompress
-    places: dict[bytes, list[int]] = defaultdict(list)
-    for batch in rows:
-        for owner, codes, more in zip(*(batch.column(c).to_pylist() for c in ("batch", "codes", "more")), strict=True):
-            members, lengths = np.split(_unpack(codes), 2)
-            bytes_, at = expand(more), 0
-            for number, size in zip(members.tolist(), lengths.tolist(), strict=True):
-                places[bytes_[at : at + size]].append(owner << 32 | number)
-                at += size
-    listed = list(places)
-    for at in range(0, len(listed), 10_000):
-        some = listed[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([np.array(places[w], np.int64).tobytes() for w in some], pa.binary())], ["word", "places"])
+def _distinct_words(ranks: dict[bytes, int], fold_bytes: int):
+    """(word, places, known): each word of the partition's buckets once, with the places that ask for it.
+
+    known has the ids of words too long for the fold, else null.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for batch in rows:
+            for owner, codes, more in zip(*(batch.column(c).to_pylist() for c in ("batch", "codes", "more")), strict=True):
+                members, lengths = np.split(_unpack(codes), 2)
+                bytes_, at = expand(more), 0
+                for number, size in zip(members.tolist(), lengths.tolist(), strict=True):
+                    places[bytes_[at : at + size]].append(owner << 32 | number)
+                    at += size
+        listed = list(places)
+        for at in range(0, len(listed), 10_000):
+            some = listed[at : at + 10_000]
+            known = [heap_encode(w, ranks) if len(w) > fold_bytes else None for w in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([np.array(places[w], np.int64).tobytes() for w in some], pa.binary()), pa.array(known, pa.list_(pa.int32()))], ["word", "places", "known"])
+
+    return run
 
 
 def _answers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,19 +299,6 @@ def _answers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["part", "numbers", "sizes", "ids"])
 
 
-def encode_words(words_: DataFrame, vocabulary: Vocabulary, fold_bytes: int = 256) -> DataFrame:
-    """Rows of a word each with ids, its token ids."""
-    ranks = vocabulary.ranks
-
-    @F.pandas_udf("array<int>")
-    def long_ids(some: pd.Series) -> pd.Series:
-        return some.map(lambda w: None if w is None else heap_encode(bytes(w), ranks))
-
-    long = F.octet_length("word") > fold_bytes
-    ids = F.coalesce(long_ids(F.when(long, F.col("word"))), F.when(~long, fold_encode(F.col("word"), vocabulary)))
-    return words_.select("*", ids.alias("ids"))
-
-
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, digests: bool = False, batch_bytes: int = 16 << 20, fold_bytes: int = 256) -> DataFrame:
     """Tokens of every document.
 
@@ -310,8 +311,9 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
     renamed = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     rows = _batches(renamed, "_text", vocabulary.pattern, batch_bytes, 16 * n).repartition(n, "batch")
     asked = rows.mapInArrow(_bucket_rows, "batch long, bucket int, codes binary, more binary").repartition(n, "bucket")
-    encoded = encode_words(asked.mapInArrow(_distinct_words, "word binary, places binary"), vocabulary, fold_bytes)
-    back = encoded.select("ids", "places").mapInArrow(_answers, "part long, numbers binary, sizes binary, ids binary")
+    words_ = asked.mapInArrow(_distinct_words(vocabulary.ranks, fold_bytes), "word binary, places binary, known array<int>")
+    ids = F.when(F.col("known").isNotNull(), F.col("known")).otherwise(fold_encode(F.col("word"), vocabulary))
+    back = words_.select(ids.alias("ids"), "places").mapInArrow(_answers, "part long, numbers binary, sizes binary, ids binary")
     result = [("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>"), ("decoded", "binary")]
     types = [renamed.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]
     piece = {rank: key for key, rank in vocabulary.ranks.items()}
