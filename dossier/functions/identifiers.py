@@ -24,27 +24,27 @@ VAT_FORMS = {
 
 def digits_sum(text: Column, weights: list[int]) -> Column:
     """Sum of the first digits of a text by weights."""
-    return sum((F.substring(text, i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
+    return sum((F.substring(text, i + 1, 1).try_cast("int") * w for i, w in enumerate(weights)), F.lit(0))
 
 
 def is_nif(text: Column) -> Column:
     """NUM3: nine digits, the last checks the others modulo 11."""
     rest = F.lit(11) - digits_sum(text, list(range(9, 1, -1))) % 11
-    return text.rlike(r"^\d{9}$") & (F.when(rest >= 10, 0).otherwise(rest) == F.substring(text, 9, 1).cast("int"))
+    return text.rlike(r"^\d{9}$") & (F.when(rest >= 10, 0).otherwise(rest) == F.substring(text, 9, 1).try_cast("int"))
 
 
 def is_inn(text: Column) -> Column:
     """NUM3: ten or twelve digits with one or two check digits."""
     check = lambda w: digits_sum(text, w) % 11 % 10
-    ten = text.rlike(r"^\d{10}$") & (check([2, 4, 10, 3, 5, 9, 4, 6, 8]) == F.substring(text, 10, 1).cast("int"))
-    twelve = text.rlike(r"^\d{12}$") & (check([7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) == F.substring(text, 11, 1).cast("int")) & (check([3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) == F.substring(text, 12, 1).cast("int"))
+    ten = text.rlike(r"^\d{10}$") & (check([2, 4, 10, 3, 5, 9, 4, 6, 8]) == F.substring(text, 10, 1).try_cast("int"))
+    twelve = text.rlike(r"^\d{12}$") & (check([7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) == F.substring(text, 11, 1).try_cast("int")) & (check([3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) == F.substring(text, 12, 1).try_cast("int"))
     return ten | twelve
 
 
 def is_ogrn(text: Column) -> Column:
     """NUM3: 13 digits modulo 11, or 15 modulo 13."""
-    one = text.rlike(r"^\d{13}$") & (F.substring(text, 1, 12).cast("long") % 11 % 10 == F.substring(text, 13, 1).cast("int"))
-    two = text.rlike(r"^\d{15}$") & (F.substring(text, 1, 14).cast("long") % 13 % 10 == F.substring(text, 15, 1).cast("int"))
+    one = text.rlike(r"^\d{13}$") & (F.substring(text, 1, 12).try_cast("long") % 11 % 10 == F.substring(text, 13, 1).try_cast("int"))
+    two = text.rlike(r"^\d{15}$") & (F.substring(text, 1, 14).try_cast("long") % 13 % 10 == F.substring(text, 15, 1).try_cast("int"))
     return one | two
 
 
@@ -52,8 +52,8 @@ def is_iban(text: Column) -> Column:
     """NUM2: national length, and the remainder by 97 digit by digit."""
     bare = F.upper(F.regexp_replace(text, r"\s+", ""))
     turned = F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))
-    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
-    rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda a, c: step(a, c).cast("int"))
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda a, c: step(a, c).try_cast("int"))
     lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
     return bare.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]+$") & (F.length(bare) == F.try_element_at(lengths, F.substring(bare, 1, 2))) & (rest == 1)
 

@@ -94,7 +94,7 @@ def distinct_labels(labels: Column) -> Column:
 
 def split_labels(labels: Column) -> Column:
     """ARR2: values joined by `;` apart."""
-    parts = lambda x: F.transform(F.filter(F.transform(F.split(x["value"], ";"), F.trim), lambda v: v != ""), lambda v: F.struct(x["kind"].alias("kind"), v.alias("value")))
+    parts = lambda x: F.transform(F.filter(F.transform(F.split(x["value"], ";"), lambda v: F.trim(v)), lambda v: v != ""), lambda v: F.struct(x["kind"].alias("kind"), v.alias("value")))
     return F.flatten(F.transform(labels, parts))
 
 

@@ -117,7 +117,7 @@ def label_found(expected: Column, labels: Column, kind: Column) -> Column:
         by_amount = (F.abs(number(alternative) - number(value)) < 0.005) & (code(alternative) == code(value))
         return F.when(kind == "amount", by_amount).when(kind.isin("date", "deadline", "period"), value.startswith(alternative)).otherwise(bare(value).contains(bare(alternative)))
 
-    return F.exists(F.transform(F.split(expected, r"\|"), F.trim), lambda a: F.exists(mine, lambda v: F.coalesce(fits(a, v), F.lit(False))))
+    return F.exists(F.transform(F.split(expected, r"\|"), lambda a: F.trim(a)), lambda a: F.exists(mine, lambda v: F.coalesce(fits(a, v), F.lit(False))))
 
 
 def evaluation(rows: DataFrame) -> DataFrame:
