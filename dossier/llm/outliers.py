@@ -10,7 +10,7 @@ scaled so that its median is that of the chi-square distribution, exceeds ``cut`
 Shares of short texts scatter; each share is therefore drawn towards the corpus mean by ``smooth`` characters or words
 before the transformation.
 
-All state between steps is a row per group. Defined cases: a null or empty text has zero counts and fails the word
+All state between steps is a row per group, written to the shared folder. Defined cases: a null or empty text has zero counts and fails the word
 rule; null language or source is a group of its own; a group with no row to estimate from, or of constant statistics,
 rejects nothing that its language doesn't (variances have a floor); repeated rows are judged alike; an empty table gives
 an empty result; other columns are passed through unless named like a result.
@@ -92,10 +92,16 @@ def counts(docs: DataFrame, window: int = 8) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c not in ("text", *FACTS, "n_caps", "n_stops")], F.inline(F.array(_bind(facts, result))))
 
 
+def _beside(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", most: int = 100_000) -> DataFrame:
+    """rows with the columns of their group. Counted to be few, the groups are broadcast, so that a hot group isn't dealt to one task."""
+    groups = stored(groups)
+    return rows.join(F.broadcast(groups) if groups.count() <= most else groups, keys, how)
+
+
 def _center(rows: DataFrame, keys: list[str]) -> DataFrame:
     """First estimate by group: medians, and deviations from them as a diagonal covariance."""
     medians = rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(DIMENSIONS)])
-    spread = rows.join(medians, keys).groupBy(*keys).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *[(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000)).alias(f"s{i}") for i in range(DIMENSIONS)])
+    spread = _beside(rows, medians, keys).groupBy(*keys).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *[(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000)).alias(f"s{i}") for i in range(DIMENSIONS)])
     cov = [(F.greatest(F.col(f"s{i}"), F.lit(FLOOR)) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)]
     return spread.select(*keys, *[f"m{i}" for i in range(DIMENSIONS)], *cov)
 
@@ -114,9 +120,9 @@ def _distance() -> Column:
 
 def _concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str], core: float) -> DataFrame:
     """Mean and covariance of the core share of rows nearest to the estimate, scaled to the chi-square median."""
-    far = rows.join(estimate, keys).withColumn("d", _distance())
+    far = _beside(rows, estimate, keys).withColumn("d", _distance())
     edge = far.groupBy(*keys).agg(F.percentile_approx("d", core, 1000).alias("edge"))
-    near = far.join(edge, keys).where("d <= edge")
+    near = _beside(far, edge, keys).where("d <= edge")
     moments = near.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMENSIONS)],
@@ -124,9 +130,10 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str], core: fl
     )
     floored = [F.greatest(F.col(f"c{i}{j}"), F.lit(FLOOR**2)).alias(f"c{i}{j}") if i == j else f"c{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1)]
     fresh = moments.select(*keys, "n", *[f"m{i}" for i in range(DIMENSIONS)], *floored)
-    scale = rows.join(fresh, keys).withColumn("d", _distance()).groupBy(*keys).agg((F.percentile_approx("d", 0.5, 1000) / MEDIAN).alias("scale"))
+    fresh = stored(fresh)
+    scale = _beside(rows, fresh, keys).withColumn("d", _distance()).groupBy(*keys).agg((F.percentile_approx("d", 0.5, 1000) / MEDIAN).alias("scale"))
     scaled = [(F.col(f"c{i}{j}") * F.greatest("scale", F.lit(1e-3))).alias(f"c{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)]
-    return stored(fresh.join(scale, keys).select(*keys, "n", *[f"m{i}" for i in range(DIMENSIONS)], *scaled))
+    return fresh.join(scale, keys).select(*keys, "n", *[f"m{i}" for i in range(DIMENSIONS)], *scaled)
 
 
 def estimate(rows: DataFrame, keys: list[str], core: float = 0.75, steps: int = 3) -> DataFrame:
@@ -159,5 +166,5 @@ def judge(docs: DataFrame, window: int = 8, least_words: int = 20, repeat_percen
     mixed = fine.join(wide.select("g1", *[F.col(c).alias(f"w_{c}") for c in stats]), "g1").select(
         "g1", "g2", *[((F.col(c) * F.col("n") + F.col(f"w_{c}") * prior) / (F.col("n") + prior)).alias(c) for c in stats]
     )
-    out = vectors.join(mixed, ["g1", "g2"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = _beside(vectors, mixed, ["g1", "g2"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.select("row.*", *FACTS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"))
