@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dossier.functions import grounding, identifiers
 from dossier.functions import labels as L
 from dossier.functions import text as T
 from dossier.operators import filters, observability, search, vocabulary
 from dossier.plans import tasks
 from dossier.plans.adapters import LABELS_SQL, STEPS_SQL, labels, steps, table
 from dossier.plans.registry import QUERIES, query
+from dossier.sources import files
 
 FIELDS = {"body": "text", "sender": "source", "language": "lang"}
 _TOKENS_SQL = "regexp_extract_all(lower(strip_accents(coalesce({}, ''))), '[\\p{{L}}\\p{{N}}]+')"
@@ -528,6 +530,58 @@ def revenue_cube(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
+@query("nif_checks", """WITH d AS (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 9, '0') AS t FROM orders), s AS (SELECT *, 11 - (9 * t[1]::INT + 8 * t[2]::INT + 7 * t[3]::INT + 6 * t[4]::INT + 5 * t[5]::INT + 4 * t[6]::INT + 3 * t[7]::INT + 2 * t[8]::INT) % 11 AS r FROM d)
+SELECT o_orderkey FROM s WHERE CASE WHEN r >= 10 THEN 0 ELSE r END = t[9]::INT""")
+def nif_checks(spark, sf_dir):
+    """NUM3: order numbers that would pass as tax numbers."""
+    return table(spark, sf_dir, "orders").where(identifiers.is_nif(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))).select("o_orderkey")
+
+
+@query("skip_reasons", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'prefix' WHEN 1 THEN 'extension' WHEN 2 THEN 'managed' END AS reason, source AS tag FROM documents")
+def skip_reasons(spark, sf_dir):
+    """SRC4, SRC5: names that aren't taken in, and the folder's tag."""
+    n, name = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    path = F.concat(F.lit("/in/"), F.col("source"), F.lit("/"), F.when(n == 0, F.concat(F.lit("."), name)).when(n == 1, F.concat(name, F.lit(".part"))).when(n == 2, F.concat(F.lit("_"), name, F.lit(".md"))).otherwise(F.concat(name, F.lit(".pdf"))))
+    return table(spark, sf_dir, "documents").select("doc_id", files.skip_reason(path).alias("reason"), files.folder_tag(path, "/in").alias("tag"))
+
+
+@query("confirmed_users", "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS newest FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 1) SELECT user_id AS doc_id, CASE WHEN kind = 'purchase' THEN newest END AS confirmed_at FROM l")
+def confirmed_users(spark, sf_dir):
+    """PIP21: the newest of some kinds, if it is the confirming one."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    return observability.confirmed_at(events, ["click", "purchase", "view"], "purchase")
+
+
+@query("failure_policy", "SELECT event_id, CASE event_type WHEN 'error' THEN CASE WHEN k % 4 + 1 < 3 THEN 'retry' ELSE 'parked' END WHEN 'view' THEN 'cancelled' ELSE 'failed' END AS next, CASE WHEN event_type = 'error' AND k % 4 + 1 < 3 THEN [2, 8, 30][k % 4 + 1] END AS delay FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)")
+def failure_policy(spark, sf_dir):
+    """PIP4: what follows failures by kind and attempt."""
+    kind = F.when(F.col("event_type") == "error", "other").when(F.col("event_type") == "view", "cancelled").otherwise("final")
+    after = observability.failure(kind, F.get_json_object("props", "$.k").cast("int") % 4)
+    return table(spark, sf_dir, "events").select("event_id", after["next"].alias("next"), after["delay"].alias("delay"))
+
+
+@query("queue_order", "SELECT event_id AS id, row_number() OVER (ORDER BY event_type = 'view', event_id) AS turn FROM events WHERE event_type IN ('error', 'view') AND ts <= TIMESTAMP '2024-01-03'")
+def queue_order(spark, sf_dir):
+    """FLT11, PIP2: due jobs in the queue's order."""
+    jobs = table(spark, sf_dir, "events").where("event_type IN ('error', 'view')").select(F.col("event_id").alias("id"), F.lit("pending").alias("state"), F.col("ts").cast("timestamp").alias("next_run_at"), (F.col("event_type") == "view").alias("gives_way"))
+    return tasks.due_jobs(jobs, "2024-01-03").select("id", F.col("turn").cast("long").alias("turn"))
+
+
+@query("written_senders", "SELECT doc_id, contains(lower(text), source) AS written FROM documents")
+def written_senders(spark, sf_dir):
+    """GRD1, GRD2: whether a sender's name is written in the document."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", grounding.name_is_written(F.col("source"), grounding.written_words(F.col("text"))).alias("written"))
+
+
+@query("natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer ORDER BY c_custkey LIMIT 300")
+def natural_order(spark, sf_dir):
+    """UDF2: numbers in names by value."""
+    name = T.natural_key(F.concat(F.lit("file "), F.col("c_custkey").cast("string")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", name.alias("key")).orderBy("key").limit(300)
+    return rows.select("c_custkey", F.row_number().over(Window.orderBy("key")).cast("long").alias("place"))
+
+
 def registered() -> dict:
     """All queries of this module by name."""
     return QUERIES
