@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.common import release
+
 #: Marks a pair that is no vocabulary entry.
 NONE = 2**31 - 1
 
@@ -208,7 +210,6 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
                 found = find(unit)
                 lengths.append(len(found))
                 inside += found
-            del units
             words_ = pa.array(inside, pa.string()).dictionary_encode()
             del inside
             yield batch_of(1, [0], [_pack(np.array(lengths))], [_pack(words_.indices.to_numpy(zero_copy_only=False))], None)
@@ -220,6 +221,8 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
                     some = [listed[m] for m in members.tolist()]
                     yield batch_of(2, [int(bucket[members[0]])], [_pack(np.r_[members, [len(w) for w in some]])], [press(b"".join(some))], None)
             beside.clear()
+            del heads, coded, numbers, units, first, words_, listed
+            release()
 
         for rows_in in rows:
             others, done = rows_in.select(passed), 0
@@ -355,6 +358,8 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
             else:
                 first.append(np.array(text_of_ids.split(",") if text_of_ids else [], np.int32))
                 second.append(decoded)
+        del joined, bytes_, answers, flat
+        release()
         into = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
         arrays = [documents.column(f"_{i}") for i in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(first, into[0]), pa.array(second, into[1])]
         return pa.table(arrays, [*(f"_{i}" for i in range(len(keep))), "n_tokens", *(c for c, _ in result)])

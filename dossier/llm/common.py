@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,10 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     return starts, np.diff(np.r_[starts, len(values)])
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
