@@ -562,8 +562,9 @@ def failure_policy(spark, sf_dir):
 
 @query("queue_order", "SELECT event_id AS id, row_number() OVER (ORDER BY event_type = 'view', event_id) AS turn FROM events WHERE event_type IN ('error', 'view') AND ts <= TIMESTAMP '2024-01-03'")
 def queue_order(spark, sf_dir):
-    """FLT11, PIP2: due jobs in the queue's order."""
-    jobs = table(spark, sf_dir, "events").where("event_type IN ('error', 'view')").select(F.col("event_id").alias("id"), F.lit("pending").alias("state"), F.col("ts").cast("timestamp").alias("next_run_at"), (F.col("event_type") == "view").alias("gives_way"))
+    """FLT11, PIP2: due jobs in the queue's order, in all active states."""
+    state = F.element_at(F.array(*map(F.lit, tasks.ACTIVE[:5])), (F.col("event_id") % 5 + 1).cast("int"))
+    jobs = table(spark, sf_dir, "events").where("event_type IN ('error', 'view')").select(F.col("event_id").alias("id"), state.alias("state"), F.col("ts").cast("timestamp").alias("next_run_at"), (F.col("event_type") == "view").alias("gives_way"))
     return tasks.due_jobs(jobs, "2024-01-03").select("id", F.col("turn").cast("long").alias("turn"))
 
 

@@ -109,10 +109,28 @@ def pack_context(candidates: DataFrame, budget: int = 20_000, each: int = 8000,
     return candidates.select("question", "doc_id", "place", "chars").groupBy("question").applyInPandas(pack, f"question {kind}, doc_id long, use string, taken long")
 
 
-def due_jobs(jobs: DataFrame, now: str) -> DataFrame:
-    """FLT11, PIP2: active jobs whose time has come, in the queue's order."""
-    due = F.col("state").isin("pending", "running") & (F.col("next_run_at").isNull() | (F.col("next_run_at") <= F.lit(now).cast("timestamp")))
-    return jobs.where(due).withColumn("turn", F.row_number().over(Window.orderBy("gives_way", "id")))
+#: States of a job that has not ended; "running" is that of stores without stages.
+ACTIVE = ("pending", "hashing", "extracting", "analysing", "filing", "running")
+#: Kinds of the jobs that read a document in, and the states of these that need no model yet.
+READING_IN, BEFORE_THE_MODEL = ("ingest", "adopt"), ("pending", "hashing")
+
+
+def due_jobs(jobs: DataFrame, now: str, giving_way: bool = True, before_the_model: bool = False) -> DataFrame:
+    """FLT11, PIP2: active jobs whose time has come, in the queue's order.
+
+    A reanalyse job waits while its document's reading in is active; jobs without kind and doc_id wait for none.
+    before_the_model keeps only those whose next stage needs no model, which needs their kind.
+    """
+    active = jobs.where(F.col("state").isin(*ACTIVE))
+    due = active.where(F.col("next_run_at").isNull() | (F.col("next_run_at") <= F.lit(now).cast("timestamp")))
+    if {"kind", "doc_id"} <= set(jobs.columns):
+        read_in = active.where(F.col("kind").isin(*READING_IN)).select(F.lit("reanalyse").alias("kind"), "doc_id").distinct()
+        due = due.join(read_in, ["kind", "doc_id"], "left_anti").select(*jobs.columns)
+    if before_the_model:
+        due = due.where(F.col("kind").isin(*READING_IN) & F.col("state").isin(*BEFORE_THE_MODEL))
+    if not giving_way:
+        due = due.where(~F.col("gives_way"))
+    return due.withColumn("turn", F.row_number().over(Window.orderBy("gives_way", "id")))
 
 
 def enqueue(active: DataFrame, requests: DataFrame) -> DataFrame:

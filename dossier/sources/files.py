@@ -225,7 +225,10 @@ def extracted(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
 def extract(files: DataFrame, largest: int = 524_288_000) -> DataFrame:
     """(path, kind, text, metadata, warnings) of files; those over `largest` bytes give metadata only."""
     kind = file_type(F.col("path"), F.col("content"))
-    return files.where(F.col("length") <= largest).withColumn("kind", kind).withColumn("x", extracted("kind", "content")).select("path", "kind", "x.text", "x.metadata", "x.warnings")
+    fits = F.col("length") <= largest
+    read = files.withColumn("kind", kind).withColumn("x", extracted("kind", F.when(fits, F.col("content"))))
+    only = F.struct(F.lit(None).cast("string").alias("text"), F.create_map(F.lit("length"), F.col("length").cast("string")).alias("metadata"), F.array(F.lit("tooLarge")).alias("warnings"))
+    return read.withColumn("x", F.when(fits, F.col("x")).otherwise(only)).select("path", "kind", "x.text", "x.metadata", "x.warnings")
 
 
 def logs(spark: SparkSession, path: str, category: str | None = None, least: str = "info", since: str | None = None) -> DataFrame:
