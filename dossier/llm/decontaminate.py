@@ -2,8 +2,10 @@
 
 Every text becomes a row of tokens in which numbers, names and units are typed placeholders with their values kept
 aside. Windows of ``window`` placeholder tokens are hashed; the documents' windows meet the benchmark's by a hash join.
+Windows in which only numbers and units are placeholders, and names are words without case, are met in the same way, so
+that copies in capitals, title case or lower case are found too.
 Along one alignment of document and item the slots must be consistent: an item's value stands for one value of the
-document and the other way round, so that "12 km ... 12 km" is caught as "7 km ... 7 km", not as "7 km ... 9 km". An
+document, so that "12 km ... 12 km" is caught as "7 km ... 7 km", not as "7 km ... 9 km". An
 item is leaked into a document if the matching windows cover at least ``coverage`` of the item's tokens.
 
 A number is a run of digits with inner points or commas. A unit is a word of UNITS after a number. A name is a
@@ -44,9 +46,9 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]+", " ")
 
 
-def template(text: Column) -> Column:
-    """array<string>: the tokens of a text, numbers, names and units as placeholders."""
-    named = F.regexp_replace(_clean(text), r"\p{Lu}(?<=[\p{L}\p{M}\p{N},;'\u2019)\]\"]\x20\p{Lu})[\p{L}\p{M}]*", NAME)
+def template(text: Column, names: bool = True) -> Column:
+    """array<string>: the tokens of a text, numbers, units and, if names, names as placeholders."""
+    named = _clean(text) if not names else F.regexp_replace(_clean(text), r"\p{Lu}(?<=[\p{L}\p{M}\p{N},;'\u2019)\]\"]\x20\p{Lu})[\p{L}\p{M}]*", NAME)
     numbered = F.regexp_replace(named, r"[0-9]+(?:[.,][0-9]+)*", NUMBER)
     units = F.regexp_replace(numbered, rf"(?i){NUMBER}(\x20?)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", f"{NUMBER}$1{UNIT}")
     return F.regexp_extract_all(F.lower(units), F.lit(TOKEN), F.lit(0))
@@ -67,17 +69,31 @@ def windows(tokens: Column, window: int) -> Column:
     return _bind(F.transform(tokens, lambda t: F.xxhash64(t)), over)
 
 
+def all_windows(text: Column, window: int) -> Column:
+    """array<struct<p, h, named>>: the windows of both templates, those without names only where they differ."""
+
+    def over(first: Column) -> Column:
+        mine = F.transform(first, lambda h, i: F.struct(i.alias("p"), h.alias("h"), F.lit(True).alias("named")))
+        other = F.transform(windows(template(text, names=False), window), lambda h, i: F.struct(i.alias("p"), h.alias("h"), F.lit(False).alias("named")))
+        return F.concat(mine, F.filter(other, lambda x: ~x["h"].eqNullSafe(F.get(first, x["p"]))))
+
+    return _bind(windows(template(text), window), over)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, item_id, covered, n_tokens): items found in documents; covered of the item's n_tokens tokens match."""
     key = ["doc_id", "tk"]
-    items = benchmark.select("item_id", template(F.col("text")).alias("t"), values(F.col("text")).alias("v")).select("item_id", "t", "v", F.size("t").alias("n_tokens"), F.posexplode(windows(F.col("t"), window)).alias("ip", "h"))
-    part = F.slice("t", F.col("ip") + 1, window)
-    slots = F.size(F.filter(part, lambda t: t.isin(NUMBER, NAME, UNIT)))
-    asked = items.select("h", "item_id", "n_tokens", "ip", slots.alias("slots"), F.when(slots > 0, F.transform(F.slice("v", F.col("ip") + 1, window), lambda v, i: F.when(F.get(part, i).isin(NUMBER, NAME, UNIT), v))).alias("iv"))
+    items = benchmark.select("item_id", template(F.col("text")).alias("t"), template(F.col("text"), names=False).alias("u"), values(F.col("text")).alias("v"), F.explode(all_windows(F.col("text"), window)).alias("w"))
+    items = items.select("item_id", "v", F.size("t").alias("n_tokens"), "t", "u", F.when(F.col("w.named"), F.col("t")).otherwise(F.col("u")).alias("own"), F.col("w.p").alias("ip"), F.col("w.h").alias("h"))
+    part = lambda c: F.slice(c, F.col("ip") + 1, window)
+    slot = lambda t: t.isin(NUMBER, NAME, UNIT)
+    # A slot of either template has a value to be held against the document's, names without case too.
+    held = F.transform(part("v"), lambda v, i: F.when(slot(F.get(part("t"), i)) | slot(F.get(part("u"), i)), v))
+    asked = items.select("h", "item_id", "n_tokens", "ip", F.size(F.filter(part("own"), slot)).alias("slots"), F.when(F.exists(held, lambda v: v.isNotNull()), held).alias("iv"))
     asked = asked.where(F.col("slots") < window).drop("slots")
     if asked.count() <= broadcast_rows:
         asked = F.broadcast(asked)
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.posexplode(windows(template(F.col("text")), window)).alias("p", "h"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.explode(all_windows(F.col("text"), window)).alias("w")).select("doc_id", "tk", F.col("w.p").alias("p"), F.col("w.h").alias("h"))
     met = stored(rows.join(asked, "h").select(*key, "item_id", "n_tokens", "ip", "p", (F.col("p") - F.col("ip")).alias("shift"), "iv"))
     aligned = [*key, "item_id", "n_tokens", "shift"]
     free = met.where("iv IS NULL").select(*aligned, "ip")
@@ -89,10 +105,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: floa
     seen = again.join(wanted.hint("shuffle_hash"), same).select(again["doc_id"], again["tk"], values(F.col("text")).alias("dv"), "asked")
     pair = lambda x, dv: F.filter(F.arrays_zip(x["iv"].alias("iv"), F.slice(dv, x["p"] + 1, window).alias("v")), lambda s: s["iv"].isNotNull())
     slotted = seen.select(*key, F.inline(F.transform("asked", lambda x: F.struct(x["item_id"].alias("item_id"), x["n_tokens"].alias("n_tokens"), x["shift"].alias("shift"), x["ip"].alias("ip"), pair(x, F.col("dv")).alias("pairs")))))
-    # Along one alignment an item's value stands for one value of the document, and the other way round.
+    # Along one alignment an item's value stands for one value of the document.
     judged = slotted.groupBy(*aligned).agg(F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    single = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda s: s[name]))) == F.size("pairs")
-    consistent = judged.where(single("iv") & single("v")).select(*aligned, F.explode("ips").alias("ip"))
+    single = F.size(F.array_distinct(F.transform("pairs", lambda s: s["iv"]))) == F.size("pairs")
+    consistent = judged.where(single).select(*aligned, F.explode("ips").alias("ip"))
     places = free.unionAll(consistent).groupBy("doc_id", "tk", "item_id", "n_tokens").agg(F.sort_array(F.collect_set("ip")).alias("ips"))
     gaps = F.transform("ips", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("ips", i + 1) - p, F.lit(window))))
     counted = places.select("doc_id", "item_id", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long").alias("covered"), F.col("n_tokens").cast("long"))
