@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
 A text is cut by the tokenizer's pattern into words; every *distinct* word of the corpus is encoded once, by a fold of
-ranked merges over its bytes in Spark's higher-order functions. The ranks are one literal: a list of small maps, the
-crc32 of a piece's hex form choosing the map, so that a lookup looks at an entry or two.
+ranked merges over its bytes in Spark's higher-order functions. The rank map is one literal: short lists of (pair of
+tokens, rank), dealt by the pair, so that a lookup looks at an entry or two. Decoding concatenates the binary pieces of
+a document's ids, by a literal list of pieces.
 
 How documents meet their words without a shuffle of every occurrence: a task numbers the distinct words of its part of
 the table (a *batch*) and keeps each document as a compressed list of numbers. Only a batch's distinct words travel to
-the word's bucket, where each is encoded once, and the ids back to the batch. A batch is bounded by ``batch_bytes``,
-so what meets in one task is bounded too, whatever the words' frequencies.
+the word's bucket, where each is encoded once, and the ids back to the batch. A batch is bounded by ``batch_bytes`` and
+words are held a bucket at a time, so that what meets in one task is bounded too, whatever the words' frequencies.
 
 Defined cases: a null text counts as empty and gives no tokens; decoding gives back the text's bytes; documents with
 equal ids or texts stay separate rows; an empty table gives an empty result; other columns are left out of the result
@@ -18,7 +19,6 @@ quadratic; these are merged with a heap in Python, with the same result.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 import zlib
@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import release
 
-#: Marks a pair that is no vocabulary entry.
-NONE = 2**31 - 1
+#: Bits of a token id, and of a place in a word, in the fold's state.
+BITS = 20
+ID = (1 << BITS) - 1
+#: The token before the first and after the last one, which no pair has.
+END = ID
 
 
 class Vocabulary:
@@ -46,7 +49,9 @@ class Vocabulary:
     its size doesn't depend on the data.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, buckets: int = 16384):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, buckets: int = 100_003):
+        if max(ranks.values(), default=0) >= END:
+            raise ValueError(f"ranks are below {END}")
         self.ranks, self.pattern, self.buckets = ranks, pattern, buckets
 
     @classmethod
@@ -55,18 +60,42 @@ class Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}, pattern)
 
-    def table(self) -> Column:
-        """The rank map as one literal, in small maps dealt by crc32."""
+    def pairs(self) -> Column:
+        """The rank map as one literal: lists of pair, rank - 2**BITS, pair, ... dealt by the pair's remainder."""
+        lists: list[list[int]] = [[] for _ in range(self.buckets)]
+        for piece, rank in self.ranks.items():
+            for i in range(1, len(piece)):
+                left, right = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    pair = left << BITS | right
+                    lists[pair % self.buckets] += [pair, rank - (1 << BITS)]
+        return _literal(lists, "array<array<bigint>>")
+
+    def whole(self) -> Column:
+        """Ranks of whole words by hex form, in small maps dealt by crc32."""
         maps: list[dict[str, int]] = [{} for _ in range(self.buckets)]
-        for key, rank in self.ranks.items():
-            name = key.hex().upper()
+        for piece, rank in self.ranks.items():
+            name = piece.hex().upper()
             maps[zlib.crc32(name.encode()) % self.buckets][name] = rank
-        return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+        return _literal(maps, "array<map<string,int>>")
 
-    def rank(self, table: Column, piece: Column) -> Column:
-        """Rank of a piece in hex, NONE if it has none."""
-        bucket = F.get(table, (F.crc32(piece.cast("binary")) % self.buckets).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, piece), F.lit(NONE))
+    def first(self) -> Column:
+        """Ids of the single bytes."""
+        return _literal([self.ranks[bytes([b])] for b in range(256)], "array<bigint>")
+
+    def pieces(self) -> Column:
+        """Pieces in hex by id."""
+        named = {rank: piece.hex() for piece, rank in self.ranks.items()}
+        return _literal([named.get(i) for i in range(max(named, default=-1) + 1)], "array<string>")
+
+
+def _literal(value, kind: str) -> Column:
+    """A nested value as one literal: Spark folds the call when it plans."""
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
 
 def _bind(value: Column, use) -> Column:
@@ -76,35 +105,48 @@ def _bind(value: Column, use) -> Column:
 
 def fold_encode(word: Column, vocabulary: Vocabulary) -> Column:
     """Token ids of one word (binary) by the ranked fold: at each step the leftmost pair of lowest rank merges."""
-    return _bind(vocabulary.table(), lambda table: _fold(word, lambda piece: vocabulary.rank(table, piece)))
+    code = F.hex(word)
+    known = _bind(vocabulary.whole(), lambda maps: F.try_element_at(F.get(maps, (F.crc32(code.cast("binary")) % vocabulary.buckets).cast("int")), code))
+    merged = _bind(vocabulary.pairs(), lambda table: _fold(word, table, vocabulary))
+    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.coalesce(_bind(known, lambda k: F.when(k.isNotNull(), F.array(k))), merged))
 
 
-def _fold(word: Column, rank_of) -> Column:
-    code = F.hex(word)
-    start = F.regexp_extract_all(code, F.lit("(..)"), F.lit(1))
-    n = F.length(code) / 2
+def _fold(word: Column, table: Column, vocabulary: Vocabulary) -> Column:
+    """The fold over a state of one long per token: rank of the pair that begins there, place in the word, token id.
+
+    A pair's rank counts from -2**BITS, no pair being 0, so that the least long is the leftmost pair of lowest rank.
+    """
+
+    def rank(left: Column, right: Column) -> Column:
+        pair = F.shiftleft(left, BITS) + right
+        bucket = F.get(table, (pair % vocabulary.buckets).cast("int"))
+        # The entry after the pair is its rank; without the pair it is a pair or null.
+        return F.shiftleft(F.least(F.get(bucket, F.array_position(bucket, pair).cast("int")), _long(0)), 2 * BITS)
+
+    below = lambda e: e.bitwiseAND(_long((1 << 2 * BITS) - 1))
+    id_of = lambda e: e.bitwiseAND(_long(ID))
 
-    def merge(acc: Column, _: Column) -> Column:
-        def at(best: Column) -> Column:
-            i, parts, ranks = best["i"], acc["p"], acc["r"]
+    def merge(state: Column, _: Column) -> Column:
+        def at(acc: Column, i: Column) -> Column:
+            least, before, after = F.get(acc, i - 1), F.get(acc, i - 2), F.get(acc, i + 1)
+            token = F.shiftright(least, 2 * BITS) + (1 << BITS)
+            fresh = F.array(rank(id_of(before), token) + below(before), rank(token, id_of(after)) + below(least) - id_of(least) + token)
+            return F.when(least < 0, F.flatten(F.array(F.slice(acc, F.lit(1), i - 2), fresh, F.slice(acc, i + 2, F.size(acc))))).otherwise(acc)
 
-            def with_piece(m: Column) -> Column:
-                left = F.when(i > 1, F.array(rank_of(F.concat(F.get(parts, i - 2), m)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i + 1 < F.size(parts), F.array(rank_of(F.concat(m, F.get(parts, i + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), i - 1), F.array(m), F.slice(parts, i + 2, F.size(parts))).alias("p"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, F.size(parts))).alias("r"),
-                )
+        return F.aggregate(F.array(F.array_position(state, F.array_min(state)).cast("int")), state, at)
 
-            return F.when(best["lo"] < NONE, _bind(F.concat(F.get(parts, i - 1), F.get(parts, i)), with_piece)).otherwise(acc)
+    def over(ids: Column) -> Column:
+        tokens = F.transform(ids, lambda a, i: rank(a, F.coalesce(F.get(ids, i + 1), _long(END))) + F.shiftleft(i.cast("bigint"), BITS) + a)
+        ends = F.array(_long(END))
+        return F.aggregate(F.sequence(F.lit(2), F.size(ids)), F.concat(ends, tokens, ends), merge, lambda done: F.transform(F.slice(done, F.lit(2), F.size(done) - 2), lambda e: id_of(e).cast("int")))
 
-        return _bind(F.struct(F.array_position(acc["r"], F.array_min(acc["r"])).cast("int").alias("i"), F.coalesce(F.array_min(acc["r"]), F.lit(NONE)).alias("lo")), at)
+    letters = F.split(F.decode(word, "ISO-8859-1"), "")
+    return _bind(vocabulary.first(), lambda first: _bind(F.transform(letters, lambda c: F.get(first, F.ascii(c))), over))
 
-    first = F.transform(F.slice(start, F.lit(2), F.size(start)), lambda y, i: rank_of(F.concat(F.get(start, i), y)))
-    merged = F.aggregate(F.sequence(F.lit(2), F.size(start)), F.struct(start.alias("p"), first.alias("r")), merge)["p"]
-    whole = F.array(rank_of(code))
-    ids = F.when((n == 1) | (rank_of(code) < NONE), whole).otherwise(F.transform(merged, rank_of))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(ids)
+
+def decode(ids: Column, vocabulary: Vocabulary) -> Column:
+    """The bytes of token ids: their pieces, one after the other."""
+    return F.unhex(F.array_join(_bind(vocabulary.pieces(), lambda pieces: F.transform(ids, lambda i: F.get(pieces, i))), ""))
 
 
 def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -250,56 +292,89 @@ def _bucket_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct_words(ranks: dict[bytes, int], fold_bytes: int):
-    """(word, places, known): each word of the partition's buckets once, with the places that ask for it.
+    """(word, owners, numbers, known): each word of a bucket once, with the batches and their numbers that ask for it.
 
-    known has the ids of words too long for the fold, else null.
+    The rows come sorted by bucket, and one bucket is held at a time. known has the ids of words too long for the fold,
+    else null.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        places: dict[bytes, list[int]] = defaultdict(list)
+        owners: dict[bytes, list[int]] = defaultdict(list)
+        numbers: dict[bytes, list[int]] = defaultdict(list)
+        current = None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            listed = list(owners)
+            for at in range(0, len(listed), 10_000):
+                some = listed[at : at + 10_000]
+                known = [heap_encode(w, ranks) if len(w) > fold_bytes else None for w in some]
+                columns = [pa.array([owners[w] for w in some], pa.list_(pa.int64())), pa.array([numbers[w] for w in some], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *columns, pa.array(known, pa.list_(pa.int32()))], ["word", "owners", "numbers", "known"])
+            owners.clear()
+            numbers.clear()
+
         for batch in rows:
-            for owner, codes, more in zip(*(batch.column(c).to_pylist() for c in ("batch", "codes", "more")), strict=True):
+            for owner, bucket, codes, more in zip(*(batch.column(c).to_pylist() for c in ("batch", "bucket", "codes", "more")), strict=True):
+                if bucket != current:
+                    yield from settle()
+                    current = bucket
                 members, lengths = np.split(_unpack(codes), 2)
                 bytes_, at = expand(more), 0
                 for number, size in zip(members.tolist(), lengths.tolist(), strict=True):
-                    places[bytes_[at : at + size]].append(owner << 32 | number)
+                    word = bytes_[at : at + size]
+                    owners[word].append(owner)
+                    numbers[word].append(number)
                     at += size
-        listed = list(places)
-        for at in range(0, len(listed), 10_000):
-            some = listed[at : at + 10_000]
-            known = [heap_encode(w, ranks) if len(w) > fold_bytes else None for w in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([np.array(places[w], np.int64).tobytes() for w in some], pa.binary()), pa.array(known, pa.list_(pa.int32()))], ["word", "places", "known"])
+        yield from settle()
+        release()
 
     return run
 
 
+#: Places and ids that a task gathers before it packs them.
+PACKED = 1 << 22
+
+
 def _answers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, numbers, sizes, ids): what the partition's words are in each batch, packed."""
-    sizes, ids, places, owners = [], [], [], []
+    """(part, numbers, sizes, ids): what words are in each batch, packed."""
+    held: list[tuple[np.ndarray, ...]] = []
+    weight = 0
+
+    def pack() -> Iterator[pa.RecordBatch]:
+        size, flat, word, owner, number = (np.concatenate(x) for x in zip(*held, strict=True))
+        start = np.cumsum(size) - size
+        order = np.lexsort((number, owner))
+        owner, number, word = owner[order], number[order], word[order]
+        for a, b in zip(cuts := np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), np.r_[cuts[1:], len(owner)], strict=True):
+            mine = word[a:b]
+            within = np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+            taken = flat[np.repeat(start[mine], size[mine]) + within]
+            packed = [_pack(np.diff(number[a:b], prepend=0)), _pack(size[mine]), _pack(taken)]
+            yield pa.RecordBatch.from_arrays([pa.array([owner[a]], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["part", "numbers", "sizes", "ids"])
+
     seen = 0
     for batch in rows:
-        listed = batch.column("ids")
-        sizes.append(pc.list_value_length(listed).to_numpy(zero_copy_only=False))
-        ids.append(listed.flatten().to_numpy())
-        for asked in batch.column("places").to_pylist():
-            place = np.frombuffer(asked, np.int64)
-            places.append(place)
-            owners.append(np.full(len(place), seen))
-            seen += 1
-    if not seen:
-        return
-    size, flat, place, owner = np.concatenate(sizes), np.concatenate(ids), np.concatenate(places), np.concatenate(owners)
-    start = np.r_[0, np.cumsum(size)]
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
-    part = place >> 32
-    for a, b in zip(cuts := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), np.r_[cuts[1:], len(part)], strict=True):
-        mine = owner[a:b]
-        within = np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
-        taken = flat[np.repeat(start[mine], size[mine]) + within]
-        packed = [_pack(np.diff(place[a:b] & 0xFFFFFFFF, prepend=0)), _pack(size[mine]), _pack(taken)]
-        yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["part", "numbers", "sizes", "ids"])
+        listed, owners, numbers = (batch.column(c) for c in ("ids", "owners", "numbers"))
+        asked = pc.list_value_length(owners).to_numpy(zero_copy_only=False)
+        size = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+        held.append((size, listed.flatten().to_numpy(), np.repeat(np.arange(seen, seen + len(asked)), asked), owners.flatten().to_numpy(), numbers.flatten().to_numpy()))
+        seen += len(asked)
+        weight += len(held[-1][1]) + len(held[-1][3])
+        if weight >= PACKED:
+            yield from pack()
+            held, weight, seen = [], 0, 0
+    if seen:
+        yield from pack()
+    held.clear()
+    release()
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at start and are size long, for each of which, one after the other."""
+    mine = size[which]
+    within = np.arange(int(mine.sum())) - np.repeat(np.cumsum(mine) - mine, mine)
+    return flat[np.repeat(start[which], mine) + within]
 
 
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, digests: bool = False, batch_bytes: int = 16 << 20, fold_bytes: int = 256) -> DataFrame:
@@ -313,57 +388,37 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     renamed = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     rows = _batches(renamed, "_text", vocabulary.pattern, batch_bytes, 16 * n).repartition(n, "batch")
-    asked = rows.mapInArrow(_bucket_rows, "batch long, bucket int, codes binary, more binary").repartition(n, "bucket")
-    words_ = asked.mapInArrow(_distinct_words(vocabulary.ranks, fold_bytes), "word binary, places binary, known array<int>")
+    asked = rows.mapInArrow(_bucket_rows, "batch long, bucket int, codes binary, more binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    words_ = asked.mapInArrow(_distinct_words(vocabulary.ranks, fold_bytes), "word binary, owners array<long>, numbers array<long>, known array<int>")
     ids = F.when(F.col("known").isNotNull(), F.col("known")).otherwise(fold_encode(F.col("word"), vocabulary))
-    back = words_.select(ids.alias("ids"), "places").mapInArrow(_answers, "part long, numbers binary, sizes binary, ids binary")
-    result = [("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>"), ("decoded", "binary")]
+    back = words_.select(ids.alias("ids"), "owners", "numbers").mapInArrow(_answers, "part long, numbers binary, sizes binary, ids binary")
     types = [renamed.schema[f"_{i}"].dataType.simpleString() for i in range(len(keep))]
-    piece = {rank: key for key, rank in vocabulary.ranks.items()}
-    names = {rank: str(rank) for rank in piece}
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = left.column("kind").to_numpy()
         answers = [[_unpack(x.as_py()) for x in right.column(c)] for c in ("numbers", "sizes", "ids")]
         number = np.concatenate([np.empty(0, np.int64), *map(np.cumsum, answers[0])]).astype(np.int64)
-        size, flat = (np.concatenate([np.empty(0, np.uint32), *x]).astype(np.int64) for x in answers[1:])
-        start = np.cumsum(size) - size
+        size = np.concatenate([np.empty(0, np.uint32), *answers[1]]).astype(np.int64)
+        flat = np.concatenate([np.empty(0, np.uint32), *answers[2]]).astype(np.int32)
         place = np.empty(len(number), np.int64)
         place[number] = np.arange(len(number))
         units = left.filter(pa.array(kinds == 1))
         sizes, inside = _unpack(units.column("codes")[0].as_py()).astype(np.int64), place[_unpack(units.column("more")[0].as_py())]
-        ends = np.r_[0, np.cumsum(sizes)]
-        joined, bytes_, counts_of = [], [], np.zeros(len(sizes), np.int64)
-        for at in range(0, len(sizes), 20_000):  # once per distinct unit of the batch
-            to = min(at + 20_000, len(sizes))
-            mine = inside[ends[at] : ends[to]]
-            within = np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
-            ids = flat[np.repeat(start[mine], size[mine]) + within].tolist()
-            cuts = np.r_[0, np.cumsum(size[mine])][ends[at : to + 1] - ends[at]]
-            counts_of[at:to] = np.diff(cuts)
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                joined.append(",".join([names[i] for i in ids[a:b]]))
-                bytes_.append(b"".join([piece[i] for i in ids[a:b]]))
+        # Once per distinct unit of the batch: its ids, one unit after the other.
+        of_units = _gathered(flat, np.cumsum(size) - size, size, inside)
+        ends = np.r_[0, np.cumsum(size[inside])][np.r_[0, np.cumsum(sizes)]]
+        start, long = ends[:-1], np.diff(ends)
         documents = left.filter(pa.array(kinds == 0))
-        counts, first, second = [], [], []
-        for code in documents.column("codes"):
-            units = _unpack(code.as_py())
-            listed = units.tolist()
-            text_of_ids = ",".join([joined[u] for u in listed if joined[u]])
-            decoded = b"".join([bytes_[u] for u in listed])
-            counts.append(int(counts_of[units].sum()))
-            if digests:
-                first.append(hashlib.sha256(text_of_ids.encode()).hexdigest())
-                second.append(hashlib.sha256(decoded).hexdigest())
-            else:
-                first.append(np.array(text_of_ids.split(",") if text_of_ids else [], np.int32))
-                second.append(decoded)
-        del joined, bytes_, answers, flat
+        ids_of = [_gathered(of_units, start, long, _unpack(code.as_py())) for code in documents.column("codes")]
+        del answers, flat, of_units
+        out = pa.table([*(documents.column(f"_{i}") for i in range(len(keep))), pa.array(ids_of, pa.list_(pa.int32()))], [*(f"_{i}" for i in range(len(keep))), "ids"])
         release()
-        into = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
-        arrays = [documents.column(f"_{i}") for i in range(len(keep))] + [pa.array(counts, pa.int64()), pa.array(first, into[0]), pa.array(second, into[1])]
-        return pa.table(arrays, [*(f"_{i}" for i in range(len(keep))), "n_tokens", *(c for c, _ in result)])
+        return out
 
-    fields = ", ".join([f"_{i} {t}" for i, t in enumerate(types)] + ["n_tokens long"] + [f"{c} {t}" for c, t in result])
+    fields = ", ".join([f"_{i} {t}" for i, t in enumerate(types)] + ["ids array<int>"])
     out = rows.groupBy("batch").cogroup(back.groupBy("part")).applyInArrow(join, fields)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", *[c for c, _ in result])
+    kept = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
+    count, decoded = F.size("ids").cast("long").alias("n_tokens"), decode(F.col("ids"), vocabulary)
+    if digests:
+        return out.select(*kept, count, F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    return out.select(*kept, count, "ids", decoded.alias("decoded"))
