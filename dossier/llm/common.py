@@ -45,6 +45,44 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined ("inner" or "left") with groups, which has a row per key and, in _n, how many of the rows have that key.
+
+    Keys with more rows than an even share of a shuffle partition are at most as many as there are partitions; these
+    rows of groups are broadcast, so that a hot key's rows stay where they are. The other keys are shuffled. groups is
+    read several times: it should be stored.
+    """
+    even = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"] // shuffle_partitions(rows.sparkSession)
+    heavy = F.col("_n") > max(even, 1000)
+    hot = groups.where(heavy)
+    if hot.isEmpty():
+        return rows.join(groups.drop("_n"), keys, how)
+    hot = F.broadcast(hot.drop("_n"))
+    light = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(~heavy).drop("_n"), keys, how)
+    return rows.join(hot, keys).unionByName(light)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """The rows, stored, and marked for broadcast if they are counted to be at most so many."""
+    held = stored(df)
+    return F.broadcast(held) if held.count() <= most else held
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(label, text) of at most ``most`` different labelled rows, chosen by a hash of ids and texts.
+
+    docs has doc_id and text, labels doc_id and the label. Ids may be repeated on both sides: the bound holds for what
+    comes out, each (id, text, label) once.
+    """
+    chosen = labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(most)
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = met.select(F.struct(F.xxhash64("doc_id").alias("by"), text_key(F.col("text")).alias("then"), label).alias("key"), "text")
+    if met.select("doc_id").count() > most:
+        last = rows.select("key").distinct().orderBy("key").limit(most).agg(F.max("key").alias("last"))  # one row
+        rows = rows.join(F.broadcast(last), F.col("key") <= F.col("last")).select("key", "text")
+    return rows.groupBy("key").agg(F.first("text").alias("text")).select(F.col(f"key.{label}").alias(label), "text")
+
+
 def text_key(text: Column) -> Column:
     """Tells rows of one doc_id and different texts apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -1,17 +1,20 @@
 """Language-model scores by stupid backoff (operator 2).
 
-The model is one of byte n-grams up to ``order`` over folded text (A-Z lower-cased, ASCII white space as a space): every
-n-gram of every whole document is counted. A byte's value is the relative frequency of the longest n-gram that ends in
-it and was seen elsewhere, times ``backoff`` for each order given up (Brants and others, 2007). Each n-gram counts one
-occurrence less than the corpus holds, the one that is being scored; so a text is never its own evidence. A document's
-score is the mean log10 value of its bytes.
-
-Relationally: a task sums its part of the table (a *batch* of at most ``batch_bytes``) into (batch, n-gram, count) rows;
-the count table is their sum by n-gram, partitioned by its hash, and joined back to the batches' rows. There documents
-and counts meet, and the documents' sums are made. A frequent n-gram is one row per batch, so none is hot; what a task
-holds is bounded by the batch. A gram is written as its bytes in a long, below its order: no hashing, no collisions.
-
-Defined cases: null and empty texts have no bytes and a null score; documents of one id stay separate rows; repeated
+The model is one of word n-grams up to ``order`` over folded text (A-Z lower-cased, words cut at ASCII white space):
+every n-gram of every whole document is counted, so that the model grows with the corpus. A word's value is the relative
+frequency of the longest n-gram that ends in it and was seen elsewhere, times ``backoff`` for each order given up
+(Brants and others, 2007). Each n-gram counts one occurrence less than the corpus holds, the one that is being scored;
+so a text is never its own evidence. A document's score is the mean log10 value of its words.
+
+Relationally: a task explodes its part of the table (a *batch* of at most ``batch_words`` words) into n-grams and sums
+them, so that a frequent n-gram is one entry per batch and none is hot. The count table is partitioned by the n-gram's
+hash: a bucket holds all batches' entries of its hashes, sums them by n-gram and joins the totals back to the entries.
+These return to the batches, where the words' values are summed per document. Rows are packed (sorted hashes as
+differences): plain rows of exploded word n-grams would be several times the input on disk.
+
+An n-gram is known by 56 bits of hash: of N different ones, one shares its hash with another with a chance of N / 2**56.
+
+Defined cases: null and empty texts have no words and a null score; documents of one id stay separate rows; repeated
 rows are evidence for each other; an empty table gives an empty result; other columns are left out unless in ``keep``.
 """
 
@@ -22,149 +25,237 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import shuffle_partitions
+from dossier.llm.common import release, shuffle_partitions
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
-#: Bits of a gram's bytes; its order stands above.
-SHIFT = 48
+HASH_BITS = 56
+MIX = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def folded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(FOLD)
 
 
-def grams(x: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1 to order the codes of the n-grams of bytes, by their last byte's place."""
-    out = [x.astype(np.int64)]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _OTHER
+    return x ^ (x >> np.uint64(29))
+
+
+def gram_codes(hashes: np.ndarray, place: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 to order the n-grams as (at, code): where each one's last word is, and its hash.
+
+    hashes has a long per word, place each word's place in its document.
+    """
+    state = _mixed(hashes * MIX)
+    out = [(np.arange(len(hashes)), state >> np.uint64(64 - HASH_BITS))]
     for n in range(2, order + 1):
-        before = out[-1][:-1] if len(out[-1]) else out[-1]
-        out.append(before << 8 | x[n - 1 :])
+        longer = np.zeros_like(state)
+        longer[1:] = _mixed(state[:-1] * MIX + hashes[1:] + np.uint64(n))
+        state = longer
+        at = np.flatnonzero(place >= n - 1)
+        out.append((at, state[at] >> np.uint64(64 - HASH_BITS)))
     return out
 
 
-def _batches(docs: DataFrame, keep: list[str], order: int, batch_bytes: int) -> DataFrame:
-    """Rows of a batch: a document (codes is its text), or counted n-grams (grams, counts)."""
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers of so many bytes by byte planes, compressed."""
+    planes = np.ascontiguousarray(values.astype(f"u{width}").view(np.uint8).reshape(-1, width).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(packed: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"u{width}").ravel()
+
+
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Word numbers of the texts one after the other, each text's number of words, the distinct words."""
+    split = pc.split_pattern(pa.array(texts, pa.large_binary()), " ")
+    flat = split.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    ends = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    offsets = split.offsets.to_numpy()
+    sizes = np.diff(ends[offsets - offsets[0]])
+    coded = flat.filter(real).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), sizes, coded.dictionary
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _batches(docs: DataFrame, keep: list[str], order: int, batch_words: int, bits: int) -> DataFrame:
+    """Rows of a batch by kind: 0 a document (its word numbers), 1 the words' hashes, 2 a bucket's n-grams and counts."""
     schema = docs.select(*keep).schema
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, held = TaskContext.get().partitionId() << 24, 0, 0
-        press = zstandard.ZstdCompressor(level=1).compress
-        texts: list[np.ndarray] = []
-        types: list[pa.DataType] = []
+        texts: list[bytes] = []
+        beside: list[pa.RecordBatch] = []
+        shift = np.uint64(HASH_BITS - bits)
 
-        def batch_of(n, codes, listed, counts, kept) -> pa.RecordBatch:
-            arrays = [pa.array([part + k] * n, pa.int64()), pa.array(codes, pa.binary()), pa.array(listed, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
-            arrays += [pa.nulls(n, t) for t in types] if kept is None else kept.columns
-            return pa.RecordBatch.from_arrays(arrays, ["batch", "codes", "grams", "counts", *keep])
+        def batch_of(kind, bucket, codes, more, size, kept) -> pa.RecordBatch:
+            n = len(codes)
+            arrays = [pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary()), pa.array(more, pa.binary()), pa.array(size, pa.int64())]
+            arrays += [pa.nulls(n, f.type) for f in beside[0].schema] if kept is None else kept.columns
+            return pa.RecordBatch.from_arrays(arrays, ["batch", "kind", "bucket", "codes", "more", "size", *keep])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for n in range(1, order + 1):
-                every = np.concatenate([grams(x, n)[-1] for x in texts if len(x) >= n] or [np.empty(0, np.int64)])
-                found, counts = np.unique(every, return_counts=True)
-                found = found | n << SHIFT
-                for at in range(0, len(found), 10_000):
-                    yield batch_of(1, [None], [found[at : at + 10_000]], [counts[at : at + 10_000]], None)
+            numbers, sizes, listed = _numbered(texts)
             texts.clear()
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in listed.to_pylist()], np.uint64)
+            yield batch_of(1, [0], [_pack(hashes, 8)], [None], [0], None)
+            ends, done = np.r_[0, np.cumsum(sizes)].tolist(), 0
+            for others in beside:
+                mine = range(done, done + others.num_rows)
+                yield batch_of(0, [0] * len(mine), [_pack(numbers[ends[i] : ends[i + 1]], 4) for i in mine], [None] * len(mine), sizes[mine.start : mine.stop], others)
+                done = mine.stop
+            found = [np.unique(code, return_counts=True) for _, code in gram_codes(hashes[numbers], _places(sizes), order)]
+            del numbers, hashes, listed
+            cuts = [np.searchsorted(code >> shift, np.arange((1 << bits) + 1).astype(np.uint64)) for code, _ in found]
+            for bucket in range(1 << bits):
+                codes, counts = (np.concatenate([x[i][c[bucket] : c[bucket + 1]] for x, c in zip(found, cuts, strict=True)]) for i in (0, 1))
+                if len(codes):
+                    yield batch_of(2, [bucket], [_pack(np.diff(codes, prepend=np.uint64(0)), 8)], [_pack(counts, 4)], [0], None)
+            beside.clear()
+            del found
+            release()
 
-        for batch in rows:
-            others = batch.select(keep)
-            types = [f.type for f in others.schema]
-            done, codes = 0, []
-            for n, value in enumerate(batch.column(len(keep))):
-                data = folded(value.as_py() or "")
-                codes.append(press(data))
-                texts.append(np.frombuffer(data, np.uint8))
-                held += len(data)
-                if held >= batch_bytes:
-                    yield batch_of(len(codes), codes, [None] * len(codes), [None] * len(codes), others.slice(done, n + 1 - done))
+        for rows_in in rows:
+            others, done = rows_in.select(keep), 0
+            for n, value in enumerate(rows_in.column(len(keep))):
+                texts.append(folded(value.as_py() or ""))
+                held += texts[-1].count(b" ") + 1
+                if held >= batch_words:
+                    beside.append(others.slice(done, n + 1 - done))
                     yield from flush()
-                    done, codes, held, k = n + 1, [], 0, k + 1
-            if codes:
-                yield batch_of(len(codes), codes, [None] * len(codes), [None] * len(codes), others.slice(done))
+                    done, held, k = n + 1, 0, k + 1
+            if done < rows_in.num_rows:
+                beside.append(others.slice(done))
         if texts:
             yield from flush()
 
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(run, f"batch long, codes binary, grams array<long>, counts array<long>{fields}")
+    return docs.mapInArrow(run, f"batch long, kind int, bucket int, codes binary, more binary, size long{fields}")
 
 
-def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of n-grams, one each. As a task and not a filter, so that both uses of the batches share one shuffle."""
+def _entries(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of n-grams. As a task and not a filter, so that all uses of the batches share one shuffle."""
     for batch in rows:
-        some = pa.Table.from_batches([batch]).select(["batch", "grams", "counts"])
-        for row in some.filter(pc.is_valid(some["grams"])).to_batches():
-            size = pc.list_value_length(row["grams"]).to_numpy(zero_copy_only=False)
-            owner = np.repeat(row["batch"].to_numpy(), size)
-            yield pa.RecordBatch.from_arrays([pa.array(owner), row["grams"].flatten(), row["counts"].flatten()], ["batch", "gram", "n"])
-
-
-class Trie:
-    """Counts of a batch's n-grams, by node: a gram's node and the next byte give the longer gram's node."""
-
-    def __init__(self, codes: np.ndarray, totals: np.ndarray, order: int):
-        self.order, self.steps, self.counts = order, [], []
-        place = np.zeros(1, np.int64)
-        known = np.zeros(1, np.int64)  # codes of the level above, sorted; node = place + 1, 0 for none
-        for n in range(1, order + 1):
-            mine = codes >> SHIFT == n
-            code, total = codes[mine] & (1 << SHIFT) - 1, totals[mine]
-            by = np.argsort(code)
-            code, total = code[by], total[by]
-            above = np.searchsorted(known, code >> 8) + 1 if n > 1 else place[np.zeros(len(code), np.int64)]
-            step = np.zeros((len(known) + 1) * 256, np.int32)
-            step[above * 256 + (code & 255)] = np.arange(1, len(code) + 1)
-            self.steps.append(step)
-            self.counts.append(np.r_[0, total - 1])  # without the occurrence that is scored
-            known = code
-
-    def score(self, x: np.ndarray, total: int, backoff: float) -> float:
-        """Sum of log10 values of the bytes."""
-        node = self.steps[0][x.astype(np.int64)]
-        value = np.maximum(self.counts[0][node], 0.5) / max(total - 1, 1) * backoff ** (self.order - 1)
-        context = self.counts[0][node]
-        for n in range(2, self.order + 1):
-            if len(x) < n:
-                break
-            node = self.steps[n - 1][node[:-1].astype(np.int64) * 256 + x[n - 1 :]]
-            count = self.counts[n - 1][node]
-            seen = count > 0
-            value[n - 1 :][seen] = (count[seen] / np.maximum(context[:-1][seen], 1)) * backoff ** (self.order - n)
-            context = count
-        return float(np.log10(value).sum())
-
-
-def scores(docs: DataFrame, order: int = 4, backoff: float = 0.4, keep: tuple[str, ...] = ("doc_id",), text: str = "text", batch_bytes: int = 14 << 20) -> DataFrame:
-    """The columns in keep with n_bytes, log10_sum and score, the mean log10 value of a byte."""
-    if not 2 <= order <= SHIFT // 8:
-        raise ValueError("order is from 2 to 6")
+        some = pa.Table.from_batches([batch]).select(["batch", "kind", "bucket", "codes", "more"])
+        yield from some.filter(pc.equal(some["kind"], 2)).drop_columns(["kind"]).to_batches()
+
+
+def _sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words there are in the partition's rows."""
+    n = sum(pc.sum(batch.column("size")).as_py() or 0 for batch in rows)
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+
+def _totals(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, bucket, totals): a bucket's entries summed by n-gram, and the sums beside the entries that asked.
+
+    The rows come sorted by bucket; one bucket is held at a time.
+    """
+    held: list[tuple[int, bytes, bytes]] = []
+    current = None
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        codes = [np.cumsum(_unpack(c, 8)) for _, c, _ in held]
+        counts = np.concatenate([_unpack(m, 4) for _, _, m in held]).astype(np.int64)
+        every = np.concatenate(codes)
+        order = np.argsort(every)
+        ordered = every[order]
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        sums = np.add.reduceat(counts[order], starts)
+        totals = np.empty(len(every), np.int64)
+        totals[order] = np.repeat(sums, np.diff(np.r_[starts, len(every)]))
+        packed = [_pack(x, 8) for x in np.split(totals, np.cumsum([len(c) for c in codes])[:-1])]
+        n = len(held)
+        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([current] * n, pa.int32()), pa.array(packed, pa.binary())], ["part", "bucket", "totals"])
+        held.clear()
+
+    for batch in rows:
+        for owner, bucket, codes, more in zip(*(batch.column(c).to_pylist() for c in ("batch", "bucket", "codes", "more")), strict=True):
+            if bucket != current and held:
+                yield from settle()
+            current = bucket
+            held.append((owner, codes, more))
+    if held:
+        yield from settle()
+    release()
+
+
+def _values(grams: list[tuple[np.ndarray, np.ndarray]], totals: list[np.ndarray], n_words: int, corpus: int, backoff: float) -> np.ndarray:
+    """The value of every word, from the n-grams that end in it and the corpus's counts of the distinct ones."""
+    order = len(grams)
+    value = np.empty(n_words)
+    context = np.empty(0, np.int64)
+    for n, ((at, code), total) in enumerate(zip(grams, totals, strict=True), 1):
+        _, which = np.unique(code, return_inverse=True)
+        count = np.zeros(n_words, np.int64)
+        count[at] = total[which] - 1  # without the occurrence that is scored
+        if n == 1:
+            value[:] = np.maximum(count, 0.5) / max(corpus - 1, 1) * backoff ** (order - 1)
+        else:
+            seen = np.flatnonzero(count > 0)
+            value[seen] = count[seen] / np.maximum(context[seen - 1], 1) * backoff ** (order - n)
+        context = count
+    return value
+
+
+def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, keep: tuple[str, ...] = ("doc_id",), text: str = "text", batch_words: int = 2_000_000, buckets: int = 4) -> DataFrame:
+    """The columns in keep with n_words, log10_sum and score, the mean log10 value of a word.
+
+    buckets is the least number of them per shuffle partition.
+    """
+    if order < 1:
+        raise ValueError("order is 1 or more")
     names = [f"_{i}" for i in range(len(keep))]
     rows_in = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names, strict=True)], F.col(text).alias("_text"))
     types = [rows_in.schema[a].dataType.simpleString() for a in names]
     n = shuffle_partitions(docs.sparkSession)
-    rows = _batches(rows_in, names, order, batch_bytes).repartition(n, "batch")
-    asked = rows.mapInArrow(_counted, "batch long, gram long, n long")
-    counts = asked.groupBy("gram").agg(F.sum("n").alias("total"))
-    # The counts of bytes in all are the sum over the 256 grams of order 1.
-    corpus = counts.where(F.shiftright("gram", SHIFT) == 1).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("corpus"))
-    back = asked.select(F.col("batch").alias("part"), "gram").join(counts, "gram").crossJoin(F.broadcast(corpus))  # one row
+    rows = _batches(rows_in, names, order, batch_words, (buckets * n - 1).bit_length()).repartition(n, "batch")
+    asked = rows.mapInArrow(_entries, "batch long, bucket int, codes binary, more binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    corpus = rows.mapInArrow(_sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("corpus"))
+    back = asked.mapInArrow(_totals, "part long, bucket int, totals binary").crossJoin(F.broadcast(corpus))  # one row
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        trie = Trie(right["gram"].to_numpy(), right["total"].to_numpy(), order)
-        total = int(right["corpus"][0].as_py()) if right.num_rows else 0
-        documents = left.filter(pc.is_valid(left["codes"]))
-        expand = zstandard.ZstdDecompressor().decompress
-        sizes, sums = [], []
-        for code in documents["codes"]:
-            x = np.frombuffer(expand(code.as_py()), np.uint8)
-            sizes.append(len(x))
-            sums.append(trie.score(x, total, backoff) if len(x) else None)
-        return pa.table([*[documents[a] for a in names], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], [*names, "n_bytes", "log10_sum"])
-
-    fields = ", ".join([f"{a} {t}" for a, t in zip(names, types, strict=True)] + ["n_bytes long", "log10_sum double"])
+        kinds = left.column("kind").to_numpy()
+        documents = left.filter(pa.array(kinds == 0))
+        numbers = [_unpack(c.as_py(), 4) for c in documents["codes"]]
+        sizes = np.array([len(x) for x in numbers], np.int64)
+        sums: list[float | None] = [None] * len(numbers)
+        if sizes.sum():
+            hashes = _unpack(left.filter(pa.array(kinds == 1))["codes"][0].as_py(), 8)[np.concatenate(numbers)]
+            grams = gram_codes(hashes, _places(sizes), order)
+            # A bucket's totals stand by order and hash, like its entries; buckets are the hash's first bits.
+            by = np.argsort(right["bucket"].to_numpy())
+            listed = right["totals"].to_pylist()
+            shift = np.uint64(HASH_BITS - (buckets * n - 1).bit_length())
+            places = right["bucket"].to_numpy()[by].astype(np.uint64)
+            sections = []
+            for _, code in grams:
+                distinct = np.unique(code) >> shift
+                sections.append((np.searchsorted(distinct, places, "left"), np.searchsorted(distinct, places, "right")))
+            totals = [np.empty(int(high[-1]), np.int64) for _, high in sections]
+            for b, row in enumerate(by.tolist()):
+                some, done = _unpack(listed[row], 8).astype(np.int64), 0
+                for total, (low, high) in zip(totals, sections, strict=True):
+                    total[low[b] : high[b]] = some[done : (done := done + int(high[b] - low[b]))]
+            value = np.log10(_values(grams, totals, len(hashes), int(right["corpus"][0].as_py()), backoff))
+            each = np.bincount(np.repeat(np.arange(len(sizes)), sizes), value, len(sizes))
+            sums = [s if size else None for s, size in zip(each.tolist(), sizes.tolist(), strict=True)]
+        release()
+        return pa.table([*[documents[a] for a in names], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], [*names, "n_words", "log10_sum"])
+
+    fields = ", ".join([f"{a} {t}" for a, t in zip(names, types, strict=True)] + ["n_words long", "log10_sum double"])
     out = rows.groupBy("batch").cogroup(back.groupBy("part")).applyInArrow(meet, fields)
-    return out.select(*[F.col(a).alias(c) for c, a in zip(keep, names, strict=True)], "n_bytes", "log10_sum", (F.col("log10_sum") / F.col("n_bytes")).alias("score"))
+    return out.select(*[F.col(a).alias(c) for c, a in zip(keep, names, strict=True)], "n_words", "log10_sum", (F.col("log10_sum") / F.col("n_words")).alias("score"))
