@@ -6,8 +6,9 @@ Decoding takes the language whose codeword has the least sum of logistic losses
 bit weighted by how well it held on the training texts. A decision whose loss is close to the runner-up's is flagged as
 ambiguous.
 
-Training counts n-grams over *all* training rows: tasks count into a fixed table of ``slots`` by language, so that what
-reaches the driver is bounded by slots times languages (``most_languages``, by rows), whatever the input.
+Training counts n-grams over *all* training rows of *all* languages: tasks count into tables of ``slots`` by language,
+which Spark sums to the classifiers' weights. What reaches the driver is the languages' codewords and a table of slots
+by bits, bits being 12 times the logarithm of the number of languages, whatever the input.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and not ambiguous; so is every text when
 there is nothing to learn from; a null lang trains nothing; one known language is the answer for every text with
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.common import stored
+
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case; other ASCII is a space; bytes of other characters stay.
@@ -49,10 +52,10 @@ def codewords(languages: int, seed: int = 7) -> np.ndarray:
         columns = [bits for bits in product((0, 1), repeat=languages) if bits[0] == 1 and not all(bits)]
         return np.array(columns, np.int8).T
     rng, width, best = np.random.default_rng(seed), 12 * (languages - 1).bit_length(), None
-    for _ in range(50):
+    for _ in range(50 if languages <= 256 else 1):
         code = rng.integers(0, 2, (languages, width), np.int8)
         code = code[:, (code.sum(0) > 0) & (code.sum(0) < languages)]
-        apart = min(int((code[i] != code[j]).sum()) for i in range(languages) for j in range(i))
+        apart = min((int((code[i + 1 :] != code[i]).sum(1).min()) for i in range(languages - 1)), default=0)
         if best is None or apart > best[0]:
             best = (apart, code)
     return best[1]
@@ -62,6 +65,7 @@ class Model:
     """Weights of the bit classifiers (slots by bits), codewords and bit weights."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
+        """From a whole table of n-gram counts, languages by slots."""
         self.languages, self.slots = languages, counts.shape[1] if languages else 1 << 15
         if len(languages) < 2:
             return
@@ -76,6 +80,13 @@ class Model:
         self.bit = np.maximum((mean * signs).min(0), 1e-3)
         self.bit = self.bit / self.bit.mean()
 
+    @classmethod
+    def summed(cls, languages: list[str], slots: int, code: np.ndarray, weights: np.ndarray, bit: np.ndarray) -> Model:
+        """From weights and bit weights that were summed elsewhere."""
+        model = cls([], np.empty((0, slots)))
+        model.languages, model.slots, model.code, model.weights, model.bit = languages, slots, code, weights, bit
+        return model
+
     def decode(self, text: str) -> tuple[str, float, float]:
         """Language, its score and the runner-up's."""
         if not self.languages or not LETTER.search(text):
@@ -96,7 +107,7 @@ class Model:
         return self.languages[first], float(odds[first]), float(odds[second])
 
 
-def train(docs: DataFrame, slots: int = 1 << 15, most_languages: int = 256) -> Model:
+def train(docs: DataFrame, slots: int = 1 << 15) -> Model:
     """Counts the n-grams of docs (text, lang) by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +123,30 @@ def train(docs: DataFrame, slots: int = 1 << 15, most_languages: int = 256) -> M
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(held[at])], ["lang", "slot", "n"])
 
     known = docs.where("lang IS NOT NULL").select("text", "lang")
-    chosen = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    rows = known.where(F.col("lang").isin(chosen)).mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique().tolist())
-    counts = np.zeros((len(languages), slots))
-    place = {lang: i for i, lang in enumerate(languages)}
-    counts[rows["lang"].map(place).to_numpy(int), rows["slot"].to_numpy(int)] = rows["n"].to_numpy()
-    return Model(languages, counts)
+    counted = stored(known.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+    totals = {r["lang"]: r["total"] for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row per language
+    languages = sorted(totals)
+    if len(languages) < 2:
+        return Model(languages, np.zeros((len(languages), slots)))
+    code = codewords(len(languages))
+    bits = range(code.shape[1])
+    # Smoothed shares: every language weighs the same.
+    rows = [(lang, float(totals[lang]), [int(b) for b in code[i]]) for i, lang in enumerate(languages)]
+    coded = counted.join(F.broadcast(counted.sparkSession.createDataFrame(rows, "lang string, total double, code array<int>")), "lang")
+    share = F.col("n") / (F.col("total") + 0.5 * slots)
+    sums = coded.groupBy("slot").agg(F.sum(share).alias("every"), *[F.coalesce(F.sum(F.when(F.get("code", b) == 1, share)), F.lit(0.0)).alias(f"b{b}") for b in bits]).toPandas()  # slots by bits
+    base = 0.5 / (np.array([totals[lang] for lang in languages]) + 0.5 * slots)
+    one, every = np.tile(base @ (code == 1), (slots, 1)), np.full(slots, base.sum())
+    at = sums["slot"].to_numpy()
+    one[at] += sums[[f"b{b}" for b in bits]].to_numpy(float)
+    every[at] += sums["every"].to_numpy(float)
+    ones = code.sum(0)
+    weights = (np.log(one / ones) - np.log((every[:, None] - one) / (len(languages) - ones))).astype(np.float32)
+    # How far each language's own n-grams lie on the right side of a bit, on average.
+    table = counted.sparkSession.createDataFrame(list(enumerate(weights.astype(float).tolist())), "slot int, w array<double>")
+    mean = coded.join(F.broadcast(table), "slot").groupBy("lang").agg(*[F.sum(F.col("n") / F.col("total") * F.get("w", b) * (2 * F.get("code", b) - 1)).alias(f"b{b}") for b in bits])
+    bit = np.maximum(mean.agg(*[F.min(f"b{b}") for b in bits]).toPandas().to_numpy(float)[0], 1e-3)
+    return Model.summed(languages, slots, code, weights, bit / bit.mean())
 
 
 def predict(docs: DataFrame, model: Model, ambiguous: float = 0.1) -> DataFrame:
