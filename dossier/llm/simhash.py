@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import shuffle_partitions, stored, word_offsets, words
+from dossier.llm.common import beside, shuffle_partitions, stored, word_offsets, words
 
 BITS = 64
 FANOUT = 16
@@ -209,19 +209,20 @@ def links(nodes: DataFrame, distance: int = 4, crowd: int = 16384) -> DataFrame:
     return by_bucket.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, of every node with a link; edges are pairs (a, b) of longs.
 
-    Large-star and small-star rounds (Kiveris and others, 2014), each written to the shared folder.
+    Large-star and small-star rounds (Kiveris and others, 2014), each written to the shared folder, until nothing
+    changes. The centre of a large star is a hot key: such stars' least nodes are broadcast.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("_n")))
+        large = stored(beside(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")))
+        small = beside(large, least, ["a"]).select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
         edges = stored(small)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
