@@ -5,13 +5,12 @@ repetition, through a tanh layer); gated attention weights, learned from the doc
 passage counts; the weighted representation is scored by a logistic output. (Ilse, Tomczak, Welling: Attention-based
 Deep Multiple Instance Learning, 2018.)
 
-Training reads at most ``most_labels`` labelled documents, chosen by a hash of their ids, and of each at most
-``most_passages`` passages, evenly spread; scoring reads every passage of every document. Passage statistics are made by
-tasks; what reaches the driver is bounded by these two numbers.
+Training reads at most ``most_labels`` labelled rows, chosen by a hash of ids and texts, and every passage of each;
+scoring reads every passage of every document. Passage statistics are made by tasks; what reaches the driver is a row of
+statistics per passage of the rows that train.
 
 Defined cases: null and empty texts are one empty passage and get its score; without both kinds of labels every score is
-the share of label 1 (or 0.5 without any); a doc_id with two labels counts with each; repeated rows count as often as
-they occur; an empty table gives an empty result; other columns are passed through unless named like a result.
+the share of label 1 (or 0.5 without any); a doc_id with two labels counts with each; repeated rows train once; an empty table gives an empty result; other columns are passed through unless named like a result.
 """
 
 from __future__ import annotations
@@ -23,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.llm.common import labelled
+
 #: Byte kinds by their characters; all others: bytes over 127, other ASCII.
 KINDS = ["\t\x0b\x0c\r ", "\n", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:", "!", "?", "#", "*", "$", "%", "&", "|", "<>", "\"'()[]{}-_/\\@+=~^`"]
 _KIND = np.full(256, len(KINDS) + 1, np.uint8)
@@ -127,19 +128,15 @@ class AttentionModel:
         return self.forward(np.concatenate(bags), starts)[0]
 
 
-def train(docs: DataFrame, labels: DataFrame, passage: int = 80, most_labels: int = 4000, most_passages: int = 64) -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, passage: int = 80, most_labels: int = 4000) -> AttentionModel:
     """From labels (doc_id, quality) of docs (doc_id, text)."""
-    chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for value in batch.column(1):
-                bag = passages(value.as_py() or "", passage)
-                bags.append(bag[np.unique(np.linspace(0, len(bag) - 1, most_passages).astype(int))].ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.float64()))], ["quality", "bag"])
+            bags = [passages(value.as_py() or "", passage).astype(np.float32).ravel() for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.float32()))], ["quality", "bag"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(run, "quality int, bag array<double>").toPandas()
+    rows = labelled(docs, labels, "quality", most_labels).select("quality", "text").mapInArrow(run, "quality int, bag array<float>").toPandas()
     y = rows["quality"].to_numpy(float)
     bags = [np.asarray(b, float).reshape(-1, N_FEATURES) for b in rows["bag"]]
     x = np.concatenate(bags) if bags else np.zeros((1, N_FEATURES))
