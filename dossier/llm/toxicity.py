@@ -7,13 +7,13 @@ normalised by its length, give a score by a logistic function.
 
 The lexicon starts from SEED at a small weight. Labels give weights: the smoothed log-odds of a folded word among toxic
 and other labelled documents; words that are frequent enough in the toxic ones (``least_count``, ``least_share``) and
-telling enough (``least_odds``) join the lexicon, at most ``most_terms`` of the most evidence. A two-word phrase around a term that labelled documents
-hold without being toxic becomes an exception. Labels are learned from at most ``most_labels`` labelled documents,
-chosen by a hash of their ids.
+telling enough (``least_odds``) join the lexicon. A two-word phrase around a term that labelled documents
+hold without being toxic becomes an exception. Labels are learned from at most ``most_labels`` labelled rows, chosen by
+a hash of their ids and texts; all that reaches the driver is counted from these.
 
 Defined cases: null and empty texts have no match and get the score of no match; documents without a label train
 nothing, and without any label the seed weights and a default function serve; a doc_id with two labels counts with
-each; repeated rows count as often as they occur; an empty table gives an empty result; other columns are passed
+each; repeated rows train once; an empty table gives an empty result; other columns are passed
 through unless named like a result.
 """
 
@@ -22,14 +22,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import words
+from dossier.llm.common import labelled, stored, words
 
 #: Insults to start from, and phrases in which such words are harmless.
 SEED = "idiot idiots moron morons imbecile stupid dumb dumbass trash scum scumbag loser losers pathetic worthless disgusting clown filth vermin bastard bastards bitch asshole jerk freak retard subhuman degenerate".split()
@@ -43,7 +45,7 @@ ALIKE = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e",
 }
 HIDDEN = re.compile("[­​-‏⁠﻿]")
-WORD = re.compile(r"[a-z]{2,40}")
+WORD = re.compile(r"[^\W\d_]{2,40}")
 DEFAULT = (-3.0, 0.9, 0.4)
 
 
@@ -103,7 +105,10 @@ class Lexicon:
                 continue
             (spared if weight is None else found).append((start, end, weight))
         if spared:
-            found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in spared)]
+            # The furthest end of the phrases that have begun: a match that ends no later is inside one.
+            spared.sort()
+            begun, reach = [a for a, _, _ in spared], list(accumulate((b for _, b, _ in spared), max))
+            found = [m for m in found if not (k := bisect_right(begun, m[0])) or reach[k - 1] < m[1]]
         return found
 
     def score(self, weight: float, n_words: int) -> float:
@@ -112,15 +117,9 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
-    """(toxic, text) of the labelled documents that train."""
-    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_labels)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-
-
-def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_terms: int = 500, least_count: int = 6, least_share: float = 0.003, least_odds: float = 3.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, least_count: int = 6, least_share: float = 0.003, least_odds: float = 3.0) -> Lexicon:
     """A lexicon from labels (doc_id, toxic) of docs (doc_id, text)."""
-    rows = _sample(docs, labels, most_labels)
+    rows = stored(labelled(docs, labels, "toxic", most_labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,14 +139,14 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_te
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     frequent = (F.col("bad") >= max(least_count, least_share * bad)) & (odds >= least_odds)
     found = counted.where("term <> ''").select("term", odds.alias("odds"), frequent.alias("frequent"), "bad", (F.col("bad") + F.col("good")).alias("n")).where(F.col("frequent") | F.col("term").isin(SEED))
-    for term, weight, often, _, n in found.orderBy(F.desc(F.col("odds") * F.col("bad")), "term").limit(most_terms + len(SEED)).collect():
+    for term, weight, often, _, n in found.orderBy("term").collect():  # at most 1 / least_share terms of a toxic document's words
         weights[term] = weight if often else (SEED_WEIGHT * 20 + weight * n) / (20 + n)
     weights = {t: w for t, w in weights.items() if w > 0}
     draft = Lexicon(weights, EXCEPTIONS)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = draft.automaton()
-        around = re.compile(r"([a-z]{2,40}) $"), re.compile(r"^ ([a-z]{2,40})\b")
+        around = re.compile(r"([^\W\d_]{2,40}) $"), re.compile(r"^ ([^\W\d_]{2,40})\b")
         for batch in batches:
             out: list[tuple] = []
             for label, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -165,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, most_te
 
     seen = rows.mapInArrow(contexts, "toxic int, phrase string, weight double, n long")
     phrases = seen.where("phrase IS NOT NULL").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share")).where("n >= 5 AND share <= 0.1")
-    exceptions = EXCEPTIONS + [r["phrase"] for r in phrases.orderBy(F.desc("n"), "phrase").limit(most_terms).collect()]
+    exceptions = EXCEPTIONS + [r["phrase"] for r in phrases.orderBy("phrase").collect()]
     points = seen.where("phrase IS NULL").select("toxic", "weight", "n").toPandas()  # at most most_labels rows of labels per document
     return Lexicon(weights, exceptions, _fit(points["toxic"].to_numpy(float), points["weight"].to_numpy(float), points["n"].to_numpy(float)))
 
