@@ -12,12 +12,13 @@ A number is a run of digits with inner points or commas. A unit is a word of UNI
 capitalised word that doesn't begin a sentence or line. Sentence ends are no tokens. Windows of placeholders alone say
 nothing and aren't used.
 
-The benchmark's windows are broadcast only when they are counted to be at most ``broadcast_rows``; beyond that both
-sides are shuffled by window.
+An item of fewer tokens than a window is one window of its own length. The benchmark's windows, and the keys of the
+documents that are read again, are broadcast only when they are counted to be at most ``broadcast_rows``; beyond that
+both sides are shuffled.
 
-Defined cases: null and empty texts match nothing; items of fewer tokens than a window can't be found; a null doc_id is
-a key like any other; repeated rows give the same pair once; empty tables give an empty result; other columns don't
-matter.
+Defined cases: null and empty texts match nothing; items without a token, or of placeholders alone, can't be found; a
+null doc_id is a key like any other; repeated rows give the same pair once; of documents with one doc_id only those
+texts that hold an item are leaks; empty tables give an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored, text_key
+from dossier.llm.common import small, stored, text_key
 
 #: Unit words that may follow a number.
 UNITS = "mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hz khz mhz ghz w kw kwh mw v j kj cal kcal pa kpa b kb mb gb tb usd eur gbp percent euro euros dollar dollars pounds miles meters metres kilometers kilometres grams kilograms litres liters seconds minutes hours days weeks months years degrees".split()
@@ -80,27 +81,35 @@ def all_windows(text: Column, window: int) -> Column:
     return _bind(windows(template(text), window), over)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, covered, n_tokens): items found in documents; covered of the item's n_tokens tokens match."""
+def _matches(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float, broadcast_rows: int) -> DataFrame:
+    """(doc_id, tk, item_id, covered, n_tokens): tk tells texts of one doc_id apart."""
     key = ["doc_id", "tk"]
-    items = benchmark.select("item_id", template(F.col("text")).alias("t"), template(F.col("text"), names=False).alias("u"), values(F.col("text")).alias("v"), F.explode(all_windows(F.col("text"), window)).alias("w"))
-    items = items.select("item_id", "v", F.size("t").alias("n_tokens"), "t", "u", F.when(F.col("w.named"), F.col("t")).otherwise(F.col("u")).alias("own"), F.col("w.p").alias("ip"), F.col("w.h").alias("h"))
-    part = lambda c: F.slice(c, F.col("ip") + 1, window)
+    shorter = F.size(template(F.col("text")))
+    lengths = [window] + sorted(r[0] for r in benchmark.select(shorter).where((shorter > 0) & (shorter < window)).distinct().collect())  # fewer than a window's tokens
+    forms = benchmark.select("item_id", "text", template(F.col("text")).alias("t"), template(F.col("text"), names=False).alias("u"), values(F.col("text")).alias("v"))
+    one = None
+    for n in lengths:
+        fits = F.size("t") >= window if n == window else F.size("t") == n
+        some = forms.where(fits).select("*", F.lit(n).alias("len"), F.explode(all_windows(F.col("text"), n)).alias("w"))
+        one = some if one is None else one.unionAll(some)
+    items = one.select("item_id", "v", F.size("t").alias("n_tokens"), "len", "t", "u", F.when(F.col("w.named"), F.col("t")).otherwise(F.col("u")).alias("own"), F.col("w.p").alias("ip"), F.col("w.h").alias("h"))
+    part = lambda c: F.slice(c, F.col("ip") + 1, F.col("len"))
     slot = lambda t: t.isin(NUMBER, NAME, UNIT)
     # A slot of either template has a value to be held against the document's, names without case too.
     held = F.transform(part("v"), lambda v, i: F.when(slot(F.get(part("t"), i)) | slot(F.get(part("u"), i)), v))
-    asked = items.select("h", "item_id", "n_tokens", "ip", F.size(F.filter(part("own"), slot)).alias("slots"), F.when(F.exists(held, lambda v: v.isNotNull()), held).alias("iv"))
-    asked = asked.where(F.col("slots") < window).drop("slots")
-    if asked.count() <= broadcast_rows:
-        asked = F.broadcast(asked)
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.explode(all_windows(F.col("text"), window)).alias("w")).select("doc_id", "tk", F.col("w.p").alias("p"), F.col("w.h").alias("h"))
+    asked = items.select("h", "item_id", "n_tokens", "len", "ip", F.size(F.filter(part("own"), slot)).alias("slots"), F.when(F.exists(held, lambda v: v.isNotNull()), held).alias("iv"))
+    asked = small(asked.where("slots < len").drop("slots", "len"), broadcast_rows)
+    found = F.concat(*[all_windows(F.col("text"), n) for n in lengths])
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.explode(found).alias("w")).select("doc_id", "tk", F.col("w.p").alias("p"), F.col("w.h").alias("h"))
     met = stored(rows.join(asked, "h").select(*key, "item_id", "n_tokens", "ip", "p", (F.col("p") - F.col("ip")).alias("shift"), "iv"))
     aligned = [*key, "item_id", "n_tokens", "shift"]
     free = met.where("iv IS NULL").select(*aligned, "ip")
     # Windows with slots need the document's values: only these documents are read again.
     held = met.where("iv IS NOT NULL")
-    wanted = held.groupBy(*key).agg(F.collect_list(F.struct("item_id", "n_tokens", "shift", "ip", "p", "iv")).alias("asked"))  # of one document
     again = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text")
+    few = small(held.select("tk").distinct(), broadcast_rows)
+    again = again.join(few, "tk", "left_semi")
+    wanted = held.groupBy(*key).agg(F.collect_list(F.struct("item_id", "n_tokens", "shift", "ip", "p", "iv")).alias("asked"))  # of one document
     same = again["doc_id"].eqNullSafe(wanted["doc_id"]) & (again["tk"] == wanted["tk"])
     seen = again.join(wanted.hint("shuffle_hash"), same).select(again["doc_id"], again["tk"], values(F.col("text")).alias("dv"), "asked")
     pair = lambda x, dv: F.filter(F.arrays_zip(x["iv"].alias("iv"), F.slice(dv, x["p"] + 1, window).alias("v")), lambda s: s["iv"].isNotNull())
@@ -109,13 +118,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: floa
     judged = slotted.groupBy(*aligned).agg(F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     single = F.size(F.array_distinct(F.transform("pairs", lambda s: s["iv"]))) == F.size("pairs")
     consistent = judged.where(single).select(*aligned, F.explode("ips").alias("ip"))
-    places = free.unionAll(consistent).groupBy("doc_id", "tk", "item_id", "n_tokens").agg(F.sort_array(F.collect_set("ip")).alias("ips"))
+    places = free.unionAll(consistent).groupBy(*key, "item_id", "n_tokens").agg(F.sort_array(F.collect_set("ip")).alias("ips"))
     gaps = F.transform("ips", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("ips", i + 1) - p, F.lit(window))))
-    counted = places.select("doc_id", "item_id", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long").alias("covered"), F.col("n_tokens").cast("long"))
-    return counted.where(F.col("covered") >= coverage * F.col("n_tokens")).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("n_tokens").alias("n_tokens"))
+    covered = F.least(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.col("n_tokens"))
+    counted = places.select(*key, "item_id", covered.cast("long").alias("covered"), F.col("n_tokens").cast("long"))
+    return counted.where(F.col("covered") >= coverage * F.col("n_tokens"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, item_id, covered, n_tokens): items found in documents; covered of the item's n_tokens tokens match."""
+    found = _matches(docs, benchmark, window, coverage, broadcast_rows)
+    return found.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("n_tokens").alias("n_tokens"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """The documents in which no item was found, as they are."""
-    found = leaks(docs, benchmark, **settings).select("doc_id").distinct()
-    return docs.join(found.where("doc_id IS NOT NULL"), "doc_id", "left_anti")
+    found = small(_matches(docs, benchmark, window, coverage, broadcast_rows).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct(), broadcast_rows)
+    same = docs["doc_id"].eqNullSafe(found["_id"]) & (text_key(docs["text"]) == found["_tk"])
+    return docs.join(found, same, "left_anti")
