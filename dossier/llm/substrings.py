@@ -9,9 +9,10 @@ a smaller doc_id, judged on the input.
    equal is settled by their least document. The index of (minimiser, digest of the packed string, document) decides
    both, so that most text never travels.
 3. For the other buckets one packed string per distinct content goes to the bucket, where its windows are sorted and
-   each gets the least document that holds it. Buckets of over ``crowd`` distinct strings (a passage that a third of
-   all documents share has as many different surroundings) are counted by window, pre-aggregated before the shuffle.
-4. The stretches found go back to the documents.
+   each gets the least document that holds it. Buckets of over ``crowd`` windows (a passage that a third of all
+   documents share has as many different surroundings) are counted by window, pre-aggregated before the shuffle.
+4. The stretches found go back to the documents. Minimisers, windows and strings that more rows have than an even
+   share of a partition are dealt apart from the others.
 
 Digests are 64-bit and only compared within one minimiser, or 128-bit.
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import runs, shuffle_partitions, stored, text_key, word_offsets, words
+from dossier.llm.common import beside, runs, shuffle_partitions, stored, text_key, word_offsets, words
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,29 +166,32 @@ def _crowded_buckets(packed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m, p, first, string in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                digests = [xxhash.xxh3_128_digest(w) for w in _windows(string, window)]
-                k = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array([m] * k, pa.int64()), pa.array([p] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(digests, pa.binary()), pa.array([first] * k, pa.int64())], ["mini", "pid", "off", "digest", "mine"])
+                at = word_offsets(string.split()).tolist()
+                n = len(at) - window
+                for done in range(0, n, 50_000):
+                    digests = [xxhash.xxh3_128_digest(string[at[k] : at[k + window] - 1]) for k in range(done, min(done + 50_000, n))]
+                    k = len(digests)
+                    yield pa.RecordBatch.from_arrays([pa.array([m] * k, pa.int64()), pa.array([p] * k, pa.int64()), pa.array(range(done, done + k), pa.int32()), pa.array(digests, pa.binary()), pa.array([first] * k, pa.int64())], ["mini", "pid", "off", "digest", "mine"])
 
-    rows = packed.mapInArrow(run, "mini long, pid long, off int, digest binary, mine long")
-    least = rows.groupBy("digest").agg(F.min("mine").alias("first"))
-    return rows.join(least, "digest").select("mini", "pid", "off", F.lit(1).alias("len"), "first")
+    rows = stored(packed.mapInArrow(run, "mini long, pid long, off int, digest binary, mine long"))
+    least = stored(rows.groupBy("digest").agg(F.min("mine").alias("first"), F.count(F.lit(1)).alias("_n")))
+    return beside(rows, least, ["digest"]).select("mini", "pid", "off", F.lit(1).alias("len"), "first")
 
 
-def repeated_stretches(docs: DataFrame, window: int = 50, piece: int = 8, crowd: int = 8192) -> DataFrame:
+def repeated_stretches(docs: DataFrame, window: int = 50, piece: int = 8, crowd: int = 200_000) -> DataFrame:
     """(doc_id, tk, at, n): n windows from word `at` that also start in a smaller document.
 
     docs has row, doc_id long (not null), tk and text, as made by remove_repeats. The row is carried along so that this
     join and the caller's share one shuffle of the documents.
     """
     index = stored(_index(docs, window, piece))
-    shared = index.groupBy("mini").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("pid") == F.max("pid")).alias("same")).where("low < high").select("mini", "low", "same")
-    hits = stored(index.join(shared, "mini"))
+    shared = index.groupBy("mini").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("pid") == F.max("pid")).alias("same"), F.count(F.lit(1)).alias("_n")).where("low < high").select("mini", "low", "same", "_n")
+    hits = stored(beside(index, stored(shared), ["mini"]))
     plain = hits.where("same AND doc_id > low").select("doc_id", "tk", "at", "n")
     mixed = hits.where("NOT same")
-    kept = mixed.groupBy("mini", "pid").agg(F.min(F.struct("doc_id", "tk", "at", "n")).alias("x"))
-    crowded = kept.groupBy("mini").count().where(F.col("count") > crowd).select("mini", F.lit(True).alias("crowded"))
-    wanted = stored(kept.join(crowded, "mini", "left").select("x.doc_id", "x.tk", F.struct("mini", "pid", "x.at", "x.n").alias("w"), F.coalesce("crowded", F.lit(False)).alias("crowded")))
+    kept = stored(mixed.groupBy("mini", "pid").agg(F.min(F.struct("doc_id", "tk", "at", "n")).alias("x"), F.count(F.lit(1)).alias("copies")))
+    sizes = stored(kept.groupBy("mini").agg((F.sum("x.n") > crowd).alias("crowded"), F.count(F.lit(1)).alias("_n")))
+    wanted = stored(beside(kept, sizes, ["mini"]).select("x.doc_id", "x.tk", F.struct("mini", "pid", "x.at", "x.n").alias("w"), "crowded"))
 
     def packed(which: DataFrame) -> DataFrame:
         asked = which.groupBy("doc_id", "tk").agg(F.collect_list("w").alias("wanted"))  # of one document
@@ -196,11 +200,17 @@ def repeated_stretches(docs: DataFrame, window: int = 50, piece: int = 8, crowd:
     owners = _sorted_buckets(packed(wanted.where("NOT crowded")), window)
     if not wanted.where("crowded").isEmpty():
         owners = owners.unionAll(_crowded_buckets(packed(wanted.where("crowded")), window))
-    found = mixed.join(owners, ["mini", "pid"]).where("first < doc_id").select("doc_id", "tk", (F.col("at") + F.col("off")).alias("at"), F.col("len").alias("n"))
+    # Strings with more copies than an even share of a partition, at most one per partition, are dealt by a salt.
+    salts = shuffle_partitions(docs.sparkSession)
+    even = max(1000, kept.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"] // salts)
+    hot = F.broadcast(kept.where(F.col("copies") > even).select("mini", "pid", F.lit(True).alias("hot")))
+    dealt = mixed.join(hot, ["mini", "pid"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts)).cast("int")).otherwise(0)).drop("hot")
+    copied = owners.join(hot, ["mini", "pid"], "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    found = dealt.join(copied, ["mini", "pid", "salt"]).where("first < doc_id").select("doc_id", "tk", (F.col("at") + F.col("off")).alias("at"), F.col("len").alias("n"))
     return plain.unionAll(found)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, piece: int = 8, crowd: int = 8192, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, piece: int = 8, crowd: int = 200_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of docs with n_words, n_removed and kept: the words left, joined by one space."""
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     rows = docs.select(F.struct(*[F.col(c) for c in names if c != text]).alias("row"), F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
