@@ -1,29 +1,36 @@
 """URL filter by rules and a path-template tree (operator 4), DataFrame functions only.
 
 Rules decide first. The urls that rules decide are the labelled ones: from them a tree of path templates is learned per
-host, level by level. At a node, segments that are rare, all digits, or too many to be names are generalised into the
-wildcard `*`. Of the other branches those of similar statistics are merged: branches nearly all of whose urls are
-blocked become `<block>`, nearly all allowed `<allow>`, nearly all without a label `<open>`; a branch of mixed
-statistics keeps its own name. A template's purity is its share of blocked among labelled urls, smoothed towards
-``prior`` with the weight of ``strength`` labels; templates of ``reject`` or more are rejected. A template without
-labelled urls has the prior's purity and is allowed.
+host, level by level. At a node, segments that are all digits, or that fewer urls have than ``support`` or a ``share`` of
+the node's, are variable and generalised into the wildcard `*`; the others are at most 1 / share branches. Branches are
+put in order of their shares of blocked and allowed urls, and neighbours are merged unless a test of homogeneity (the
+G statistic of their blocked, allowed and unlabelled urls) says that they differ: ``differ`` is its critical value. A
+merged branch is named for its least segment and how many more it has, `<en+2>`. A node of fewer than ``support``
+different paths is not opened further: what follows is `**`.
+
+A template's purity is its share of blocked among labelled urls, smoothed towards ``prior`` with the weight of
+``strength`` labels; templates of ``reject`` or more are rejected. A template without labelled urls has the prior's
+purity and is allowed.
 
 Urls are first summed by host and path, and every level sums again before it shuffles: a hot host costs one row per
-distinct path or branch and task.
+distinct path or branch and task. Nodes and branches that more rows have than an even share of a partition are broadcast,
+of which there are at most as many as partitions.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed (its template
 is that of the empty host); rules of one length are taken in alphabetical order; repeated rows count as often as they
-occur; an empty table gives an empty result; other columns are passed through unless named like a result.
+occur; branches of equal shares are in alphabetical order; a path of any length is taken apart as far as ``support``
+paths share it; an empty table gives an empty result; other columns are passed through unless named like a result.
 """
 
 from __future__ import annotations
 
+import functools
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored
+from dossier.llm.common import beside, stored
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: (verdict, host and path prefix)
@@ -51,38 +58,62 @@ def rule_of(host: Column, path: Column, rules: Rules) -> Column:
     return chain if chain is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def templates(paths: DataFrame, depth: int = 6, support: int = 5, share: float = 0.02, names: int = 50, alike: float = 0.95) -> DataFrame:
+def _entropy(*counts: Column) -> Column:
+    """Sum of n ln n over the counts."""
+    return functools.reduce(lambda x, y: x + y, [F.when(n > 0, n * F.log(n.cast("double"))).otherwise(0.0) for n in counts])
+
+
+def merged(branches: DataFrame, differ: float) -> DataFrame:
+    """branches (host, template, part, n, b, a: urls in all, blocked, allowed) with token: neighbours that don't differ share one."""
+    node = Window.partitionBy("host", "template")
+    by = node.orderBy(F.col("b") / F.col("n"), F.col("a") / F.col("n"), "part")
+    mine = [F.col("b"), F.col("a"), F.col("n") - F.col("a") - F.col("b")]
+    last = [F.lag(c).over(by) for c in mine]
+    both = [x + y for x, y in zip(mine, last, strict=True)]
+    n, m = F.col("n"), F.lag("n").over(by)
+    g = 2 * (_entropy(*mine) + _entropy(*last) - _entropy(*both) - _entropy(n, m) + _entropy(n + m))
+    apart = branches.withColumn("apart", F.coalesce((g > differ).cast("int"), F.lit(0))).withColumn("kind", F.sum("apart").over(by))
+    kin = Window.partitionBy("host", "template", "kind")
+    more = F.count(F.lit(1)).over(kin) - 1
+    return apart.withColumn("token", F.when(more == 0, F.col("part")).otherwise(F.concat(F.lit("<"), F.min("part").over(kin), F.lit("+"), more, F.lit(">")))).drop("apart", "kind")
+
+
+def templates(paths: DataFrame, support: int = 5, share: float = 0.02, differ: float = 9.21) -> DataFrame:
     """paths (host, path, n, blocked, allowed) with template."""
-    state = paths.withColumn("template", F.lit("")).withColumn("parts", F.split(F.regexp_replace("path", "^/", ""), "/", depth))
-    for level in range(depth):
-        state = stored(state)  # each level is used three times by the next
-        if level and state.where(F.size("parts") > level).isEmpty():
-            break
+    node = ["host", "template"]
+    state = stored(paths.withColumn("template", F.lit("")).withColumn("parts", F.split(F.regexp_replace("path", "^/", ""), "/")))
+    done, level = None, 0
+    while True:
+        # Paths that end here, and those of nodes that too few paths share, are finished.
+        nodes = stored(state.groupBy(*node).agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("_n")))
+        sized = beside(state, nodes.withColumn("paths", F.col("_n")), node)
+        ends, thin = F.size("parts") <= level, F.col("paths") < support
+        closed = sized.where(ends | thin).withColumn("template", F.when(ends, F.col("template")).otherwise(F.concat("template", F.lit("/**"))))
+        closed = closed.select("host", "path", "n", "blocked", "allowed", "template")
+        done = closed if done is None else done.unionAll(closed)
         part = F.get("parts", F.lit(level))
-        digits = part.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$")
-        state = state.withColumn("part", F.when(digits, F.lit("*")).otherwise(part))
-        branches = state.where("part IS NOT NULL AND part <> '*'").groupBy("host", "template", "part").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-        nodes = branches.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
-        varies = (F.col("n") < F.greatest(F.lit(support), F.col("all_n") * share)) | ((F.col("kinds") > names) & (F.col("n") < F.col("all_n") / names))
-        token = (
-            F.when(varies, "*").when(F.col("b") >= alike * F.col("n"), "<block>").when(F.col("a") >= alike * F.col("n"), "<allow>").when(F.col("n") - F.col("a") - F.col("b") >= alike * F.col("n"), "<open>").otherwise(F.col("part"))
-        )
-        named = branches.join(nodes, ["host", "template"]).select("host", "template", "part", token.alias("token"))
-        state = state.join(named, ["host", "template", "part"], "left")
-        grown = F.concat("template", F.lit("/"), F.coalesce("token", "part"))
-        state = state.withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(grown)).drop("part", "token")
-    return state.select("host", "path", "n", "blocked", "allowed", "template")
-
-
-def judge(pages: DataFrame, rules: Rules, url: str = "url", prior: float = 0.2, strength: float = 5.0, reject: float = 0.5, **tree) -> DataFrame:
+        going = stored(sized.where(~ends & ~thin).withColumn("part", F.when(part.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), "*").otherwise(part)).drop("paths"))
+        if going.isEmpty():
+            return done
+        branches = going.where("part <> '*'").groupBy(*node, "part").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.max("all_n").alias("all_n"), F.count(F.lit(1)).alias("_n"))
+        branches = stored(branches.withColumn("names", F.col("n") >= F.greatest(F.lit(support), F.col("all_n") * share)))
+        kept = merged(branches.where("names"), differ)  # at most 1 / share branches of a node
+        tokens = stored(kept.select(*node, "part", "token", "_n").unionAll(branches.where("NOT names").select(*node, "part", F.lit("*").alias("token"), "_n")))
+        grown = F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))
+        state = stored(beside(going.drop("all_n"), tokens, [*node, "part"], "left").withColumn("template", grown).drop("part", "token"))
+        level += 1
+
+
+def judge(pages: DataFrame, rules: Rules, url: str = "url", prior: float = 0.2, strength: float = 5.0, reject: float = 0.5, support: int = 5, share: float = 0.02, differ: float = 9.21) -> DataFrame:
     """pages with host, path, rule, template, purity and verdict (allow or block)."""
     results = ("host", "path", "rule", "template", "purity", "verdict")
     names = [c for c in pages.columns if c not in results]
     rows = pages.select(F.struct(*names).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
     summed = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled.verdict") == "block").alias("blocked"), F.count_if(F.col("ruled.verdict") == "allow").alias("allowed"))
-    tree_rows = stored(templates(summed, **tree))
+    tree_rows = stored(templates(summed, support, share, differ))
     purity = tree_rows.groupBy("host", "template").agg(((F.sum("blocked") + strength * prior) / (F.sum("blocked") + F.sum("allowed") + strength)).alias("purity"))
-    learned = tree_rows.select("host", "path", "template").join(purity, ["host", "template"])
-    out = rows.join(learned, ["host", "path"], "left")
+    sizes = tree_rows.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_n"))
+    learned = beside(tree_rows.select("host", "path", "template", "n"), stored(purity.join(sizes, ["host", "template"])), ["host", "template"])
+    out = beside(rows, stored(learned.withColumnRenamed("n", "_n")), ["host", "path"], "left")
     verdict = F.coalesce(F.col("ruled.verdict"), F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return out.select("row.*", "host", "path", F.col("ruled.rule").alias("rule"), "template", "purity", verdict.alias("verdict"))
