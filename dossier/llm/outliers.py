@@ -1,29 +1,34 @@
 """Quality rules by robust multivariate outliers (operator 9), DataFrame functions only.
 
 A document first fails plain rules on its counts. The others are judged by a vector of transformed shares (mean word
-length, symbols, capitals, punctuation). Per language and per language and source a minimum-covariance-determinant
-estimate is made by concentration steps: from coordinatewise medians and deviations, then again and again from the
-``core`` share of rows nearest to the last estimate. A source's estimate is drawn towards its language's by the weight of
-``prior`` rows, so that small sources don't stand on a few rows. Rejected are rows whose squared Mahalanobis distance,
-scaled so that its median is that of the chi-square distribution, exceeds ``cut``.
+length, symbols, capitals, punctuation). Per language, and per language and source, a minimum-covariance-determinant
+estimate is made as by Rousseeuw and Van Driessen (1999): from several starts (one from coordinatewise medians and
+deviations, the others from random subsets of DIMENSIONS + 1 rows) the mean and covariance are taken anew of the
+``core`` share of rows nearest to the last estimate, until no determinant falls any more; of the starts the one of the
+least determinant is taken. All starts of both kinds of groups go through a step together.
+
+A source's estimate is drawn towards its language's by the weight of ``prior`` rows, so that small sources don't stand on
+a few rows. Rejected are rows whose squared Mahalanobis distance, scaled so that its median is that of the chi-square
+distribution, exceeds that distribution's quantile: ``tail`` is the share of normal rows beyond it.
 
 Shares of short texts scatter; each share is therefore drawn towards the corpus mean by ``smooth`` characters or words
 before the transformation.
 
-All state between steps is a row per group, written to the shared folder. Defined cases: a null or empty text has zero counts and fails the word
-rule; null language or source is a group of its own; a group with no row to estimate from, or of constant statistics,
-rejects nothing that its language doesn't (variances have a floor); repeated rows are judged alike; an empty table gives
-an empty result; other columns are passed through unless named like a result.
+All state between steps is a row per group, written to the shared folder. Defined cases: a null or empty text has zero
+counts and fails the word rule; null language or source is a group of its own; a group with no row to estimate from, or
+of constant statistics, rejects nothing that its language doesn't (variances have a floor); repeated rows are judged
+alike; an empty table gives an empty result; other columns are passed through unless named like a result.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored
+from dossier.llm.common import beside, stored
 
 SYMBOLS = "#*$%&|<>"
 STOPS = ".,;:!?"
@@ -92,59 +97,105 @@ def counts(docs: DataFrame, window: int = 8) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c not in ("text", *FACTS, "n_caps", "n_stops")], F.inline(F.array(_bind(facts, result))))
 
 
-def _beside(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", most: int = 100_000) -> DataFrame:
-    """rows with the columns of their group. Counted to be few, the groups are broadcast, so that a hot group isn't dealt to one task."""
+def _beside(rows: DataFrame, groups: DataFrame, most: int = 100_000) -> DataFrame:
+    """rows with the columns of their group: all groups broadcast when counted to be few, else the heavy ones."""
     groups = stored(groups)
-    return rows.join(F.broadcast(groups) if groups.count() <= most else groups, keys, how)
+    return rows.join(F.broadcast(groups.drop("_n")), "grp") if groups.count() <= most else beside(rows, groups, ["grp"])
 
 
-def _center(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """First estimate by group: medians, and deviations from them as a diagonal covariance."""
-    medians = rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(DIMENSIONS)])
-    spread = _beside(rows, medians, keys).groupBy(*keys).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *[(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000)).alias(f"s{i}") for i in range(DIMENSIONS)])
-    cov = [(F.greatest(F.col(f"s{i}"), F.lit(FLOOR)) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)]
-    return spread.select(*keys, *[f"m{i}" for i in range(DIMENSIONS)], *cov)
+MEANS = [f"m{i}" for i in range(DIMENSIONS)]
+PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+COVARIANCES = [f"c{i}{j}" for i, j in PAIRS]
+STATE = ["start", "n", *MEANS, *COVARIANCES, "logdet"]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance from the columns m (mean), c (covariance) and x, by the Cholesky factor."""
+def _estimated(start: Column, n: Column, means: list[Column], pair) -> Column:
+    """struct of STATE: a start's mean and covariance pair(i, j), with the covariance's log determinant to come."""
+    floored = [(F.greatest(pair(i, j), F.lit(FLOOR**2)) if i == j else pair(i, j)).alias(f"c{i}{j}") for i, j in PAIRS]
+    return F.struct(start.cast("int").alias("start"), n.cast("long").alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(means)], *floored)
+
+
+def _starts(rows: DataFrame, starts: int) -> DataFrame:
+    """(grp, _n, some): first estimates of each group of rows (grp, x0..)."""
+    x = [F.col(f"x{i}") for i in range(DIMENSIONS)]
+    drawn = {(s, k): f"r{s}_{k}" for s in range(1, starts) for k in range(DIMENSIONS + 1)}
+    picked = [F.min(F.struct(F.xxhash64(*x, F.lit(f"{s} {k}")).alias("by"), *x)).alias(name) for (s, k), name in drawn.items()]
+    medians = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)], *picked)
+    medians = stored(medians)
+    spread = _beside(rows, medians.select("grp", "_n", *MEANS)).groupBy("grp").agg(*[(1.4826 * F.percentile_approx(F.abs(c - F.col(f"m{i}")), 0.5, 1000)).alias(f"s{i}") for i, c in enumerate(x)])
+    found = [_estimated(F.lit(0), F.col("_n"), [F.col(m) for m in MEANS], lambda i, j: F.col(f"s{i}") ** 2 if i == j else F.lit(0.0))]
+    for s in range(1, starts):
+        some = [F.col(drawn[s, k]) for k in range(DIMENSIONS + 1)]
+        mean = [functools.reduce(lambda a, b: a + b, [r[f"x{i}"] for r in some]) / len(some) for i in range(DIMENSIONS)]
+        found.append(_estimated(F.lit(s), F.col("_n"), mean, lambda i, j, some=some, mean=mean: functools.reduce(lambda a, b: a + b, [(r[f"x{i}"] - mean[i]) * (r[f"x{j}"] - mean[j]) for r in some]) / len(some)))
+    return medians.join(spread, "grp").select("grp", "_n", F.array(*found).alias("some"))
+
+
+def _factor() -> dict[tuple[int, int], Column]:
+    """Cholesky factor of the columns c, with a floor below its diagonal."""
     lower: dict[tuple[int, int], Column] = {}
-    steps: list[Column] = []
     for i in range(DIMENSIONS):
         for j in range(i):
             lower[i, j] = (F.col(f"c{i}{j}") - sum((lower[i, k] * lower[j, k] for k in range(j)), F.lit(0.0))) / lower[j, j]
         lower[i, i] = F.sqrt(F.greatest(F.col(f"c{i}{i}") - sum((lower[i, k] ** 2 for k in range(i)), F.lit(0.0)), F.lit(FLOOR**2)))
+    return lower
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance from the columns m (mean), c (covariance) and x."""
+    lower = _factor()
+    steps: list[Column] = []
+    for i in range(DIMENSIONS):
         steps.append((F.col(f"x{i}") - F.col(f"m{i}") - sum((lower[i, k] * steps[k] for k in range(i)), F.lit(0.0))) / lower[i, i])
     return functools.reduce(lambda a, b: a + b, [s**2 for s in steps])
 
 
-def _concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str], core: float) -> DataFrame:
-    """Mean and covariance of the core share of rows nearest to the estimate, scaled to the chi-square median."""
-    far = _beside(rows, estimate, keys).withColumn("d", _distance())
-    edge = far.groupBy(*keys).agg(F.percentile_approx("d", core, 1000).alias("edge"))
-    near = _beside(far, edge, keys).where("d <= edge")
-    moments = near.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMENSIONS)],
-        *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)],
+def _concentrated(rows: DataFrame, state: DataFrame, core: float) -> DataFrame:
+    """(grp, _n, some): mean and covariance of the core share of rows nearest to each estimate in some, with log determinants."""
+    far = _beside(rows, state).select("grp", *[f"x{i}" for i in range(DIMENSIONS)], F.inline("some"))
+    edges = far.groupBy("grp", "start").agg(F.percentile_approx(_distance(), core, 1000).alias("edge"))
+    edges = edges.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("start", "edge"))).alias("edges"))  # an entry per start
+    near = _beside(rows, state.join(edges, "grp")).select("grp", *[f"x{i}" for i in range(DIMENSIONS)], "edges", F.inline("some")).where(_distance() <= F.element_at("edges", F.col("start")))
+    moments = near.groupBy("grp", "start").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS]
     )
-    floored = [F.greatest(F.col(f"c{i}{j}"), F.lit(FLOOR**2)).alias(f"c{i}{j}") if i == j else f"c{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1)]
-    fresh = moments.select(*keys, "n", *[f"m{i}" for i in range(DIMENSIONS)], *floored)
-    fresh = stored(fresh)
-    scale = _beside(rows, fresh, keys).withColumn("d", _distance()).groupBy(*keys).agg((F.percentile_approx("d", 0.5, 1000) / MEDIAN).alias("scale"))
-    scaled = [(F.col(f"c{i}{j}") * F.greatest("scale", F.lit(1e-3))).alias(f"c{i}{j}") for i in range(DIMENSIONS) for j in range(i + 1)]
-    return fresh.join(scale, keys).select(*keys, "n", *[f"m{i}" for i in range(DIMENSIONS)], *scaled)
-
-
-def estimate(rows: DataFrame, keys: list[str], core: float = 0.75, steps: int = 3) -> DataFrame:
-    """(keys, n, m0.., c00..): the concentrated estimate of each group of rows with columns x0.."""
-    found = _center(rows, keys)
-    for _ in range(steps):
-        found = _concentrate(rows, found, keys, core)
-    return found
-
-
-def judge(docs: DataFrame, window: int = 8, least_words: int = 20, repeat_percent: int = 30, core: float = 0.75, steps: int = 3, prior: int = 200, smooth: float = 200.0, cut: float = 55.0) -> DataFrame:
+    fresh = moments.select("grp", F.inline(F.array(_estimated(F.col("start"), F.col("n"), [F.col(m) for m in MEANS], lambda i, j: F.col(f"c{i}{j}")))))
+    lower = _factor()
+    measured = fresh.withColumn("logdet", 2 * functools.reduce(lambda a, b: a + b, [F.log(lower[i, i]) for i in range(DIMENSIONS)]))
+    return measured.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(*STATE))).alias("some")).join(state.select("grp", "_n"), "grp")
+
+
+def estimate(rows: DataFrame, core: float = 0.75, starts: int = 4, settled: float = 1e-3) -> DataFrame:
+    """(grp, n, logdet, m0.., c00..): the estimate of the least determinant for each group of rows (grp, x0..).
+
+    Steps go on until in no group a start's log determinant falls by ``settled`` or more. Covariances are scaled so that
+    the median of squared distances is the chi-square distribution's.
+    """
+    state, before = stored(_starts(rows, starts)), None
+    while True:
+        state = stored(_concentrated(rows, state, core))
+        now = state.select("grp", F.transform("some", lambda s: s["logdet"]).alias("now"))
+        if before is not None:
+            fall = F.array_max(F.zip_with("was", "now", lambda a, b: a - b))
+            if not (now.join(before.withColumnRenamed("now", "was"), "grp").agg(F.max(fall)).first()[0] or 0.0) >= settled:
+                break
+        before = now
+    best = state.select("grp", "_n", F.inline(F.array(F.array_min(F.transform("some", lambda s: F.struct(s["logdet"].alias("by"), s.alias("s")))))))
+    best = best.select("grp", "_n", "s.*")
+    scale = _beside(rows, best).groupBy("grp").agg((F.percentile_approx(_distance(), 0.5, 1000) / MEDIAN).alias("scale"))
+    return best.join(scale, "grp").select("grp", F.col("_n").alias("n"), "logdet", *MEANS, *[(F.col(c) * F.greatest("scale", F.lit(1e-3))).alias(c) for c in COVARIANCES])
+
+
+def chi_square(tail: float) -> float:
+    """The value that a chi-square variable with four degrees of freedom exceeds with probability tail."""
+    low, high = 0.0, 2000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.exp(-middle / 2) * (1 + middle / 2) > tail else (low, middle)
+    return high
+
+
+def judge(docs: DataFrame, window: int = 8, least_words: int = 20, repeat_percent: int = 30, core: float = 0.75, starts: int = 4, prior: int = 200, smooth: float = 200.0, tail: float = 1e-9) -> DataFrame:
     """The other columns of docs with the counts, base_failed, distance (null where the base failed) and kept."""
     results = {*FACTS, "n_caps", "n_stops", "base_failed", "distance", "kept"}
     names = [c for c in docs.columns if c not in results and c != "text"]
@@ -160,11 +211,14 @@ def judge(docs: DataFrame, window: int = 8, least_words: int = 20, repeat_percen
     mean = chars / max(1, total["n_words"])
     length = F.log((F.col("word_chars") + smooth * mean / 5) / (F.col("n_words") + smooth / 5))
     vectors = facts.select("*", length.alias("x0"), share("n_symbols").alias("x1"), share("n_caps").alias("x2"), share("n_stops").alias("x3"))
-    sound = vectors.where("NOT base_failed").select("g1", "g2", *[f"x{i}" for i in range(DIMENSIONS)])
-    wide, fine = estimate(sound, ["g1"], core, steps), estimate(sound, ["g1", "g2"], core, steps)
-    stats = [*[f"m{i}" for i in range(DIMENSIONS)], *[f"c{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1)]]
-    mixed = fine.join(wide.select("g1", *[F.col(c).alias(f"w_{c}") for c in stats]), "g1").select(
-        "g1", "g2", *[((F.col(c) * F.col("n") + F.col(f"w_{c}") * prior) / (F.col("n") + prior)).alias(c) for c in stats]
+    sound = vectors.where("NOT base_failed").select(F.explode(F.array(F.struct("g1", F.lit(None).cast("string").alias("g2")), F.struct("g1", "g2"))).alias("grp"), *[f"x{i}" for i in range(DIMENSIONS)])
+    found = stored(estimate(stored(sound), core, starts))
+    wide = found.where("grp.g2 IS NULL").select("grp.g1", *[F.col(c).alias(f"w_{c}") for c in (*MEANS, *COVARIANCES)])
+    mixed = found.where("grp.g2 IS NOT NULL").select("grp", "n", *MEANS, *COVARIANCES, "grp.g1").join(wide, "g1").select(
+        "grp", F.col("n").alias("_n"), *[((F.col(c) * F.col("n") + F.col(f"w_{c}") * prior) / (F.col("n") + prior)).alias(c) for c in (*MEANS, *COVARIANCES)]
     )
-    out = _beside(vectors, mixed, ["g1", "g2"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    return out.select("row.*", *FACTS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"))
+    # Every row that has a distance has a group; the others need none.
+    judged = _beside(vectors.where("NOT base_failed").withColumn("grp", F.struct("g1", "g2")), mixed).withColumn("distance", _distance())
+    columns = ["row.*", *FACTS, "base_failed"]
+    passed = judged.select(*columns, "distance", (F.col("distance") <= chi_square(tail)).alias("kept"))
+    return passed.unionAll(facts.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
