@@ -191,7 +191,7 @@ def _single_spaced(text: str) -> bool:
     return bool(text) and text[0] != " " != text[-1] and "  " not in text and not any(f" {w}" in text or f"{w} " in text for w in OTHER_WHITE)
 
 
-def _pack(values: np.ndarray, level: int = 1) -> bytes:
+def _pack(values: np.ndarray, level: int = 3) -> bytes:
     """Whole numbers by byte planes, compressed."""
     planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
     return zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
@@ -215,7 +215,7 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=3).compress
         part, k, held = TaskContext.get().partitionId() << 24, 0, 0
         texts: list[str] = []
         beside: list[pa.RecordBatch] = []  # the other columns of texts
@@ -333,7 +333,7 @@ def _distinct_words(ranks: dict[bytes, int], fold_bytes: int):
 
 
 #: Places and ids that a task gathers before it packs them.
-PACKED = 1 << 22
+PACKED = 1 << 21
 
 
 def _answers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,11 +409,16 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
         ends = np.r_[0, np.cumsum(size[inside])][np.r_[0, np.cumsum(sizes)]]
         start, long = ends[:-1], np.diff(ends)
         documents = left.filter(pa.array(kinds == 0))
-        ids_of = [_gathered(of_units, start, long, _unpack(code.as_py())) for code in documents.column("codes")]
-        del answers, flat, of_units
-        out = pa.table([*(documents.column(f"_{i}") for i in range(len(keep))), pa.array(ids_of, pa.list_(pa.int32()))], [*(f"_{i}" for i in range(len(keep))), "ids"])
+        del answers, flat
+        # In slices: the table goes to Spark chunk by chunk.
+        names, kind, out = [*(f"_{i}" for i in range(len(keep))), "ids"], pa.list_(pa.int32()), []
+        for at in range(0, documents.num_rows, 256):
+            some = documents.slice(at, 256).combine_chunks()
+            ids_of = [_gathered(of_units, start, long, _unpack(code.as_py())) for code in some.column("codes")]
+            out.append(pa.table([*(some.column(name) for name in names[:-1]), pa.array(ids_of, kind)], names))
+        del of_units
         release()
-        return out
+        return pa.concat_tables(out) if out else pa.table([*(documents.column(name) for name in names[:-1]), pa.array([], kind)], names)
 
     fields = ", ".join([f"_{i} {t}" for i, t in enumerate(types)] + ["ids array<int>"])
     out = rows.groupBy("batch").cogroup(back.groupBy("part")).applyInArrow(join, fields)
