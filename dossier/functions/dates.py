@@ -95,6 +95,16 @@ def document_dates(texts: DataFrame, today: str, least: int = 1, head: float = 0
     return best.select(key, F.col("b.day").alias("date"), "b.score")
 
 
+def month_key(at: Column) -> Column:
+    """DT7: year and month of an instant."""
+    return F.date_format(at, "yyyy-MM")
+
+
+def since(at: Column, now: str, days: int) -> Column:
+    """DT7: whether an instant lies in the days before now."""
+    return at >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
+
+
 def fallback(found: Column, exif: Column, metadata: Column, created: Column, modified: Column) -> Column:
     """DT4: struct<date, source>."""
     some = [("text", found), ("exif", exif), ("pdfMeta", metadata), ("created", created), ("modified", modified)]

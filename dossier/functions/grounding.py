@@ -57,6 +57,11 @@ def year_is_written(day: Column, words: Column) -> Column:
     return F.exists(words, lambda w: w.contains(F.substring(day, 1, 4)))
 
 
+def day_is_written(day: Column, found: Column) -> Column:
+    """GRD5: whether an ISO day is among the days that were found in a text."""
+    return F.array_contains(found, day)
+
+
 ANSWER = "labels array<struct<kind:string,value:string>>"
 
 

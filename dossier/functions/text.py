@@ -11,14 +11,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-#: Latin letters with marks and their plain letters, by Unicode's decompositions.
-_MARKED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0].isascii() and unicodedata.normalize("NFD", chr(c)) != chr(c)]
+#: Letters with marks, and wide forms, with their plain letters by Unicode's decompositions; marks alone go.
+_SCRIPTS = [range(0xC0, 0x530), range(0x1E00, 0x2000), range(0xFF01, 0xFF5F)]
+_PLAIN = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for some in _SCRIPTS for c in some if unicodedata.normalize("NFKD", chr(c)) != chr(c) and len("".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1}
+_FOLDED = {a: b.lower() for a, b in _PLAIN.items() if a == a.lower()}
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters, in native expressions (TXT8 for Latin text)."""
-    return F.translate(F.lower(text), "".join(a for a, _ in _MARKED).lower(), "".join(b for _, b in _MARKED).lower())
+    """Lower case without accents, in native expressions (TXT8 for letters that stay one letter)."""
+    return F.translate(F.lower(text), "".join(_FOLDED) + _MARKS, "".join(_FOLDED.values()))
+
+
+def fold_plain(text: str) -> str:
+    """What the column function makes of a value, for values at hand."""
+    return text.lower().translate({ord(a): b for a, b in _FOLDED.items()} | dict.fromkeys(map(ord, _MARKS)))
 
 
 def fold_text(text: str) -> str:
@@ -199,6 +207,17 @@ def decoded(some: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "encoding"])
 
 
+def highlights(marked: Column) -> Column:
+    """TXT20: array<struct<text, hit>>: the runs of a snippet, those between U+E000 and U+E001 being hits."""
+    runs = F.regexp_extract_all(marked, F.lit("(\ue000[^\ue001]*\ue001?|[^\ue000]+)"), F.lit(1))
+    return F.transform(runs, lambda r: F.struct(F.translate(r, "\ue000\ue001", "").alias("text"), r.startswith("\ue000").alias("hit")))
+
+
+def unmarked(marked: Column) -> Column:
+    """TXT20: a snippet as plain text."""
+    return F.translate(marked, "\ue000\ue001", "")
+
+
 def embedding_summary(header: list[Column], body: Column, limit: int = 2000) -> Column:
     """TXT18: header lines that aren't null, then the body, to a limit."""
     return F.substring(F.concat_ws("\n", *header, body), 1, limit)

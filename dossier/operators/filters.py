@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.labels import kind_rank
 from dossier.functions.text import fold, natural_key
+from dossier.operators.vocabulary import key_literal, keys_of, same_writing
 
 #: Sets of statuses, and their severity where a step's worst counts.
 STATUSES = {
@@ -19,11 +20,6 @@ STATUSES = {
 SEVERITY = ["skipped", "ok", "warn", "error"]
 
 
-def writing(value: Column) -> Column:
-    """Letters and digits of the folded value: labels of one writing share it."""
-    return F.regexp_replace(fold(value), r"[^\p{L}\p{N}]+", "")
-
-
 def in_folder(path: Column, root: str) -> Column:
     """FLT3: paths below a folder, as a range that a scan can prune."""
     return (path >= f"{root}/") & (path < f"{root}0")
@@ -51,8 +47,11 @@ def with_labels(docs: DataFrame, labels: DataFrame, selected: Sequence[tuple[str
     """FLT4, FLT5: documents that have every selected label; one pass over the labels for all of them."""
     if not selected:
         return docs
-    as_key = writing if written else (lambda c: c)
-    fits = [(F.col("kind") == k) & (as_key(F.col("value")) == as_key(F.lit(v))) for k, v in selected]
+    if written:
+        labels = labels.where(F.col("kind").isin(sorted({k for k, _ in selected}))).withColumn("_k", keys_of("value"))
+        fits = [(F.col("kind") == k) & same_writing(F.col("_k"), key_literal(v)) for k, v in selected]
+    else:
+        fits = [(F.col("kind") == k) & (F.col("value") == v) for k, v in selected]
     any_fit = fits[0]
     for f in fits[1:]:
         any_fit = any_fit | f
@@ -89,9 +88,9 @@ def newest_of_label(labels: DataFrame, docs: DataFrame, n: int, key: str = "doc_
 
 
 def in_order_of(docs: DataFrame, ids: Sequence[int], key: str = "doc_id") -> DataFrame:
-    """SRC19: the documents of a list of ids, in the list's order."""
+    """SRC19: the documents of a list of ids in the list's order, with their position in it."""
     asked = docs.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids)], f"{key} long, position int")
-    return docs.join(F.broadcast(asked), key)  # the caller's own list
+    return docs.join(F.broadcast(asked), key).orderBy("position")  # the caller's own list
 
 
 def document_order(date: Column, name: Column, key: Column) -> list[Column]:
@@ -99,6 +98,22 @@ def document_order(date: Column, name: Column, key: Column) -> list[Column]:
     return [F.desc_nulls_last(date), natural_key(name), key]
 
 
+#: RNK6: the other orders of a listing.
+OTHER_ORDERS = {"added": ["added_at"], "filed_or_added": ["filed_at", "added_at"], "filed": ["filed_at"]}
+
+
+def other_order(name: str, key: str = "doc_id") -> list[Column]:
+    """RNK6: newest first by when a document was added, filed (or else added), or filed; without a date last."""
+    return [F.desc_nulls_last(F.coalesce(*OTHER_ORDERS[name])), F.desc(key)]
+
+
+def history(events: DataFrame, kinds: Sequence[str] = (), document: int | None = None, before: str | None = None, at: str = "at") -> DataFrame:
+    """FLT9: events of some kinds, of a document, before an instant, as far as given."""
+    out = events.where(F.col("kind").isin(list(kinds))) if kinds else events
+    out = out if document is None else out.where(F.col("doc_id") == document)
+    return out if before is None else out.where(F.col(at) < F.lit(before).cast(events.schema[at].dataType))
+
+
 def page_before(events: DataFrame, before: str, size: int, at: str = "at", key: str = "id") -> DataFrame:
     """SRT3: the newest events before an instant."""
     return events.where(F.col(at) < F.lit(before).cast("timestamp")).orderBy(F.desc(at), F.desc(key)).limit(size)

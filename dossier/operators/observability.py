@@ -20,11 +20,21 @@ def nearest_rank(value: Column, share: float) -> Column:
 
 
 def latencies(steps: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """AGG9 for groups of any size: the picked ranks of each group, without gathering a group in memory."""
-    ordered = steps.select(group, value, F.row_number().over(Window.partitionBy(group).orderBy(value)).alias("rank"))
-    sized = ordered.join(steps.groupBy(group).agg(F.count(value).alias("n")), group)
-    picks = [F.max(F.when(F.col("rank") == F.floor((F.col("n") - 1) * share + 0.5) + 1, F.col(value))).alias(name) for name, share in shares.items()]
-    return sized.groupBy(group).agg(F.max("n").alias("n"), *picks)
+    """AGG9 for groups of any size: equal values are counted first, and ranks come from the counts' running sums.
+
+    The running sums are made in ranges of values, so that a group of many different values is not one task's.
+    """
+    counts = steps.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.repartitionByRange(F.col(group), F.col(value)).withColumn("_part", F.spark_partition_id()).persist()
+    parts = ranged.groupBy(group, "_part").agg(F.sum("n").alias("in_part"))
+    before = F.sum("in_part").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    parts = parts.select(group, "_part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("in_part").over(Window.partitionBy(group)).alias("total"))
+    running = F.sum("n").over(Window.partitionBy(group, "_part").orderBy(value))
+    placed = ranged.withColumn("_upto", running).join(F.broadcast(parts), [group, "_part"])  # at most a row per group and partition
+    upto = F.col("before") + F.col("_upto")
+    picked = lambda share: F.floor((F.col("total") - 1) * share + 0.5) + 1
+    picks = [F.max(F.when((upto >= picked(share)) & (upto - F.col("n") < picked(share)), F.col(value))).alias(name) for name, share in shares.items()]
+    return placed.groupBy(group).agg(F.max("total").alias("n"), *picks)
 
 
 def severity(status: Column) -> Column:
@@ -80,6 +90,12 @@ def funnel_summary(found: DataFrame) -> DataFrame:
     return found.agg(F.max_by("step", F.struct("stopped", -F.col("step_index"))).alias("main_stop"), F.max_by("step", F.coalesce("mean_ms", F.lit(-1.0))).alias("slowest"), (last / first).alias("straight_through"))
 
 
+def funnel_rates(found: DataFrame) -> DataFrame:
+    """OBS2: of each step the share that passes, and the share of all arrivals that reach it."""
+    arrived = F.max(F.when(F.col("step_index") == 0, F.col("reached"))).over(Window.partitionBy())  # a row per step
+    return found.withColumns({"pass_rate": F.when(F.col("reached") > 0, F.col("passed") / F.col("reached")), "cumulative": F.when(arrived > 0, F.col("reached") / arrived)})
+
+
 def failure(kind: Column, attempts: Column, most: int = 3) -> Column:
     """PIP4: what follows a failure: struct<next, delay>."""
     delay = F.get(F.array(*map(F.lit, RETRY_DELAYS)), F.least(attempts, F.lit(len(RETRY_DELAYS) - 1)))
@@ -95,9 +111,9 @@ def redact(logs: DataFrame, column: str, allowed: list[str]) -> DataFrame:
 
 
 def trim_steps(steps: DataFrame, before: str, stages: list[str]) -> DataFrame:
-    """PIP10: the exchanges of model stages in old traces go."""
+    """PIP10: the exchanges in the JSON output of model stages in old traces go."""
     old = (F.col("started_at") < F.lit(before).cast("timestamp")) & F.col("stage").isin(stages)
-    return steps.withColumn("output", F.when(old, F.col("output").dropFields("exchange").withField("exchange", F.lit(None).cast("string"))).otherwise(F.col("output")))
+    return steps.withColumn("output", F.when(old, F.to_json(F.map_filter(F.from_json("output", "map<string,string>"), lambda k, _: k != "exchange"))).otherwise(F.col("output")))
 
 
 def confirmed_at(events: DataFrame, kinds: list[str], correct: str = "markedCorrect") -> DataFrame:
@@ -128,6 +144,35 @@ def evaluation(rows: DataFrame) -> DataFrame:
     return rows.agg(rate("expected_status", "actual_status").alias("status"), rate("expected_type", "actual_type").alias("type"), sender.alias("sender"), rate("expected_date", "actual_date").alias("date"), F.get(seconds, F.floor(F.size(seconds) / 2).cast("int")).alias("median_seconds"))
 
 
+def row_score(rows: DataFrame) -> DataFrame:
+    """EVL1: rows (expected_*, actual_*, title_words array, title, expected_labels array<struct<kind,value>>, labels) with a mark for each expectation; null where nothing is expected."""
+    same = lambda c: F.col(f"expected_{c}") == F.col(f"actual_{c}")
+    sender = fold(F.col("actual_sender")).contains(fold(F.col("expected_sender")))
+    title = F.when(F.size("title_words") > 0, F.forall("title_words", lambda w: fold(F.col("title")).contains(fold(w))))
+    found = F.filter("expected_labels", lambda e: label_found(e["value"], F.col("labels"), e["kind"]))
+    return rows.withColumns({"status_right": same("status"), "type_right": same("type"), "language_right": same("language"), "date_right": same("date"), "sender_right": sender, "title_right": title, "labels_expected": F.size("expected_labels"), "labels_found": F.size(found)})
+
+
+def labels_by_kind_found(rows: DataFrame) -> DataFrame:
+    """AGG14: by kind the rows that have a label of it, and of the expected labels how many were found."""
+    has = rows.select(F.explode(F.array_distinct(F.transform("labels", lambda x: x["kind"]))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
+    asked = rows.select("labels", F.explode("expected_labels").alias("e")).groupBy(F.col("e.kind").alias("kind")).agg(F.count(F.lit(1)).alias("expected"), F.count_if(label_found(F.col("e.value"), F.col("labels"), F.col("e.kind"))).alias("found"))
+    return has.join(asked, "kind", "full_outer").select("kind", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def writings_per_sender(labels: DataFrame, sender: str = "sender") -> DataFrame:
+    """AGG14: how many different values senders with more than one document have on average, and different labels by kind."""
+    of = labels.groupBy("kind").agg(F.countDistinct("value").alias("distinct_labels"))
+    many = labels.where(F.col("kind") == sender).groupBy(fold(F.col("value")).alias("who")).agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("value").alias("writings")).where("docs > 1")
+    return of.crossJoin(many.agg(F.avg("writings").alias("mean_writings")))  # one row
+
+
+def job_counts(jobs: DataFrame) -> DataFrame:
+    """AGG12: active jobs that read documents in, index them again, or read them again."""
+    active = jobs.where(F.col("state").isin("pending", "hashing", "extracting", "analysing", "filing"))
+    return active.agg(F.count_if(F.col("kind").isin("ingest", "adopt")).alias("queued"), F.count_if(F.col("kind") == "reindex").alias("reindexing"), F.count_if(F.col("kind") == "reanalyse").alias("reading_again"))
+
+
 def pair_judgement(rows: DataFrame) -> DataFrame:
     """AGG15: rows (same, judged, held_out): accuracy, wrong merges, wrong keep-apart, unanswered."""
     right = ((F.col("judged") == "same") & F.col("same")) | ((F.col("judged") == "different") & ~F.col("same"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType
 
-from dossier.functions.text import fold_text, tokens
+from dossier.functions.text import TOKEN, fold, fold_text
 
 #: Weight of each field in BM25, in the fields' order.
 WEIGHTS = {"filename": 3.0, "body": 1.0, "sender": 4.0, "party": 3.0, "type": 3.0, "topic": 3.0, "object": 4.0, "reference": 4.0, "date": 3.0, "period": 2.0, "deadline": 2.0, "amount": 2.0, "jurisdiction": 3.0, "language": 2.0, "tag": 4.0, "interpretation": 2.0}
@@ -87,15 +87,18 @@ def scan(docs: DataFrame, fields: dict[str, str], phrases: list[Phrase], key: st
 
     fields: name of a field to its column in docs.
     """
-    split = docs.select(key, *[tokens(F.col(c)).alias(f"t_{f}") for f, c in fields.items()])
-    lines = split.select(key, sum((F.size(f"t_{f}") for f in fields), F.lit(0)).cast("long").alias("dl"), *[F.concat(F.lit(" "), F.array_join(f"t_{f}", " "), F.lit(" ")).alias(f) for f in fields])
+    words = lambda c: F.trim(F.regexp_replace(fold(F.coalesce(F.col(c), F.lit(""))), f"[^{TOKEN[1:-2]}]+", " "))
+    split = docs.select(key, *[words(c).alias(f"t_{f}") for f, c in fields.items()])
+    count = lambda f: F.when(F.col(f"t_{f}") == "", 0).otherwise(F.length(f"t_{f}") - F.length(F.replace(F.col(f"t_{f}"), F.lit(" "), F.lit(""))) + 1)
+    lines = split.select(key, sum((count(f) for f in fields), F.lit(0)).cast("long").alias("dl"), *[F.concat(F.lit(" "), F.col(f"t_{f}"), F.lit(" ")).alias(f) for f in fields])
     tf = [sum((_hits(F.col(f), p) * F.lit(WEIGHTS[f]) for f in fields if p.field in (None, f)), F.lit(0.0)).alias(f"tf{i}") for i, p in enumerate(phrases)]
     return lines.select(key, "dl", *tf)
 
 
 def bm25(docs: DataFrame, fields: dict[str, str], phrases: list[Phrase], any_of: bool = False, within: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """FTS5, FTS6: (key, score) of the documents with all phrases, or any; statistics are the whole corpus's."""
-    found = scan(docs, fields, phrases, key)
+    # A row of numbers per document, read for the statistics and for the scores; lost parts are scanned again.
+    found = scan(docs, fields, phrases, key).persist()
     n = range(len(phrases))
     stats = found.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in n])
     scored = found.where(" OR ".join(f"tf{i} > 0" for i in n) if any_of else " AND ".join(f"tf{i} > 0" for i in n))
@@ -159,13 +162,20 @@ def bytes_of_vector(some: pd.Series) -> pd.Series:
     return some.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-def modal_dimension(vectors: DataFrame, column: str) -> DataFrame:
-    """VEC4: the vectors of the commonest dimension, the larger one on ties; empty ones go."""
+def modal_dimension(vectors: DataFrame, column: str, key: str = "vec_id") -> DataFrame:
+    """VEC4: the vectors of the commonest dimension, on ties the one of the first vector by ``key``; empty ones go."""
     filled = vectors.where(F.size(column) > 0)
-    mode = filled.groupBy(F.size(column).alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).select("dim")
+    mode = filled.groupBy(F.size(column).alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).orderBy(F.desc("n"), "first").limit(1).select("dim")
     return filled.join(F.broadcast(mode), F.size(column) == F.col("dim"), "left_semi")  # a single row
 
 
+def with_changes(vectors: DataFrame, changes: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """VEC5: the snapshot after its changes (key, column, seq): the last change of a key wins, a null vector removes it."""
+    last = changes.groupBy(key).agg(F.max_by(column, "seq").alias(column))
+    kept = vectors.select(key, column).join(last.select(key), key, "left_anti")
+    return kept.unionByName(last.where(F.col(column).isNotNull()))
+
+
 def vector_top(vectors: DataFrame, query: list[float], limit: int, key: str, column: str, allowed: DataFrame | None = None) -> DataFrame:
     """VEC3: (key, similarity) of the nearest by dot product."""
     rows = vectors if allowed is None else vectors.join(allowed.select(key).distinct(), key, "left_semi")
@@ -188,6 +198,13 @@ def fuse(words: DataFrame, meaning: DataFrame, floor: float = FLOOR, k: int = RR
     return ranked.withColumn("place", F.row_number().over(Window.orderBy(*order))).select(key, "place", "score", "word_rank", "meaning_rank")
 
 
+def within_set(docs: DataFrame, fields: dict[str, str], phrases: list[Phrase], vectors: DataFrame, query: list[float], ids: DataFrame, floor: float = FLOOR, key: str = "doc_id", column: str = "embedding") -> DataFrame:
+    """FTS11: the documents of a set that words or meaning find, in one order; statistics are the whole corpus's."""
+    words = top(bm25(docs, fields, phrases, any_of=True, within=ids, key=key), CANDIDATES, key)
+    near = vector_top(vectors, query, CANDIDATES, key, column, ids)
+    return fuse(words, near, floor, key=key)
+
+
 def gate(text: str, has_model: bool, has_vectors: bool) -> str | None:
     """RNK4: why a query is answered by words alone; null if it isn't."""
     if len(text.strip()) < SHORTEST:

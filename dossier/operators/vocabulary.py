@@ -7,14 +7,13 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType
 
 from dossier.functions.labels import distinct_labels, kind_rank
-from dossier.functions.text import fold_text
+from dossier.functions.text import fold, fold_plain
 
 #: By kind, the similarity at which labels are merged and at which a merge is suggested (VOC12).
 THRESHOLDS = {"sender": (1.0, 0.85), "party": (1.0, 0.9), "topic": (0.96, 0.94), "object": (1.0, 0.9), "reference": (1.0, 1.0), "jurisdiction": (0.96, 0.85)}
-KEY = StructType().add("numbers", ArrayType(StringType())).add("digits", StringType()).add("joined", StringType()).add("sorted", StringType())
 
 
 def comparison_key(value: str) -> tuple[list[str], str, str, str]:
@@ -22,8 +21,7 @@ def comparison_key(value: str) -> tuple[list[str], str, str, str]:
 
     Spaces between digits don't part a number; other signs do.
     """
-    text = fold_text(value)
-    whole = re.sub(r"(?<=\d)\s+(?=\d)", "", text)
+    whole = re.sub(r"(?<=\d)\s+(?=\d)", "", fold_plain(value))
     words = re.findall(r"[^\W_]+", whole)
     out: list[str] = []
     run: list[str] = []
@@ -38,9 +36,27 @@ def comparison_key(value: str) -> tuple[list[str], str, str, str]:
     return numbers, "".join(numbers), "".join(words), " ".join(out)
 
 
-@F.pandas_udf(KEY)
-def keys_of(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([comparison_key(v or "") for v in values], columns=["numbers", "digits", "joined", "sorted"])
+def keys_of(value: Column | str) -> Column:
+    """VOC1 as struct<numbers, digits, joined, sorted> in native expressions; a null value counts as empty."""
+    column = F.col(value) if isinstance(value, str) else value
+    whole = F.regexp_replace(fold(F.coalesce(column, F.lit(""))), r"(?<=\d)\s+(?=\d)", "")
+    words = F.regexp_extract_all(whole, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    numbers = F.regexp_extract_all(whole, F.lit(r"(\d+)"), F.lit(1))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), none.alias("run"))
+
+    def add(state: Column, word: Column) -> Column:
+        fixed = F.struct(F.concat(state["out"], F.sort_array(state["run"]), F.array(word)).alias("out"), none.alias("run"))
+        return F.when(word.rlike(r"\d"), fixed).otherwise(F.struct(state["out"].alias("out"), F.concat(state["run"], F.array(word)).alias("run")))
+
+    ordered = F.aggregate(words, start, add, lambda s: F.array_join(F.concat(s["out"], F.sort_array(s["run"])), " "))
+    return F.struct(numbers.alias("numbers"), F.array_join(numbers, "").alias("digits"), F.array_join(words, "").alias("joined"), ordered.alias("sorted"))
+
+
+def key_literal(value: str) -> Column:
+    """The key of a value at hand."""
+    numbers, digits, joined, ordered = comparison_key(value)
+    return F.struct(F.array(*map(F.lit, numbers)).cast("array<string>").alias("numbers"), F.lit(digits).alias("digits"), F.lit(joined).alias("joined"), F.lit(ordered).alias("sorted"))
 
 
 def same_writing(a: Column, b: Column) -> Column:
@@ -108,8 +124,9 @@ def most_possible(a: Column, b: Column) -> Column:
 def look_alikes(labels: DataFrame, fresh: DataFrame | None = None, thresholds: dict[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
     """VOC6: pairs (kind, a, b, similarity, regrouping) of labels (kind, value) with equal digits.
 
-    Blocks are of one kind, the same digits and neighbouring lengths; the length bound comes before the similarity.
-    Given `fresh` labels, only pairs with one of these.
+    Blocks are of one kind, the same digits and length bands: labels whose lengths are further apart than any alike pair's
+    don't meet, but in the blocks of equal letters and of regrouped numbers. Given `fresh` labels, only pairs with one
+    of these.
     """
     keyed = labels.select("kind", "value").distinct().withColumn("k", keys_of("value"))
     bar = F.coalesce(F.try_element_at(F.create_map(*[x for k, (_, s) in thresholds.items() for x in (F.lit(k), F.lit(s))]), F.col("kind")), F.lit(0.9))
@@ -117,7 +134,12 @@ def look_alikes(labels: DataFrame, fresh: DataFrame | None = None, thresholds: d
     a = left.select("kind", F.col("k.digits").alias("digits"), F.col("value").alias("a"), F.col("k").alias("ka"))
     b = keyed.select("kind", F.col("k.digits").alias("digits"), F.col("value").alias("b"), F.col("k").alias("kb"))
     ordered = F.col("a") < F.col("b") if fresh is None else F.col("a") != F.col("b")
-    pairs = a.join(b, ["kind", "digits"]).where(ordered)
+    # Above a similarity of 0.85 the shorter of two is 0.25 of the longer or more (VOC7): bands of a power of four.
+    band = lambda k: F.floor(F.log(F.greatest(F.length(k), F.lit(1)).cast("double")) / F.log(F.lit(4.0)))
+    spread = F.array(F.concat(F.lit("b"), band(F.col("ka.sorted"))), F.concat(F.lit("b"), band(F.col("ka.sorted")) - 1), F.concat(F.lit("b"), band(F.col("ka.sorted")) + 1), F.concat(F.lit("j"), F.col("ka.joined")), F.when(F.col("digits") != "", "d"))
+    single = F.array(F.concat(F.lit("b"), band(F.col("kb.sorted"))), F.concat(F.lit("j"), F.col("kb.joined")), F.when(F.col("digits") != "", "d"))
+    a, b = a.withColumn("block", F.explode(F.array_compact(spread))), b.withColumn("block", F.explode(F.array_compact(single)))
+    pairs = a.join(b, ["kind", "digits", "block"]).where(ordered).drop("block").dropDuplicates(["kind", "a", "b"])
     near = pairs.where((most_possible(F.col("ka.sorted"), F.col("kb.sorted")) >= bar) | (F.col("ka.joined") == F.col("kb.joined")) | regrouping(F.col("ka"), F.col("kb")))
     scored = near.withColumn("similarity", similarity(F.col("ka"), F.col("kb"))).withColumn("regrouping", regrouping(F.col("ka"), F.col("kb")))
     out = scored.where((F.col("similarity") >= bar) | F.col("regrouping")).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", "regrouping")
@@ -135,40 +157,51 @@ def suggestions(pairs: DataFrame, used: DataFrame, rules: DataFrame, limit: int
     return out.orderBy(F.desc("similarity"), "regrouping", kind_rank(F.col("kind")), F.desc("documents"), "value", "into").limit(limit)
 
 
+def _writings(value: str) -> list[tuple]:
+    """VOC2: values with one of these in common are one writing."""
+    numbers, _, joined, ordered = comparison_key(value)
+    return [("joined", tuple(numbers), joined), ("sorted", tuple(numbers), ordered)]
+
+
 def resolve_rules(rules: list[tuple[str, str, str, str | None]]) -> dict[tuple[str, str], str | None]:
     """VOC9: where each label of the user's rules (kind, value, action, target) ends; None if it is ignored."""
-    first: dict[tuple[str, tuple], tuple[str, str | None]] = {}
-    for kind, value, action, target in rules:
-        if action in ("merge", "ignore"):
-            k = comparison_key(value)
-            first.setdefault((kind, (tuple(k[0]), k[2])), (action, target))
+    deciding = [r for r in rules if r[2] in ("merge", "ignore")]
+    first: dict[tuple, int] = {}
+    for n, (kind, value, _, _) in enumerate(deciding):
+        for w in _writings(value):
+            first.setdefault((kind, w), n)
     out: dict[tuple[str, str], str | None] = {}
-    for kind, value, action, _ in rules:
-        if action not in ("merge", "ignore"):
-            continue
+    for kind, value, _, _ in deciding:
         at: str | None = value
         seen = set()
         while at is not None:
-            k = comparison_key(at)
-            step = (kind, (tuple(k[0]), k[2]))
-            if step in seen or step not in first:
+            found = min((first[kind, w] for w in _writings(at) if (kind, w) in first), default=None)
+            if found is None or found in seen:
                 break
-            seen.add(step)
-            action_, target = first[step]
-            at = None if action_ == "ignore" else target
+            seen.add(found)
+            at = None if deciding[found][2] == "ignore" else deciding[found][3]
         out[kind, value] = at
     return out
 
 
 def apply_rules(labels: DataFrame, rules: DataFrame, most_rules: int = 200_000) -> DataFrame:
     """VOC9, VOC11: labels (.., kind, value) with ruled ones rewritten or gone, by writing. Rules are the user's own list."""
-    listed = [(r["kind"], r["value"], r["action"], r["target"]) for r in rules.orderBy("id").limit(most_rules).collect()]
-    ends = [(k, "".join(comparison_key(v)[2]), comparison_key(v)[0], t) for (k, v), t in resolve_rules(listed).items()]
-    spark = labels.sparkSession
-    table = spark.createDataFrame(ends, "kind string, joined string, numbers array<string>, target string").dropDuplicates(["kind", "joined", "numbers"]).withColumn("ruled", F.lit(True))
-    keyed = labels.withColumn("k", keys_of("value")).withColumn("joined", F.col("k.joined")).withColumn("numbers", F.col("k.numbers"))
-    met = keyed.join(F.broadcast(table), ["kind", "joined", "numbers"], "left").where("ruled IS NULL OR target IS NOT NULL")
-    return met.withColumn("value", F.coalesce("target", "value")).select(*labels.columns).distinct()
+    listed = [(r["kind"], r["value"], r["action"], r["target"]) for r in rules.orderBy("id").limit(most_rules + 1).collect()]
+    if len(listed) > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
+    ends: dict[tuple, tuple] = {}
+    for n, ((kind, value), target) in enumerate(resolve_rules(listed).items()):
+        for leg, numbers, written in _writings(value):
+            ends.setdefault((kind, leg, numbers, written), (n, target))
+    rows = [(kind, leg, list(numbers), written, n, target) for (kind, leg, numbers, written), (n, target) in ends.items()]
+    table = labels.sparkSession.createDataFrame(rows, "kind string, leg string, numbers array<string>, written string, turn int, target string")
+    met = labels.withColumn("_k", keys_of("value"))
+    for leg in ("joined", "sorted"):
+        mine = F.broadcast(table.where(F.col("leg") == leg).select(F.col("kind").alias("_kind"), F.col("numbers").alias("_numbers"), F.col("written").alias("_written"), F.struct("turn", "target").alias(f"_{leg}")))
+        met = met.join(mine, (F.col("kind") == F.col("_kind")) & (F.col("_k.numbers") == F.col("_numbers")) & (F.col(f"_k.{leg}") == F.col("_written")), "left").drop("_kind", "_numbers", "_written")
+    rule = F.least(F.col("_joined"), F.col("_sorted"))  # the earlier rule
+    kept = met.where(rule.isNull() | rule["target"].isNotNull())
+    return kept.withColumn("value", F.coalesce(rule["target"], F.col("value"))).select(*labels.columns).distinct()
 
 
 def align(labels: DataFrame, used: DataFrame, thresholds: dict[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
@@ -187,8 +220,7 @@ def align(labels: DataFrame, used: DataFrame, thresholds: dict[str, tuple[float,
 
 def relabel(docs: DataFrame, kind: str, value: str, target: str | None) -> DataFrame:
     """VOC13, PIP17: documents whose labels change when a writing of (kind, value) becomes target, or goes."""
-    k = comparison_key(value)
-    wanted = F.struct(F.array(*map(F.lit, k[0])).cast("array<string>").alias("numbers"), F.lit(k[1]).alias("digits"), F.lit(k[2]).alias("joined"), F.lit(k[3]).alias("sorted"))
+    wanted = key_literal(value)
     names = docs.columns
     flat = docs.select(*names, F.posexplode("labels").alias("pos", "label")).withColumn("k", keys_of("label.value"))
     fits = (F.col("label.kind") == kind) & same_writing(F.col("k"), wanted)
@@ -198,6 +230,29 @@ def relabel(docs: DataFrame, kind: str, value: str, target: str | None) -> DataF
     return docs.drop("labels").join(out, "doc_id").where(F.lit(True)).select(*names)
 
 
+def most_alike(value: str, others: DataFrame, n: int) -> DataFrame:
+    """RNK7: the n values of others (value, position) most alike to one, itself left out, the earlier on ties."""
+    mine = key_literal(value)
+    scored = others.where(F.col("value") != value).withColumn("similarity", similarity(mine, keys_of("value")))
+    return scored.orderBy(F.desc("similarity"), "position").limit(n)
+
+
+def stored_form(labels: Column, by_hand: Column) -> Column:
+    """VOC17: struct<labels, tags_only, by_hand>: null labels while there are none, the by-hand ones that are among them."""
+    some = F.size(labels) > 0
+    tags = some & F.forall(labels, lambda x: x["kind"] == "tag")
+    return F.struct(F.when(some, labels).alias("labels"), F.coalesce(tags, F.lit(False)).alias("tags_only"), F.filter(by_hand, lambda h: F.exists(labels, lambda x: x == h)).alias("by_hand"))
+
+
+def decided(pairs: DataFrame, used: DataFrame) -> DataFrame:
+    """VOC14: rules of judged pairs (kind, a, b, judged): both still in use; the same ones merge into the more used, others stay apart."""
+    count = lambda c: used.select("kind", F.col("value").alias(c), F.col("documents").alias(f"n_{c}"))
+    both = pairs.where("judged IS NOT NULL").join(count("a"), ["kind", "a"]).join(count("b"), ["kind", "b"])
+    first = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    into, gone = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    return both.select("kind", gone.alias("value"), F.when(F.col("judged") == "same", "merge").otherwise("keepApart").alias("action"), into.alias("target"))
+
+
 def guidance(used: DataFrame, limit: int) -> DataFrame:
     """VOC15: the most used labels of each kind."""
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("documents"), "value"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.labels import TIMES, overlaps, span
 from dossier.functions.text import fold, search_key
+from dossier.operators.filters import with_labels
 from dossier.operators.search import Phrase, bm25
 
 
@@ -64,11 +65,39 @@ def grouping_tree(docs: DataFrame, levels: Sequence[str]) -> DataFrame:
 
 def collision_names(files: DataFrame, folder: str, name: str, key: str) -> DataFrame:
     """TXT17, SNK6: `name (n)` from the second file of a folded name in a folder."""
-    place = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(key))
+    place = F.row_number().over(Window.partitionBy(folder, fold(F.col(name))).orderBy(key))
     stem, dot = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
     return files.withColumn("export_name", F.when(place == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), place.cast("string"), F.lit(")"), dot)))
 
 
+def export_manifest(files: DataFrame, levels: Sequence[str], name: str, key: str, readable: Column) -> DataFrame:
+    """SNK6: (path, key, skipped): each file's place in the export by its levels, `Other` without one, with a reason if it is skipped."""
+    parts = [F.coalesce(F.nullif(F.regexp_replace(F.trim(F.col(c)), r"[/:\\\\]", "-"), F.lit("")), F.lit("Other")) for c in levels]
+    placed = collision_names(files.withColumn("folder", F.concat_ws("/", *parts)).withColumn("skipped", F.when(~readable, "unreadable")), "folder", name, key)
+    return placed.select(F.when(F.col("skipped").isNull(), F.concat_ws("/", "folder", "export_name")).alias("path"), key, "skipped")
+
+
+def add_by_labels(docs: DataFrame, labels: DataFrame, selected: Sequence[tuple[str, str]], members: DataFrame, most: int = 1000) -> DataFrame:
+    """PIP12: documents with all the selected labels that aren't in the set yet, the newest ``most`` of them."""
+    found = with_labels(docs, labels, selected).join(members, "doc_id", "left_anti")
+    return found.orderBy(F.desc_nulls_last("added_at"), F.desc("doc_id")).limit(most)
+
+
+#: PIP9: what a review action makes of a document's state; undo takes the last one back.
+REVIEW = {"confirm": "filed", "hold": "needsReview", "remove": "removed", "putBack": "needsReview", "retry": "pending"}
+
+
+def reviewed(events: DataFrame) -> DataFrame:
+    """PIP9: (doc_id, state, n): each document's state after its review events (doc_id, id, action), in order.
+
+    An undo takes back the last action that isn't taken back yet.
+    """
+    state = F.create_map(*[F.lit(x) for pair in REVIEW.items() for x in pair])
+    ordered = events.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("id", "action"))).alias("all"))  # of one document
+    done = F.aggregate("all", F.array().cast("array<string>"), lambda acc, e: F.when(e["action"] == "undo", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(F.map_contains_key(state, e["action"]), F.concat(acc, F.array(e["action"]))).otherwise(acc))
+    return ordered.select("doc_id", done.alias("done")).select("doc_id", F.coalesce(F.try_element_at(state, F.element_at(F.when(F.size("done") > 0, F.col("done")), -1)), F.lit("needsReview")).alias("state"), F.size("done").cast("long").alias("n"))
+
+
 def maintain_set(members: DataFrame, found: DataFrame) -> DataFrame:
     """PIP11: (doc_id, inclusion, seq): found ones join, stale matches leave, removed stay out, added stay in."""
     both = members.join(found.select("doc_id", F.lit(True).alias("found")).distinct(), "doc_id", "full_outer")
@@ -79,10 +108,16 @@ def maintain_set(members: DataFrame, found: DataFrame) -> DataFrame:
     return kept.crossJoin(F.broadcast(last)).select("doc_id", "inclusion", F.coalesce("seq", F.col("last") + fresh).cast("int").alias("seq"))  # last is one row
 
 
-def timeline(turns: DataFrame, events: DataFrame) -> DataFrame:
-    """PIP13: turns and later changes of a conversation in one order, changes before a turn of the same instant."""
-    both = turns.select("at", F.lit(1).alias("order"), F.col("id").alias("position"), "text").unionByName(events.select("at", F.lit(0).alias("order"), F.col("id").alias("position"), F.col("summary").alias("text")))
-    return both.orderBy("at", "order", "position")
+def timeline(turns: DataFrame, events: DataFrame, key: str | None = None) -> DataFrame:
+    """PIP13: turns and later changes of a conversation in one order, changes before a turn of the same instant.
+
+    With a key the conversations of a whole table, each row with its place in its own.
+    """
+    some = [key] if key else []
+    both = turns.select(*some, "at", F.lit(1).alias("order"), F.col("id").alias("position"), "text").unionByName(events.select(*some, "at", F.lit(0).alias("order"), F.col("id").alias("position"), F.col("summary").alias("text")))
+    if key is None:
+        return both.orderBy("at", "order", "position")
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at", "order", "position")))
 
 
 def history_budget(turns: DataFrame, task: str, seq: str, text: str, budget: int = 4000) -> DataFrame:
