@@ -45,6 +45,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def after_shuffle(condition: Column) -> Column:
+    """The condition, kept above the shuffle of its rows: several uses of these rows then share that one shuffle.
+
+    Partition ids aren't deterministic for Spark, so that it doesn't move the filter. The uses must also read all
+    columns, or else each has a shuffle of its own.
+    """
+    return F.when(F.spark_partition_id() >= 0, condition)
+
+
 def beside(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """rows joined ("inner" or "left") with groups, which has a row per key and, in _n, how many of the rows have that key.
 

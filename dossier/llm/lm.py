@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import release, shuffle_partitions
+from dossier.llm.common import after_shuffle, release, shuffle_partitions
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 HASH_BITS = 56
@@ -92,7 +92,10 @@ def _places(sizes: np.ndarray) -> np.ndarray:
 
 
 def _batches(docs: DataFrame, keep: list[str], order: int, batch_words: int, bits: int) -> DataFrame:
-    """Rows of a batch by kind: 0 a document (its word numbers), 1 the words' hashes, 2 a bucket's n-grams and counts."""
+    """Rows of a batch by kind: 0 a document (its word numbers), 1 the words' hashes, 2 a bucket's n-grams and counts.
+
+    The column to says where a row is dealt: the batch, or below zero the bucket.
+    """
     schema = docs.select(*keep).schema
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +106,10 @@ def _batches(docs: DataFrame, keep: list[str], order: int, batch_words: int, bit
 
         def batch_of(kind, bucket, codes, more, size, kept) -> pa.RecordBatch:
             n = len(codes)
-            arrays = [pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary()), pa.array(more, pa.binary()), pa.array(size, pa.int64())]
+            to = [-1 - b for b in bucket] if kind == 2 else [part + k] * n
+            arrays = [pa.array(to, pa.int64()), pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary()), pa.array(more, pa.binary()), pa.array(size, pa.int64())]
             arrays += [pa.nulls(n, f.type) for f in beside[0].schema] if kept is None else kept.columns
-            return pa.RecordBatch.from_arrays(arrays, ["batch", "kind", "bucket", "codes", "more", "size", *keep])
+            return pa.RecordBatch.from_arrays(arrays, ["to", "batch", "kind", "bucket", "codes", "more", "size", *keep])
 
         def flush() -> Iterator[pa.RecordBatch]:
             numbers, sizes, listed = _numbered(texts)
@@ -143,14 +147,7 @@ def _batches(docs: DataFrame, keep: list[str], order: int, batch_words: int, bit
             yield from flush()
 
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(run, f"batch long, kind int, bucket int, codes binary, more binary, size long{fields}")
-
-
-def _entries(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of n-grams. As a task and not a filter, so that all uses of the batches share one shuffle."""
-    for batch in rows:
-        some = pa.Table.from_batches([batch]).select(["batch", "kind", "bucket", "codes", "more"])
-        yield from some.filter(pc.equal(some["kind"], 2)).drop_columns(["kind"]).to_batches()
+    return docs.mapInArrow(run, f"to long, batch long, kind int, bucket int, codes binary, more binary, size long{fields}")
 
 
 def _sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +219,9 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, keep: tuple[st
     rows_in = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names, strict=True)], F.col(text).alias("_text"))
     types = [rows_in.schema[a].dataType.simpleString() for a in names]
     n = shuffle_partitions(docs.sparkSession)
-    rows = _batches(rows_in, names, order, batch_words, (buckets * n - 1).bit_length()).repartition(n, "batch")
-    asked = rows.mapInArrow(_entries, "batch long, bucket int, codes binary, more binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    corpus = rows.mapInArrow(_sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("corpus"))
+    rows = _batches(rows_in, names, order, batch_words, (buckets * n - 1).bit_length()).repartition(n, "to")
+    asked, held = rows.where(after_shuffle(F.col("kind") == 2)).sortWithinPartitions("bucket"), rows.where(after_shuffle(F.col("kind") < 2))
+    corpus = held.mapInArrow(_sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("corpus"))
     back = asked.mapInArrow(_totals, "part long, bucket int, totals binary").crossJoin(F.broadcast(corpus))  # one row
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -257,5 +254,5 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, keep: tuple[st
         return pa.table([*[documents[a] for a in names], pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], [*names, "n_words", "log10_sum"])
 
     fields = ", ".join([f"{a} {t}" for a, t in zip(names, types, strict=True)] + ["n_words long", "log10_sum double"])
-    out = rows.groupBy("batch").cogroup(back.groupBy("part")).applyInArrow(meet, fields)
+    out = held.groupBy("to").cogroup(back.groupBy("part")).applyInArrow(meet, fields)
     return out.select(*[F.col(a).alias(c) for c, a in zip(keep, names, strict=True)], "n_words", "log10_sum", (F.col("log10_sum") / F.col("n_words")).alias("score"))
