@@ -4,8 +4,8 @@ A document first fails plain rules on its counts. The others are judged by a vec
 length, symbols, capitals, punctuation). Per language, and per language and source, a minimum-covariance-determinant
 estimate is made as by Rousseeuw and Van Driessen (1999): from several starts (one from coordinatewise medians and
 deviations, the others from random subsets of DIMENSIONS + 1 rows) the mean and covariance are taken anew of the
-``core`` share of rows nearest to the last estimate, until no determinant falls any more; of the starts the one of the
-least determinant is taken. All starts of both kinds of groups go through a step together.
+``core`` share of rows nearest to the last estimate. After the first steps the start of the least determinant is taken
+on, until no determinant falls any more. All starts of both kinds of groups go through a step together.
 
 A source's estimate is drawn towards its language's by the weight of ``prior`` rows, so that small sources don't stand on
 a few rows. Rejected are rows whose squared Mahalanobis distance, scaled so that its median is that of the chi-square
@@ -97,92 +97,102 @@ def counts(docs: DataFrame, window: int = 8) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c not in ("text", *FACTS, "n_caps", "n_stops")], F.inline(F.array(_bind(facts, result))))
 
 
-def _beside(rows: DataFrame, groups: DataFrame, most: int = 100_000) -> DataFrame:
-    """rows with the columns of their group: all groups broadcast when counted to be few, else the heavy ones."""
-    groups = stored(groups)
-    return rows.join(F.broadcast(groups.drop("_n")), "grp") if groups.count() <= most else beside(rows, groups, ["grp"])
+def _beside(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """rows with the columns of their group (grp, _n, ..): few groups are broadcast, of many the heavy ones."""
+    return rows.join(F.broadcast(groups.drop("_n")), "grp") if few else beside(rows, stored(groups), ["grp"])
 
 
 MEANS = [f"m{i}" for i in range(DIMENSIONS)]
 PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
 COVARIANCES = [f"c{i}{j}" for i, j in PAIRS]
-STATE = ["start", "n", *MEANS, *COVARIANCES, "logdet"]
+FACTORS = [f"l{i}{j}" for i, j in PAIRS]
+STATE = ["start", "n", *MEANS, *COVARIANCES, *FACTORS, "logdet"]
 
 
-def _estimated(start: Column, n: Column, means: list[Column], pair) -> Column:
-    """struct of STATE: a start's mean and covariance pair(i, j), with the covariance's log determinant to come."""
-    floored = [(F.greatest(pair(i, j), F.lit(FLOOR**2)) if i == j else pair(i, j)).alias(f"c{i}{j}") for i, j in PAIRS]
-    return F.struct(start.cast("int").alias("start"), n.cast("long").alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(means)], *floored)
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, m.., c..): mean and covariance of each group of rows, with a floor below variances."""
+    x = [f"x{i}" for i in range(DIMENSIONS)]
+    covariances = [f"covar_pop(x{i}, x{j})" for i, j in PAIRS]
+    floored = [f"greatest({c}, {FLOOR**2!r}D) AS c{i}{j}" if i == j else f"{c} AS c{i}{j}" for c, (i, j) in zip(covariances, PAIRS, strict=True)]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(m) for c, m in zip(x, MEANS, strict=True)], *map(F.expr, floored))
 
 
-def _starts(rows: DataFrame, starts: int) -> DataFrame:
-    """(grp, _n, some): first estimates of each group of rows (grp, x0..)."""
-    x = [F.col(f"x{i}") for i in range(DIMENSIONS)]
+def _starts(rows: DataFrame, starts: int, most: int) -> tuple[DataFrame, bool]:
+    """(grp, _n, some): first estimates of each group of rows (grp, x0..), and whether the groups are few."""
+    x = [f"x{i}" for i in range(DIMENSIONS)]
+    listed = ", ".join(x)
     drawn = {(s, k): f"r{s}_{k}" for s in range(1, starts) for k in range(DIMENSIONS + 1)}
-    picked = [F.min(F.struct(F.xxhash64(*x, F.lit(f"{s} {k}")).alias("by"), *x)).alias(name) for (s, k), name in drawn.items()]
-    medians = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)], *picked)
-    medians = stored(medians)
-    spread = _beside(rows, medians.select("grp", "_n", *MEANS)).groupBy("grp").agg(*[(1.4826 * F.percentile_approx(F.abs(c - F.col(f"m{i}")), 0.5, 1000)).alias(f"s{i}") for i, c in enumerate(x)])
-    found = [_estimated(F.lit(0), F.col("_n"), [F.col(m) for m in MEANS], lambda i, j: F.col(f"s{i}") ** 2 if i == j else F.lit(0.0))]
-    for s in range(1, starts):
-        some = [F.col(drawn[s, k]) for k in range(DIMENSIONS + 1)]
-        mean = [functools.reduce(lambda a, b: a + b, [r[f"x{i}"] for r in some]) / len(some) for i in range(DIMENSIONS)]
-        found.append(_estimated(F.lit(s), F.col("_n"), mean, lambda i, j, some=some, mean=mean: functools.reduce(lambda a, b: a + b, [(r[f"x{i}"] - mean[i]) * (r[f"x{j}"] - mean[j]) for r in some]) / len(some)))
-    return medians.join(spread, "grp").select("grp", "_n", F.array(*found).alias("some"))
-
-
-def _factor() -> dict[tuple[int, int], Column]:
-    """Cholesky factor of the columns c, with a floor below its diagonal."""
-    lower: dict[tuple[int, int], Column] = {}
-    for i in range(DIMENSIONS):
-        for j in range(i):
-            lower[i, j] = (F.col(f"c{i}{j}") - sum((lower[i, k] * lower[j, k] for k in range(j)), F.lit(0.0))) / lower[j, j]
-        lower[i, i] = F.sqrt(F.greatest(F.col(f"c{i}{i}") - sum((lower[i, k] ** 2 for k in range(i)), F.lit(0.0)), F.lit(FLOOR**2)))
-    return lower
+    picked = [F.expr(f"min(struct(xxhash64({listed}, '{s} {k}') AS by, {listed})) AS {name}") for (s, k), name in drawn.items()]
+    medians = stored(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(c, 0.5, 1000).alias(m) for c, m in zip(x, MEANS, strict=True)], *picked))
+    few = medians.count() <= most
+    spread = _beside(rows, medians.select("grp", "_n", *MEANS), few).groupBy("grp").agg(*[F.expr(f"greatest(1.4826D * percentile_approx(abs(x{i} - m{i}), 0.5, 1000), {FLOOR!r}D) AS s{i}") for i in range(DIMENSIONS)])
+    plain = medians.join(spread, "grp").selectExpr("grp", "_n", "0 AS start", "_n AS n", *MEANS, *[f"s{i} * s{i} AS c{i}{j}" if i == j else f"0D AS c{i}{j}" for i, j in PAIRS])
+    if not drawn:
+        return _gathered(plain), few
+    members = ", ".join(f"struct({s} AS start, {', '.join(f'{name}.{c} AS {c}' for c in x)})" for (s, _), name in drawn.items())
+    random = _moments(medians.selectExpr("grp", "_n", f"inline(array({members}))"), ["grp", "_n", "start"])
+    return _gathered(plain.unionByName(random)), few
+
+
+def _factored(estimates: DataFrame) -> DataFrame:
+    """estimates (m.., c..) with the Cholesky factor l.. of the covariance, floored on its diagonal, and logdet."""
+    out = estimates
+    for i, j in PAIRS:
+        rest = " - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
+        out = out.selectExpr("*", f"sqrt(greatest({rest}, {FLOOR**2!r}D)) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return out.selectExpr("*", f"2 * ({' + '.join(f'ln(l{i}{i})' for i in range(DIMENSIONS))}) AS logdet")
+
+
+def _gathered(estimates: DataFrame) -> DataFrame:
+    """(grp, _n, some): the factored estimates of each group as an array."""
+    return _factored(estimates).groupBy("grp", "_n").agg(F.sort_array(F.collect_list(F.struct(*STATE))).alias("some"))  # a few starts
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance from the columns m (mean), c (covariance) and x."""
-    lower = _factor()
-    steps: list[Column] = []
+    """Squared Mahalanobis distance from the columns m (mean), l (factor of the covariance) and x."""
+    steps: list[str] = []
     for i in range(DIMENSIONS):
-        steps.append((F.col(f"x{i}") - F.col(f"m{i}") - sum((lower[i, k] * steps[k] for k in range(i)), F.lit(0.0))) / lower[i, i])
-    return functools.reduce(lambda a, b: a + b, [s**2 for s in steps])
+        steps.append("((" + " - ".join([f"x{i} - m{i}", *[f"l{i}{k} * {steps[k]}" for k in range(i)]]) + f") / l{i}{i})")
+    return F.expr(" + ".join(f"pow({step}, 2)" for step in steps))
 
 
-def _concentrated(rows: DataFrame, state: DataFrame, core: float) -> DataFrame:
+def _concentrated(rows: DataFrame, state: DataFrame, core: float, few: bool) -> DataFrame:
     """(grp, _n, some): mean and covariance of the core share of rows nearest to each estimate in some, with log determinants."""
-    far = _beside(rows, state).select("grp", *[f"x{i}" for i in range(DIMENSIONS)], F.inline("some"))
+    x = [f"x{i}" for i in range(DIMENSIONS)]
+    far = _beside(rows, state, few).select("grp", *x, F.inline("some"))
     edges = far.groupBy("grp", "start").agg(F.percentile_approx(_distance(), core, 1000).alias("edge"))
     edges = edges.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("start", "edge"))).alias("edges"))  # an entry per start
-    near = _beside(rows, state.join(edges, "grp")).select("grp", *[f"x{i}" for i in range(DIMENSIONS)], "edges", F.inline("some")).where(_distance() <= F.element_at("edges", F.col("start")))
-    moments = near.groupBy("grp", "start").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMENSIONS)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in PAIRS]
-    )
-    fresh = moments.select("grp", F.inline(F.array(_estimated(F.col("start"), F.col("n"), [F.col(m) for m in MEANS], lambda i, j: F.col(f"c{i}{j}")))))
-    lower = _factor()
-    measured = fresh.withColumn("logdet", 2 * functools.reduce(lambda a, b: a + b, [F.log(lower[i, i]) for i in range(DIMENSIONS)]))
-    return measured.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(*STATE))).alias("some")).join(state.select("grp", "_n"), "grp")
+    near = _beside(rows, state.join(edges, "grp"), few).select("grp", *x, "edges", F.inline("some")).where(_distance() <= F.element_at("edges", F.col("start")))
+    fresh = _moments(near, ["grp", "start"])
+    return _gathered(fresh.join(state.select("grp", "_n"), "grp"))
+
+
+def _best(state: DataFrame) -> DataFrame:
+    """Of each group's estimates the one of the least determinant."""
+    least = F.array_min(F.transform("some", lambda s: F.struct(s["logdet"].alias("by"), s.alias("s"))))["s"]
+    return state.select("grp", "_n", F.array(least).alias("some"))
 
 
-def estimate(rows: DataFrame, core: float = 0.75, starts: int = 4, settled: float = 1e-3) -> DataFrame:
+def estimate(rows: DataFrame, core: float = 0.75, starts: int = 4, first_steps: int = 2, settled: float = 0.01, most: int = 100_000) -> DataFrame:
     """(grp, n, logdet, m0.., c00..): the estimate of the least determinant for each group of rows (grp, x0..).
 
-    Steps go on until in no group a start's log determinant falls by ``settled`` or more. Covariances are scaled so that
-    the median of squared distances is the chi-square distribution's.
+    All starts go through ``first_steps``; the best of each group goes on until in no group the log determinant falls by
+    ``settled`` or more. Covariances are scaled so that the median of squared distances is the chi-square distribution's.
+    At most ``most`` groups are broadcast whole.
     """
-    state, before = stored(_starts(rows, starts)), None
+    state, few = _starts(rows, starts, most)
+    state = stored(state)
+    for _ in range(first_steps):
+        state = stored(_concentrated(rows, state, core, few))
+    state = stored(_best(state))
     while True:
-        state = stored(_concentrated(rows, state, core))
-        now = state.select("grp", F.transform("some", lambda s: s["logdet"]).alias("now"))
-        if before is not None:
-            fall = F.array_max(F.zip_with("was", "now", lambda a, b: a - b))
-            if not (now.join(before.withColumnRenamed("now", "was"), "grp").agg(F.max(fall)).first()[0] or 0.0) >= settled:
-                break
-        before = now
-    best = state.select("grp", "_n", F.inline(F.array(F.array_min(F.transform("some", lambda s: F.struct(s["logdet"].alias("by"), s.alias("s")))))))
-    best = best.select("grp", "_n", "s.*")
-    scale = _beside(rows, best).groupBy("grp").agg((F.percentile_approx(_distance(), 0.5, 1000) / MEDIAN).alias("scale"))
+        fresh = stored(_concentrated(rows, state, core, few))
+        both = fresh.select("grp", F.get("some", 0)["logdet"].alias("now")).join(state.select("grp", F.get("some", 0)["logdet"].alias("was")), "grp")
+        state, fall = fresh, both.agg(F.max(F.col("was") - F.col("now"))).first()[0]
+        if fall is None or fall < settled:
+            break
+    best = state.select("grp", "_n", F.inline("some"))
+    scale = _beside(rows, best, few).groupBy("grp").agg((F.percentile_approx(_distance(), 0.5, 1000) / MEDIAN).alias("scale"))
     return best.join(scale, "grp").select("grp", F.col("_n").alias("n"), "logdet", *MEANS, *[(F.col(c) * F.greatest("scale", F.lit(1e-3))).alias(c) for c in COVARIANCES])
 
 
@@ -217,8 +227,9 @@ def judge(docs: DataFrame, window: int = 8, least_words: int = 20, repeat_percen
     mixed = found.where("grp.g2 IS NOT NULL").select("grp", "n", *MEANS, *COVARIANCES, "grp.g1").join(wide, "g1").select(
         "grp", F.col("n").alias("_n"), *[((F.col(c) * F.col("n") + F.col(f"w_{c}") * prior) / (F.col("n") + prior)).alias(c) for c in (*MEANS, *COVARIANCES)]
     )
+    mixed = stored(_factored(mixed))
     # Every row that has a distance has a group; the others need none.
-    judged = _beside(vectors.where("NOT base_failed").withColumn("grp", F.struct("g1", "g2")), mixed).withColumn("distance", _distance())
+    judged = _beside(vectors.where("NOT base_failed").withColumn("grp", F.struct("g1", "g2")), mixed, mixed.count() <= 100_000).withColumn("distance", _distance())
     columns = ["row.*", *FACTS, "base_failed"]
     passed = judged.select(*columns, "distance", (F.col("distance") <= chi_square(tail)).alias("kept"))
     return passed.unionAll(facts.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
