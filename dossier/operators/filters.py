@@ -93,6 +93,18 @@ def in_order_of(docs: DataFrame, ids: Sequence[int], key: str = "doc_id") -> Dat
     return docs.join(F.broadcast(asked), key).orderBy("position")  # the caller's own list
 
 
+def positions(rows: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
+    """rows with their place in an order of the whole table, from 1, without bringing it to one task.
+
+    Rows are sorted in ranges; a range's places begin after the ranges before it. Ties are the caller's to break.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()  # read twice: ranges must not move
+    counted = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row per range
+    before = counted.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).select(*rows.columns, name)
+
+
 def document_order(date: Column, name: Column, key: Column) -> list[Column]:
     """RNK5: newest date first, without a date last, then names in natural order."""
     return [F.desc_nulls_last(date), natural_key(name), key]

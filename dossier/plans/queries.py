@@ -13,6 +13,7 @@ from dossier.plans import tasks
 from dossier.plans.adapters import LABELS_SQL, STEPS_SQL, labels, steps, table
 from dossier.plans.registry import QUERIES, query
 from dossier.sources import files
+from dossier.streaming import arrivals
 
 FIELDS = {"body": "text", "sender": "source", "language": "lang"}
 _TOKENS_SQL = "regexp_extract_all(lower(strip_accents(coalesce({}, ''))), '[\\p{{L}}\\p{{N}}]+')"
@@ -429,27 +430,25 @@ def paging_before(spark, sf_dir):
     return filters.page_before(events, "2024-01-10", 100, "at", "event_id").select("event_id", "ts")
 
 
-@query("document_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS position FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+@query("document_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS position FROM orders")
 def document_order(spark, sf_dir):
-    """RNK5, SRT1-2: newest date first, ties by name in natural order."""
-    some = table(spark, sf_dir, "orders").withColumn("name", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
-    first = some.orderBy(*filters.document_order(F.col("o_orderdate"), F.col("name"), F.col("o_orderkey"))).limit(200)
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy(*filters.document_order(F.col("o_orderdate"), F.col("name"), F.col("o_orderkey")))).cast("long").alias("position"))
+    """RNK5, SRT1-2: newest date first, ties by name in natural order; every document's place."""
+    some = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"))
+    return filters.positions(some, filters.document_order(F.col("o_orderdate"), F.col("name"), F.col("o_orderkey"))).select("o_orderkey", "position")
 
 
-@query("settled_files", "WITH l AS (SELECT user_id, event_id, ts, value, lag(event_type) OVER w = event_type AS same FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, min(ts) AS settled_at FROM l WHERE same GROUP BY 1")
+@query("settled_files", "WITH l AS (SELECT user_id, ts, value, event_type <> 'error' AND value > 0 AND lag(value > 10) OVER w = (value > 10) AND lag(event_type) OVER w <> 'error' AS same FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT user_id, min(ts) AS settled_at FROM l WHERE same GROUP BY 1")
 def settled_files(spark, sf_dir):
-    """SRC2 in batch form: the first of two equal neighbours of each key."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    marked = table(spark, sf_dir, "events").withColumn("same", F.lag("event_type").over(w) == F.col("event_type"))
-    return marked.where("same").groupBy("user_id").agg(F.min("ts").alias("settled_at"))
+    """SRC2 in batch form: the first of two readable polls of each file that are alike."""
+    polls = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("ts").alias("polled_at"), F.when(F.col("value") > 0, (F.col("value") > 10).cast("int") + 1).otherwise(0).alias("size"), F.lit(0).alias("mtime"), (F.col("event_type") != "error").alias("readable"))
+    return arrivals.settled(polls).select(F.col("path").alias("user_id"), "settled_at")
 
 
 @query("funnel_windows", "SELECT day, count(*) AS n FROM (SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY))::TIMESTAMP AS day FROM events) GROUP BY 1")
 def funnel_windows(spark, sf_dir):
     """STR7: seven-day windows, a day apart."""
-    found = table(spark, sf_dir, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "7 days", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return found.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "n")
+    found = arrivals.windowed(table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at")), "at", [])
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
 @query("pair_judgement_summary", "SELECT round(avg(CASE WHEN quality = 1 AND toxic = 0 OR quality = 0 AND toxic = 1 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) FILTER (quality = 1 AND toxic = 1) AS wrongly_kept_apart, count(*) FILTER (quality = 0 AND toxic = 0) AS wrongly_merged FROM labels")
@@ -509,12 +508,14 @@ def made_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.made_name(day, F.lit("clerk"), title).alias("name"))
 
 
-@query("set_maintenance", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND doc_id < 100 THEN 'removed' ELSE 'matched' END AS inclusion FROM documents WHERE lang = 'fr' OR (doc_id % 7 = 0 AND doc_id < 100)")
+@query("set_maintenance", """WITH m AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'removed' ELSE 'matched' END AS inclusion, doc_id::INT AS seq FROM documents WHERE n_chars % 2 = 0), f AS (SELECT doc_id FROM documents WHERE lang IN ('fr', 'de')),
+b AS (SELECT coalesce(m.doc_id, f.doc_id) AS doc_id, CASE WHEN m.inclusion = 'removed' THEN 'removed' WHEN f.doc_id IS NOT NULL THEN 'matched' END AS inclusion, m.seq FROM m FULL JOIN f ON m.doc_id = f.doc_id)
+SELECT doc_id, inclusion, coalesce(seq, (SELECT coalesce(max(seq), 0) FROM m) + row_number() OVER (PARTITION BY seq IS NULL ORDER BY doc_id))::INT AS seq FROM b WHERE inclusion IS NOT NULL""")
 def set_maintenance(spark, sf_dir):
-    """PIP11: a task's set after a new search."""
+    """PIP11, WIN7: a task's set after a new search, new members numbered on."""
     docs = table(spark, sf_dir, "documents")
-    members = docs.where("doc_id < 100").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "removed").otherwise("matched").alias("inclusion"), F.col("doc_id").cast("int").alias("seq"))
-    return tasks.maintain_set(members, docs.where("lang = 'fr'").select("doc_id")).select("doc_id", "inclusion")
+    members = docs.where("n_chars % 2 = 0").select("doc_id", F.when(F.col("lang") == "de", "removed").otherwise("matched").alias("inclusion"), F.col("doc_id").cast("int").alias("seq"))
+    return tasks.maintain_set(members, docs.where("lang IN ('fr', 'de')").select("doc_id")).select("doc_id", "inclusion", "seq")
 
 
 @query("session_windows", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, session")
@@ -575,12 +576,11 @@ def written_senders(spark, sf_dir):
     return docs.select("doc_id", grounding.name_is_written(F.col("source"), grounding.written_words(F.col("text"))).alias("written"))
 
 
-@query("natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer ORDER BY c_custkey LIMIT 300")
+@query("natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
 def natural_order(spark, sf_dir):
-    """UDF2: numbers in names by value."""
-    name = T.natural_key(F.concat(F.lit("file "), F.col("c_custkey").cast("string")))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", name.alias("key")).orderBy("key").limit(300)
-    return rows.select("c_custkey", F.row_number().over(Window.orderBy("key")).cast("long").alias("place"))
+    """UDF2: numbers in names by value, over all customers."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", T.natural_key(F.concat(F.lit("file "), F.col("c_custkey").cast("string"))).alias("key"))
+    return filters.positions(rows, ["key"], "place").select("c_custkey", "place")
 
 
 def registered() -> dict:

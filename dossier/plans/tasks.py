@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.labels import TIMES, overlaps, span
 from dossier.functions.text import fold, search_key
-from dossier.operators.filters import with_labels
+from dossier.operators.filters import positions, with_labels
 from dossier.operators.search import Phrase, bm25
 
 
@@ -104,8 +104,9 @@ def maintain_set(members: DataFrame, found: DataFrame) -> DataFrame:
     inclusion = F.when(F.col("inclusion").isin("added", "removed"), F.col("inclusion")).when(F.col("found"), "matched")
     kept = both.withColumn("inclusion", inclusion).where("inclusion IS NOT NULL")
     last = members.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    fresh = F.row_number().over(Window.partitionBy(F.col("seq").isNull()).orderBy("doc_id"))
-    return kept.crossJoin(F.broadcast(last)).select("doc_id", "inclusion", F.coalesce("seq", F.col("last") + fresh).cast("int").alias("seq"))  # last is one row
+    known = kept.where("seq IS NOT NULL").select("doc_id", "inclusion", F.col("seq").cast("long").alias("seq"))
+    fresh = positions(kept.where("seq IS NULL").select("doc_id", "inclusion"), ["doc_id"], "seq").crossJoin(F.broadcast(last))  # last is one row
+    return known.unionByName(fresh.select("doc_id", "inclusion", (F.col("last") + F.col("seq")).alias("seq"))).withColumn("seq", F.col("seq").cast("int"))
 
 
 def timeline(turns: DataFrame, events: DataFrame, key: str | None = None) -> DataFrame:
@@ -127,21 +128,35 @@ def history_budget(turns: DataFrame, task: str, seq: str, text: str, budget: int
 
 
 def pack_context(candidates: DataFrame, budget: int = 20_000, each: int = 8000, listed: int = 30) -> DataFrame:
-    """PIP14: per question, documents in order while they fit; those passed over are listed. (question, doc_id, place, chars)."""
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        left, rows = budget, []
-        for r in frame.sort_values(["place", "doc_id"]).head(10 * listed).itertuples():
-            size = min(int(r.chars), each)
-            if size <= left:
-                left -= size
-                rows.append((r.question, r.doc_id, "shown", size))
-            elif sum(x[2] == "listed" for x in rows) < listed:
-                rows.append((r.question, r.doc_id, "listed", 0))
-        return pd.DataFrame(rows, columns=["question", "doc_id", "use", "taken"])
+    """PIP14: per question, documents in order while they fit; those passed over are listed. (question, doc_id, use, taken).
+
+    A question ends when its list is full and a text no longer fits. Rows come sorted; nothing but the question's room
+    and list are kept, whatever its number of candidates.
+    """
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        question, room, passed, over = None, budget, 0, False
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                if r.question != question:
+                    question, room, passed, over = r.question, budget, 0, False
+                size = min(int(r.chars), each)
+                if over:
+                    continue
+                if size <= room:
+                    room -= size
+                    rows.append((r.question, r.doc_id, "shown", size))
+                elif passed < listed:
+                    passed += 1
+                    rows.append((r.question, r.doc_id, "listed", 0))
+                else:
+                    over = True
+            yield pd.DataFrame(rows, columns=["question", "doc_id", "use", "taken"])
 
     kind = candidates.schema["question"].dataType.simpleString()
-    return candidates.select("question", "doc_id", "place", "chars").groupBy("question").applyInPandas(pack, f"question {kind}, doc_id long, use string, taken long")
+    some = candidates.select("question", "doc_id", "place", "chars").repartition("question").sortWithinPartitions("question", "place", "doc_id")
+    return some.mapInPandas(pack, f"question {kind}, doc_id long, use string, taken long")
 
 
 #: States of a job that has not ended; "running" is that of stores without stages.
@@ -165,7 +180,7 @@ def due_jobs(jobs: DataFrame, now: str, giving_way: bool = True, before_the_mode
         due = due.where(F.col("kind").isin(*READING_IN) & F.col("state").isin(*BEFORE_THE_MODEL))
     if not giving_way:
         due = due.where(~F.col("gives_way"))
-    return due.withColumn("turn", F.row_number().over(Window.orderBy("gives_way", "id")))
+    return positions(due, ["gives_way", "id"], "turn")
 
 
 def enqueue(active: DataFrame, requests: DataFrame) -> DataFrame:
