@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import release
+from dossier.llm.common import after_shuffle, release
 
 #: Bits of a token id, and of a place in a word, in the fold's state.
 BITS = 20
@@ -49,7 +49,7 @@ class Vocabulary:
     its size doesn't depend on the data.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, buckets: int = 100_003):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, buckets: int = 32_771):
         if max(ranks.values(), default=0) >= END:
             raise ValueError(f"ranks are below {END}")
         self.ranks, self.pattern, self.buckets = ranks, pattern, buckets
@@ -71,13 +71,10 @@ class Vocabulary:
                     lists[pair % self.buckets] += [pair, rank - (1 << BITS)]
         return _literal(lists, "array<array<bigint>>")
 
-    def whole(self) -> Column:
-        """Ranks of whole words by hex form, in small maps dealt by crc32."""
-        maps: list[dict[str, int]] = [{} for _ in range(self.buckets)]
-        for piece, rank in self.ranks.items():
-            name = piece.hex().upper()
-            maps[zlib.crc32(name.encode()) % self.buckets][name] = rank
-        return _literal(maps, "array<map<string,int>>")
+    def whole(self) -> Column | None:
+        """Ranks of the words by hex form that their merges don't lead to; published vocabularies have few or none."""
+        apart = {word.hex().upper(): rank for word, rank in self.ranks.items() if len(merged(word, self.ranks)) > 1}
+        return _literal(apart, "map<string,int>") if apart else None
 
     def first(self) -> Column:
         """Ids of the single bytes."""
@@ -105,10 +102,11 @@ def _bind(value: Column, use) -> Column:
 
 def fold_encode(word: Column, vocabulary: Vocabulary) -> Column:
     """Token ids of one word (binary) by the ranked fold: at each step the leftmost pair of lowest rank merges."""
-    code = F.hex(word)
-    known = _bind(vocabulary.whole(), lambda maps: F.try_element_at(F.get(maps, (F.crc32(code.cast("binary")) % vocabulary.buckets).cast("int")), code))
-    merged = _bind(vocabulary.pairs(), lambda table: _fold(word, table, vocabulary))
-    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.coalesce(_bind(known, lambda k: F.when(k.isNotNull(), F.array(k))), merged))
+    ids = _bind(vocabulary.pairs(), lambda table: _fold(word, table, vocabulary))
+    apart = vocabulary.whole()
+    if apart is not None:
+        ids = F.coalesce(_bind(F.try_element_at(apart, F.hex(word)), lambda k: F.when(k.isNotNull(), F.array(k))), ids)
+    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
 def _fold(word: Column, table: Column, vocabulary: Vocabulary) -> Column:
@@ -150,9 +148,12 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
 
 
 def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges in n log n, for words too long for the fold."""
-    if word in ranks:
-        return [ranks[word]]
+    """The same ids in n log n, for words too long for the fold."""
+    return [ranks[word]] if word in ranks else merged(word, ranks)
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ranked merges with a heap."""
     ends = list(range(1, len(word) + 1))  # end of the piece that starts at i, 0 when it was merged away
     before = list(range(-1, len(word) - 1))
     heap: list[tuple[int, int, int]] = []
@@ -206,7 +207,8 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
     """Rows of a batch by kind: 0 a document (its unit numbers), 1 the units (sizes, then word numbers), 2 a bucket's words.
 
     A unit is a stretch of text between single spaces. The pattern always cuts there, so that equal units hold equal
-    words and only a batch's distinct units need the pattern. A text with other spacing is one unit.
+    words and only a batch's distinct units need the pattern. A text with other spacing is one unit. The column to says
+    where a row is dealt: the batch, or below zero the bucket.
     """
     import regex
 
@@ -222,9 +224,10 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
 
         def batch_of(kind, bucket, codes, more, kept) -> pa.RecordBatch:
             n = len(codes)
-            arrays = [pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary()), pa.array(more, pa.binary())]
+            to = [-1 - b for b in bucket] if kind == 2 else [part + k] * n
+            arrays = [pa.array(to, pa.int64()), pa.array([part + k] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary()), pa.array(more, pa.binary())]
             arrays += [pa.nulls(n, f.type) for f in beside[0].schema] if kept is None else kept.columns
-            return pa.RecordBatch.from_arrays(arrays, ["batch", "kind", "bucket", "codes", "more", *passed])
+            return pa.RecordBatch.from_arrays(arrays, ["to", "batch", "kind", "bucket", "codes", "more", *passed])
 
         def flush() -> Iterator[pa.RecordBatch]:
             # The first unit of a text has no space before it; the others are split and numbered at once.
@@ -281,14 +284,7 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
             yield from flush()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(cut, f"batch long, kind int, bucket int, codes binary, more binary{', ' if fields else ''}{fields}")
-
-
-def _bucket_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of words. As a task and not a filter, so that both uses of the batches share one shuffle."""
-    for batch in rows:
-        table = pa.Table.from_batches([batch]).select(["batch", "kind", "bucket", "codes", "more"])
-        yield from table.filter(pc.equal(table["kind"], 2)).drop_columns(["kind"]).to_batches()
+    return docs.mapInArrow(cut, f"to long, batch long, kind int, bucket int, codes binary, more binary{', ' if fields else ''}{fields}")
 
 
 def _distinct_words(ranks: dict[bytes, int], fold_bytes: int):
@@ -387,8 +383,8 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     renamed = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    rows = _batches(renamed, "_text", vocabulary.pattern, batch_bytes, 16 * n).repartition(n, "batch")
-    asked = rows.mapInArrow(_bucket_rows, "batch long, bucket int, codes binary, more binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    rows = _batches(renamed, "_text", vocabulary.pattern, batch_bytes, 16 * n).repartition(n, "to")
+    asked, held = rows.where(after_shuffle(F.col("kind") == 2)).sortWithinPartitions("bucket"), rows.where(after_shuffle(F.col("kind") < 2))
     words_ = asked.mapInArrow(_distinct_words(vocabulary.ranks, fold_bytes), "word binary, owners array<long>, numbers array<long>, known array<int>")
     ids = F.when(F.col("known").isNotNull(), F.col("known")).otherwise(fold_encode(F.col("word"), vocabulary))
     back = words_.select(ids.alias("ids"), "owners", "numbers").mapInArrow(_answers, "part long, numbers binary, sizes binary, ids binary")
@@ -421,7 +417,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
         return pa.concat_tables(out) if out else pa.table([*(documents.column(name) for name in names[:-1]), pa.array([], kind)], names)
 
     fields = ", ".join([f"_{i} {t}" for i, t in enumerate(types)] + ["ids array<int>"])
-    out = rows.groupBy("batch").cogroup(back.groupBy("part")).applyInArrow(join, fields)
+    out = held.groupBy("to").cogroup(back.groupBy("part")).applyInArrow(join, fields)
     kept = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
     count, decoded = F.size("ids").cast("long").alias("n_tokens"), decode(F.col("ids"), vocabulary)
     if digests:
