@@ -111,9 +111,13 @@ def redact(logs: DataFrame, column: str, allowed: list[str]) -> DataFrame:
 
 
 def trim_steps(steps: DataFrame, before: str, stages: list[str]) -> DataFrame:
-    """PIP10: the exchanges in the JSON output of model stages in old traces go."""
+    """PIP10: the exchanges of model stages in old traces go: out of JSON output, or to null in a struct's field."""
     old = (F.col("started_at") < F.lit(before).cast("timestamp")) & F.col("stage").isin(stages)
-    return steps.withColumn("output", F.when(old, F.to_json(F.map_filter(F.from_json("output", "map<string,string>"), lambda k, _: k != "exchange"))).otherwise(F.col("output")))
+    if steps.schema["output"].dataType.typeName() == "string":
+        trimmed = F.to_json(F.map_filter(F.from_json("output", "map<string,string>"), lambda k, _: k != "exchange"))
+    else:
+        trimmed = F.col("output").withField("exchange", F.lit(None).cast("string"))
+    return steps.withColumn("output", F.when(old, trimmed).otherwise(F.col("output")))
 
 
 def confirmed_at(events: DataFrame, kinds: list[str], correct: str = "markedCorrect") -> DataFrame:

@@ -162,8 +162,9 @@ def bytes_of_vector(some: pd.Series) -> pd.Series:
     return some.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-def modal_dimension(vectors: DataFrame, column: str, key: str = "vec_id") -> DataFrame:
-    """VEC4: the vectors of the commonest dimension, on ties the one of the first vector by ``key``; empty ones go."""
+def modal_dimension(vectors: DataFrame, column: str, key: str | None = None) -> DataFrame:
+    """VEC4: the vectors of the commonest dimension, on ties the one of the first vector by ``key`` (the first column); empty ones go."""
+    key = key or vectors.columns[0]
     filled = vectors.where(F.size(column) > 0)
     mode = filled.groupBy(F.size(column).alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).orderBy(F.desc("n"), "first").limit(1).select("dim")
     return filled.join(F.broadcast(mode), F.size(column) == F.col("dim"), "left_semi")  # a single row
