@@ -11,7 +11,6 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 import public_tokenizers
 import regex
 import tiktoken
-import xxhash
 
 from dossier.llm import bpe, decontaminate, langid
 from dossier.llm.common import stored
@@ -29,19 +28,20 @@ def kept_languages(rows, bench):
     return [tuple(r) for r, lang, first, second in found if lang != langid.UNKNOWN and first - second >= 0.1]
 
 
-def plain_fingerprint(text):
-    words = [w.lower() for w in (text or "").encode().split()]
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
-    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
-
-
 def kept_of_groups(rows, bench):
-    fps = np.array([plain_fingerprint(r.text) for r in rows], np.uint64)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    label = np.array([r.doc_id for r in rows])
-    while not (fresh := np.where(near, label[None, :], label.max()).min(1) == label).all():
-        label = np.where(fresh, label, np.where(near, label[None, :], label.max()).min(1))
-    return [tuple(r) for r, least in zip(rows, label.tolist(), strict=True) if r.doc_id == least]
+    """Groups tied by a Jaccard similarity of 0.8 or more over five-word shingles, all pairs compared."""
+    def shingles(text):
+        words = [w.lower() for w in (text or "").encode().split()]
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(r.text) for r in rows]
+    label = {r.doc_id: r.doc_id for r in rows}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (len(a & b) >= 0.8 * len(a | b)) if a or b else True:
+                x, y = sorted((label[rows[i].doc_id], label[rows[j].doc_id]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    return [tuple(r) for r in rows if label[r.doc_id] == r.doc_id]
 
 
 def without_passages(rows, bench):
@@ -127,3 +127,24 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_defined_cases(spark, sf_dir):
+    """Nulls in every column, empty, long and repeated rows, ids shared by different texts, and columns of clashing names."""
+    words = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND n_chars > 400").orderBy("doc_id").limit(3).collect()]
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    long = " ".join(f"{w}{i % 900}" for i in range(60_000) for w in ("word",))
+    rows = [(1, words[0]), (1, words[0]), (2, words[1]), (2, words[2]), (3, None), (4, ""), (None, words[1]), (5, long), (6, f"{words[2]} and then {item}"), (None, f"{item} at last")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, row string, tk string, score double, kept string, component_id string"
+    docs = spark.createDataFrame([(d, t, "en" if t else None, None, None, "a", "b", 1.0, "c", "d") for d, t in rows], names)
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: sorted(str((r.doc_id, (r.text or "")[:30])) for r in stages[name](spark, docs, sf_dir).collect())
+    shown = lambda some: sorted(str((d, (t or "")[:30])) for d, t in some)
+    assert stages["language"](spark, docs, sf_dir).columns == corpus_pipeline.COLUMNS
+    assert left("language") == shown([r for r in rows if r[1]])  # one language alone: every text with letters is of it
+    assert left("near_duplicates") == shown([r for r in rows if r[0] != 4])
+    passages = stages["repeated_passages"](spark, docs, sf_dir).collect()
+    assert len(passages) == len(rows) and {r.text for r in passages if r.doc_id is None} == {words[1], f"{item} at last"}
+    assert left("benchmark_leaks") == shown(rows[:-2])
+    tokens = {(r.doc_id, r.n_tokens) for r in stages["tokens"](spark, docs, sf_dir).collect()}
+    assert {(3, 0), (4, 0)} <= tokens and len(tokens) == 9
