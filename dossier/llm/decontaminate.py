@@ -99,7 +99,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float
     held = F.transform(part("v"), lambda v, i: F.when(slot(F.get(part("t"), i)) | slot(F.get(part("u"), i)), v))
     asked = items.select("h", "item_id", "n_tokens", "len", "ip", F.size(F.filter(part("own"), slot)).alias("slots"), F.when(F.exists(held, lambda v: v.isNotNull()), held).alias("iv"))
     asked = small(asked.where("slots < len").drop("slots", "len"), broadcast_rows)
-    found = F.concat(*[all_windows(F.col("text"), n) for n in lengths])
+    every = [all_windows(F.col("text"), n) for n in lengths]
+    found = every[0] if len(every) == 1 else F.concat(*every)
     rows = docs.select("doc_id", text_key(F.col("text")).alias("tk"), F.explode(found).alias("w")).select("doc_id", "tk", F.col("w.p").alias("p"), F.col("w.h").alias("h"))
     met = stored(rows.join(asked, "h").select(*key, "item_id", "n_tokens", "ip", "p", (F.col("p") - F.col("ip")).alias("shift"), "iv"))
     aligned = [*key, "item_id", "n_tokens", "shift"]
