@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import beside, runs, shuffle_partitions, stored, text_key, word_offsets, words
@@ -175,7 +175,12 @@ def _crowded_buckets(packed: DataFrame, window: int) -> DataFrame:
 
     rows = stored(packed.mapInArrow(run, "mini long, pid long, off int, digest binary, mine long"))
     least = stored(rows.groupBy("digest").agg(F.min("mine").alias("first"), F.count(F.lit(1)).alias("_n")))
-    return beside(rows, least, ["digest"]).select("mini", "pid", "off", F.lit(1).alias("len"), "first")
+    owned = beside(rows, least, ["digest"]).select("mini", "pid", "off", "first")
+    # Neighbouring windows of one least document are one stretch, as in the sorted buckets.
+    string = Window.partitionBy("mini", "pid").orderBy("off")
+    goes_on = (F.lag("first").over(string) == F.col("first")) & (F.lag("off").over(string) == F.col("off") - 1)
+    runs_ = owned.withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(string))
+    return runs_.groupBy("mini", "pid", "run").agg(F.min("off").alias("off"), F.count(F.lit(1)).cast("int").alias("len"), F.min("first").alias("first")).drop("run")
 
 
 def repeated_stretches(docs: DataFrame, window: int = 50, piece: int = 8, crowd: int = 200_000) -> DataFrame:
