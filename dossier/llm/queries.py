@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dossier.llm import bpe, decontaminate, langid, lm, outliers, quality, simhash, substrings, toxicity, urls
+from dossier.llm import bpe, clusters, decontaminate, langid, lm, outliers, quality, ranked, simhash, substrings, toxicity, urls
 from dossier.llm.common import remainder, table
+from dossier.llm.oracle import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle()
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -99,6 +101,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the embeddings after ten rounds, with inertia and the digest of each centroid."""
+    found = clusters.cluster(table(spark, sf_dir, "embeddings"))
+    sums = {r["cluster"]: r["n"] for r in found.rows.groupBy("cluster").agg(F.sum("distance").alias("n")).collect()}  # a row per cluster
+    named = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids.tolist()]
+    inertia = F.array(*[F.lit(sums.get(c, 0)).cast("long") for c in range(len(named))])
+    digests = F.array(*[F.lit(d) for d in named]).cast("array<string>")
+    return found.rows.select(
+        "vec_id", "cluster", "distance", F.get(inertia.cast("array<long>"), "cluster").alias("cluster_inertia"),
+        F.lit(sum(sums.values())).cast("long").alias("inertia"), F.get(digests, "cluster").alias("centroid_sha256"),
+    )
+
+
+@query
+def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item by weighted impacts of its terms."""
+    found = ranked.index(table(spark, sf_dir, "documents"))
+    return ranked.search(found, table(spark, sf_dir, "benchmark"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over the documents table."""
