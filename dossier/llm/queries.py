@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dossier.llm import bpe, clusters, decontaminate, langid, lm, outliers, quality, ranked, simhash, substrings, toxicity, urls
+from dossier.llm import bpe, clusters, decontaminate, langid, lm, outliers, pieces, quality, ranked, simhash, substrings, toxicity, urls
 from dossier.llm.common import remainder, table
 from dossier.llm.oracle import oracle
 
@@ -122,6 +122,13 @@ def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(found, table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids and their decoding, as digests per document."""
+    pieces_ = pieces.Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), pieces_, keep=["doc_id"], digests=True)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over the documents table."""
