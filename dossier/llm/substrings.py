@@ -17,8 +17,8 @@ a smaller doc_id, judged on the input.
 Digests are 64-bit and only compared within one minimiser, or 128-bit.
 
 Defined cases: null or empty texts have no words and lose none; texts of fewer words than a window lose none; a null
-doc_id has no order: it loses nothing and no other loses by it; repeated rows are equals, neither being smaller; an
-empty table gives an empty result; other columns are passed through, but for those named like a result.
+doc_id has no order: it loses nothing and no other loses by it; repeated rows are equals, neither being smaller, and
+are worked on once; an empty table gives an empty result; other columns are passed through, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -215,21 +215,14 @@ def repeated_stretches(docs: DataFrame, window: int = 50, piece: int = 8, crowd:
     return plain.unionAll(found)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, piece: int = 8, crowd: int = 200_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of docs with n_words, n_removed and kept: the words left, joined by one space."""
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    rows = docs.select(F.struct(*[F.col(c) for c in names if c != text]).alias("row"), F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
-    known = rows.where("doc_id IS NOT NULL")
-    stretches = repeated_stretches(known, window, piece, crowd)
-    each = stretches.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "n")).alias("cut"))  # of one document
-    joined = known.join(each.hint("shuffle_hash"), ["doc_id", "tk"], "left").select("row", "text", "cut")
-    unknown = rows.where("doc_id IS NULL").select("row", "text", F.lit(None).cast("array<struct<at:int,n:int>>").alias("cut"))
-    schema = joined.select("row", "text").schema
+def _cut(rows: DataFrame, window: int) -> DataFrame:
+    """(row, doc_id, tk, text, cut) rows with n_words, n_removed and kept in place of cut."""
+    schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for value, cut in zip(batch.column(1), batch.column(2), strict=True):
+            for value, cut in zip(batch.column("text"), batch.column("cut"), strict=True):
                 some = words(value.as_py())
                 covered = np.zeros(len(some) + 1, np.int64)
                 for c in cut.as_py() or []:
@@ -239,8 +232,32 @@ def remove_repeats(docs: DataFrame, window: int = 50, piece: int = 8, crowd: int
                 total.append(len(some))
                 gone.append(len(some) - int(stays.sum()))
                 kept.append(b" ".join(some if not gone[-1] else [w for w, s in zip(some, stays.tolist(), strict=True) if s]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["row", "text", "n_words", "n_removed", "kept"])
+            passed = [batch.column(c) for c in ("row", "doc_id", "tk", "text")]
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["row", "doc_id", "tk", "text", "n_words", "n_removed", "kept"])
+
+    return rows.select("row", "doc_id", "tk", "text", "cut").mapInArrow(run, f"row {schema['row'].dataType.simpleString()}, doc_id long, tk long, text string, n_words long, n_removed long, kept string")
+
 
-    fields = f"row {schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string"
-    out = joined.unionAll(unknown).mapInArrow(run, fields)
+def remove_repeats(docs: DataFrame, window: int = 50, piece: int = 8, crowd: int = 200_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of docs with n_words, n_removed and kept: the words left, joined by one space.
+
+    Rows of one id and text are worked on once, and each gets that result.
+    """
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    rows = docs.select(F.struct(*[F.col(c) for c in names if c != text]).alias("row"), F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("tk"), F.col(text).alias("text"))
+    known, by = rows.where("doc_id IS NOT NULL"), ["doc_id", "tk"]
+    repeats = stored(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    again = None
+    if not repeats.isEmpty():
+        marked = beside(known, repeats.withColumn("twice", F.lit(True)), by, "left")
+        again = marked.where("twice")
+        once = again.groupBy(*by).agg(F.first("text").alias("text"))  # combined before the shuffle
+        known = marked.where("twice IS NULL").select("row", *by, "text").unionByName(once.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType)))
+    each = repeated_stretches(known, window, piece, crowd).groupBy(*by).agg(F.collect_list(F.struct("at", "n")).alias("cut"))  # of one document
+    out = known.join(each.hint("shuffle_hash"), by, "left").select("row", *by, "text", "cut")
+    out = _cut(out.unionAll(rows.where("doc_id IS NULL").select("row", *by, "text", F.lit(None).cast("array<struct<at:int,n:int>>").alias("cut"))), window)
+    if again is not None:
+        cut = out.where("row IS NULL AND doc_id IS NOT NULL").select(*by, "n_words", "n_removed", "kept")
+        copies = stored(cut.join(repeats, by))
+        out = out.where("row IS NOT NULL").unionByName(beside(again.select("row", *by, "text"), copies, by))
     return out.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in names], "n_words", "n_removed", "kept")

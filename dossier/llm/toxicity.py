@@ -6,7 +6,7 @@ the text as written. A match inside an exception phrase doesn't count. The weigh
 normalised by its length, give a score by a logistic function.
 
 The lexicon starts from SEED at a small weight. Labels give weights: the smoothed log-odds of a folded word among toxic
-and other labelled documents; words that are frequent enough in the toxic ones (``least_count``, ``least_share``) and
+and other labelled documents, cut at the bounds of the text as written; words that are frequent enough in the toxic ones (``least_count``, ``least_share``) and
 telling enough (``least_odds``) join the lexicon. A two-word phrase around a term that labelled documents
 hold without being toxic becomes an exception. Labels are learned from at most ``most_labels`` labelled rows, chosen by
 a hash of their ids and texts; all that reaches the driver is counted from these.
@@ -45,7 +45,9 @@ ALIKE = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e",
 }
 HIDDEN = re.compile("[­​-‏⁠﻿]")
-WORD = re.compile(r"[^\W\d_]{2,40}")
+#: A word of a text as written: letters and digits, with signs that stand for letters in front and inside, not after.
+WORD = re.compile(r"[@$€|]?[^\W_](?:[^\W_]|[@$!|€](?=[^\W_]))+")
+LONGEST = 40
 DEFAULT = (-3.0, 0.9, 0.4)
 
 
@@ -75,6 +77,13 @@ def fold(text: str) -> tuple[str, str]:
         return text, text.translate(_FOLD)
 
 
+def folded_words(text: str) -> set[str]:
+    """The folded words of a text. Their bounds are those of the text as written, so that "idiot!" is the word "idiot"; words without a letter are none."""
+    plain, folded = fold(text)
+    found = {(m.start(), m.end()) for m in WORD.finditer(plain) if m.end() - m.start() <= LONGEST}
+    return {folded[a:b] for a, b in found if any(map(str.isalpha, plain[a:b]))}
+
+
 class Lexicon:
     """Terms with weights, exception phrases, and the automaton over both."""
 
@@ -94,7 +103,7 @@ class Lexicon:
         return found
 
     def matches(self, automaton, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the terms that count, on the folded text."""
+        """(start, end, weight) of the terms that count, on the folded text; of overlapping ones the first, and the longest that starts there."""
         if not len(automaton) or not text:
             return []
         plain, folded = fold(text)
@@ -109,7 +118,12 @@ class Lexicon:
             spared.sort()
             begun, reach = [a for a, _, _ in spared], list(accumulate((b for _, b, _ in spared), max))
             found = [m for m in found if not (k := bisect_right(begun, m[0])) or reach[k - 1] < m[1]]
-        return found
+        apart, last = [], 0
+        for m in sorted(found, key=lambda m: (m[0], -m[1])):
+            if m[0] >= last:
+                apart.append(m)
+                last = m[1]
+        return apart
 
     def score(self, weight: float, n_words: int) -> float:
         a, b, c = self.curve
@@ -125,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, least_c
         for batch in batches:
             terms, toxic = [""] * batch.num_rows, list(batch.column(0).to_pylist())  # the empty term counts the documents
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                distinct = set(WORD.findall(fold(text.as_py() or "")[1]))
+                distinct = folded_words(text.as_py() or "")
                 terms += distinct
                 toxic += [label] * len(distinct)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int32())], ["term", "toxic"])
