@@ -11,9 +11,13 @@ from dossier.functions.text import fold, one_line
 KINDS = ["sender", "party", "type", "topic", "object", "reference", "date", "period", "deadline", "amount", "jurisdiction", "language", "tag"]
 SINGLE = ["type", "date"]
 TIMES = ["date", "period", "deadline"]
-#: Signs of one currency, and some codes of ISO 4217.
-SIGNS = {"€": "EUR", "£": "GBP", "₽": "RUB", "₴": "UAH", "₹": "INR", "zł": "PLN", "Kč": "CZK", "R$": "BRL"}
-CODES = "EUR USD GBP CHF JPY CNY RUB UAH PLN CZK SEK NOK DKK HUF RON BGN TRY INR BRL CAD AUD NZD MXN ZAR KRW ILS AED SAR SGD HKD".split()
+#: Signs that only one currency is written with (shared ones, such as $ and £, stand for none), and the codes of ISO 4217.
+SIGNS = {"€": "EUR", "₽": "RUB", "₴": "UAH", "₹": "INR", "zł": "PLN", "Kč": "CZK", "R$": "BRL", "Ft": "HUF", "лв.": "BGN", "₪": "ILS", "₫": "VND", "₦": "NGN", "₺": "TRY", "₸": "KZT", "₾": "GEL", "₲": "PYG", "฿": "THB", "₼": "AZN", "֏": "AMD", "₭": "LAK", "₮": "MNT", "៛": "KHR", "৳": "BDT"}
+CODES = (
+    "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY COP CRC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD "
+    "HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR "
+    "PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU UZS VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWG"
+).split()
 
 
 def kind_rank(kind: Column) -> Column:
@@ -22,11 +26,10 @@ def kind_rank(kind: Column) -> Column:
 
 
 def iso_day(text: Column) -> Column:
-    """DT5: ISO or day-first, only days that exist."""
-    value = F.trim(text)
-    first = F.regexp_extract(value, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4})$", 0)
-    part = lambda n: F.lpad(F.regexp_extract(value, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4})$", n), 2, "0")
-    day_first = F.when(first != "", F.concat_ws("-", F.regexp_extract(value, r"(\d{4})$", 1), part(3), part(1)))
+    """DT5: ISO or day-first with any two of the signs . / - between, only days that exist."""
+    value, shape = F.trim(text), r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$"
+    part = lambda n: F.lpad(F.regexp_extract(value, shape, n), 2, "0")
+    day_first = F.when(value.rlike(shape), F.concat_ws("-", F.regexp_extract(value, shape, 3), part(2), part(1)))
     iso = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value)
     return F.date_format(F.try_to_date(F.coalesce(iso, day_first), "yyyy-MM-dd"), "yyyy-MM-dd")
 
@@ -52,21 +55,40 @@ def year(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^(\d{4})", 1), F.lit(""))
 
 
+#: A number with its sign; what groups it stands between digits.
+_NUMBER = "(?s)^(.*?)(-?)([0-9](?:[0-9]|[.,' \u00A0\u202F](?=[0-9]))*)(.*)$"
+
+
+def decimal(number: Column) -> Column:
+    """A written number with a dot for decimals and no grouping; null where its marks can't be read.
+
+    A single mark is the decimal one; marks of one kind group; of two kinds the last is the decimal one if it stands once.
+    """
+    digits = F.regexp_replace(number, "[' \u00A0\u202F]", "")
+    bare = lambda mark: F.replace(digits, F.lit(mark), F.lit(""))
+    return (
+        F.when(digits.rlike("^[0-9]+$"), digits)
+        .when(digits.rlike("^[0-9]+[.,][0-9]+$"), F.replace(digits, F.lit(","), F.lit(".")))
+        .when(digits.rlike(r"^[0-9]+(\.[0-9]+){2,}$"), bare("."))
+        .when(digits.rlike("^[0-9]+(,[0-9]+){2,}$"), bare(","))
+        .when(digits.rlike(r"^[0-9]+(\.[0-9]+)+,[0-9]+$"), F.replace(bare("."), F.lit(","), F.lit(".")))
+        .when(digits.rlike(r"^[0-9]+(,[0-9]+)+\.[0-9]+$"), bare(","))
+    )
+
+
+def currency(text: Column) -> Column:
+    """The ISO 4217 code that a text is, in any case, or that of the one currency whose sign it is."""
+    signs = F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair])
+    return F.when(F.upper(text).isin(CODES), F.upper(text)).otherwise(F.try_element_at(signs, text))
+
+
 def amount(text: Column) -> Column:
-    """NUM1: `number CODE` with two decimals as written amounts have; null if the text is no amount."""
-    value = one_line(text)
-    for sign, code in SIGNS.items():
-        value = F.replace(value, F.lit(sign), F.lit(f" {code} "))
-    value = one_line(value)
-    codes = "|".join(CODES)
-    code = F.coalesce(F.nullif(F.regexp_extract(value, rf"^({codes})\b", 1), F.lit("")), F.nullif(F.regexp_extract(value, rf"\b({codes})$", 1), F.lit("")))
-    digits = F.trim(F.regexp_replace(value, rf"^({codes})\b|\b({codes})$", ""))
-    plain = F.regexp_replace(digits, r"[\s  ']", "")
-    # The last of . and , is the decimal sign unless three digits follow it alone.
-    decimal = F.regexp_extract(plain, r"[.,](\d{1,2})$", 1)
-    whole = F.regexp_replace(F.regexp_replace(plain, r"[.,]\d{1,2}$", ""), "[.,]", "")
-    number = F.concat(whole, F.lit("."), F.rpad(decimal, 2, "0"))
-    return F.when(plain.rlike(r"^-?\d{1,3}([.,]?\d{3})*([.,]\d{1,2})?$|^-?\d+([.,]\d{1,2})?$") & code.isNotNull(), F.concat_ws(" ", number, code))
+    """NUM1: `number CODE` of a number with a currency before or after it; null if the text is no amount."""
+    part = lambda n: F.regexp_extract(text, _NUMBER, n)
+    trimmed = lambda x: F.regexp_replace(x, r"^[\s\u00A0\u202F:]+|[\s\u00A0\u202F:]+$", "")
+    before, after = trimmed(part(1)), trimmed(part(4))
+    code = F.when((before == "") != (after == ""), currency(F.when(before == "", after).otherwise(before)))
+    return F.when(code.isNotNull(), F.concat(part(2), decimal(part(3)), F.lit(" "), code))
 
 
 def normalize(kind: Column, value: Column) -> Column:

@@ -82,10 +82,13 @@ def filled_lines(text: Column) -> Column:
 
 
 def shorten(text: Column, limit: int) -> Column:
-    """TXT10: at most `limit` characters, cut after a word where there is one."""
-    head = F.substring(text, 1, limit)
-    cut = F.regexp_extract(head, r"(?s)^(.*\S)\s+\S*$", 1)
-    return F.when(F.length(text) <= limit, text).otherwise(F.when(cut != "", cut).otherwise(head))
+    """TXT10: at most `limit` characters, cut at the last space where there is one.
+
+    One character more is looked at, so that a word which ends at the limit is whole.
+    """
+    head = F.substring(text, 1, limit + 1)
+    cut = F.when(head.contains(" "), F.regexp_extract(head, "(?s)^(.*) [^ ]*$", 1)).otherwise(F.substring(text, 1, limit))
+    return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
 def excerpt(text: Column, limit: int) -> Column:
@@ -171,10 +174,15 @@ def bounded_name(stem: pd.Series, extension: pd.Series) -> pd.Series:
 
 
 def natural_key(text: Column) -> Column:
-    """UDF2: orders numbers in names by value: digit runs are written with their length before them."""
-    runs = F.regexp_extract_all(F.concat(fold(text), F.lit("")), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    keyed = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=[0-9])", ""), 20, "0")).otherwise(r))
-    return F.array_join(keyed, "")
+    """UDF2: orders names as people do: numbers by value, accents and case only between names that are else alike.
+
+    A run of digits, of any length, is written with the number of its digits before it; the result has the Unicode
+    collation, by which Spark compares it.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    digits = lambda r: F.regexp_replace(r, "^0+(?=[0-9])", "")
+    keyed = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(r)).cast("string"), 10, "0"), digits(r))).otherwise(r))
+    return F.collate(F.array_join(keyed, ""), "UNICODE")
 
 
 #: The commonest pairs of letters in Russian.

@@ -114,7 +114,9 @@ def trim_steps(steps: DataFrame, before: str, stages: list[str]) -> DataFrame:
     """PIP10: the exchanges of model stages in old traces go: out of JSON output, or to null in a struct's field."""
     old = (F.col("started_at") < F.lit(before).cast("timestamp")) & F.col("stage").isin(stages)
     if steps.schema["output"].dataType.typeName() == "string":
-        trimmed = F.to_json(F.map_filter(F.from_json("output", "map<string,string>"), lambda k, _: k != "exchange"))
+        # Of variants, so that the other fields stay what they are; what is no object stays as it is.
+        fields = F.map_filter(F.from_json("output", "map<string,variant>"), lambda k, _: k != "exchange")
+        trimmed = F.when(F.get_json_object("output", "$.exchange").isNotNull(), F.to_json(fields)).otherwise(F.col("output"))
     else:
         trimmed = F.col("output").withField("exchange", F.lit(None).cast("string"))
     return steps.withColumn("output", F.when(old, trimmed).otherwise(F.col("output")))

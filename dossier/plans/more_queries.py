@@ -331,13 +331,13 @@ def file_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.file_name(F.concat_ws("/", F.lit("/in"), "p_brand", F.concat("p_name", F.lit(".tar.gz")))).alias("name"))
 
 
-@query("folded_words", "SELECT doc_id, lower(strip_accents(lower(text[:200]))) AS folded FROM documents WHERE text IS NOT NULL")
+@query("folded_words", "SELECT doc_id, lower(strip_accents(lower(text))) AS folded FROM documents WHERE text IS NOT NULL")
 def folded_words(spark, sf_dir):
     """TXT8, FTS1: case and accents folded."""
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.fold(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.fold(F.col("text")).alias("folded"))
 
 
-@query("shortened_texts", r"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN regexp_extract(text[:80], '(?s)^(.*\S)\s+\S*$', 1) <> '' THEN regexp_extract(text[:80], '(?s)^(.*\S)\s+\S*$', 1) ELSE text[:80] END AS short FROM documents")
+@query("shortened_texts", "SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN contains(text[:81], ' ') THEN left(text, 81 - strpos(reverse(text[:81]), ' ')) ELSE text[:80] END AS short FROM documents")
 def shortened_texts(spark, sf_dir):
     """TXT10: cut after a word."""
     return table(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 80).alias("short"))
@@ -400,14 +400,14 @@ def mail_texts(spark, sf_dir):
     return found.join(mails.select("path", "conv_id", "turn"), "path").select("conv_id", "turn", found["metadata"]["subject"].alias("subject"), "text")
 
 
-@query("csv_texts", "SELECT c_nationkey, 'name' || chr(9) || 'balance' || string_agg(chr(10) || c_name || chr(9) || printf('%.2f', c_acctbal), '' ORDER BY c_custkey) AS text FROM customer WHERE c_custkey < 3000 GROUP BY 1 HAVING count(*) <= 200")
+@query("csv_texts", "WITH r AS (SELECT *, c_custkey // 300 AS file, row_number() OVER (PARTITION BY c_custkey // 300 ORDER BY c_custkey) AS n FROM customer) SELECT file, 'name' || chr(9) || 'balance' || string_agg(chr(10) || c_name || chr(9) || printf('%.2f', c_acctbal), '' ORDER BY c_custkey) FILTER (n <= 200) AS text, count(*) > 200 AS truncated FROM r GROUP BY 1")
 def csv_texts(spark, sf_dir):
-    """SRC9: delimiter found, quoted cells read, as tab-separated text."""
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 3000").select("c_nationkey", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit('";'), F.printf(F.lit("%.2f"), F.col("c_acctbal"))).alias("line"))
-    books = rows.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "line"))).alias("some")).where(F.size("some") <= 200)
+    """SRC9: delimiter found, quoted cells read, as tab-separated text; files of 300 customers, of which the reader shows 200 rows."""
+    rows = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 300").alias("file"), "c_custkey", F.concat(F.lit('"'), "c_name", F.lit('";'), F.printf(F.lit("%.2f"), F.col("c_acctbal"))).alias("line"))
+    books = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "line"))).alias("some"))
     content = F.encode(F.concat(F.lit("name;balance\n"), F.array_join(F.transform("some", lambda x: x["line"]), "\n"), F.lit("\n")), "UTF-8")
-    found = files.extract(books.select(F.concat(F.lit("/in/"), _text("c_nationkey"), F.lit(".csv")).alias("path"), content.alias("content")).withColumn("length", F.octet_length("content")))
-    return found.select(F.regexp_extract("path", r"(\d+)\.csv$", 1).cast("int").alias("c_nationkey"), "text")
+    found = files.extract(books.select(F.concat(F.lit("/in/"), _text("file"), F.lit(".csv")).alias("path"), content.alias("content")).withColumn("length", F.octet_length("content")))
+    return found.select(F.regexp_extract("path", r"(\d+)\.csv$", 1).cast("long").alias("file"), "text", F.array_contains("warnings", "truncated").alias("truncated"))
 
 
 @query("markdown_fields", "SELECT p_partkey, p_brand AS sender, p_type AS kind, p_name AS body FROM part")
@@ -578,10 +578,10 @@ def job_counts(spark, sf_dir):
     return observability.job_counts(jobs)
 
 
-@query("trimmed_steps", """SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-15' AND event_type = 'click' THEN '{"k":"' || user_id || '"}' ELSE '{"k":"' || user_id || '","exchange":"long"}' END AS output FROM events""")
+@query("trimmed_steps", """SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-15' AND event_type = 'click' THEN '{"k":"' || user_id || '","n":' || event_id || ',"o":{"list":[1,"x"],"ok":true}}' ELSE '{"k":"' || user_id || '","n":' || event_id || ',"o":{"list":[1,"x"],"ok":true},"exchange":{"asked":"long"}}' END AS output FROM events""")
 def trimmed_steps(spark, sf_dir):
     """PIP10: exchanges of model stages in old traces go."""
-    steps = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("started_at"), F.concat(F.lit('{"k":"'), _text("user_id"), F.lit('","exchange":"long"}')).alias("output"))
+    steps = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("started_at"), F.concat(F.lit('{"k":"'), _text("user_id"), F.lit('","n":'), _text("event_id"), F.lit(',"o":{"list":[1,"x"],"ok":true},"exchange":{"asked":"long"}}')).alias("output"))
     return observability.trim_steps(steps, "2024-01-15", ["click"]).select("event_id", "output")
 
 

@@ -343,17 +343,17 @@ def search_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), T.search_key(F.col("p_name")).alias("key")).distinct()
 
 
-@query("amount_labels", "SELECT o_orderkey, printf('%.2f EUR', o_totalprice) AS amount FROM orders")
+@query("amount_labels", "SELECT o_orderkey, printf('%.2f EUR', o_totalprice) AS amount, NULL::VARCHAR AS shared FROM orders")
 def amount_labels(spark, sf_dir):
-    """NUM1: amounts as written with a sign."""
+    """NUM1: amounts as written with a sign; one that several currencies share is none."""
     written = F.concat(F.lit("€ "), F.format_number("o_totalprice", 2))
-    return table(spark, sf_dir, "orders").select("o_orderkey", L.amount(written).alias("amount"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", L.amount(written).alias("amount"), L.amount(F.concat(F.lit("£ "), F.format_number("o_totalprice", 2))).alias("shared"))
 
 
-@query("iso_days", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, NULL::VARCHAR AS bad FROM orders")
+@query("iso_days", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%d') AS mixed, NULL::VARCHAR AS bad FROM orders")
 def iso_days(spark, sf_dir):
     """DT5: day-first writings to ISO days."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", L.iso_day(F.date_format("o_orderdate", "d.M.yyyy")).alias("day"), L.iso_day(F.lit("31.02.2025")).alias("bad"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", L.iso_day(F.date_format("o_orderdate", "d.M.yyyy")).alias("day"), L.iso_day(F.date_format("o_orderdate", "d.M/yyyy")).alias("mixed"), L.iso_day(F.lit("31.02.2025")).alias("bad"))
 
 
 @query("timespan_overlap", "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1995-01', '1995-02', '1995-03')")

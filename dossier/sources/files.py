@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import email
 import email.policy
 import io
 import re
+import signal
+import threading
 import zipfile
 from xml.etree import ElementTree
 
@@ -22,6 +25,7 @@ IGNORED_NAMES = [".DS_Store", "Thumbs.db", "desktop.ini"]
 IGNORED_PREFIXES = [".", "~$"]
 IGNORED_EXTENSIONS = ["tmp", "part", "crdownload", "download"]
 MAGIC = [("pdf", "25504446"), ("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "47494638"), ("tiff", "49492A00"), ("tiff", "4D4D002A"), ("rtf", "7B5C727466"), ("zip", "504B0304")]
+SECONDS = 60
 SHEETS, SHEET_ROWS, SHEET_CELLS, SLIDES, ENTRIES, CSV_ROWS = 20, 300, 30, 100, 200, 200
 
 
@@ -67,6 +71,9 @@ def delimiter_of(text: str) -> str:
     return max(counts, key=counts.get)
 
 
+csv.field_size_limit(1 << 30)  # an open quotation may run through a whole file
+
+
 def csv_text(data: bytes) -> tuple[str, bool]:
     """SRC9: header and 200 rows as tab-separated text, and whether there were more."""
     text = decode_bytes(data)[0]
@@ -191,9 +198,32 @@ def front_matter(text: str) -> tuple[dict[str, str], str]:
     return out, m[2]
 
 
+@contextlib.contextmanager
+def deadline(seconds: float):
+    """Ends what runs in it by a TimeoutError; without effect outside a process's main thread, where Python has no timer."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def end(*_) -> None:
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, end)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 @F.pandas_udf(StructType().add("text", StringType()).add("metadata", MapType(StringType(), StringType())).add("warnings", ArrayType(StringType())))
 def extracted(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    """SRC7: text of a file by its type; a file that can't be read gives a warning and no text."""
+    """SRC7: text of a file by its type; a file that can't be read, or not in SECONDS, gives a warning and no text."""
+
+    def timed(kind: str, data: bytes) -> tuple[str | None, dict[str, str], list[str]]:
+        with deadline(SECONDS):
+            return one(kind, data)
 
     def one(kind: str, data: bytes) -> tuple[str | None, dict[str, str], list[str]]:
         try:
@@ -215,11 +245,13 @@ def extracted(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
             if kind == "md":
                 fields, text = front_matter(decode_bytes(data)[0])
                 return text, fields, []
-        except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, LookupError) as e:
+        except TimeoutError:
+            return None, {}, ["deadline"]
+        except Exception as e:  # whatever a damaged file makes a parser raise is a finding about that file
             return None, {}, [f"unreadable: {type(e).__name__}"]
         return None, {}, ["noReader"]
 
-    return pd.DataFrame([one(k, bytes(b or b"")) for k, b in zip(kinds, contents, strict=True)], columns=["text", "metadata", "warnings"])
+    return pd.DataFrame([timed(k, bytes(b or b"")) for k, b in zip(kinds, contents, strict=True)], columns=["text", "metadata", "warnings"])
 
 
 def extract(files: DataFrame, largest: int = 524_288_000) -> DataFrame:

@@ -22,9 +22,16 @@ def test_folding_and_keys(spark):
     assert [n for _, n in sorted(zip(values(spark, T.natural_key, names), names, strict=True))] == ["File 2", "file 9", "file 10"]
 
 
+def test_natural_order(spark):
+    names = ["zebra", "Äpfel 3", "apfel 20", "Apfel 3", "file 100000000000000000000000000001", "file 99999999999999999999999999999", "file 07", "file 7 b", "éclair", "eclair", "f"]
+    order = [r.x for r in spark.createDataFrame([(n,) for n in names], "x string").orderBy(T.natural_key(F.col("x")), "x").collect()]
+    assert order == ["Apfel 3", "Äpfel 3", "apfel 20", "eclair", "éclair", "f", "file 07", "file 7 b", "file 99999999999999999999999999999", "file 100000000000000000000000000001", "zebra"]
+
+
 def test_normalizing(spark):
     assert values(spark, T.normalize_text, ["﻿a \r\nb\r\n\r\n\r\n\r\nc\fd\x07 "]) == ["a\nb\n\nc\n\nd"]
     assert values(spark, lambda x: T.shorten(x, 10), ["one two three", "short", "abcdefghijklm"]) == ["one two", "short", "abcdefghij"]
+    assert values(spark, lambda x: T.shorten(x, 7), ["one two three", "one  two three", "onetwothree"]) == ["one two", "one ", "onetwot"]
     assert len(values(spark, lambda x: T.excerpt(x, 60), ["y" * 500])[0]) == 60
     assert values(spark, T.page_quality, ["few", "1234 " * 20, "letters and words " * 5, "good letters " * 5 + "�" * 9]) == ["fewCharacters", "lowLetterShare", None, "replacementCharacters"]
     assert values(spark, T.filled_lines, ["a\n\n b\n"]) == [2]
@@ -51,13 +58,18 @@ def test_encodings():
 
 
 def test_days_and_spans(spark):
-    assert values(spark, L.iso_day, ["2025-03-05", "5.3.2025", "31.02.2025", "05/13/2025", "x"]) == ["2025-03-05", "2025-03-05", None, None, None]
+    assert values(spark, L.iso_day, ["2025-03-05", "5.3.2025", "31.02.2025", "05/13/2025", "x", "1.2/2024"]) == ["2025-03-05", "2025-03-05", None, None, None, "2024-02-01"]
     assert values(spark, lambda x: F.concat_ws("|", L.span(x)["first"], L.span(x)["last"]), ["2025", "2025-02", "2024-07/2025-06", "soon"]) == ["2025-01-01|2025-12-31", "2025-02-01|2025-02-31", "2024-07-01|2025-06-31", ""]
 
 
 def test_amounts(spark):
     got = values(spark, L.amount, ["€ 1.234,50", "72 EUR", "USD 1,234.5", "12 345,6 EUR", "free"])
-    assert got == ["1234.50 EUR", "72.00 EUR", "1234.50 USD", "12345.60 EUR", None]
+    assert got == ["1234.50 EUR", "72 EUR", "1234.5 USD", "12345.6 EUR", None]
+
+
+def test_amounts_by_examples(spark):
+    written = ["54.21: EUR", "54.21eur", "12,50 €", "1 234,56 EUR", "EUR 1.234.567", "1,234.56 EUR", "£ 5", "$5", "5 kr", "12 %", "5", "1.2,3.4 EUR", "EUR 5 USD", "-3,5 CHF", "3 XYZ", None]
+    assert values(spark, L.amount, written) == ["54.21 EUR", "54.21 EUR", "12.50 EUR", "1234.56 EUR", "1234567 EUR", "1234.56 EUR", None, None, None, None, None, None, None, "-3.5 CHF", None, None]
 
 
 def test_label_arrays(spark):

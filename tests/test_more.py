@@ -65,3 +65,29 @@ def test_settling_stream(spark, tmp_path):
     found = stream.writeStream.format("memory").queryName("settling").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     found.awaitTermination(180)
     assert {(r.path, r.event) for r in spark.table("settling").collect()} == {("a", "settled"), ("z", "settled"), ("u", "unopenable")}
+
+
+def test_trimmed_json_keeps_its_types(spark):
+    rows = [(1, '{"n":5,"ok":true,"o":{"x":1},"exchange":{"a":1}}'), (2, '{"n": 1.50}'), (3, "no json"), (4, None), (5, '[{"exchange":1}]')]
+    steps = spark.createDataFrame(rows, "id int, output string").selectExpr("id", "output", "'analyse' AS stage", "timestamp'2020-01-01' AS started_at")
+    assert {r.id: r.output for r in observability.trim_steps(steps, "2021-01-01", ["analyse"]).collect()} == {1: '{"n":5,"ok":true,"o":{"x":1}}', **dict(rows[1:])}
+
+
+def test_readers_bear_damaged_files(spark):
+    from dossier.sources import files
+
+    content = [("a.csv", b'x;y\n"open quotation' + b" word" * 60_000), ("b.xlsx", b"PK\x03\x04 broken"), ("c.zip", b"PK\x05\x06" + b"\0" * 18 + b"junk"), ("d.eml", b"\xff\xfe\x00"), ("e.csv", b"")]
+    frame = spark.createDataFrame([(n, bytearray(b), len(b)) for n, b in content], "path string, content binary, length long")
+    found = {r.path: r for r in files.extract(frame).collect()}
+    assert found["a.csv"].text.startswith("x\ty\nopen quotation word") and found["b.xlsx"].warnings == ["unreadable: BadZipFile"] and len(found) == 5
+
+
+def test_deadline_of_a_reader():
+    import time
+
+    import pytest
+
+    from dossier.sources import files
+
+    with pytest.raises(TimeoutError), files.deadline(0.05):
+        time.sleep(5)
