@@ -72,13 +72,13 @@ def parse_any(text: str) -> list[Phrase]:
     return [Phrase((w,)) for w in dict.fromkeys(_TOKENS.findall(fold_text(text)))]
 
 
-def _folded(phrase: Phrase) -> list[str]:
+def folded_words(phrase: Phrase) -> list[str]:
     return [t for w in phrase.words for t in _TOKENS.findall(fold_text(w))]
 
 
 def _hits(line: Column, phrase: Phrase) -> Column:
     """Occurrences of a phrase in tokens joined by spaces, with a space at both ends."""
-    joined = " ".join(re.escape(t) for t in _folded(phrase))
+    joined = " ".join(re.escape(t) for t in folded_words(phrase))
     return F.regexp_count(line, F.lit(f"(?= {joined}{'' if phrase.prefix else ' '})"))
 
 
@@ -138,7 +138,7 @@ def _snippet(bodies: pd.Series, words: pd.Series) -> pd.Series:
 
 def snippet(body: Column, phrases: list[Phrase]) -> Column:
     """FTS9: the 24 tokens with the most different query words, these between U+E000 and U+E001."""
-    return _snippet(body, F.array(*[F.lit(w) for p in phrases for w in _folded(p)]))
+    return _snippet(body, F.array(*[F.lit(w) for p in phrases for w in folded_words(p)]))
 
 
 def dot(a: Column, b: Column) -> Column:

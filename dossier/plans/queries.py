@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import grounding, identifiers
 from dossier.functions import labels as L
 from dossier.functions import text as T
-from dossier.operators import filters, observability, search, vocabulary
+from dossier.operators import filters, observability, postings, search, vocabulary
 from dossier.plans import tasks
 from dossier.plans.adapters import LABELS_SQL, STEPS_SQL, labels, steps, table
 from dossier.plans.registry import QUERIES, query
@@ -36,7 +38,7 @@ def _bm25_sql(parts: list[str], joiner: str, limit: int | None = 10) -> str:
 
 def _bm25(spark: SparkSession, sf_dir: str, text: str, any_of: bool = False, limit: int | None = 10) -> DataFrame:
     phrases = search.parse_any(text) if any_of else search.parse(text)
-    found = search.bm25(table(spark, sf_dir, "documents"), FIELDS, phrases, any_of)
+    found = postings.bm25(postings.kept(table(spark, sf_dir, "documents"), FIELDS), phrases, any_of)
     found = search.top(found, limit) if limit else found
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -79,14 +81,15 @@ def fts_phrase_docs(spark, sf_dir):
 @query("fts_empty_listing", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY doc_id DESC LIMIT 50")
 def fts_empty_listing(spark, sf_dir):
     """FTS8: no terms: the newest documents with score 0."""
-    return table(spark, sf_dir, "documents").orderBy(F.desc("doc_id")).limit(50).select("doc_id", F.lit(0.0).alias("score"))
+    docs = table(spark, sf_dir, "documents")
+    return postings.listing(postings.kept(docs, FIELDS), docs, " ", search.parse(" "), F.col("doc_id"), 50)
 
 
 @query("relevance_within", f"WITH base AS ({_bm25_sql([_tf_sql(chr(120) + ' = ' + chr(39) + 'onen' + chr(39), ALL)], 'AND', None)}) SELECT b.doc_id, b.score FROM base b JOIN documents d USING (doc_id) WHERE d.lang = 'en' AND d.source = 'src1'")
 def relevance_within(spark, sf_dir):
     """FTS11: relevance within a set; the statistics stay the corpus's."""
     docs = table(spark, sf_dir, "documents")
-    found = search.bm25(docs, FIELDS, [search.Phrase(("onen",))], within=docs.where("lang = 'en' AND source = 'src1'"))
+    found = postings.bm25(postings.kept(docs, FIELDS), [search.Phrase(("onen",))], within=docs.where("lang = 'en' AND source = 'src1'"))
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -94,7 +97,7 @@ def relevance_within(spark, sf_dir):
 def fts_snippets(spark, sf_dir):
     """FTS9: the best window of the hits' bodies."""
     docs, phrases = table(spark, sf_dir, "documents"), search.parse("onen erth")
-    return search.top(search.bm25(docs, FIELDS, phrases)).join(docs, "doc_id").select("doc_id", search.snippet(F.col("text"), phrases).alias("snippet"))
+    return search.top(postings.bm25(postings.kept(docs, FIELDS), phrases)).join(docs, "doc_id").select("doc_id", search.snippet(F.col("text"), phrases).alias("snippet"))
 
 
 @query("facet_counts", f"WITH {LABELS_SQL} SELECT kind, value, count(DISTINCT doc_id) AS documents FROM labelled GROUP BY ALL")
@@ -285,11 +288,47 @@ SELECT doc_id, row_number() OVER (ORDER BY word_rank IS NULL, CASE WHEN word_ran
 @query("rrf_fusion", _RRF)
 def rrf_fusion(spark, sf_dir):
     """RNK1-RNK3, JN9: words and meaning fused."""
-    words = search.top(search.bm25(table(spark, sf_dir, "documents"), FIELDS, [search.Phrase(("onen",))]), search.CANDIDATES).select("doc_id", F.round("score", 6).alias("score"))
+    words = search.top(postings.bm25(postings.kept(table(spark, sf_dir, "documents"), FIELDS), [search.Phrase(("onen",))]), search.CANDIDATES).select("doc_id", F.round("score", 6).alias("score"))
     near = search.vector_top(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), search.CANDIDATES, "vec_id", "embedding").select(F.col("vec_id").alias("doc_id"), F.round("similarity", 5).alias("similarity"))
     return search.fuse(words, near, floor=0.2).select("doc_id", F.col("place").cast("long").alias("place"), F.round("score", 8).alias("score"))
 
 
+_IN_SET = "SELECT doc_id FROM documents WHERE lang = 'en'"
+_SET_WORDS = _bm25_sql([_tf_sql("x = 'onen'", ALL), _tf_sql("x = 'enst'", ALL)], "OR", None)
+_SET = f"""WITH words AS ({_SET_WORDS}), w AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS word_rank FROM (SELECT * FROM words WHERE doc_id IN ({_IN_SET}) ORDER BY score DESC, doc_id LIMIT 200)),
+m AS (SELECT doc_id, similarity, row_number() OVER (ORDER BY similarity DESC, doc_id) AS meaning_rank FROM (SELECT vec_id AS doc_id, round({_DOT}, 5) AS similarity FROM embeddings WHERE vec_id IN ({_IN_SET}) ORDER BY {_DOT} DESC, vec_id LIMIT 200) WHERE similarity >= 0.2),
+b AS (SELECT doc_id, word_rank, meaning_rank, similarity, coalesce(1.0 / (60 + word_rank), 0) + coalesce(1.0 / (60 + meaning_rank), 0) AS score FROM w FULL JOIN m USING (doc_id))
+SELECT doc_id, row_number() OVER (ORDER BY word_rank IS NULL, CASE WHEN word_rank IS NULL THEN -similarity ELSE -score END, word_rank, doc_id) AS place, round(score::DOUBLE, 8) AS score FROM b"""
+
+
+@query("fused_within_set", _SET)
+def fused_within_set(spark, sf_dir):
+    """FTS11: words and meaning within the English documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = postings.within_set(postings.kept(docs, FIELDS), search.parse_any("onen enst"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), _query_vector(spark, sf_dir), docs.where("lang = 'en'"), floor=0.2)
+    return found.select("doc_id", F.col("place").cast("long").alias("place"), F.round("score", 8).alias("score"))
+
+
+@query("fts_phrase_prefix", _bm25_sql(["1.0 * len(list_filter(range(1, len(t_body)), lambda i: t_body[i] = 'of' AND starts_with(t_body[i + 1], 'th')))", _tf_sql("x = 'src3'", ["sender"])], "OR", None))
+def fts_phrase_prefix(spark, sf_dir):
+    """FTS5: a phrase that ends in a prefix, or a field's word."""
+    index = postings.kept(table(spark, sf_dir, "documents"), FIELDS)
+    found = postings.bm25(index, [search.Phrase(("of", "th"), "body", True), search.Phrase(("src3",), "sender")], any_of=True)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("index_after_changes", f"""WITH {_SCAN_SQL.replace(" FROM documents)", " FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'onen ' || coalesce(text, '') ELSE text END AS text, source, lang FROM documents WHERE doc_id % 7 <> 1))")},
+scan AS (SELECT doc_id, len(t_body) + len(t_sender) + len(t_language) AS dl, ({_tf_sql("x = 'onen'", ALL)})::DOUBLE AS tf FROM lists), stats AS (SELECT count(*) AS docs, avg(dl) AS avgdl, count(*) FILTER (tf > 0) AS n FROM scan)
+SELECT doc_id, round(greatest(ln((docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM scan, stats WHERE tf > 0""")
+def index_after_changes(spark, sf_dir):
+    """FTS5: an index in two segments: every third document written anew, every seventh removed."""
+    docs = table(spark, sf_dir, "documents")
+    index = postings.build(docs, FIELDS, f"{arrivals.shared_folder(spark)}/dossier-segments-{uuid.uuid4().hex}")
+    anew = docs.where("doc_id % 3 = 0 AND doc_id % 7 <> 1").withColumn("text", F.concat(F.lit("onen "), F.coalesce("text", F.lit(""))))
+    index = postings.append(index, anew, FIELDS, removed=docs.where("doc_id % 7 = 1"))
+    return postings.bm25(index, [search.Phrase(("onen",))]).select("doc_id", F.round("score", 6).alias("score"))
+
+
 _HTML = "html"
 for _p, _r, _g in (("(?s)<!--.*?-->", "", "g"), ("(?si)<script\\b[^>]*>.*?</script\\s*>", "", "g"), ("(?si)<style\\b[^>]*>.*?</style\\s*>", "", "g"), ("(?si)<head\\b[^>]*>.*?</head\\s*>", "", "g"), ("(?si)<noscript\\b[^>]*>.*?</noscript\\s*>", "", "g"), ("(?si)<template\\b[^>]*>.*?</template\\s*>", "", "g"), ("\\s+", " ", "g")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', '{_g}')"

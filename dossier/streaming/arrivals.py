@@ -12,6 +12,11 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 POLLS, ZERO_BYTES_S, UNOPENABLE_S, LONGEST_S = 2, 30, 60, 900
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or in tests, where it is unset, the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def arrivals(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000, kind: str = "parquet") -> DataFrame:
     """SRC1, STR1: files of a folder as they arrive."""
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)

@@ -165,3 +165,44 @@ def test_settling_and_streams(spark, tmp_path):
     found = again.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     found.awaitTermination(120)
     assert {(r.sha256, r.n) for r in spark.table("w").collect()} == {("x", 2), ("y", 1)}
+
+
+def test_index_agrees_with_sqlite(spark, tmp_path):
+    """Words, prefixes, phrases and fields from the stored index, before and after documents change."""
+    import sqlite3
+
+    from dossier.operators import postings
+
+    fields = {"filename": "filename", "body": "body"}
+    docs = [(1, "Fatura eletricidade", "período de faturação da EDP"), (2, "Выписка по счёту", "Sberbank выписка"), (3, "Meter reading", "meter meter of the house"), (4, "Electricity bill", "the bill of the house of EDP"), (5, "Passport", None), (6, None, "the house of the house of the house"), (7, "a", "of the, of the. of")]
+    schema = "doc_id long, filename string, body string"
+    queries = (("FATURAÇÃO", '"FATURAÇÃO" *'), ("выпис", '"выпис" *'), ('"of the house"', '"of the house"'), ("filename:bill the", 'filename : "bill" AND "the" *'), ("meter", '"meter" *'), ('body:"house of"', 'body : "house of"'), ('"of the hou', '"of the hou"'), ("ho", '"ho" *'), ('the "of the"', '"the" AND "of the"'))
+
+    def agree(index, rows):
+        db = sqlite3.connect(":memory:")
+        db.execute("CREATE VIRTUAL TABLE f USING fts5(filename, body, tokenize='unicode61 remove_diacritics 2')")
+        db.executemany("INSERT INTO f (rowid, filename, body) VALUES (?, ?, ?)", rows)
+        for text, match in queries:
+            want = {i: -s for i, s in db.execute("SELECT rowid, bm25(f, 3.0, 1.0) FROM f WHERE f MATCH ?", (match,))}
+            got = {r.doc_id: r.score for r in postings.bm25(index, search.parse(text)).collect()}
+            assert got == pytest.approx(want, rel=1e-6), text
+
+    index = postings.build(spark.createDataFrame(docs, schema), fields, str(tmp_path / "i"), partitions=3)
+    agree(index, docs)
+    anew = [(3, "Gas bill", "of the house"), (9, "House", "the meter of the meter")]
+    index = postings.append(index, spark.createDataFrame(anew, schema), fields, removed=spark.createDataFrame([(6,), (3,), (77,)], "doc_id long"), partitions=2)
+    agree(index, [d for d in docs if d[0] not in (3, 6)] + anew)
+
+
+def test_index_reads_only_its_terms(spark, tmp_path):
+    """The scan's filters name the folder and the term; repeated ids, null ids and empty tables have their results."""
+    from dossier.operators import postings
+
+    rows = [(i, f"word{i} common") for i in range(500)] + [(7, "again word7"), (None, "word7")]
+    index = postings.build(spark.createDataFrame(rows, "doc_id long, body string"), {"body": "body"}, str(tmp_path / "i"), partitions=4)
+    found = postings.bm25(index, search.parse('"word7"'))
+    assert [r.doc_id for r in found.collect()] == [7]
+    plan = postings._rows(index.read("postings"), search.parse('"word7"'))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(slot" in plan and "EqualTo(term,word7)" in plan
+    none = postings.build(spark.createDataFrame([], "doc_id long, body string"), {"body": "body"}, str(tmp_path / "e"))
+    assert postings.bm25(none, search.parse("word")).count() == 0 and postings.bm25(index, search.parse("...")).count() == 0
