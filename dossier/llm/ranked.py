@@ -39,6 +39,7 @@ from dossier.llm.common import forget, release, runs, stored
 
 #: What cuts terms: all ASCII but letters and digits. Upper-case ASCII letters become lower-case ones.
 SPLIT = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256)).translate(bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)))
+#: The same as a pattern.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -71,8 +72,13 @@ def _open(packed: bytes, kind: str) -> np.ndarray:
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_docs: int = 256, block_bytes: int = 1 << 20) -> Index:
     """The forward index of a table, in blocks of at most so many documents, each ended by the text that fills block_bytes."""
-    counted = docs.select(F.regexp_count(text, F.lit(TERM)).cast("long").alias("n")).where("n > 0")
-    total = counted.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(terms(value.as_py())) for batch in batches for value in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, sizes))], pa.int64()), pa.array([sum(sizes)], pa.int64())], ["documents", "words"])
+
+    total = texts.select("text").mapInArrow(count, "documents long, words long").agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     documents, words = total["documents"], total["words"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +116,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_docs:
         release()
 
     schema = "block long, terms binary, most binary, holders binary, ids array<long>, sizes binary, codes binary, impacts binary"
-    return Index(stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(build, schema)), documents, words)
+    return Index(stored(texts.mapInArrow(build, schema)), documents, words)
 
 
 class Queries:
