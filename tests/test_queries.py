@@ -12,6 +12,7 @@ import pytest
 from dossier.plans import more_queries as _more  # noqa: F401  registers
 from dossier.plans import queries as _queries  # noqa: F401  registers
 from dossier.plans import registry
+from dossier.plans import stream_queries as _stream_queries  # noqa: F401  registers
 
 
 def plain(v):
