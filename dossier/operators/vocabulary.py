@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -121,28 +122,106 @@ def most_possible(a: Column, b: Column) -> Column:
     return F.when(long == 0, 1.0).otherwise(j + 0.4 * (1 - j))
 
 
+def _bars(thresholds: dict[str, tuple[float, float]], place: int, other: float) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kind, pair in thresholds.items() for x in (kind, pair[place])]), F.col("kind")), F.lit(other))
+
+
+#: Letters of Latin texts, the rare ones first; other characters are rarer still. The order decides how many pairs are looked at, not which are found.
+_RARE = "zqxjkvbpygfwmucldrhsnioate "
+_BANDS = 1.25
+
+
+def _letters(text: Column) -> Column:
+    """The characters of a text, each with its number among equal ones, the rare ones first: a set for each multiset."""
+    ranked = F.array_sort(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.struct(F.instr(F.lit(_RARE), c).alias("r"), c.alias("c"))))
+    return F.transform(ranked, lambda x, i: F.concat(x["c"], (i - F.array_position(ranked, x)).cast("string")))
+
+
+def _overlap_needed(a: Column, b: Column, jaro_bar: Column) -> Column:
+    """How many characters strings of such lengths have in common at least, if their Jaro similarity reaches the bar.
+
+    With m matches Jaro is (m/a + m/b + (m - t)/m) / 3, at most (m/a + m/b + 1) / 3, and m is at most the characters in common.
+    """
+    return F.ceil((3 * jaro_bar - 1) * a * b / (a + b) - 1e-9)
+
+
+def _signatures(rows: DataFrame, bar: Column, leg: str) -> DataFrame:
+    """Rows with the keys under which alike ones of their leg meet.
+
+    Winkler adds 0.1 of the rest to 1 for each of up to four equal first characters, so that a similarity of t needs a Jaro
+    of t where the first characters differ (leg ``0``), and of (t - 0.4) / 0.6 where they are equal (leg ``1``, where the
+    first character is part of the key). That bounds the lengths of two alike strings, and the characters they have in
+    common by o. Lengths are put in bands; for two bands, o is taken at their least lengths. Ordered by rarity, the first
+    n - o + 1 characters of both then share one, and the first n - o + 2 share two, if o is 2 or more: keys are these
+    characters or, where that gives few keys, pairs of them.
+    """
+    n = F.col("n")
+    jaro_bar = bar if leg == "0" else (bar - 0.4) / 0.6
+    band = lambda x: F.floor(F.log(x.cast("double")) / F.lit(math.log(_BANDS)) + 1e-9)
+    least = lambda k: F.greatest(F.ceil(F.pow(F.lit(_BANDS), k) - 1e-9), F.lit(1))
+    ratio = F.greatest(3 * jaro_bar - 2, F.lit(0.001))
+    keyed = rows.where("n > 0").withColumn("jb", jaro_bar).withColumn("own", band(n)).withColumn("other", F.explode(F.sequence(F.greatest(band(F.ceil(ratio * n - 1e-9)), F.lit(0)), band(F.floor(n / ratio + 1e-9)))))
+    o = F.greatest(_overlap_needed(least(F.col("own")), least(F.col("other")), F.col("jb")), F.lit(1))
+    keyed = keyed.withColumn("o", o)
+    # Whether pairs serve must be the same for both sides: it hangs on the bands alone.
+    longest = F.pow(F.lit(_BANDS), F.greatest("own", "other") + 1)
+    keyed = keyed.withColumn("twos", (F.col("o") >= 2) & (longest - F.col("o") + 2 <= 12))
+    first = F.slice("letters", F.lit(1), F.greatest(n - F.col("o") + F.when(F.col("twos"), 2).otherwise(1), F.lit(1)))
+    twos = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.concat(x, F.lit("|"), y))))
+    start = F.substring("k.sorted", 1, 1) if leg == "1" else F.lit("")
+    return keyed.withColumn("signature", F.explode(F.when(F.col("twos"), twos).otherwise(first))).withColumn("meets", F.struct(start.alias("start"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "signature")).drop("jb", "own", "other", "o", "twos", "signature")
+
+
+def alike_candidates(left: DataFrame, right: DataFrame, bar: Column) -> DataFrame:
+    """Pairs of rows (kind, value, k of keys_of) of one kind and with equal numbers that may be alike by the bar: (kind, a, ka, b, kb, ...).
+
+    Every pair with a similarity of the bar or more is among them; a bar of 0.45 or less would admit strings without a
+    common character and raises an error. Columns of the sides come back as a_* and b_*. No block holds more than the
+    labels that share a writing without its spaces, or rare characters and bands of length; pairs that have too few
+    characters in common go before any comparison. Frequent keys are split by adaptive execution, being plain joins.
+    """
+    side = lambda rows, s: rows.withColumn("n", F.length("k.sorted")).withColumn("letters", _letters(F.col("k.sorted"))).withColumn("bar", F.when(bar <= 0.45, F.raise_error(F.lit("a similarity bar is above 0.45")).cast("double")).otherwise(bar))
+    named = lambda rows, s, passed: rows.select("kind", F.col("k.numbers").alias("numbers"), "meets", F.struct(*[c for c in passed if c != "kind"], "n", "letters", "bar").alias(s))
+    x, y = side(left, "a"), side(right, "b")
+    found = None
+    for leg in ("0", "1", "joined"):
+        if leg == "joined":
+            empty = F.struct(F.col("k.joined").alias("start"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit("").alias("signature"))
+            p, q = x.withColumn("meets", empty), y.withColumn("meets", empty)
+        else:
+            p, q = _signatures(x, F.col("bar"), leg), _signatures(y, F.col("bar"), leg)
+        met = named(p, "a", left.columns).join(named(q, "b", right.columns), ["kind", "numbers", "meets"]).where(F.col("a.value") != F.col("b.value"))
+        if leg != "joined":
+            same = F.substring("a.k.sorted", 1, 1) == F.substring("b.k.sorted", 1, 1)
+            jaro_bar = F.when(same, (F.col("a.bar") - 0.4) / 0.6).otherwise(F.col("a.bar"))
+            met = met.where((same if leg == "1" else ~same) & (F.size(F.array_intersect("a.letters", "b.letters")) >= _overlap_needed(F.col("a.n"), F.col("b.n"), jaro_bar)))
+        met = met.select("kind", F.col("a.value").alias("va"), F.col("b.value").alias("vb"), *[F.col(s).dropFields("n", "letters", "bar").alias(s) for s in ("a", "b")])
+        found = met if found is None else found.unionByName(met)
+    return found.dropDuplicates(["kind", "va", "vb"]).drop("va", "vb")
+
+
+def regrouped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (kind, a, b) of rows whose digits are grouped otherwise: first by the ways of grouping, then their labels."""
+    cuts = lambda rows: rows.where("k.digits <> ''").select("kind", F.col("k.digits").alias("digits"), F.col("k.numbers").alias("numbers")).distinct()
+    key = lambda c: F.struct(F.col("digits"), F.col(c).alias("numbers"))
+    ways = cuts(left).withColumnRenamed("numbers", "na").join(cuts(right).withColumnRenamed("numbers", "nb"), ["kind", "digits"]).where(regrouping(key("na"), key("nb")))
+    side = lambda rows, s: rows.select("kind", F.col("k.digits").alias("digits"), F.col("k.numbers").alias(f"n{s}"), F.struct(*[c for c in rows.columns if c != "kind"]).alias(s))
+    return ways.join(side(left, "a"), ["kind", "digits", "na"]).join(side(right, "b"), ["kind", "digits", "nb"]).select("kind", "a", "b")
+
+
 def look_alikes(labels: DataFrame, fresh: DataFrame | None = None, thresholds: dict[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
-    """VOC6: pairs (kind, a, b, similarity, regrouping) of labels (kind, value) with equal digits.
+    """VOC6, JN11: pairs (kind, a, b, similarity, regrouping) of labels (kind, value) that are alike, or whose digits are grouped otherwise.
 
-    Blocks are of one kind, the same digits and length bands: labels whose lengths are further apart than any alike pair's
-    don't meet, but in the blocks of equal letters and of regrouped numbers. Given `fresh` labels, only pairs with one
-    of these.
+    Given `fresh` labels, only pairs with one of these.
     """
-    keyed = labels.select("kind", "value").distinct().withColumn("k", keys_of("value"))
-    bar = F.coalesce(F.try_element_at(F.create_map(*[x for k, (_, s) in thresholds.items() for x in (F.lit(k), F.lit(s))]), F.col("kind")), F.lit(0.9))
-    left = keyed if fresh is None else keyed.join(fresh.select("kind", "value"), ["kind", "value"], "left_semi")
-    a = left.select("kind", F.col("k.digits").alias("digits"), F.col("value").alias("a"), F.col("k").alias("ka"))
-    b = keyed.select("kind", F.col("k.digits").alias("digits"), F.col("value").alias("b"), F.col("k").alias("kb"))
+    keyed = labels.where("value IS NOT NULL").select("kind", "value").distinct().withColumn("k", keys_of("value"))
+    bar = _bars(thresholds, 1, 0.9)
+    left = keyed if fresh is None else keyed.join(fresh.select("kind", "value").distinct(), ["kind", "value"], "left_semi")
+    flat = lambda rows: rows.select("kind", F.col("a.value").alias("a"), F.col("b.value").alias("b"), F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
     ordered = F.col("a") < F.col("b") if fresh is None else F.col("a") != F.col("b")
-    # Above a similarity of 0.85 the shorter of two is 0.25 of the longer or more (VOC7): bands of a power of four.
-    band = lambda k: F.floor(F.log(F.greatest(F.length(k), F.lit(1)).cast("double")) / F.log(F.lit(4.0)))
-    spread = F.array(F.concat(F.lit("b"), band(F.col("ka.sorted"))), F.concat(F.lit("b"), band(F.col("ka.sorted")) - 1), F.concat(F.lit("b"), band(F.col("ka.sorted")) + 1), F.concat(F.lit("j"), F.col("ka.joined")), F.when(F.col("digits") != "", "d"))
-    single = F.array(F.concat(F.lit("b"), band(F.col("kb.sorted"))), F.concat(F.lit("j"), F.col("kb.joined")), F.when(F.col("digits") != "", "d"))
-    a, b = a.withColumn("block", F.explode(F.array_compact(spread))), b.withColumn("block", F.explode(F.array_compact(single)))
-    pairs = a.join(b, ["kind", "digits", "block"]).where(ordered).drop("block").dropDuplicates(["kind", "a", "b"])
-    near = pairs.where((most_possible(F.col("ka.sorted"), F.col("kb.sorted")) >= bar) | (F.col("ka.joined") == F.col("kb.joined")) | regrouping(F.col("ka"), F.col("kb")))
-    scored = near.withColumn("similarity", similarity(F.col("ka"), F.col("kb"))).withColumn("regrouping", regrouping(F.col("ka"), F.col("kb")))
-    out = scored.where((F.col("similarity") >= bar) | F.col("regrouping")).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", "regrouping")
+    near = flat(alike_candidates(left, keyed, bar)).where(ordered).withColumn("similarity", similarity(F.col("ka"), F.col("kb"))).where(F.col("similarity") >= bar).withColumn("regrouping", F.lit(False))
+    again = flat(regrouped(left, keyed)).where(ordered).withColumn("similarity", similarity(F.col("ka"), F.col("kb"))).withColumn("regrouping", F.lit(True))
+    out = near.unionByName(again).select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", "regrouping")
     return out if fresh is None else out.distinct()
 
 
@@ -204,16 +283,22 @@ def apply_rules(labels: DataFrame, rules: DataFrame, most_rules: int = 200_000)
     return kept.withColumn("value", F.coalesce(rule["target"], F.col("value"))).select(*labels.columns).distinct()
 
 
-def align(labels: DataFrame, used: DataFrame, thresholds: dict[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
-    """VOC10: (kind, value, into): the vocabulary's label, strictly more used, that a label is a writing of."""
-    bar = F.coalesce(F.try_element_at(F.create_map(*[x for k, (m, _) in thresholds.items() for x in (F.lit(k), F.lit(m))]), F.col("kind")), F.lit(1.0))
-    known = used.withColumn("k", keys_of("value"))
-    mine = labels.select("kind", "value").distinct().join(used, ["kind", "value"], "left").fillna(0, ["documents"]).withColumn("k", keys_of("value"))
-    a = mine.select("kind", F.col("k.digits").alias("digits"), "value", F.col("documents").alias("n"), F.col("k").alias("ka"))
-    b = known.select("kind", F.col("k.digits").alias("digits"), F.col("value").alias("into"), "documents", F.col("k").alias("kb"))
-    pairs = a.join(b, ["kind", "digits"]).where((F.col("value") != F.col("into")) & (F.col("documents") > F.col("n")))
-    near = pairs.where((most_possible(F.col("ka.sorted"), F.col("kb.sorted")) >= bar) | (F.col("ka.joined") == F.col("kb.joined")))
-    scored = near.withColumn("similarity", similarity(F.col("ka"), F.col("kb"))).where((F.col("similarity") >= F.when(F.col("n") > 0, 1.0).otherwise(bar)))
+def align(labels: DataFrame, used: DataFrame, rules: DataFrame | None = None, thresholds: dict[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
+    """VOC10: (kind, value, into): the vocabulary's label, strictly more used, that a label is a writing of.
+
+    A label in use stays unless another one is the same writing; pairs that a rule keeps apart don't meet. Of equals the
+    most used, then the first by value.
+    """
+    bar = _bars(thresholds, 0, 1.0)
+    known = used.where("value IS NOT NULL").select("kind", "value", "documents").withColumn("k", keys_of("value"))
+    mine = labels.where("value IS NOT NULL").select("kind", "value").distinct().join(used.select("kind", "value", "documents"), ["kind", "value"], "left").fillna(0, ["documents"]).withColumn("k", keys_of("value"))
+    pairs = alike_candidates(mine, known, bar).where(F.col("b.documents") > F.col("a.documents"))
+    met = pairs.select("kind", F.col("a.value").alias("value"), F.col("a.documents").alias("n"), F.col("a.k").alias("ka"), F.col("b.value").alias("into"), F.col("b.documents").alias("documents"), F.col("b.k").alias("kb"))
+    scored = met.withColumn("similarity", similarity(F.col("ka"), F.col("kb"))).where((F.col("similarity") >= F.when(F.col("n") > 0, 1.0).otherwise(bar)))
+    if rules is not None:
+        apart = rules.where("action = 'keepApart' AND value IS NOT NULL AND target IS NOT NULL").select("kind", keys_of("value")["sorted"].alias("x"), keys_of("target")["sorted"].alias("y"))
+        both = apart.unionByName(apart.select("kind", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+        scored = scored.withColumn("x", F.col("ka.sorted")).withColumn("y", F.col("kb.sorted")).join(both, ["kind", "x", "y"], "left_anti").drop("x", "y")
     best = F.row_number().over(Window.partitionBy("kind", "value").orderBy(F.desc("similarity"), F.desc("documents"), "into"))
     return scored.withColumn("place", best).where("place = 1").select("kind", "value", "into")
 
