@@ -102,24 +102,25 @@ def same(a: str, b: str) -> bool:
 
 
 def _rewritten(labels: Column, kind: str, value: str, target: str | None) -> Column:
+    """Labels with every writing of the label as target, or without it."""
     wanted = key_literal(value)
     fits = lambda x: (x["kind"] == kind) & same_writing(keys_of(x["value"]), wanted)
     if target is None:
         return F.filter(labels, lambda x: ~fits(x))
     new = F.transform(labels, lambda x: F.when(fits(x), F.struct(x["kind"].alias("kind"), F.lit(target).alias("value"))).otherwise(x))
-    return L.distinct_labels(new)
+    return F.when(F.exists(labels, fits), L.distinct_labels(new)).otherwise(labels)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), in which value stands once however often it is used: actions on actions then grow by their number."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _relabelled(documents: DataFrame, kind: str, value: str, target: str | None) -> tuple[DataFrame, int]:
     """The documents with the label written as target, or without it, and how many that changes."""
-    held = F.exists("labels", lambda x: x["kind"] == kind)
-    new = _rewritten(F.col("labels"), kind, value, target)
-    changes = held & (new != F.col("labels"))
-    n = documents.agg(F.count_if(changes)).first()[0]
-    if not n:
-        return documents, 0
-    by_hand = _rewritten(F.col("by_hand"), kind, value, target)
-    return documents.withColumns({"by_hand": F.when(changes, by_hand).otherwise(F.col("by_hand")), "labels": F.when(changes, new).otherwise(F.col("labels"))}), n
+    new = lambda x: _rewritten(x, kind, value, target)
+    n = documents.agg(F.count_if(_bound(F.col("labels"), lambda x: new(x) != x))).first()[0]
+    return (documents.withColumns({c: _bound(F.col(c), new) for c in ("labels", "by_hand")}) if n else documents), n
 
 
 def _in_use(documents: DataFrame, kind: str, value: str, any_writing: bool = False) -> int:

@@ -9,6 +9,7 @@ import os
 import duckdb
 import pytest
 
+from dossier.plans import archive_queries as _archive_queries  # noqa: F401  registers
 from dossier.plans import more_queries as _more  # noqa: F401  registers
 from dossier.plans import queries as _queries  # noqa: F401  registers
 from dossier.plans import registry
