@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier.functions import language
 from dossier.operators import actions, vocabulary
 from dossier.plans.adapters import LABELS_SQL, labels, table
 from dossier.plans.registry import query
+from dossier.sources import packages
+from dossier.streaming.arrivals import shared_folder
 
 _JARO = "jaro_similarity(a.s, b.s) + len(list_filter(range(1, 5), lambda i: i <= length(a.s) AND i <= length(b.s) AND a.s[1:i] = b.s[1:i])) * 0.1 * (1 - jaro_similarity(a.s, b.s))"
 
@@ -80,3 +84,55 @@ def guessed_languages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     profiles = language.learn(docs.where("doc_id % 2 = 0"))
     return language.detect(docs.where("doc_id % 2 = 1").select("doc_id", "text"), profiles).select("doc_id", "language", F.round("confidence", 6).alias("confidence"))
+
+
+def _written(spark, rows, kind: str) -> str:
+    """(name, content) rows as files of a new folder of the shared one."""
+    folder = f"{shared_folder(spark)}/dossier-{kind}-{uuid.uuid4().hex}"
+    packages.write_files(rows, folder)
+    return folder
+
+
+@query("zip_listing", """WITH c AS (SELECT c_custkey, c_custkey // 50 AS archive, c_custkey % 100 AS size FROM customer), t AS (SELECT archive, count(*)::INT AS entries, sum(size)::DOUBLE AS total FROM c GROUP BY 1)
+SELECT archive, 'c/' || c_custkey || '.txt' AS name, size::DOUBLE AS size, entries, total, NULL AS problem FROM c JOIN t USING (archive) WHERE archive % 7 <> 3 UNION ALL SELECT archive, NULL, NULL, NULL, NULL, 'no end of a central directory' FROM t WHERE archive % 7 = 3""")
+def zip_listing(spark, sf_dir):
+    """SRC14: archives of fifty customers each, listed from their directories; every seventh is cut off and refused."""
+    spark.dataSource.register(packages.ArchiveEntries)
+    key = F.col("c_custkey")
+    part = F.struct(F.concat(F.lit("c/"), key.cast("string"), F.lit(".txt")).alias("name"), F.repeat(F.lit("x"), (key % 100).cast("int")).alias("text"))
+    held = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 50").alias("archive")).agg(F.collect_list(part).alias("parts"))  # fifty
+    junk = F.array(F.struct(F.lit("__MACOSX/._c").alias("name"), F.lit("junk").alias("text")))
+    content = packages.zip_of(F.concat(junk, F.array_sort("parts")))
+    cut = F.when(F.col("archive") % 7 == 3, F.substring(F.col("content"), 1, 40)).otherwise(F.col("content"))
+    rows = held.withColumn("content", content).select(F.concat(F.col("archive").cast("string"), F.lit(".zip")).alias("name"), cut.alias("content"))
+    found = spark.read.format("archive_entries").option("path", _written(spark, rows, "archives")).load()
+    number = F.regexp_extract("path", "([0-9]+)[.]zip$", 1).cast("long")
+    return found.select(number.alias("archive"), "name", F.col("size").cast("double").alias("size"), "entries", F.col("total").cast("double").alias("total"), "problem")
+
+
+_REL = '<Relationship Id="{}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{}" Target="{}"/>'
+
+
+@query("workbook_cells", """WITH o AS (SELECT o_orderkey, o_orderkey // 40 AS book, o_orderkey % 2 AS half, o_orderdate, o_totalprice FROM orders)
+SELECT book, CASE half WHEN 0 THEN 'even' ELSE 'odd' END AS sheet, (o_orderkey % 40 + 1)::INT AS row, o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS day, date_diff('day', DATE '1899-12-30', o_orderdate::DATE)::VARCHAR AS serial, o_orderkey % 100 || '%' AS share FROM o""")
+def workbook_cells(spark, sf_dir):
+    """SRC10: workbooks of forty orders in two sheets, found by their relationships, with dates and percentages as shown."""
+    spark.dataSource.register(packages.WorkbookRows)
+    key, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    cell = lambda column, style, value: F.concat(F.lit(f'<c r="{column}'), text(key % 40 + 1), F.lit(f'" s="{style}"><v>'), value, F.lit("</v></c>"))
+    serial = text(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")))
+    row = F.concat(F.lit('<row r="'), text(key % 40 + 1), F.lit('">'), cell("A", 0, text(key)), cell("C", 1, serial), cell("D", 2, text((key % 100) / 100)), F.lit("</row>"))
+    sheet = lambda half: F.concat(F.lit("<worksheet><sheetData>"), F.array_join(F.array_sort(F.collect_list(F.when(key % 2 == half, row))), ""), F.lit("</sheetData></worksheet>"))
+    books = table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 40").alias("book")).agg(sheet(0).alias("even"), sheet(1).alias("odd"))  # of forty rows
+    fixed = {
+        "_rels/.rels": "<Relationships>" + _REL.format("r1", "officeDocument", "xl/workbook.xml") + "</Relationships>",
+        "xl/workbook.xml": '<workbook xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="even" r:id="r8"/><sheet name="odd" r:id="r3"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": "<Relationships>" + _REL.format("r3", "worksheet", "worksheets/sheet1.xml") + _REL.format("r8", "worksheet", "worksheets/sheet2.xml") + _REL.format("r2", "styles", "styles.xml") + "</Relationships>",
+        "xl/styles.xml": '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="9"/></cellXfs></styleSheet>',
+    }
+    part = lambda name, content: F.struct(F.lit(name).alias("name"), content.alias("text"))
+    parts = F.array(*[part(n, F.lit(t)) for n, t in fixed.items()], part("xl/worksheets/sheet1.xml", F.col("odd")), part("xl/worksheets/sheet2.xml", F.col("even")))
+    rows = books.select(F.concat(text(F.col("book")), F.lit(".xlsx")).alias("name"), packages.zip_of(parts).alias("content"))
+    found = spark.read.format("workbook_rows").option("path", _written(spark, rows, "workbooks")).load()
+    number = F.regexp_extract("path", "([0-9]+)[.]xlsx$", 1).cast("long")
+    return found.select(number.alias("book"), "sheet", "row", F.get("shown", F.lit(0)).cast("long").alias("key"), F.get("shown", F.lit(2)).alias("day"), F.get("cells", F.lit(2)).alias("serial"), F.get("shown", F.lit(3)).alias("share"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from dossier.functions.text import decode_bytes, decode_entities
+from dossier.sources import packages, sheets
 
 #: Names that aren't taken in, first bytes of formats, and limits of readers.
 IGNORED_NAMES = [".DS_Store", "Thumbs.db", "desktop.ini"]
@@ -26,7 +27,7 @@ IGNORED_PREFIXES = [".", "~$"]
 IGNORED_EXTENSIONS = ["tmp", "part", "crdownload", "download"]
 MAGIC = [("pdf", "25504446"), ("png", "89504E47"), ("jpeg", "FFD8FF"), ("gif", "47494638"), ("tiff", "49492A00"), ("tiff", "4D4D002A"), ("rtf", "7B5C727466"), ("zip", "504B0304")]
 SECONDS = 60
-SHEETS, SHEET_ROWS, SHEET_CELLS, SLIDES, ENTRIES, CSV_ROWS = 20, 300, 30, 100, 200, 200
+SLIDES, CSV_ROWS = 100, 200
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -99,26 +100,10 @@ def _texts(node, tag: str = "t") -> str:
     return "".join(x.text or "" for x in node.iter() if _local(x) == tag)
 
 
-def xlsx_text(data: bytes) -> str:
-    """SRC10: sheets as `## name` and tab-separated rows."""
+def xlsx_text(data: bytes) -> tuple[str, list[str]]:
+    """SRC10: sheets as `## name` and tab-separated rows, and what was left out."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        shared = _xml(archive, "xl/sharedStrings.xml")
-        strings = [_texts(x) for x in shared] if shared is not None else []
-        book = _xml(archive, "xl/workbook.xml")
-        names = [x.get("name") for x in book.iter() if _local(x) == "sheet"] if book is not None else []
-        out = []
-        for n, name in enumerate(names[:SHEETS], 1):
-            sheet = _xml(archive, f"xl/worksheets/sheet{n}.xml")
-            if sheet is None:
-                continue
-            out.append(f"## {name}")
-            for row in [x for x in sheet.iter() if _local(x) == "row"][:SHEET_ROWS]:
-                cells = []
-                for cell in list(row)[:SHEET_CELLS]:
-                    value = next((x.text or "" for x in cell if _local(x) == "v"), "")
-                    cells.append(strings[int(value)] if cell.get("t") == "s" and value.isdigit() and int(value) < len(strings) else _texts(cell) if cell.get("t") == "inlineStr" else value)
-                out.append("\t".join(cells))
-        return "\n".join(out)
+        return sheets.text(archive)
 
 
 def pptx_text(data: bytes) -> str:
@@ -175,11 +160,12 @@ def mail_text(data: bytes, depth: int = 2) -> tuple[str, dict[str, str], list[st
     return text.strip(), headers, names
 
 
-def zip_entries(data: bytes) -> list[tuple[str, int]]:
-    """SRC14: names and sizes, without what systems add."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        kept = [(i.filename, i.file_size) for i in archive.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX/") and i.filename.rpartition("/")[2] not in IGNORED_NAMES]
-    return kept[:ENTRIES]
+def zip_entries(data: bytes) -> tuple[str, dict[str, str], list[str]]:
+    """SRC14: names and sizes, without what systems add, from a directory that was checked."""
+    every = [e for e in packages.directory(lambda at, n: data[at : at + n], len(data)) if e.listed()]
+    listed, whole = every[: packages.LISTED], packages.total(every)
+    metadata = {"entries": str(len(every))} | ({} if whole is None else {"uncompressedBytes": str(whole)})
+    return "\n".join(f"{e.name}\t{e.size}" for e in listed), metadata, ["truncated"] * (len(every) > len(listed))
 
 
 def front_matter(text: str) -> tuple[dict[str, str], str]:
@@ -234,11 +220,14 @@ def extracted(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
                 text, headers, names = mail_text(data)
                 return text, headers | ({"attachments": ", ".join(names)} if names else {}), []
             if kind == "zip":
-                return "\n".join(f"{n}\t{s}" for n, s in zip_entries(data)), {}, []
+                return zip_entries(data)
             if kind in ("html", "htm"):
                 return markup_text(decode_bytes(data)[0]), {}, []
-            if kind in ("xlsx", "pptx", "docx", "odt"):
-                return {"xlsx": xlsx_text, "pptx": pptx_text, "docx": word_text, "odt": word_text}[kind](data), {}, []
+            if kind == "xlsx":
+                text, problems = xlsx_text(data)
+                return text, {}, problems
+            if kind in ("pptx", "docx", "odt"):
+                return {"pptx": pptx_text, "docx": word_text, "odt": word_text}[kind](data), {}, []
             if kind in ("txt", "log", "json", "xml", "yaml"):
                 text, encoding = decode_bytes(data[: 10 << 20])
                 return text, {"encoding": encoding}, []
