@@ -10,7 +10,7 @@ from dossier.functions import language
 from dossier.operators import actions, vocabulary
 from dossier.plans.adapters import LABELS_SQL, labels, table
 from dossier.plans.registry import query
-from dossier.sources import packages
+from dossier.sources import packages, snapshots
 from dossier.streaming.arrivals import shared_folder
 
 _JARO = "jaro_similarity(a.s, b.s) + len(list_filter(range(1, 5), lambda i: i <= length(a.s) AND i <= length(b.s) AND a.s[1:i] = b.s[1:i])) * 0.1 * (1 - jaro_similarity(a.s, b.s))"
@@ -136,3 +136,42 @@ def workbook_cells(spark, sf_dir):
     found = spark.read.format("workbook_rows").option("path", _written(spark, rows, "workbooks")).load()
     number = F.regexp_extract("path", "([0-9]+)[.]xlsx$", 1).cast("long")
     return found.select(number.alias("book"), "sheet", "row", F.get("shown", F.lit(0)).cast("long").alias("key"), F.get("shown", F.lit(2)).alias("day"), F.get("cells", F.lit(2)).alias("serial"), F.get("shown", F.lit(3)).alias("share"))
+
+
+@query("rebuilt_index", "SELECT o_orderkey AS id, o_orderstatus || CASE WHEN o_orderkey % 10 = 0 THEN '+' ELSE '' END AS status, 2 AS tries FROM orders WHERE o_orderkey % 10 <> 9")
+def rebuilt_index(spark, sf_dir):
+    """PIP20: an index is rebuilt from a snapshot, changes meanwhile, and is rebuilt once more from what it is then."""
+    index = snapshots.Versions(spark, f"{shared_folder(spark)}/dossier-versions-{uuid.uuid4().hex}", "id long, status string")
+    index.commit(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), 0)
+    tries = []
+
+    def made(now):
+        tries.append(1)
+        if len(tries) == 1:
+            index.commit(index.read().where("id % 10 <> 9"), index.current())
+        return now.withColumn("status", F.when(F.col("id") % 10 == 0, F.concat("status", F.lit("+"))).otherwise(F.col("status")))
+
+    index.replace(made)
+    return index.read().withColumn("tries", F.lit(len(tries)))
+
+
+@query("flushed_records", "SELECT s_suppkey, 'supplier: ' || s_name || CASE WHEN s_suppkey % 3 = 0 THEN ', again' ELSE '' END AS text FROM supplier")
+def flushed_records(spark, sf_dir):
+    """SNK4: a record file for every marked supplier; those that change while they are written are written again."""
+    folder = f"{shared_folder(spark)}/dossier-records-{uuid.uuid4().hex}"
+    marks = snapshots.Versions(spark, f"{folder}/marks", snapshots.MARKS)
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), "s_suppkey", "s_name")
+    snapshots.mark(marks, rows)
+    passes = []
+
+    def rendered(pending):
+        passes.append(1)
+        again = F.when((F.col("s_suppkey") % 3 == 0) & F.lit(len(passes) > 1), ", again").otherwise("")
+        found = rows.join(pending, "key").select("key", F.concat("key", F.lit(".md")).alias("name"), F.encode(F.concat(F.lit("supplier: "), "s_name", again), "UTF-8").alias("content"))
+        if len(passes) == 1:
+            snapshots.mark(marks, rows.where("s_suppkey % 3 = 0"))
+        return found
+
+    snapshots.flush(marks, rendered, f"{folder}/files")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(f"{folder}/files")
+    return files.select(F.regexp_extract("path", "([0-9]+)[.]md$", 1).cast("long").alias("s_suppkey"), F.decode("content", "UTF-8").alias("text"))
