@@ -98,11 +98,14 @@ def positions(rows: DataFrame, order: Sequence[Column | str], name: str = "posit
 
     Rows are sorted in ranges; a range's places begin after the ranges before it. Ties are the caller's to break.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()  # read twice: ranges must not move
+    # One shuffle: an id has the range in its upper bits and the place in the sorted range in its lower 33.
+    numbered = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", numbered).persist()  # read twice: ranges must not move
+    ranged = ranged.withColumn("_range", F.shiftright("_id", 33))
     counted = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row per range
     before = counted.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).select(*rows.columns, name)
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + place).select(*rows.columns, name)
 
 
 def document_order(date: Column, name: Column, key: Column) -> list[Column]:

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from dossier.functions import language
-from dossier.operators import actions, vocabulary
+from dossier.functions import language, text
+from dossier.operators import actions, postings, search, vocabulary
+from dossier.plans import tasks
 from dossier.plans.adapters import LABELS_SQL, labels, table
 from dossier.plans.registry import query
-from dossier.sources import packages, snapshots
+from dossier.sources import files, packages, records, snapshots
 from dossier.streaming.arrivals import shared_folder
 
 _JARO = "jaro_similarity(a.s, b.s) + len(list_filter(range(1, 5), lambda i: i <= length(a.s) AND i <= length(b.s) AND a.s[1:i] = b.s[1:i])) * 0.1 * (1 - jaro_similarity(a.s, b.s))"
@@ -175,3 +176,96 @@ def flushed_records(spark, sf_dir):
     snapshots.flush(marks, rendered, f"{folder}/files")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(f"{folder}/files")
     return files.select(F.regexp_extract("path", "([0-9]+)[.]md$", 1).cast("long").alias("s_suppkey"), F.decode("content", "UTF-8").alias("text"))
+
+
+@query("grouping_folded", """WITH d AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS s, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE (1990 + p_partkey % 7)::VARCHAR END AS y FROM part),
+k AS (SELECT *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS ks FROM d),
+a AS (SELECT ks, arg_min(s, p_partkey) AS sender, count(*) AS documents FROM k GROUP BY ks), b AS (SELECT ks, y, count(*) AS documents FROM k GROUP BY ks, y),
+r AS (SELECT 1 AS depth, sender, NULL::VARCHAR AS date, documents, ks, 0 AS o FROM a UNION ALL SELECT 2, a.sender, b.y, b.documents, b.ks, 1 FROM b JOIN a ON a.ks IS NOT DISTINCT FROM b.ks)
+SELECT depth::INT AS depth, sender, date, documents, row_number() OVER (ORDER BY sender IS NULL, regexp_extract(ks, '[0-9]+')::INT, o, date IS NULL, date DESC) AS place FROM r""")
+def grouping_folded(spark, sf_dir):
+    """AGG16: senders in several writings, years downwards, what has neither last."""
+    key = F.col("p_partkey")
+    sender = F.when(key % 4 == 0, None).when(key % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    year = F.when(key % 5 != 0, (1990 + key % 7).cast("string"))
+    docs = table(spark, sf_dir, "part").select(key.alias("doc_id"), sender.alias("sender_label"), year.alias("year_label"))
+    return tasks.folded_groups(docs, [("sender", "sender_label"), ("date", "year_label")]).select("depth", "sender", "date", "documents", "place")
+
+
+@query("office_texts", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || chr(10) || p_brand ELSE 'slide of ' || p_name || chr(10) || 'note ' || p_brand || chr(10) || 'second' END AS text FROM part")
+def office_texts(spark, sf_dir):
+    """SRC11, SRC12: paragraphs of a document, and of slides with their notes."""
+    para = lambda *runs: F.concat(F.lit("<p>"), *[x for r in runs for x in (F.lit("<r><t>"), r, F.lit("</t></r>"))], F.lit("</p>"))
+    part = lambda name, *body: F.struct(F.lit(name).alias("name"), F.concat(F.lit("<doc>"), *body, F.lit("</doc>")).alias("text"))
+    words = F.array(part("word/document.xml", para(F.col("p_name")), para(F.col("p_brand"))))
+    slides = F.array(part("ppt/slides/slide10.xml", para(F.lit("second"))), part("ppt/slides/slide2.xml", para(F.lit("slide of "), F.col("p_name"))), part("ppt/notesSlides/notesSlide2.xml", para(F.lit("note "), F.col("p_brand"))))
+    even = F.col("p_partkey") % 2 == 0
+    rows = table(spark, sf_dir, "part").withColumn("content", packages.zip_of(F.when(even, words).otherwise(slides)))
+    found = files.extract(rows.select(F.concat(F.col("p_partkey").cast("string"), F.when(even, ".docx").otherwise(".pptx")).alias("path"), "content", F.octet_length("content").alias("length")))
+    return found.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("p_partkey"), "text")
+
+
+@query("read_logs", "SELECT event_id, event_type AS category FROM events WHERE value > 20 AND event_type = 'click' AND ts >= TIMESTAMP '2024-01-10'")
+def read_logs(spark, sf_dir):
+    """SRC18: JSON lines of one category, of a least level, since a time."""
+    folder = f"{shared_folder(spark)}/dossier-read-logs-{uuid.uuid4().hex}"
+    level = F.when(F.col("value") > 20, "warning").otherwise("info")
+    lines = F.struct(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("at"), level.alias("level"), F.col("event_type").alias("category"), F.col("event_id").cast("string").alias("message"))
+    table(spark, sf_dir, "events").select(F.to_json(lines)).write.text(folder)
+    return files.logs(spark, folder, "click", "warning", "2024-01-10").select(F.col("message").cast("long").alias("event_id"), "category")
+
+
+@query("most_alike_names", f"""WITH n AS (SELECT DISTINCT p_name AS v FROM part), k AS (SELECT v, array_to_string(list_sort(string_split(lower(v), ' ')), ' ') AS s FROM n), a AS (SELECT * FROM k WHERE v = (SELECT min(v) FROM n)), p AS (SELECT b.v, CASE WHEN a.s = b.s THEN 1.0 ELSE {_JARO} END AS similarity FROM a JOIN k b ON b.v <> a.v)
+SELECT v AS value, round(similarity, 6) AS similarity FROM p ORDER BY p.similarity DESC, v LIMIT 8""")
+def most_alike_names(spark, sf_dir):
+    """RNK7: the names most like the first one, the earlier of equals."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("value")).distinct()
+    first = names.agg(F.min("value").alias("v")).first()["v"]
+    return vocabulary.most_alike(first, names.withColumn("position", F.col("value")), 8).select("value", F.round("similarity", 6).alias("similarity"))
+
+
+@query("decoded_entities", "SELECT p_partkey, p_name || ' & <' || p_brand || '> é ' || chr(960) || ' &nosuch; &amp' AS text FROM part")
+def decoded_entities(spark, sf_dir):
+    """TXT4: named, decimal and hexadecimal entities; unknown ones and those without a semicolon stay."""
+    written = F.concat(F.col("p_name"), F.lit(" &amp; &lt;"), F.col("p_brand"), F.lit("&gt; &eacute; &#x3c0; &nosuch; &amp"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.entities(written).alias("text"))
+
+
+@query("decoded_bytes", "SELECT c_custkey, c_name || ' àéîõü' AS text, CASE c_custkey % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'cp1252' ELSE 'utf-16' END AS encoding FROM customer")
+def decoded_bytes(spark, sf_dir):
+    """TXT5: texts of three encodings, told by their bytes."""
+    written, n = F.concat("c_name", F.lit(" àéîõü")), F.col("c_custkey") % 3
+    data = F.when(n == 0, F.encode(written, "UTF-8")).when(n == 1, F.encode(written, "ISO-8859-1")).otherwise(F.encode(written, "UTF-16"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.decoded(data).alias("d")).select("c_custkey", "d.text", "d.encoding")
+
+
+@query("merge_suggestions", f"""WITH used AS (SELECT p_name AS v, count(*) AS n FROM part GROUP BY 1), k AS (SELECT v, n, array_to_string(list_sort(string_split(lower(v), ' ')), ' ') AS s FROM used),
+p AS (SELECT a.v AS a, b.v AS b, a.n AS na, b.n AS nb, CASE WHEN a.s = b.s THEN 1.0 ELSE {_JARO} END AS similarity FROM k a JOIN k b ON a.v < b.v)
+SELECT CASE WHEN na >= nb THEN b ELSE a END AS value, CASE WHEN na >= nb THEN a ELSE b END AS into_, na + nb AS documents FROM p WHERE similarity >= 0.9 AND NOT (a = (SELECT min(a) FROM p WHERE similarity >= 0.9))""")
+def merge_suggestions(spark, sf_dir):
+    """VOC8: alike names, the less used into the more used, without the pairs that rules keep apart."""
+    part = table(spark, sf_dir, "part")
+    used = part.groupBy(F.lit("object").alias("kind"), F.col("p_name").alias("value")).agg(F.count(F.lit(1)).alias("documents"))
+    pairs = vocabulary.look_alikes(used.select("kind", "value"))
+    first = pairs.agg(F.min("a").alias("a")).first()["a"]
+    apart = pairs.where(F.col("a") == first).select("kind", F.col("b").alias("value"), F.lit("keepApart").alias("action"), F.col("a").alias("target"))
+    return vocabulary.suggestions(pairs, used, apart, limit=1_000_000).select("value", F.col("into").alias("into_"), "documents")
+
+
+@query("hits_with_documents", "SELECT doc_id, source, lang FROM documents WHERE list_contains(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\\p{L}\\p{N}]+'), 'onen') AND source IS NOT NULL")
+def hits_with_documents(spark, sf_dir):
+    """JN1: what words find, joined with the documents' own columns."""
+    docs = table(spark, sf_dir, "documents")
+    index = postings.kept(docs, {"body": "text", "sender": "source", "language": "lang"})
+    return postings.bm25(index, [search.Phrase(("onen",), "body")]).join(docs.where("source IS NOT NULL"), "doc_id").select("doc_id", "source", "lang")
+
+
+@query("rebuilt_from_records", "SELECT s_suppkey, s_name AS name, s_nationkey::VARCHAR AS nation FROM supplier")
+def rebuilt_from_records(spark, sf_dir):
+    """PIP7: the index made anew from record files."""
+    rows = table(spark, sf_dir, "supplier")
+    written = records.rendered({"key": F.col("s_suppkey"), "nation": F.col("s_nationkey")}, F.col("s_name"))
+    folder = _written(spark, rows.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".md")).alias("name"), F.encode(written, "UTF-8").alias("content")), "record-files")
+    index = snapshots.Versions(spark, f"{folder}-index", "s_suppkey long, name string, nation string")
+    records.rebuild(spark, folder, index.current, lambda found: index.commit(found.select(F.col("fields")["key"].cast("long").alias("s_suppkey"), F.trim("body").alias("name"), F.col("fields")["nation"].alias("nation")), index.current()))
+    return index.read()

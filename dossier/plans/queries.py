@@ -442,11 +442,13 @@ def export_names(spark, sf_dir):
     return tasks.collision_names(files, "p_brand", "name", "p_partkey").select("p_partkey", "export_name")
 
 
-@query("conversation_timeline", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS position FROM conversations")
+@query("conversation_timeline", "WITH r AS (SELECT conv_id, turn AS at_, 1 AS o, turn AS id, role AS text FROM conversations UNION ALL SELECT conv_id, turn, 0, turn, 'changed' FROM conversations WHERE turn % 2 = 1) SELECT conv_id, at_ AS turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY at_, o, id, text) AS position FROM r")
 def conversation_timeline(spark, sf_dir):
-    """PIP13, WIN2."""
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", place.cast("long").alias("position"))
+    """PIP13, WIN2: turns, and changes before every second one, in one order per conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    turns = rows.select("conv_id", F.col("turn").alias("at"), F.col("turn").alias("id"), F.col("role").alias("text"))
+    changes = rows.where("turn % 2 = 1").select("conv_id", F.col("turn").alias("at"), F.col("turn").alias("id"), F.lit("changed").alias("summary"))
+    return tasks.timeline(turns, changes, "conv_id").select("conv_id", F.col("at").alias("turn"), "text", F.col("place").cast("long").alias("position"))
 
 
 @query("history_budget", "WITH u AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM conversations) SELECT conv_id, turn, used FROM u WHERE used <= 1500")
@@ -500,14 +502,7 @@ def pair_judgement_summary(spark, sf_dir):
 @query("benchmark_contained", "SELECT item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def benchmark_contained(spark, sf_dir):
     """JN13 by whole passages: documents share the passage's first line, then hold it."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.slice(F.split("text", r"\s+"), 1, 4).alias("head"))
-    items = items.select("item_id", "passage", F.xxhash64(F.array_join("head", " ")).alias("h"))
-    words = F.split("text", r"\s+")
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " ")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("w"))
-    pairs = docs.select("doc_id", F.explode(F.array_distinct(heads)).alias("h")).join(items.select("item_id", "h"), "h").select("doc_id", "item_id")
-    met = pairs.join(items.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    return met.where(F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    return tasks.holders(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id").groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("log_redaction", "SELECT event_id, 1::BIGINT AS kept_keys, event_type AS kind FROM events")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.labels import TIMES, overlaps, span
-from dossier.functions.text import fold, search_key
+from dossier.functions.text import fold, natural_key, search_key
 from dossier.operators.filters import positions, with_labels
 from dossier.operators.search import Phrase, bm25
 
@@ -63,6 +63,36 @@ def grouping_tree(docs: DataFrame, levels: Sequence[str]) -> DataFrame:
     return docs.rollup(*levels).agg(F.count(F.lit(1)).alias("documents"), F.grouping_id().alias("depth_mask"))
 
 
+def folded_groups(docs: DataFrame, levels: Sequence[tuple[str, str]], key: str = "doc_id") -> DataFrame:
+    """AGG16: (depth, <kinds>, documents, place): the groups of a tree with a level (kind, column) for each kind.
+
+    Values that are alike when folded are one group, named as its document of the least key has it; values of kinds of time
+    are grouped as they are, the newest first; the others stand in natural order, documents without a value last. place is
+    a group's place in the tree, before its own groups.
+    """
+    kinds = [k for k, _ in levels]
+    folded = lambda c: F.when(F.col(c).isNotNull(), F.coalesce(F.nullif(search_key(F.col(c)), F.lit("")), F.col(c)))
+    keyed = docs.select(key, *[(F.col(c) if k in TIMES else folded(c)).alias(f"k_{k}") for k, c in levels], *[F.col(c).alias(f"v_{k}") for k, c in levels])
+    grouped, groups = [f"k_{k}" for k in kinds], None
+    # A level's name is that of its own group, not of the groups below it.
+    for depth in range(1, len(kinds) + 1):
+        name = F.min_by(f"v_{kinds[depth - 1]}", key).alias("name")
+        one = keyed.groupBy(*grouped[:depth]).agg(F.count(F.lit(1)).alias("documents"), name)
+        if groups is not None:
+            same = [F.col(f"up.{c}").eqNullSafe(F.col(f"own.{c}")) for c in grouped[: depth - 1]]
+            one = one.alias("own").join(groups[-1].alias("up"), same).select("own.*", *[F.col(f"up.{k}") for k in kinds[: depth - 1]])
+        groups = [*(groups or []), one.withColumnRenamed("name", kinds[depth - 1])]
+    out = None
+    for depth, one in enumerate(groups, 1):
+        row = one.select(F.lit(depth).alias("depth"), *[(F.col(k) if n < depth else F.lit(None).cast("string")).alias(k) for n, k in enumerate(kinds)], "documents")
+        out = row if out is None else out.unionByName(row)
+    order = []
+    for n, k in enumerate(kinds):
+        here = F.col("depth") > n
+        order += [F.when(here, F.when(F.col(k).isNull(), 2).otherwise(1)).otherwise(0), *([F.desc_nulls_last(k)] if k in TIMES else [natural_key(F.coalesce(k, F.lit(""))), F.col(k)])]
+    return positions(out, order, "place")
+
+
 def collision_names(files: DataFrame, folder: str, name: str, key: str) -> DataFrame:
     """TXT17, SNK6: `name (n)` from the second file of a folded name in a folder."""
     place = F.row_number().over(Window.partitionBy(folder, fold(F.col(name))).orderBy(key))
@@ -227,3 +257,25 @@ def contained(passages: DataFrame, texts: DataFrame, passage: str = "passage", t
     long = lambda c: F.filter(F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.length(w) >= 3)
     joined = passages.join(texts, "doc_id")
     return joined.withColumn("grounded", F.size(F.array_except(long(F.col(passage)), long(F.col(text)))) == 0)
+
+
+def holders(passages: DataFrame, texts: DataFrame, key: str, text: str = "text", most: int = 20_000) -> DataFrame:
+    """JN13: (key, doc_id): documents that hold a whole passage, word for word.
+
+    A document meets the passages whose first words it has in a row; only of these it is asked whether it holds them. Up to
+    ``most`` passages, which are counted, their first words go to the documents; more are met by a shuffled join.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    head = lambda w: F.xxhash64(F.array_join(F.slice(w, 1, 4), " "))
+    asked = passages.where(F.col(text).isNotNull()).select(key, F.col(text).alias("passage"), head(words(F.col(text))).alias("h"))
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " ")))
+    docs = texts.select("doc_id", text, words(F.col(text)).alias("w"))
+    known = [r["h"] for r in asked.select("h").distinct().limit(most + 1).collect()]
+    if len(known) <= most:
+        # The passages' heads are a literal: what a document doesn't share is never a row.
+        some = docs.select("doc_id", text, F.explode(F.array_intersect(heads, F.array(*map(F.lit, known)).cast("array<bigint>"))).alias("h"))
+        met = some.join(asked, "h")
+    else:
+        pairs = docs.select("doc_id", F.explode(F.array_distinct(heads)).alias("h")).join(asked.select(key, "h"), "h").select("doc_id", key)
+        met = pairs.join(asked.select(key, "passage"), key).join(docs.select("doc_id", text), "doc_id")
+    return met.where(F.col(text).contains(F.col("passage"))).select(key, "doc_id")

@@ -88,3 +88,15 @@ def test_judgements_are_acted_on_once(archive):
     assert merged.documents >= 1
     table = A.Archive.of(merged.archive.documents, merged.archive.rules_table())
     assert table.rules == merged.archive.rules and merged.archive.events_table().count() == 1
+
+
+def test_folded_groups_by_hand(spark):
+    from dossier.plans import tasks
+
+    rows = [(1, "EDP", "2024"), (2, "edp", "2023"), (3, "E.D.P", None), (4, "file 10", "2024"), (5, "file 9", "2024"), (6, None, "2020"), (7, None, None), (8, "—", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, s string, d string")
+    found = tasks.folded_groups(docs, [("sender", "s"), ("date", "d")]).orderBy("place").collect()
+    assert [(r.depth, r.sender, r.date, r.documents) for r in found] == [
+        (1, "—", None, 1), (2, "—", None, 1), (1, "E.D.P", None, 1), (2, "E.D.P", None, 1), (1, "EDP", None, 2), (2, "EDP", "2024", 1), (2, "EDP", "2023", 1),
+        (1, "file 9", None, 1), (2, "file 9", "2024", 1), (1, "file 10", None, 1), (2, "file 10", "2024", 1), (1, None, None, 2), (2, None, "2020", 1), (2, None, None, 1),
+    ]
