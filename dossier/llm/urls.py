@@ -81,18 +81,26 @@ def merged(branches: DataFrame, differ: float) -> DataFrame:
 def templates(paths: DataFrame, support: int = 5, share: float = 0.02, differ: float = 9.21) -> DataFrame:
     """paths (host, path, n, blocked, allowed) with template."""
     node = ["host", "template"]
-    state = stored(paths.withColumn("template", F.lit("")).withColumn("parts", F.split(F.regexp_replace("path", "^/", ""), "/")))
-    done, level = None, 0
+    variable = lambda x: F.when(x.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), "*").otherwise(x)
+    state = stored(paths.withColumn("template", F.lit("")).withColumn("parts", F.split(F.regexp_replace("path", "^/", ""), "/")).withColumn("at", F.lit(0)))
+    done = None
     while True:
+        # The segments that all paths of a node share are what its least and its greatest path share: the node is opened
+        # where its paths part, so that rounds follow branchings, not segments.
+        rest = F.slice("parts", F.col("at") + 1, F.size("parts"))
+        nodes = state.groupBy(*node).agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("_n"), F.min(rest).alias("low"), F.max(rest).alias("high"))
+        differ_at = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
+        shared = F.when(differ_at == 0, F.size("low")).otherwise(differ_at - 1).cast("int")
+        chain = F.array_join(F.transform(F.slice("low", F.lit(1), shared), lambda x: F.concat(F.lit("/"), variable(x))), "")
+        nodes = stored(nodes.select(*node, "all_n", "_n", F.col("_n").alias("paths"), shared.alias("shared"), chain.alias("chain")))
         # Paths that end here, and those of nodes that too few paths share, are finished.
-        nodes = stored(state.groupBy(*node).agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("_n")))
-        sized = beside(state, nodes.withColumn("paths", F.col("_n")), node)
-        ends, thin = F.size("parts") <= level, F.col("paths") < support
-        closed = sized.where(ends | thin).withColumn("template", F.when(ends, F.col("template")).otherwise(F.concat("template", F.lit("/**"))))
-        closed = closed.select("host", "path", "n", "blocked", "allowed", "template")
+        sized, thin = beside(state, nodes, node), F.col("paths") < support
+        moved = sized.withColumn("closed", F.when(F.size("parts") <= F.col("at"), F.col("template")).when(thin, F.concat("template", F.lit("/**"))))
+        moved = moved.withColumn("at", F.col("at") + F.col("shared")).withColumn("template", F.concat("template", "chain"))
+        moved = moved.withColumn("closed", F.coalesce("closed", F.when(F.size("parts") <= F.col("at"), F.col("template"))))
+        closed = moved.where("closed IS NOT NULL").select("host", "path", "n", "blocked", "allowed", F.col("closed").alias("template"))
         done = closed if done is None else done.unionAll(closed)
-        part = F.get("parts", F.lit(level))
-        going = stored(sized.where(~ends & ~thin).withColumn("part", F.when(part.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), "*").otherwise(part)).drop("paths"))
+        going = stored(moved.where("closed IS NULL").withColumn("part", variable(F.get("parts", "at"))).drop("paths", "shared", "chain", "closed"))
         if going.isEmpty():
             return done
         branches = going.where("part <> '*'").groupBy(*node, "part").agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.max("all_n").alias("all_n"), F.count(F.lit(1)).alias("_n"))
@@ -100,8 +108,7 @@ def templates(paths: DataFrame, support: int = 5, share: float = 0.02, differ: f
         kept = merged(branches.where("names"), differ)  # at most 1 / share branches of a node
         tokens = stored(kept.select(*node, "part", "token", "_n").unionAll(branches.where("NOT names").select(*node, "part", F.lit("*").alias("token"), "_n")))
         grown = F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))
-        state = stored(beside(going.drop("all_n"), tokens, [*node, "part"], "left").withColumn("template", grown).drop("part", "token"))
-        level += 1
+        state = stored(beside(going.drop("all_n"), tokens, [*node, "part"], "left").withColumn("template", grown).withColumn("at", F.col("at") + 1).drop("part", "token"))
 
 
 def judge(pages: DataFrame, rules: Rules, url: str = "url", prior: float = 0.2, strength: float = 5.0, reject: float = 0.5, support: int = 5, share: float = 0.02, differ: float = 9.21) -> DataFrame:

@@ -213,3 +213,17 @@ def test_toxicity_of_documents_held_out(spark):
     found = queries.QUERIES["op8_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     right = [np.mean([r.predicted == t for r in found if r.toxic == t]) for t in (0, 1)]
     assert len(found) > 500 and right[0] > 0.98 and right[1] > 0.8
+
+
+def test_url_chains_take_one_round(spark, monkeypatch):
+    """Thousands of segments that all paths share are one step; what the templates are doesn't change."""
+    from dossier.llm import urls
+
+    chain = "/".join(f"s{i}" if i % 3 else str(i) for i in range(4000))
+    rows = [("h", f"/{chain}/{leaf}/{i}", 1, 0, 1) for i in range(8) for leaf in ("a", "b")] + [("h", f"/{chain}", 2, 1, 0), ("k", "/x/y", 1, 0, 0)]
+    kept, counted = urls.stored, []
+    monkeypatch.setattr(urls, "stored", lambda df: counted.append(1) or kept(df))
+    found = {r.path: r.template for r in urls.templates(spark.createDataFrame(rows, "host string, path string, n long, blocked long, allowed long")).collect()}
+    shown = "".join(f"/s{i}" if i % 3 else "/*" for i in range(4000))
+    assert found["/x/y"] == "/**" and found[f"/{chain}"] == shown
+    assert {found[f"/{chain}/{x}/{i}"] for x in "ab" for i in range(8)} == {f"{shown}/<a+1>/*"} and len(counted) < 20
