@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 #: Length of an IBAN by country.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LT": 20,
-    "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26, "UA": 29,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
 #: Forms of EU VAT ids.
 VAT_FORMS = {
     "AT": r"U\d{8}", "BE": r"[01]\d{9}", "BG": r"\d{9,10}", "CY": r"\d{8}[A-Z]", "CZ": r"\d{8,10}", "DE": r"\d{9}", "DK": r"\d{8}", "EE": r"\d{9}", "EL": r"\d{9}", "ES": r"[A-Z0-9]\d{7}[A-Z0-9]", "FI": r"\d{8}",
-    "FR": r"[A-Z0-9]{2}\d{9}", "HR": r"\d{11}", "HU": r"\d{8}", "IE": r"\d[A-Z0-9+*]\d{5}[A-Z]{1,2}", "IT": r"\d{11}", "LT": r"(?:\d{9}|\d{12})", "LU": r"\d{8}", "LV": r"\d{11}", "MT": r"\d{8}", "NL": r"\d{9}B\d{2}",
-    "PL": r"\d{10}", "PT": r"\d{9}", "RO": r"\d{2,10}", "SE": r"\d{12}", "SI": r"\d{8}", "SK": r"\d{10}",
+    "FR": r"[A-HJ-NP-Z0-9]{2}\d{9}", "HR": r"\d{11}", "HU": r"\d{8}", "IE": r"(?:\d{7}[A-W][A-I]?|\d[A-Z+*]\d{5}[A-W])", "IT": r"\d{11}", "LT": r"(?:\d{9}|\d{12})", "LU": r"\d{8}", "LV": r"\d{11}", "MT": r"\d{8}",
+    "NL": r"\d{9}B\d{2}", "PL": r"\d{10}", "PT": r"\d{9}", "RO": r"[1-9]\d{1,9}", "SE": r"\d{10}01", "SI": r"\d{8}", "SK": r"\d{10}", "XI": r"(?:\d{9}|\d{12})",
 }
+#: How a Portuguese tax number begins.
+NIF_BEGINS = "1 2 3 5 6 8 45 70 71 72 74 75 77 78 79 90 91 98 99".split()
 
 
 def digits_sum(text: Column, weights: list[int]) -> Column:
@@ -28,9 +31,9 @@ def digits_sum(text: Column, weights: list[int]) -> Column:
 
 
 def is_nif(text: Column) -> Column:
-    """NUM3: nine digits, the last checks the others modulo 11."""
+    """NUM3: nine digits that begin as such numbers do, the last checks the others modulo 11."""
     rest = F.lit(11) - digits_sum(text, list(range(9, 1, -1))) % 11
-    return text.rlike(r"^\d{9}$") & (F.when(rest >= 10, 0).otherwise(rest) == F.substring(text, 9, 1).try_cast("int"))
+    return text.rlike(rf"^(?=(?:{'|'.join(NIF_BEGINS)}))\d{{9}}$") & (F.when(rest >= 10, 0).otherwise(rest) == F.substring(text, 9, 1).try_cast("int"))
 
 
 def is_inn(text: Column) -> Column:
@@ -59,66 +62,55 @@ def is_iban(text: Column) -> Column:
 
 
 def is_vat(text: Column) -> Column:
-    """NUM4."""
-    return text.rlike("^(?:" + "|".join(f"{c}{form}" for c, form in VAT_FORMS.items()) + ")$")
+    """NUM4: the form of its country; a Portuguese one is a tax number."""
+    return text.rlike("^(?:" + "|".join(f"{c}{form}" for c, form in VAT_FORMS.items()) + ")$") & (~text.startswith("PT") | is_nif(F.substr(text, F.lit(3))))
 
 
-def _iban(s: str) -> bool:
-    s = re.sub(r"\s", "", s).upper()
-    return len(s) == IBAN_LENGTHS.get(s[:2]) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+_SIGN = r"[:\s№#.-]{0,4}"
+_APART, _ENDS = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 
-def _weighed(s: str, weights: list[int]) -> int:
-    return sum(int(c) * w for c, w in zip(s, weights, strict=False))
+def _national(value: Column) -> Column:
+    """As much of a value as an IBAN of its country has."""
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    return F.substr(value, F.lit(1), F.coalesce(F.try_element_at(lengths, F.substring(value, 1, 2)), F.lit(0)))
 
 
-def _nif(s: str) -> bool:
-    rest = 11 - _weighed(s, list(range(9, 1, -1))) % 11
-    return len(s) == 9 and (0 if rest >= 10 else rest) == int(s[8])
+def _any(value: Column) -> Column:
+    return F.lit(True)
 
 
-def _inn(s: str) -> bool:
-    if len(s) == 10:
-        return _weighed(s, [2, 4, 10, 3, 5, 9, 4, 6, 8]) % 11 % 10 == int(s[9])
-    return len(s) == 12 and _weighed(s, [7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) % 11 % 10 == int(s[10]) and _weighed(s, [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]) % 11 % 10 == int(s[11])
+#: Kind to: pattern with the value as its group, check of the value without spaces in upper case.
+FINDERS = {
+    "iban": (rf"{_APART}([A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{11,30}})", is_iban),
+    "nif": (rf"(?iu){_APART}(?:NIF|NIPC|contribuinte){_SIGN}(?:PT\s?)?((?:\d ?){{8}}\d){_ENDS}", is_nif),
+    "inn": (rf"(?iu){_APART}ИНН(?:/КПП)?{_SIGN}(\d{{12}}|\d{{10}}){_ENDS}", is_inn),
+    "kpp": (rf"(?iu){_APART}КПП{_SIGN}(?:\d{{10,12}}/)?(\d{{4}}[0-9A-Z]{{2}}\d{{3}}){_ENDS}", _any),
+    "ogrn": (rf"(?iu){_APART}ОГРН(?:ИП)?{_SIGN}(\d{{15}}|\d{{13}}){_ENDS}", is_ogrn),
+    "bik": (rf"(?iu){_APART}БИК{_SIGN}(04\d{{7}}){_ENDS}", _any),
+    "vat": (_APART + "((?:" + "|".join(f"{c}{form}" for c, form in VAT_FORMS.items()) + "))" + _ENDS, is_vat),
+}
+#: NUM5: the words before a number that is no other identifier; a parameter of stable_keys.
+NUMBER_LABELS = ("account", "policy", "contract", "conta", "apólice", "contrato")
 
 
-def _ogrn(s: str) -> bool:
-    return len(s) in (13, 15) and int(s[:-1]) % (len(s) - 2) % 10 == int(s[-1])
+def stable_keys(text: Column | str, labels: Sequence[str] = NUMBER_LABELS) -> Column:
+    """NUM5, NUM6: `kind:value` in order of appearance, each once; a value found as a specific kind isn't a generic one."""
+    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
+    def found(kind: str, pattern: str, good) -> Column:
+        value = lambda m: _national(bare(m)) if kind == "iban" else bare(m)
+        bare = lambda m: F.upper(F.regexp_replace(m, r"\s", ""))
+        every = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(1)), lambda m: F.struct(F.instr(whole, m).alias("at"), F.lit(kind).alias("kind"), value(m).alias("value")))
+        return F.filter(every, lambda x: F.coalesce(good(x["value"]), F.lit(False)))
 
-_SIGN = r"[:\s№#.-]{0,4}"
-#: (kind, pattern with the value as its group, check, whether the group's spaces go)
-_FINDERS = [
-    ("iban", re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})"), None),
-    ("nif", re.compile(rf"(?i)\b(?:NIF|NIPC|contribuinte){_SIGN}((?:\d ?){{8}}\d)\b"), _nif),
-    ("inn", re.compile(rf"(?i)\bИНН(?:/КПП)?{_SIGN}(\d{{12}}|\d{{10}})\b"), _inn),
-    ("kpp", re.compile(rf"(?i)\bКПП{_SIGN}(?:\d{{10,12}}/)?(\d{{4}}[0-9A-Z]{{2}}\d{{3}})\b"), lambda s: len(s) == 9),
-    ("ogrn", re.compile(rf"(?i)\bОГРН(?:ИП)?{_SIGN}(\d{{15}}|\d{{13}})\b"), _ogrn),
-    ("bik", re.compile(rf"(?i)\bБИК{_SIGN}(04\d{{7}})\b"), lambda s: True),
-    ("vat", re.compile(r"\b((?:" + "|".join(f"{c}{form}" for c, form in VAT_FORMS.items()) + r"))\b"), lambda s: True),
-    ("account", re.compile(rf"(?i)\b(?:account|policy|contract|conta|apólice|contrato)(?: (?:no|number|n\.º))?{_SIGN}([A-Z0-9][A-Z0-9/-]{{3,}})"), lambda s: sum(c.isdigit() for c in s) >= 3),
-]
-
-
-def detect(text: str) -> list[str]:
-    """NUM6: `kind:value` in order of appearance, each once; a value found as a specific kind isn't a generic one."""
-    found: list[tuple[int, str, str]] = []
-    for kind, pattern, check in _FINDERS:
-        for m in pattern.finditer(text):
-            value = re.sub(r"\s", "", m[1]).upper()
-            if kind == "iban":
-                value = value[: IBAN_LENGTHS.get(value[:2], 0)]
-                if not _iban(value):
-                    continue
-            elif not check(value):
-                continue
-            found.append((m.start(1), kind, value))
-    specific = {v for _, k, v in found if k != "account"}
-    kept = [(at, k, v) for at, k, v in sorted(found) if k != "account" or v not in specific]
-    return list(dict.fromkeys(f"{k}:{v}" for _, k, v in kept))
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def stable_keys(some: pd.Series) -> pd.Series:
-    return some.map(lambda t: [] if t is None else detect(t))
+    specific = F.flatten(F.array(*[found(kind, pattern, good) for kind, (pattern, good) in FINDERS.items()]))
+    named = rf"(?iu){_APART}(?:{'|'.join(map(re.escape, labels))})(?: (?:no|number|n\.º))?{_SIGN}([A-Z0-9][A-Z0-9/-]{{3,}})"
+    generic = found("account", named, lambda v: F.regexp_count(v, F.lit(r"\d")) >= 3) if labels else F.filter(specific, lambda x: F.lit(False))
+
+    def together(some: Column) -> Column:
+        values = F.transform(some, lambda x: x["value"])
+        every = F.concat(some, F.filter(generic, lambda x: ~F.array_contains(values, x["value"])))
+        return F.array_distinct(F.transform(F.array_sort(every), lambda x: F.concat_ws(":", x["kind"], x["value"])))
+
+    return F.get(F.transform(F.array(specific), together), 0)

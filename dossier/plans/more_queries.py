@@ -307,11 +307,12 @@ def iban_checks(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(identifiers.is_iban(spaced)).select("o_orderkey")
 
 
-@query("vat_forms", r"WITH v AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'PT' WHEN 1 THEN 'ATU' ELSE 'DE' END || (o_orderkey + 12345678) AS t FROM orders) SELECT o_orderkey FROM v WHERE regexp_full_match(t, 'ATU\d{8}|PT\d{9}|DE\d{9}')")
+@query("vat_forms", r"WITH v AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'SE' WHEN 1 THEN 'ATU' ELSE 'DE' END || (o_orderkey + 12345678) || CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN '0001' ELSE '0002' END ELSE '' END AS t FROM orders) SELECT o_orderkey FROM v WHERE regexp_full_match(t, 'ATU\d{8}|SE\d{10}01|DE\d{9}')")
 def vat_forms(spark, sf_dir):
-    """NUM4: eight digits are an Austrian number behind `U`, but neither a Portuguese nor a German one."""
-    n = F.col("o_orderkey") % 3
-    text = F.concat(F.when(n == 0, "PT").when(n == 1, "ATU").otherwise("DE"), (F.col("o_orderkey") + 12345678).cast("string"))
+    """NUM4: eight digits are an Austrian number behind `U`, but no German one; a Swedish one ends in 01."""
+    key = F.col("o_orderkey")
+    end = F.when(key % 3 != 0, "").when(key % 2 == 0, "0001").otherwise("0002")
+    text = F.concat(F.when(key % 3 == 0, "SE").when(key % 3 == 1, "ATU").otherwise("DE"), (key + 12345678).cast("string"), end)
     return table(spark, sf_dir, "orders").where(identifiers.is_vat(text)).select("o_orderkey")
 
 

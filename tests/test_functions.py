@@ -92,8 +92,16 @@ def test_label_arrays(spark):
         ("ИНН/КПП 7707083893/773601001, ОГРН 1027700132195, БИК 044525225", ["inn:7707083893", "kpp:773601001", "ogrn:1027700132195", "bik:044525225"]), ("VAT NL123456789B01", ["vat:NL123456789B01"]),
     ],
 )
-def test_identifiers(text, keys):
-    assert identifiers.detect(text) == keys
+def test_identifiers(spark, text, keys):
+    assert values(spark, identifiers.stable_keys, [text]) == [keys]
+
+
+def test_generic_numbers_and_labels(spark):
+    text = ["Contract no: AB-12345, IBAN DE89370400440532013000 and account DE89370400440532013000; contract AB-12345", "deal 777-1 account abc", None, ""]
+    assert values(spark, identifiers.stable_keys, text) == [["account:AB-12345", "iban:DE89370400440532013000"], [], [], []]
+    assert values(spark, lambda x: identifiers.stable_keys(x, ["deal"]), text[1:2]) == [["account:777-1"]]
+    assert values(spark, identifiers.is_vat, ["RO0123", "SE123456789001", "SE123456789012", "FRI1123456789", "IE1234567WA", "PT123456780", "PT999999990", "XI123456789"]) == [False, True, False, False, True, False, True, True]
+    assert values(spark, identifiers.is_nif, ["412345678", "000000000"]) == [False, False] and len(identifiers.IBAN_LENGTHS) == 78
 
 
 def test_native_checks(spark):
