@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import language, text
 from dossier.operators import actions, postings, search, vocabulary
-from dossier.plans import tasks
+from dossier.plans import answers, tasks
 from dossier.plans.adapters import LABELS_SQL, labels, table
 from dossier.plans.registry import query
 from dossier.sources import files, packages, records, snapshots
@@ -269,3 +269,18 @@ def rebuilt_from_records(spark, sf_dir):
     index = snapshots.Versions(spark, f"{folder}-index", "s_suppkey long, name string, nation string")
     records.rebuild(spark, folder, index.current, lambda found: index.commit(found.select(F.col("fields")["key"].cast("long").alias("s_suppkey"), F.trim("body").alias("name"), F.col("fields")["nation"].alias("nation")), index.current()))
     return index.read()
+
+
+@query("checked_plans", """WITH p AS (SELECT p_partkey, p_brand AS b, split_part(p_name, ' ', 1) AS one, split_part(p_name, ' ', 2) AS two FROM part)
+SELECT p_partkey, 'sender:' || b || '|topic:' || one || CASE WHEN p_partkey % 2 = 1 THEN '|topic:' || two ELSE '' END AS labels, CASE WHEN p_partkey % 2 = 1 THEN 'papers' ELSE 'papers|' || two END AS words, 'type' AS grouping,
+CASE WHEN p_partkey % 3 = 0 THEN 'unquoted:nothing|' ELSE '' END || CASE WHEN p_partkey % 2 = 1 THEN 'askedForByALabel:' || two || '|' ELSE '' END || 'onlyArranges:by type' AS notes FROM p WHERE one <> two""")
+def checked_plans(spark, sf_dir):
+    """VAL3: answers to requests, of which stands what the requests bear out."""
+    one, two = (F.element_at(F.split("p_name", " "), n) for n in (1, 2))
+    label = lambda kind, value, quote: F.struct(F.lit(kind).alias("kind"), value.alias("value"), quote.alias("quote"))
+    some = F.array(label("sender", F.col("p_brand"), F.col("p_brand")), label("topic", one, one), F.when(F.col("p_partkey") % 3 == 0, label("topic", F.lit("nothing"), F.lit("elsewhere"))), F.when(F.col("p_partkey") % 2 == 1, label("topic", two, two)))
+    grouping = F.array(F.struct(F.lit("type").alias("kind"), F.lit("by type").alias("quote")))
+    answer = F.to_json(F.struct(F.array_compact(some).alias("labels"), F.array(F.lit("papers"), two, F.lit("by type")).alias("words"), grouping.alias("grouping")))
+    request = F.concat(F.lit("papers of "), "p_brand", F.lit(" about "), "p_name", F.lit(" by type"))
+    found = table(spark, sf_dir, "part").where(one != two).select("p_partkey", answers.checked_plan(answer, request).alias("p"))
+    return found.select("p_partkey", F.array_join(F.transform("p.labels", lambda x: F.concat_ws(":", x["kind"], x["value"])), "|").alias("labels"), F.array_join("p.words", "|").alias("words"), F.array_join("p.grouping", "|").alias("grouping"), F.array_join("p.notes", "|").alias("notes"))
