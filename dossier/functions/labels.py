@@ -144,6 +144,17 @@ def first_value(labels: Column, kind: str) -> Column:
     return F.get(F.filter(labels, lambda x: x["kind"] == kind), 0)["value"]
 
 
+#: English names of languages by their codes.
+LANGUAGES = {
+    "ar": "Arabic", "be": "Belarusian", "bg": "Bulgarian", "ca": "Catalan", "cs": "Czech", "da": "Danish", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "et": "Estonian", "fa": "Persian", "fi": "Finnish", "fr": "French", "ga": "Irish",
+    "he": "Hebrew", "hi": "Hindi", "hr": "Croatian", "hu": "Hungarian", "hy": "Armenian", "id": "Indonesian", "is": "Icelandic", "it": "Italian", "ja": "Japanese", "ka": "Georgian", "kk": "Kazakh", "ko": "Korean", "lt": "Lithuanian", "lv": "Latvian", "mk": "Macedonian",
+    "ms": "Malay", "nb": "Norwegian Bokmål", "nl": "Dutch", "no": "Norwegian", "pl": "Polish", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sk": "Slovak", "sl": "Slovenian", "sq": "Albanian", "sr": "Serbian", "sv": "Swedish", "th": "Thai", "tr": "Turkish",
+    "uk": "Ukrainian", "ur": "Urdu", "vi": "Vietnamese", "zh": "Chinese",
+}
+
+
 def search_text(labels: Column, kind: str) -> Column:
-    """FTS10: the values of a kind, one per line."""
-    return F.array_join(F.transform(F.filter(labels, lambda x: x["kind"] == kind), lambda x: x["value"]), "\n")
+    """FTS10: the values of a kind, one per line; a language's code is followed by its English name."""
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    written = (lambda v: F.concat_ws(" ", v, F.try_element_at(names, F.lower(v)))) if kind == "language" else (lambda v: v)
+    return F.array_join(F.transform(F.filter(labels, lambda x: x["kind"] == kind), lambda x: written(x["value"])), "\n")

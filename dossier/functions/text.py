@@ -67,6 +67,11 @@ def compose(some: pd.Series) -> pd.Series:
     return some.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def normalized(text: Column) -> Column:
+    """TXT1: composed characters (NFC), then line ends, controls and blanks."""
+    return normalize_text(compose(text))
+
+
 def one_line(text: Column) -> Column:
     """TXT2: white space of any length is one space."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -151,6 +151,20 @@ def evaluation(rows: DataFrame) -> DataFrame:
     return rates.join(F.broadcast(median), how="left")  # one row each
 
 
+def report(rows: DataFrame, name: str = "name") -> DataFrame:
+    """SNK9: an evaluation as lines of JSON (kind, report): one per row, one per kind of label, and one of the whole."""
+    line = lambda frame, kind, *columns: frame.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*columns)).alias("report"))
+    scored = row_score(rows)
+    marks = [c for c in scored.columns if c.endswith("_right")] + ["labels_expected", "labels_found"]
+    kinds, whole = labels_by_kind_found(rows), evaluation(rows)
+    return line(scored, "row", F.col(name), *marks).unionByName(line(kinds, "kind", *kinds.columns)).unionByName(line(whole, "summary", *whole.columns))
+
+
+def write_report(rows: DataFrame, path: str, name: str = "name") -> None:
+    """SNK9: the lines of a report in a folder for each kind; a repeated write replaces it."""
+    report(rows, name).withColumnRenamed("report", "value").write.mode("overwrite").partitionBy("kind").text(path)
+
+
 def row_score(rows: DataFrame) -> DataFrame:
     """EVL1: rows (expected_*, actual_*, title_words array, title, expected_labels array<struct<kind,value>>, labels) with a mark for each expectation; null where nothing is expected."""
     same = lambda c: F.col(f"expected_{c}") == F.col(f"actual_{c}")

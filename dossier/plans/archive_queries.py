@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from dossier.functions import labels as L
 from dossier.functions import language, text
-from dossier.operators import actions, postings, search, vocabulary
+from dossier.operators import actions, observability, postings, search, vocabulary
 from dossier.plans import answers, tasks
 from dossier.plans.adapters import LABELS_SQL, labels, table
+from dossier.plans.more_queries import _expectations as expectations
 from dossier.plans.registry import query
 from dossier.sources import files, packages, records, snapshots
 from dossier.streaming.arrivals import shared_folder
@@ -284,3 +286,38 @@ def checked_plans(spark, sf_dir):
     request = F.concat(F.lit("papers of "), "p_brand", F.lit(" about "), "p_name", F.lit(" by type"))
     found = table(spark, sf_dir, "part").where(one != two).select("p_partkey", answers.checked_plan(answer, request).alias("p"))
     return found.select("p_partkey", F.array_join(F.transform("p.labels", lambda x: F.concat_ws(":", x["kind"], x["value"])), "|").alias("labels"), F.array_join("p.words", "|").alias("words"), F.array_join("p.grouping", "|").alias("grouping"), F.array_join("p.notes", "|").alias("notes"))
+
+
+@query("composed_texts", "SELECT p_partkey, nfc_normalize(p_name || 'e' || chr(769) || ' A' || chr(778)) || chr(10) || 'next' AS text FROM part")
+def composed_texts(spark, sf_dir):
+    """TXT1: composed characters, line ends and trailing blanks."""
+    written = F.concat(F.col("p_name"), F.lit("é Å \t\r\nnext\x07 \n"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.normalized(written).alias("text"))
+
+
+@query("language_search_texts", "SELECT doc_id, lang || CASE lang WHEN 'en' THEN ' English' WHEN 'fr' THEN ' French' WHEN 'de' THEN ' German' WHEN 'es' THEN ' Spanish' WHEN 'pt' THEN ' Portuguese' WHEN 'it' THEN ' Italian' WHEN 'ru' THEN ' Russian' WHEN 'nl' THEN ' Dutch' ELSE '' END AS searched FROM documents WHERE lang IS NOT NULL")
+def language_search_texts(spark, sf_dir):
+    """FTS10: a language is found by its code and its English name."""
+    label = F.array(F.struct(F.lit("language").alias("kind"), F.col("lang").alias("value")))
+    return table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", L.search_text(label, "language").alias("searched"))
+
+
+@query("context_places", """WITH m AS (SELECT o_custkey AS question, o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 11 END AS seq, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 13 END AS near FROM orders)
+SELECT question, doc_id, row_number() OVER (PARTITION BY question ORDER BY seq IS NULL, seq, CASE WHEN seq IS NULL THEN near IS NULL ELSE TRUE END, CASE WHEN seq IS NULL THEN near END, date DESC, doc_id) AS place FROM m""")
+def context_places(spark, sf_dir):
+    """PIP14: what the last answer was made from, then what is relevant, then the newest."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("question"), F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    sources = rows.where("doc_id % 7 = 0").select("question", "doc_id", (F.col("doc_id") % 11).alias("seq"))
+    relevant = rows.where("doc_id % 3 = 0").select("question", "doc_id", (F.col("doc_id") % 13).alias("place"))
+    return tasks.context_order(rows, sources, relevant).select("question", "doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query("evaluation_report", "SELECT o_orderkey, o_orderkey % 5 <> 0 AS status_right, 2 AS labels_expected, (SELECT count(*) FROM orders) AS amounts FROM orders")
+def evaluation_report(spark, sf_dir):
+    """SNK9, AGG14: an evaluation written as lines of JSON and read again: a row's marks, beside the number of labels expected of a kind."""
+    folder = f"{shared_folder(spark)}/dossier-report-{uuid.uuid4().hex}"
+    observability.write_report(expectations(spark, sf_dir), folder, "o_orderkey")
+    lines = spark.read.schema("value string, kind string").text(folder)
+    rows = lines.where("kind = 'row'").select(F.from_json("value", "o_orderkey long, status_right boolean, labels_expected int").alias("r")).select("r.*")
+    kinds = lines.where("kind = 'kind'").select(F.from_json("value", "kind string, expected long").alias("k")).where("k.kind = 'amount'").select(F.col("k.expected").alias("amounts"))
+    return rows.crossJoin(F.broadcast(kinds))  # one row

@@ -157,6 +157,21 @@ def history_budget(turns: DataFrame, task: str, seq: str, text: str, budget: int
     return turns.withColumn("used", used).where(F.col("used") <= budget)
 
 
+def context_order(members: DataFrame, sources: DataFrame, relevance: DataFrame, seen: str = "seq", score: str = "place", date: str = "date") -> DataFrame:
+    """PIP14: members (question, doc_id, ..) with their place in a question's context.
+
+    First what the last answer was made from, in its order (sources: question, doc_id, seq), then what is relevant
+    (relevance: question, doc_id, place), then the others by date, the newest first, without one last; of equals the
+    smaller id. Sources and relevant documents that are no members don't count.
+    """
+    by = ["question", "doc_id"]
+    first = sources.groupBy(*by).agg(F.min(seen).alias("_seq"))
+    near = relevance.groupBy(*by).agg(F.min(score).alias("_near"))
+    both = members.join(first, by, "left").join(near, by, "left")
+    order = Window.partitionBy("question").orderBy(F.asc_nulls_last("_seq"), F.when(F.col("_seq").isNull(), F.col("_near")).asc_nulls_last(), F.desc_nulls_last(date), "doc_id")
+    return both.withColumn("place", F.row_number().over(order)).select(*members.columns, "place")
+
+
 def pack_context(candidates: DataFrame, budget: int = 20_000, each: int = 8000, listed: int = 30) -> DataFrame:
     """PIP14: per question, documents in order while they fit; those passed over are listed. (question, doc_id, use, taken).
 
