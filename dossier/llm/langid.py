@@ -45,7 +45,11 @@ def features(text: str, slots: int) -> np.ndarray:
 
 
 def codewords(languages: int, seed: int = 7) -> np.ndarray:
-    """A row of bits per language: all splits for a few languages, else the random code of the largest least distance."""
+    """A row of bits per language: all splits for up to five languages, else random codes.
+
+    Of 50 random codes the one of the largest least distance is taken; beyond 256 languages the first one, since comparing
+    codes costs the square of their number, and long random codes are far apart anyway.
+    """
     if languages <= 1:
         return np.zeros((languages, 1), np.int8)
     if languages <= 5:
