@@ -329,7 +329,7 @@ def _distinct_words(ranks: dict[bytes, int], fold_bytes: int):
 
 
 #: Places and ids that a task gathers before it packs them.
-PACKED = 1 << 21
+PACKED = 1 << 19
 
 
 def _answers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
