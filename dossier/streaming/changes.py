@@ -1,7 +1,7 @@
 """Keyed streams with state and timers: settling files, moves of an archive's files, observed values (SRC2, SRC3, STR2, STR4, STR5).
 
-Each is one operator per key with its state in Spark's state store, so that a key's rows are never gathered and a lost
-executor's state is read again from the checkpoint. What has to happen without a further row of the key is a timer. By
+Each is one operator with its state in Spark's state store, so that a key's rows of earlier batches are never gathered
+and a lost executor's state is read again from the checkpoint. What has to happen without a further row of the key is a timer. By
 event time (the default) a timer is due when the watermark, which any key's rows move, reaches it: results are the same
 however rows are cut into batches, as long as none is later than the watermark's delay. By processing time it is the
 clock's.
@@ -19,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor
 #: Polls alike, and seconds: of an empty file, of one that can't be opened, of one that goes on changing, and of a change that its other half, or the one that made it, is waited for.
 POLLS, ZERO_BYTES_S, UNOPENABLE_S, LONGEST_S, PAIR_S = 2, 30, 60, 900, 30
 FORGOTTEN_S = 86_400
+#: Keys with timers share this many buckets by hash; a checkpoint keeps its number. A batch reads and writes the states of the buckets it has rows of.
+BUCKETS = 1024
 
 
 def _ms(at: pd.Timestamp) -> int:
@@ -32,7 +34,11 @@ def _frame(rows: list[tuple], columns: list[str], times: str) -> pd.DataFrame:
 
 
 class Timed(StatefulProcessor):
-    """A processor that walks a key's rows by time and takes its timers in between, one state at a time.
+    """A processor of a bucket of keys that walks each key's rows by time and takes its timers in between.
+
+    A call of the state store from Python costs more than the work on a key, so that keys share calls: the states of a
+    bucket's keys are one list, (key, state) each, and the bucket's one timer is the earliest of theirs. Keys in a bucket
+    don't touch each other.
 
     Subclasses give STATE, COLUMNS and ``row``, ``due`` and ``timers``; a state is a tuple, or None.
     """
@@ -40,40 +46,53 @@ class Timed(StatefulProcessor):
     STATE: str
     COLUMNS: list[str]
 
+    def __init__(self, clock: str = "EventTime"):
+        self.clock = clock
+
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", self.STATE)
+        self.held = handle.getListState("held", f"key string, {self.STATE}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.held.get() if self.held.exists() else None
-        out: list[tuple] = []
+        states, out = self._states(), []
         for r in pd.concat(list(rows)).sort_values("at", kind="stable").itertuples():
             # A timer that lies before this row would have been due first.
-            while state is not None and (before := min((t for t in self.timers(state) if t <= _ms(r.at)), default=None)) is not None:
-                state = self.due(key[0], state, before, out)
-            state = self.row(key[0], state, r, out)
-        self._keep(state)
+            state = self.row(r.key, self._until(r.key, states.get(r.key), _ms(r.at), out), r, out)
+            if state is None:
+                states.pop(r.key, None)
+            else:
+                states[r.key] = state
+        self._keep(states)
         yield _frame(out, self.COLUMNS, "at")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, out = self.held.get() if self.held.exists() else None, []
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        while state is not None and (before := min((t for t in self.timers(state) if t <= now), default=None)) is not None:
-            state = self.due(key[0], state, before, out)
-        self._keep(state)
+        states, out = self._states(), []
+        # All that is due by now, of all keys.
+        now = timerValues.getCurrentWatermarkInMs() if self.clock == "EventTime" else timerValues.getCurrentProcessingTimeInMs()
+        states = {k: state for k, before in states.items() if (state := self._until(k, before, now, out)) is not None}
+        self._keep(states)
         yield _frame(out, self.COLUMNS, "at")
 
-    def _keep(self, state: tuple | None) -> None:
-        wanted = set(self.timers(state)) if state is not None else set()
+    def _until(self, key, state: tuple | None, now: int, out: list[tuple]) -> tuple | None:
+        """The state after its timers until now."""
+        while state is not None and (before := min(self.timers(state))) <= now:
+            state = self.due(key, state, before, out)
+        return state
+
+    def _states(self) -> dict[str | None, tuple]:
+        return {x[0]: tuple(x[1:]) for x in self.held.get()} if self.held.exists() else {}
+
+    def _keep(self, states: dict[str | None, tuple]) -> None:
+        wanted = {min(min(self.timers(x)) for x in states.values())} if states else set()
         known = set(self.handle.listTimers())
         for t in known - wanted:
             self.handle.deleteTimer(t)
         for t in wanted - known:
             self.handle.registerTimer(t)
-        if state is None:
-            self.held.clear()
+        if states:
+            self.held.put([(k, *x) for k, x in states.items()])
         else:
-            self.held.update(state)
+            self.held.clear()
 
     def close(self) -> None:
         pass
@@ -141,7 +160,7 @@ class OwnChanges(Timed):
         if r.kind == "expected":
             return (_ms(r.at) + PAIR_S * 1000,)
         if state is None:
-            out.append((path, r.kind, int(r.inode), _ms(r.at)))
+            out.append((path, r.kind, r.inode, _ms(r.at)))
         return None
 
     def timers(self, state):
@@ -181,26 +200,29 @@ class Moves(Timed):
         return None
 
 
-def _run(rows: DataFrame, key: str, processor: Timed, schema: str, clock: str, late: str, chained: bool = False) -> DataFrame:
+def _run(rows: DataFrame, key: str, processor: Timed, schema: str, clock: str, late: str, chained: bool = False, buckets: int = BUCKETS) -> DataFrame:
     if clock == "EventTime" and not chained:
         rows = rows.withWatermark("at", late)
     more = {"eventTimeColumnName": "at"} if clock == "EventTime" else {}
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", clock, **more)
+    # Keys and numbers of files travel as strings: pandas would make doubles of longs beside a null.
+    rows = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).cast("string").alias("key"), *[F.col(c).cast("string") if c == "inode" else c for c in rows.columns if c != key])
+    found = rows.groupBy("bucket").transformWithStateInPandas(processor, schema.replace("inode long", "inode string"), "Append", clock, **more)
+    return found.select(*[F.col(c).cast("long") if c == "inode" else c for c in found.columns])
 
 
 def settling(polls: DataFrame, clock: str = "EventTime", late: str = "0 seconds") -> DataFrame:
     """The stream (path, event, size, at) of a stream of polls (path, at, size, mtime, readable, gone)."""
-    return _run(polls.select("path", "at", "size", "mtime", "readable", "gone"), "path", Settling(), "path string, event string, size long, at timestamp", clock, late)
+    return _run(polls.select("path", "at", "size", "mtime", "readable", "gone"), "path", Settling(clock), "path string, event string, size long, at timestamp", clock, late)
 
 
 def without_own(changes: DataFrame, clock: str = "EventTime", late: str = "0 seconds") -> DataFrame:
     """The stream of changes (path, kind, inode, at) without those that were announced."""
-    return _run(changes.select("path", "at", "kind", "inode"), "path", OwnChanges(), "path string, kind string, inode long, at timestamp", clock, late)
+    return _run(changes.select("path", "at", "kind", "inode"), "path", OwnChanges(clock), "path string, kind string, inode long, at timestamp", clock, late)
 
 
 def moves(changes: DataFrame, clock: str = "EventTime", late: str = "0 seconds", chained: bool = False) -> DataFrame:
     """The stream (inode, event, was, now, at); chained: changes come from without_own, with its watermark."""
-    return _run(changes.select("inode", "at", "kind", "path"), "inode", Moves(), "inode long, event string, was string, now string, at timestamp", clock, late, chained)
+    return _run(changes.select("inode", "at", "kind", "path"), "inode", Moves(clock), "inode long, event string, was string, now string, at timestamp", clock, late, chained)
 
 
 class Observed(StatefulProcessor):

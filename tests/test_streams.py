@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from dossier.plans.stream_queries import Streamed
@@ -76,3 +77,41 @@ def test_observed_values(spark):
         streamed.put(spark.createDataFrame(rows, "k string, v double"))
         streamed.run(lambda s: changes.observed(s, F.col("k"), F.col("v"), "max"))
     assert sorted((r.batch, str(r.key), r.value) for r in streamed.found().collect()) == [(0, "a", 1.0), (0, "b", 2.0), (2, "None", 1.0), (2, "b", 3.0)]
+
+
+def test_keys_share_the_calls_of_the_state(spark):
+    """A batch of many keys calls the state store per bucket, not per key, and due timers of all keys of a bucket are told at once."""
+    calls = []
+
+    class Held:
+        rows: list = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("getListState", "exists", "get", "listTimers"):
+                    return {"getListState": self, "exists": bool(self.rows), "get": iter(self.rows), "listTimers": iter([])}[name]
+                self.rows = list(args[0]) if name == "put" else [] if name == "clear" else self.rows
+
+            return call
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    processor = changes.Settling("EventTime")
+    processor.init(Held())
+    polls = pd.DataFrame({"key": [f"/{n}" for n in range(2000)], "at": pd.Timestamp("2024-01-01"), "size": 0, "mtime": 1.0, "readable": True, "gone": False})
+    assert sum(map(len, processor.handleInputRows((1,), iter([polls]), None))) == 0 and len(processor.held.rows) == 2000
+    due = pd.Timestamp("2024-01-01").value // 10**6 + 30_000
+    found = pd.concat(processor.handleExpiredTimer((1,), Clock(due), Clock(due)))
+    assert len(found) == 2000 and set(found.event) == {"settled"} and not processor.held.rows and len(calls) < 20
+
+
+def test_inodes_are_exact(spark):
+    """A number over 2**53 stays what it is beside an expectation that has none."""
+    rows = [("/a/x", at(0), "expected", None), ("/a/x", at(1), "gone", 2**60 + 1), ("/a/x", at(2), "found", 2**60 + 1), ("/t", at(500), "found", 9)]
+    streamed = Streamed(spark)
+    streamed.put(spark.createDataFrame(rows, "path string, at timestamp, kind string, inode long").coalesce(1))
+    streamed.run(lambda s: changes.moves(changes.without_own(s), chained=True))
+    assert [(r.inode, r.event) for r in streamed.found().collect()] == [(2**60 + 1, "created")]
