@@ -218,10 +218,15 @@ def bm25(index: TextIndex, phrases: list[Phrase], any_of: bool = False, within:
     return scored.select(F.col("doc_id").alias(key), sum((part(i) for i in n), F.lit(0.0)).alias("score"))
 
 
-def within_set(index: TextIndex, phrases: list[Phrase], vectors: DataFrame, query: list[float], ids: DataFrame, floor: float = FLOOR, key: str = "doc_id", column: str = "embedding") -> DataFrame:
-    """FTS11: the documents of a set that words or meaning find, in one order; statistics are the whole corpus's."""
-    words = top(bm25(index, phrases, any_of=True, within=ids, key=key), CANDIDATES, key)
-    return fuse(words, vector_top(vectors, query, CANDIDATES, key, column, ids), floor, key=key)
+def within_set(index: TextIndex, phrases: list[Phrase], vectors: DataFrame, query: list[float], ids: DataFrame, floor: float = FLOOR, key: str = "doc_id", column: str = "embedding", digits: tuple[int, int] | None = None) -> DataFrame:
+    """FTS11: the documents of a set that words or meaning find, in one order; statistics are the whole corpus's.
+
+    digits: scores and similarities are rounded to so many; those that are equal then are ties, which the key decides.
+    """
+    words, meaning = bm25(index, phrases, any_of=True, within=ids, key=key), vector_top(vectors, query, CANDIDATES, key, column, ids)
+    if digits:  # the nearest are those by the whole similarity, the best those by the score that is shown
+        words, meaning = words.select(key, F.round("score", digits[0]).alias("score")), meaning.select(key, F.round("similarity", digits[1]).alias("similarity"))
+    return fuse(top(words, CANDIDATES, key), meaning, floor, key=key)
 
 
 def listing(index: TextIndex, docs: DataFrame, text: str, phrases: list[Phrase], newest: Column, limit: int, key: str = "doc_id") -> DataFrame:

@@ -206,3 +206,15 @@ def test_index_reads_only_its_terms(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(slot" in plan and "EqualTo(term,word7)" in plan
     none = postings.build(spark.createDataFrame([], "doc_id long, body string"), {"body": "body"}, str(tmp_path / "e"))
     assert postings.bm25(none, search.parse("word")).count() == 0 and postings.bm25(index, search.parse("...")).count() == 0
+
+
+def test_equal_rounded_scores_are_ties(spark, tmp_path):
+    """Within a set, scores that are equal as shown are ties, which the key decides; without digits the longer number does."""
+    from dossier.operators import postings
+
+    # Texts of 100,000 and 99,990 words differ in the score beyond the sixth digit.
+    docs = spark.createDataFrame([(1, "onen " + "x " * 99_999), (2, "onen " + "x " * 99_989), (3, "y " * 200_000)], "doc_id long, text string")
+    index = postings.build(docs, {"body": "text"}, str(tmp_path / "i"))
+    vectors = spark.createDataFrame([(9, [1.0])], "doc_id long, embedding array<float>")
+    order = lambda **more: [r.doc_id for r in postings.within_set(index, search.parse_any("onen"), vectors, [0.0], docs, **more).orderBy("place").collect()]
+    assert order() == [2, 1] and order(digits=(6, 5)) == [1, 2]
