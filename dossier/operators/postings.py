@@ -1,10 +1,11 @@
 """A stored full-text index (FTS1, FTS4-FTS7, FTS11): positional postings, read by the terms of a query.
 
-``build`` writes a row per term, document and field: the places of the term, and the number of tokens of the document in
-all fields. Rows lie in folders by a hash of the term's first two characters (``slot``), and within them ordered by term
-and document in files cut by range, so that a frequent term is many files and a rare one part of one. A query names its
-terms: an exact word or a prefix of two characters or more reads one folder, there the files and row groups whose range
-holds it. Neither texts nor lengths of documents are read. Corpus statistics are one stored row.
+``build`` cuts the documents into blocks of a bounded number of tokens, and writes a row per term, field and block: the
+documents of the block that hold the term, the places of the term in each, and the number of tokens of each in all
+fields. Rows lie in folders by a hash of the term's first two characters (``slot``), ordered by term in files dealt by
+term and document, so that a frequent term is many files and a rare one part of some. A query names its terms: an exact
+word or a prefix of two characters or more reads one folder, there the row groups whose range holds it. Neither texts nor
+lengths of documents are read. Corpus statistics are one stored row.
 
 A phrase is met by its places: per document and field, the places of its words, each moved back by its place in the
 phrase, have to agree. Scores are those of ``search.bm25``.
@@ -20,7 +21,7 @@ an index that finds nothing. A query without a term finds nothing.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,9 @@ from dossier.functions.text import tokens
 from dossier.operators.search import B, CANDIDATES, FLOOR, K1, LEAST_IDF, WEIGHTS, Phrase, folded_words, fuse, top, vector_top
 
 LEAD, SLOTS = 2, 128
+#: Tokens of a block, about, and the folder of the rows that list a block's documents.
+BLOCK, LISTED = 1 << 19, -1
+PACKED = "term string, field string, docs array<long>, dls array<int>, starts array<int>, places array<int>"
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ class TextIndex:
         return sorted(int(n[8:]) for n in names if n.startswith("segment=") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/stats/_SUCCESS")))
 
     def read(self, kind: str) -> DataFrame:
-        schema = {"postings": "term string, doc_id long, field string, places array<int>, dl int, slot int", "documents": "doc_id long, dl int, removed boolean", "stats": "docs long, tokens long"}[kind]
+        schema = {"postings": f"{PACKED}, slot int", "documents": "doc_id long, dl int, removed boolean", "stats": "docs long, tokens long"}[kind]
         found = None
         for n in self.segments():
             one = self.spark.read.schema(schema).parquet(f"{self.path}/segment={n}/{kind}").withColumn("segment", F.lit(n))
@@ -61,39 +65,68 @@ def slot(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, LEAD)), F.lit(SLOTS)).cast("int")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, field, tokens, dl) to a row per term with its places."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            some = batch.slice(at, 64)
-            lists = some.column("tokens")
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            if not len(flat):
-                continue
-            coded = flat.dictionary_encode()
-            codes = coded.indices.to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            order = np.lexsort((place, codes, row))
-            row, codes, place = row[order], codes[order], place[order]
-            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])])
-            kept = pa.array(row[starts])
-            places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)], pa.int32()), pa.array(place, pa.int32()))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[starts])), some.column("doc_id").take(kept), some.column("field").take(kept), places, some.column("dl").take(kept)], ["term", "doc_id", "field", "places", "dl"])
+def _packed(fields: list[str]):
+    """(doc_id, dl, tokens of each field) to PACKED rows of a block: one per term and field, and one of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.cumsum(batch.column("dl").to_numpy().astype(np.int64)) // BLOCK
+            cuts = np.r_[0, np.flatnonzero(np.diff(held)) + 1, batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if end > start:
+                    some = batch.slice(start, end - start)
+                    docs, dls = some.column("doc_id").to_numpy(), some.column("dl").to_numpy()
+                    yield _rows_of(None, None, np.array([0]), docs, dls, np.zeros(len(docs) + 1, np.int32), np.empty(0, np.int32), np.array([0, len(docs)]))
+                    for f in fields:
+                        if (made := _terms(f, some.column(f"t_{f}"), docs, dls)) is not None:
+                            yield made
+
+    return run
+
+
+def _terms(field: str, lists: pa.ListArray, docs: np.ndarray, dls: np.ndarray) -> pa.RecordBatch | None:
+    sizes = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    if not len(coded):
+        return None
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")  # documents and places stay in order
+    codes, row = codes[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    place = (order - (np.cumsum(sizes) - sizes)[row]).astype(np.int32)
+    new = np.r_[True, codes[1:] != codes[:-1]]
+    first = np.flatnonzero(new | np.r_[True, row[1:] != row[:-1]])  # of a term in a document
+    terms = np.flatnonzero(new[first])
+    return _rows_of(coded.dictionary.take(pa.array(codes[first[terms]])), field, np.append(first, len(place)), docs[row[first]], dls[row[first]], None, place, np.append(terms, len(first)))
+
+
+def _rows_of(terms: pa.Array | None, field: str | None, at: np.ndarray, docs: np.ndarray, dls: np.ndarray, starts: np.ndarray | None, places: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+    """Rows over stretches ``cuts`` of documents; at: where each document's places start, and where the last one's end."""
+    n = len(cuts) - 1
+    if starts is None:  # of each row from 0, one more than it has documents
+        sizes = np.diff(cuts)
+        begin = np.repeat(cuts[:-1], sizes + 1)
+        index = np.arange(len(docs) + n) - np.repeat(np.arange(n), sizes + 1)
+        starts, ends = (at[index] - at[begin]).astype(np.int32), at[cuts]
+    else:
+        ends = np.zeros(n + 1, np.int64)
+    listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(n, pa.string()) if terms is None else terms, pa.array([field] * n, pa.string()), listed(cuts, docs), listed(cuts, dls), listed(cuts + np.arange(n + 1), starts), listed(ends, places)],
+        ["term", "field", "docs", "dls", "starts", "places"],
+    )
 
 
 def _write(docs: DataFrame, fields: dict[str, str], path: str, key: str, partitions: int | None) -> None:
     spark = docs.sparkSession
     cut = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), *[tokens(F.col(c)).alias(f"t_{f}") for f, c in fields.items()])
     dl = sum((F.size(f"t_{f}") for f in fields), F.lit(0))
-    lists = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("tokens")) for f in fields]))
-    listed = cut.select("doc_id", dl.cast("int").alias("dl"), lists.alias("x")).select("doc_id", "dl", "x.field", "x.tokens")
-    # The one shuffle: a frequent term's rows are cut by document.
-    rows = listed.mapInArrow(_grouped, "term string, doc_id long, field string, places array<int>, dl int").withColumn("slot", slot(F.col("term")))
+    rows = cut.withColumn("dl", dl.cast("int")).mapInArrow(_packed(list(fields)), PACKED).withColumn("slot", F.when(F.col("term").isNull(), LISTED).otherwise(slot(F.col("term"))))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "slot", "term", "doc_id").sortWithinPartitions("slot", "term", "doc_id").write.option("compression", "zstd").partitionBy("slot").parquet(f"{path}/postings")
-    cut.select("doc_id", dl.cast("int").alias("dl"), F.lit(False).alias("removed")).write.parquet(f"{path}/documents")
+    # The one shuffle: a folder's rows are dealt to several tasks by document.
+    pieces = -(-8 * n // SLOTS)
+    rows.repartition(n, "slot", F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(pieces))).sortWithinPartitions("slot", "term").write.option("compression", "zstd").partitionBy("slot").parquet(f"{path}/postings")
+    listed = spark.read.schema(f"{PACKED}, slot int").parquet(f"{path}/postings").where(F.col("slot") == LISTED)
+    listed.select(F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("dls").alias("dl")))).select("doc_id", "dl", F.lit(False).alias("removed")).write.parquet(f"{path}/documents")
 
 
 def _stats(spark: SparkSession, path: str) -> None:
@@ -143,7 +176,7 @@ def kept(docs: DataFrame, fields: dict[str, str], key: str = "doc_id") -> TextIn
         file = spark._jvm.org.apache.hadoop.fs.Path(name)
         status = file.getFileSystem(conf).getFileStatus(file)
         listed.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    digest = hashlib.sha256("\n".join([*listed, key, *map(str, sorted(fields.items())), "1"]).encode()).hexdigest()[:24]
+    digest = hashlib.sha256("\n".join([*listed, key, *map(str, sorted(fields.items())), "2"]).encode()).hexdigest()[:24]
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     index = TextIndex(spark, f"{folder.rstrip('/')}/dossier-index-{digest}")
     if not index.segments():
@@ -165,11 +198,14 @@ def _either(some: list[Column]) -> Column:
 
 
 def _rows(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """The postings of the phrases' words. Both conditions reach the scan: the folders, and the terms' ranges in them."""
+    """(term, field, segment, doc_id, dl, places) of the phrases' words. Both conditions reach the scan: the folders, and the terms' ranges in them."""
     asked = [(w, p.prefix and j == len(words) - 1, p.field) for p in phrases for words in [folded_words(p)] for j, w in enumerate(words)]
     if not any(prefix and len(w) < LEAD for w, prefix, _ in asked):
         postings = postings.where(_either([F.col("slot") == slot(F.lit(w)) for w in dict.fromkeys(w for w, _, _ in asked)]))
-    return postings.where(_either([_fits(w, prefix) & (F.col("field") == f) if f else _fits(w, prefix) for w, prefix, f in asked]))
+    found = postings.where(_either([_fits(w, prefix) & (F.col("field") == f) if f else _fits(w, prefix) for w, prefix, f in asked]))
+    start = lambda i: F.get("starts", i)
+    one = lambda i: F.struct(F.get("docs", i).alias("doc_id"), F.get("dls", i).alias("dl"), F.slice("places", start(i) + 1, start(i + 1) - start(i)).alias("places"))
+    return found.select("term", "field", "segment", F.inline(F.transform(F.sequence(F.lit(0), F.size("docs") - 1), one)))
 
 
 def _hits(rows: DataFrame, phrases: list[Phrase]) -> DataFrame:
@@ -229,8 +265,8 @@ def within_set(index: TextIndex, phrases: list[Phrase], vectors: DataFrame, quer
     return fuse(top(words, CANDIDATES, key), meaning, floor, key=key)
 
 
-def listing(index: TextIndex, docs: DataFrame, text: str, phrases: list[Phrase], newest: Column, limit: int, key: str = "doc_id") -> DataFrame:
-    """FTS7, FTS8: (key, score) of the best; for a query without a term the newest documents with score 0."""
+def listing(index: Callable[[], TextIndex], docs: DataFrame, text: str, phrases: list[Phrase], newest: Column, limit: int, key: str = "doc_id") -> DataFrame:
+    """FTS7, FTS8: (key, score) of the best; for a query without a term, which needs no index, the newest documents with score 0."""
     if not text.strip():
         return docs.orderBy(newest.desc(), key).limit(limit).select(key, F.lit(0.0).alias("score"))
-    return top(bm25(index, phrases, key=key), limit, key)
+    return top(bm25(index(), phrases, key=key), limit, key)

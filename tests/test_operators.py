@@ -218,3 +218,20 @@ def test_equal_rounded_scores_are_ties(spark, tmp_path):
     vectors = spark.createDataFrame([(9, [1.0])], "doc_id long, embedding array<float>")
     order = lambda **more: [r.doc_id for r in postings.within_set(index, search.parse_any("onen"), vectors, [0.0], docs, **more).orderBy("place").collect()]
     assert order() == [2, 1] and order(digits=(6, 5)) == [1, 2]
+
+
+def test_index_rows_are_packed(spark, tmp_path):
+    """A term's documents share rows of bounded blocks, whose places stay apart; a listing without a term makes no index."""
+    from dossier.operators import postings
+
+    docs = spark.createDataFrame([(i, "common " * (i % 3 + 1) + f"word{i} common") for i in range(3000)], "doc_id long, body string").coalesce(1)
+    index = postings.build(docs, {"body": "body"}, str(tmp_path / "i"), partitions=2)
+    held = index.read("postings").where("term = 'common'")
+    assert held.count() < 10 and held.selectExpr("sum(size(docs))").first()[0] == 3000
+    found = postings._rows(index.read("postings"), search.parse('"common"')).select("doc_id", "dl", "places").collect()
+    assert {(r.doc_id, r.dl, tuple(r.places)) for r in found} == {(i, i % 3 + 3, (*range(i % 3 + 1), i % 3 + 2)) for i in range(3000)}
+
+    def unmade():
+        raise AssertionError
+
+    assert [r.doc_id for r in postings.listing(unmade, docs, " ", [], F.col("doc_id"), 2).collect()] == [2999, 2998]
