@@ -26,7 +26,8 @@ _MONTH = "|".join(sorted(map(re.escape, MONTHS), key=len, reverse=True))
 #: In order: an earlier pattern's match claims its place.
 _PATTERNS = [
     (re.compile(rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th|\.|º)?\s+(?:de\s+)?({_MONTH})\.?,?\s+(?:de\s+)?(\d{{4}})\b"), lambda m: (m[3], MONTHS[m[2].lower()], m[1])),
-    (re.compile(rf"(?i)\b({_MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"), lambda m: (m[3], MONTHS[m[1].lower()], m[2])),
+    # Looked ahead: a word before a digit, without which no name of a month is tried.
+    (re.compile(rf"(?i)\b(?=\w+\.?\s+\d)({_MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"), lambda m: (m[3], MONTHS[m[1].lower()], m[2])),
     (re.compile(r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"), lambda m: (m[1], m[2], m[3])),
     (re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\b|\b(\d{4})([./])(\d{1,2})\5(\d{1,2})\b"), lambda m: (m[1], m[2], m[3]) if m[1] else (m[4], m[6], m[7])),
     (re.compile(r"\b(\d{1,2})\.\s(\d{1,2})\.\s(\d{4})\b"), lambda m: (m[3], m[2], m[1])),
@@ -38,7 +39,9 @@ _LABELS = {
     3: ["date", "dated", "invoice date", "issued", "issue date", "data", "data de emissão", "datum", "rechnungsdatum", "fecha", "date de facturation", "от", "дата"],
     -3: ["due", "due date", "pay by", "vencimento", "data limite", "fällig", "vence", "échéance", "срок", "date of birth", "born", "birth", "data de nascimento", "geburtsdatum", "дата рождения"],
 }
-_LABEL = [(re.compile(rf"(?i)(?<!\w){re.escape(w)}(?!\w)"), len(w), s) for s, some in _LABELS.items() for w in some]
+_LABEL = sorted(((w, s) for s, some in _LABELS.items() for w in some), key=lambda x: -len(x[0]))
+#: One pass over a text: at each place the longest label that starts there, which of them is told by the group.
+_LABELLED = re.compile("(?i)(?<!\\w)(?=[" + "".join(sorted({w[0] for w, _ in _LABEL})) + "])(?=(?:" + "|".join(f"({re.escape(w)})" for w, _ in _LABEL) + ")(?!\\w))")
 
 
 def _day(y: str, m: str | int, d: str, pivot: int) -> date | None:
@@ -72,7 +75,7 @@ def _candidates(text: str, window: int = 120) -> list[tuple]:
         before = text[begin:start]
         above = before.rfind("\n", 0, max(before.rfind("\n"), 0))
         near = before[above + 1 :] if above >= 0 else before
-        best = max(((m.end(), size, s) for p, size, s in _LABEL for m in p.finditer(near)), default=None)
+        best = max(((m.end(m.lastindex), len(_LABEL[m.lastindex - 1][0]), _LABEL[m.lastindex - 1][1]) for m in _LABELLED.finditer(near)), default=None)
         out.append((day.isoformat(), start, line, best[2] if best else 0))
     return out
 
@@ -85,7 +88,8 @@ def candidates(some: pd.Series) -> pd.Series:
 
 def document_dates(texts: DataFrame, today: str, least: int = 1, head: float = 0.3, crowded: int = 3, key: str = "doc_id") -> DataFrame:
     """DT3: (key, date, score): the best date of each text. texts: (key, text, metadata_days array<string>)."""
-    flat = texts.select(key, F.length("text").alias("n"), "metadata_days", F.inline(candidates("text")))
+    # Dealt by key once: rows of one key and line, or one key and day, are then together too.
+    flat = texts.select(key, F.length("text").alias("n"), "metadata_days", F.inline(candidates("text"))).repartition(F.col(key))
     on_line = F.count(F.lit(1)).over(Window.partitionBy(key, "line"))
     this = int(today[:4])
     plausible = F.substring("day", 1, 4).cast("int").between(this - 30, this + 1)

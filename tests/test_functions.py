@@ -129,3 +129,14 @@ def test_document_dates(spark):
     assert found == {1: "2024-03-12"}
     at = spark.createDataFrame([(None, None, "b", "c", "d")], "f string, e string, m string, c string, x string")
     assert at.select(dates.fallback(*[F.col(c) for c in "femcx"]).alias("d")).first().d.source == "pdfMeta"
+
+
+def test_dates_are_dealt_once(spark):
+    """A text's dates are shuffled once, by key; the label that ends last counts, of those that start together the longest."""
+    from dossier.functions import dates
+
+    docs = spark.createDataFrame([(1, "Invoice date: 5 May 1999\nDue date: 4 June 1999"), (2, "Date of birth 1 Jan 1998, DATED March 3rd, 1997")], "doc_id long, text string").withColumn("metadata_days", F.array().cast("array<string>"))
+    found = dates.document_dates(docs, "2002-01-01")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.doc_id, r.date) for r in found.collect()) == [(1, "1999-05-05"), (2, "1997-03-03")]
+    assert [x[3] for x in dates._candidates("date de facturation 1.2.2003 date limite due data limite 4.5.2006")] == [3, -3]
