@@ -22,13 +22,18 @@ def arrivals(spark: SparkSession, path: str, schema: str, per_trigger: int = 100
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
-def settled(polls: DataFrame, needed: int = POLLS) -> DataFrame:
-    """SRC2 in batch form: (path, settled_at, size): the first poll that ends `needed` alike, readable ones in a row."""
-    w = Window.partitionBy("path").orderBy("polled_at")
+def settled(polls: DataFrame, needed: int = POLLS, then: tuple[str, ...] = ()) -> DataFrame:
+    """SRC2 in batch form: (path, settled_at, size): the first poll that ends `needed` alike, readable ones in a row.
+
+    then: columns that order polls of one path and time.
+    """
+    w = Window.partitionBy("path").orderBy("polled_at", *then)
+    until = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     alike = F.col("readable") & (F.col("size") > 0) & (F.lag("size").over(w) == F.col("size")) & (F.lag("mtime").over(w) == F.col("mtime")) & F.lag("readable").over(w)
-    marked = polls.withColumn("alike", F.coalesce(alike, F.lit(False)))
-    marked = marked.withColumn("run", F.sum((~F.col("alike")).cast("int")).over(w)).withColumn("streak", F.row_number().over(Window.partitionBy("path", "run").orderBy("polled_at")))
-    return marked.where(F.col("alike") & (F.col("streak") >= needed)).groupBy("path").agg(F.min("polled_at").alias("settled_at"), F.min_by("size", "polled_at").alias("size"))
+    marked = polls.withColumn("alike", F.coalesce(alike, F.lit(False))).withColumn("n", F.row_number().over(w))
+    # Counted from the last poll that isn't alike, row by row: polls of one time are no peers.
+    marked = marked.withColumn("streak", F.col("n") - F.max(F.when(~F.col("alike"), F.col("n"))).over(until) + 1)
+    return marked.where(F.col("alike") & (F.col("streak") >= needed)).groupBy("path").agg(F.min("polled_at").alias("settled_at"), F.min_by("size", F.struct("polled_at", "n")).alias("size"))
 
 
 class Settling(StatefulProcessor):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.plans.stream_queries import Streamed
 from dossier.sources.follow import FollowedLines, Follower
-from dossier.streaming import changes
+from dossier.streaming import arrivals, changes
 
 
 def at(seconds):
@@ -115,3 +115,12 @@ def test_inodes_are_exact(spark):
     streamed.put(spark.createDataFrame(rows, "path string, at timestamp, kind string, inode long").coalesce(1))
     streamed.run(lambda s: changes.moves(changes.without_own(s), chained=True))
     assert [(r.inode, r.event) for r in streamed.found().collect()] == [(2**60 + 1, "created")]
+
+
+def test_polls_of_one_time(spark):
+    """Polls of one path and time follow each other by the columns given, one by one."""
+    rows = [("a", 1, 0, 5), ("a", 1, 1, 5), ("b", 1, 0, 5), ("b", 1, 1, 6), ("b", 1, 2, 6), ("c", 1, 0, 5), ("c", 1, 1, 6), ("c", 1, 2, 7), ("d", 1, 2, 5), ("d", 1, 1, 6), ("d", 1, 0, 6), ("d", 2, 3, 9)]
+    polls = spark.createDataFrame(rows, "path string, polled_at int, id int, size int").selectExpr("*", "0 AS mtime", "true AS readable")
+    assert sorted((r.path, r.size) for r in arrivals.settled(polls, then=("id",)).collect()) == [("a", 5), ("b", 6), ("d", 6)]
+    assert [r.path for r in arrivals.settled(polls.where("path = 'b'"), 3, ("id",)).collect()] == []
+    assert [r.size for r in arrivals.settled(spark.createDataFrame([("a", 1, 3 - i, 5) for i in range(3)], polls.schema[:4]).selectExpr("*", "0 AS mtime", "true AS readable"), 3, ("id",)).collect()] == [5]
