@@ -19,6 +19,11 @@ _MARKS = "".join(map(chr, range(0x300, 0x370)))
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), in which value is computed once; within a lambda Spark computes an expression as often as it is written."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents, in native expressions (TXT8 for letters that stay one letter)."""
     return F.translate(F.lower(text), "".join(_FOLDED) + _MARKS, "".join(_FOLDED.values()))

@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly to tasks: a table of a few MB with costly rows would else be one task's or two tasks' work."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kind, value): language and sender of documents, quality and toxicity as topics."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(F.struct(F.lit("language").alias("kind"), F.col("lang").alias("value")), F.struct(F.lit("sender").alias("kind"), F.col("source").alias("value")))))

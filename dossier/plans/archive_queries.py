@@ -10,7 +10,7 @@ from dossier.functions import labels as L
 from dossier.functions import language, text
 from dossier.operators import actions, observability, postings, search, vocabulary
 from dossier.plans import answers, tasks
-from dossier.plans.adapters import LABELS_SQL, labels, table
+from dossier.plans.adapters import LABELS_SQL, dealt, labels, table
 from dossier.plans.more_queries import _expectations as expectations
 from dossier.plans.registry import query
 from dossier.sources import files, packages, records, snapshots
@@ -284,7 +284,7 @@ def checked_plans(spark, sf_dir):
     grouping = F.array(F.struct(F.lit("type").alias("kind"), F.lit("by type").alias("quote")))
     answer = F.to_json(F.struct(F.array_compact(some).alias("labels"), F.array(F.lit("papers"), two, F.lit("by type")).alias("words"), grouping.alias("grouping")))
     request = F.concat(F.lit("papers of "), "p_brand", F.lit(" about "), "p_name", F.lit(" by type"))
-    found = table(spark, sf_dir, "part").where(one != two).select("p_partkey", answers.checked_plan(answer, request).alias("p"))
+    found = dealt(table(spark, sf_dir, "part").where(one != two).select("p_partkey", "p_name", "p_brand")).select("p_partkey", answers.checked_plan(answer, request).alias("p"))
     return found.select("p_partkey", F.array_join(F.transform("p.labels", lambda x: F.concat_ws(":", x["kind"], x["value"])), "|").alias("labels"), F.array_join("p.words", "|").alias("words"), F.array_join("p.grouping", "|").alias("grouping"), F.array_join("p.notes", "|").alias("notes"))
 
 

@@ -69,3 +69,9 @@ def test_what_the_request_does_not_bear_out_goes(spark):
     assert [tuple(x) for x in found.labels] == [("sender", "EDP")] and found.words == ["contracts", "type"] and found.grouping == ["type"] and found.asked_again == ["arranging:type"]
     assert sorted(found.notes) == ["askedForByALabel:EDP", "askedForByAnother:EDP", "notOfItsKind:soon", "onlyArranges:by type", "onlyArranges:order", "unknownKind:red", "unquoted:gas", "unsaid:elsewhere"]
     assert plan(spark, "no json", "x") is None and plan(spark, {"words": None, "labels": []}, "x").words == []
+
+
+def test_values_that_are_used_again_are_bound(spark):
+    # The request's and each quote's and word's tokens are cut at one place of the expression, not wherever they are compared.
+    found = checked_plan(F.col("a"), F.col("r"), F.col("q"))
+    assert str(found._jc.toString()).count("regexp_extract_all") <= 6 and str(found._jc.toString()).count("from_json") == 1
