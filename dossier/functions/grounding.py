@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.labels import KINDS, distinct_labels, normalize, split_labels
-from dossier.functions.text import fold
+from dossier.functions.text import bind, fold
 
 LEAST_LETTERS, NUMBER_WORDS, LABELS_PER_KIND, TITLE_SHARE = 3, 9, 5, 0.5
 
@@ -27,17 +27,19 @@ def written_numbers(text: Column, most: int = NUMBER_WORDS) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), "")))
         return F.when(F.size(w) > 0, F.flatten(runs)).otherwise(F.array().cast("array<string>"))
 
-    every = F.flatten(F.transform(F.split(text, "\n"), lambda line: joined(words(line))))
+    every = F.flatten(F.transform(F.split(text, "\n"), lambda line: bind(words(line), joined)))
     return F.array_distinct(F.filter(every, lambda x: x.rlike("[0-9]")))
 
 
 def name_is_written(name: Column, words: Column) -> Column:
     """GRD2: every word of three letters or more is in a word of the document; shorter ones as words or initials."""
-    parts = F.regexp_extract_all(fold(name), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    long = F.filter(parts, lambda p: F.length(p) >= LEAST_LETTERS)
-    initials = F.array_join(F.transform(parts, lambda p: F.substring(p, 1, 1)), "")
-    all_in = (F.size(long) > 0) & F.forall(long, lambda p: F.exists(words, lambda w: w.contains(p)))
-    return all_in | ((F.size(parts) > 1) & F.array_contains(words, initials)) | ((F.size(long) == 0) & F.forall(parts, lambda p: F.array_contains(words, p)) & (F.size(parts) > 0))
+    def of_parts(parts: Column) -> Column:
+        long = F.filter(parts, lambda p: F.length(p) >= LEAST_LETTERS)
+        initials = F.array_join(F.transform(parts, lambda p: F.substring(p, 1, 1)), "")
+        all_in = (F.size(long) > 0) & F.forall(long, lambda p: F.exists(words, lambda w: w.contains(p)))
+        return all_in | ((F.size(parts) > 1) & F.array_contains(words, initials)) | ((F.size(long) == 0) & F.forall(parts, lambda p: F.array_contains(words, p)) & (F.size(parts) > 0))
+
+    return bind(F.regexp_extract_all(fold(name), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), of_parts)
 
 
 def number_is_written(value: Column, numbers: Column) -> Column:
@@ -68,21 +70,30 @@ ANSWER = "labels array<struct<kind:string,value:string>>"
 def validated(answers: DataFrame, answer: str = "answer", body: str = "body") -> DataFrame:
     """VAL1: labels of JSON answers: known kinds, split, normalised, grounded in the body, distinct, five of a kind; notes say what went."""
     read = F.coalesce(F.from_json(F.col(answer), ANSWER)["labels"], F.array().cast("array<struct<kind:string,value:string>>"))
-    known = F.filter(split_labels(read), lambda x: x["kind"].isin(KINDS) & x["value"].isNotNull())
-    out = answers.withColumn("_words", written_words(F.col(body))).withColumn("_numbers", written_numbers(F.col(body))).withColumn("_known", known)
     as_written = lambda x: F.struct(x["kind"].alias("kind"), normalize(x["kind"], x["value"]).alias("value"))
-    shaped = F.filter(F.transform("_known", as_written), lambda x: x["value"].isNotNull())
-    grounded = lambda x: F.when(x["kind"].isin("sender", "party"), name_is_written(x["value"], F.col("_words"))).when(x["kind"] == "reference", number_is_written(x["value"], F.col("_numbers"))).otherwise(F.lit(True))
-    out = out.withColumn("_shaped", shaped).withColumn("_kept", distinct_labels(F.filter("_shaped", grounded)))
-    capped = F.flatten(F.array(*[F.slice(_of_kind(F.col("_kept"), kind), 1, LABELS_PER_KIND) for kind in KINDS]))
-    notes = F.filter(
-        F.array(F.when(F.size(split_labels(read)) > F.size("_known"), "unknownKinds"), F.when(F.size("_known") > F.size("_shaped"), "unreadable"), F.when(F.size("_shaped") > F.size(F.filter("_shaped", grounded)), "ungrounded")), lambda n: n.isNotNull()
-    )
-    return out.withColumn("labels", capped).withColumn("notes", notes).drop("_words", "_numbers", "_known", "_shaped", "_kept")
-
-
-def _of_kind(labels: Column, kind: str) -> Column:
-    return F.filter(labels, lambda x: x["kind"] == kind)
+    named, numbered = (lambda x: x["kind"].isin("sender", "party")), (lambda x: x["kind"] == "reference")
+
+    def of_split(split: Column) -> Column:
+        return bind(F.filter(split, lambda x: x["kind"].isin(KINDS) & x["value"].isNotNull()), lambda known: of_known(split, known))
+
+    def of_known(split: Column, known: Column) -> Column:
+        return bind(F.filter(F.transform(known, as_written), lambda x: x["value"].isNotNull()), lambda shaped: of_shaped(split, known, shaped))
+
+    def of_shaped(split: Column, known: Column, shaped: Column) -> Column:
+        # The body is read for the kinds that are looked up in it, once for all their labels.
+        written = F.struct(F.when(F.exists(shaped, named), written_words(F.col(body))).alias("words"), F.when(F.exists(shaped, numbered), written_numbers(F.col(body))).alias("numbers"))
+        grounded = lambda x, w: F.when(named(x), name_is_written(x["value"], w["words"])).when(numbered(x), number_is_written(x["value"], w["numbers"])).otherwise(F.lit(True))
+        return bind(bind(written, lambda w: F.filter(shaped, lambda x: grounded(x, w))), lambda left: F.struct(capped(distinct_labels(left)).alias("labels"), notes(split, known, shaped, left).alias("notes")))
+
+    def capped(kept: Column) -> Column:
+        return bind(kept, lambda some: F.flatten(F.transform(F.array(*map(F.lit, KINDS)), lambda kind: F.slice(F.filter(some, lambda x: x["kind"] == kind), 1, LABELS_PER_KIND))))
+
+    def notes(split: Column, known: Column, shaped: Column, left: Column) -> Column:
+        fewer = [(known, split, "unknownKinds"), (shaped, known, "unreadable"), (left, shaped, "ungrounded")]
+        return F.filter(F.array(*[F.when(F.size(some) < F.size(before), why) for some, before, why in fewer]), lambda n: n.isNotNull())
+
+    out = answers.withColumn("_validated", bind(split_labels(read), of_split))
+    return out.withColumn("labels", F.col("_validated")["labels"]).withColumn("notes", F.col("_validated")["notes"]).drop("_validated")
 
 
 def cited(answer: Column, sources: Column, shown: Column, names: Column) -> Column:

@@ -107,11 +107,12 @@ def label_key(label: Column) -> Column:
 def distinct_labels(labels: Column) -> Column:
     """ARR1: the first of each folded (kind, value), and the first of a kind of a single value."""
 
-    def add(kept: Column, label: Column) -> Column:
-        known = F.exists(kept, lambda k: (label_key(k) == label_key(label)) | ((k["kind"] == label["kind"]) & label["kind"].isin(*SINGLE)))
-        return F.when(known, kept).otherwise(F.concat(kept, F.array(label)))
+    def add(kept: Column, x: Column) -> Column:
+        known = F.exists(kept, lambda k: (k["key"] == x["key"]) | ((k["label"]["kind"] == x["label"]["kind"]) & x["label"]["kind"].isin(*SINGLE)))
+        return F.when(known, kept).otherwise(F.concat(kept, F.array(x)))
 
-    return F.aggregate(labels, F.array().cast("array<struct<kind:string,value:string>>"), add)
+    keyed = F.transform(labels, lambda x: F.struct(x.alias("label"), label_key(x).alias("key")))
+    return F.transform(F.aggregate(keyed, F.array().cast("array<struct<label:struct<kind:string,value:string>,key:string>>"), add), lambda x: x["label"])
 
 
 def split_labels(labels: Column) -> Column:

@@ -12,7 +12,7 @@ from dossier.functions import labels as L
 from dossier.functions import text as T
 from dossier.operators import filters, observability, search, vocabulary
 from dossier.plans import requests, tasks
-from dossier.plans.adapters import LABELS_SQL, labels, table
+from dossier.plans.adapters import LABELS_SQL, dealt, labels, table
 from dossier.plans.registry import query
 from dossier.sources import files, records
 from dossier.streaming import arrivals
@@ -463,7 +463,7 @@ def title_words_missing(spark, sf_dir):
 def validated_answers(spark, sf_dir):
     """VAL1: known kinds, grounded senders and references; notes say what went."""
     answer = F.concat(F.lit('{"labels":[{"kind":"sender","value":"'), "p_brand", F.lit('"},{"kind":"colour","value":"red"},{"kind":"sender","value":"Nowhere Ltd"},{"kind":"topic","value":"'), "p_type", F.lit('"}]}'))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), answer.alias("answer"), F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("body"))
+    rows = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name")).select(F.col("p_partkey").alias("id"), answer.alias("answer"), F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("body"))
     return grounding.validated(rows).select("id", _shown(F.col("labels")).alias("labels"), F.array_join("notes", ",").alias("notes"))
 
 

@@ -52,3 +52,14 @@ def test_records(spark, tmp_path):
     assert records.rebuild(spark, str(tmp_path / "r"), lambda: 1, lambda found: kept.append(found.count())) and kept == [1]
     ticks = iter(range(99))
     assert not records.rebuild(spark, str(tmp_path / "r"), lambda: next(ticks), kept.append)
+
+
+def test_bodies_are_read_once_and_by_many_tasks(spark):
+    import __spark_entry__ as e
+
+    rows = spark.createDataFrame([('{"labels":[{"kind":"reference","value":"AB 123"},{"kind":"sender","value":"Nowhere"}]}', "AB 12 3")], "answer string, body string")
+    found = G.validated(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 3
+    assert [tuple(x) for x in found.first().labels] == [("reference", "AB 123")] and found.first().notes == ["ungrounded"]
+    for name in ("validated_answers", "checked_plans"):
+        assert e.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
