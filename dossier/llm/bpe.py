@@ -24,6 +24,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,20 +61,30 @@ class Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}, pattern)
 
+    @cached_property
+    def parts(self) -> dict[bytes, list[int]]:
+        """The tokens that merge last in each piece of several bytes; of over two the merges don't lead to the piece.
+
+        Two tokens stand side by side in a text only if merging their bytes alone leads to the two: no merge has crossed
+        the ends of what they cover, and of the merges inside the same come first. A piece is so made of one pair only.
+        """
+        return {piece: merged(piece, self.ranks, whole=False) for piece in self.ranks if len(piece) > 1}
+
     def pairs(self) -> Column:
-        """The rank map as one literal: lists of pair, rank - 2**BITS, pair, ... dealt by the pair's remainder."""
+        """The rank map as one literal: lists of pair, rank - 2**BITS, pair, ... dealt by the pair's remainder.
+
+        Only pairs that can occur are in it: the driver describes a plan with all its literals whenever the plan changes.
+        """
         lists: list[list[int]] = [[] for _ in range(self.buckets)]
-        for piece, rank in self.ranks.items():
-            for i in range(1, len(piece)):
-                left, right = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
-                if left is not None and right is not None:
-                    pair = left << BITS | right
-                    lists[pair % self.buckets] += [pair, rank - (1 << BITS)]
+        for piece, some in self.parts.items():
+            if len(some) == 2:
+                pair = some[0] << BITS | some[1]
+                lists[pair % self.buckets] += [pair, self.ranks[piece] - (1 << BITS)]
         return _literal(lists, "array<array<bigint>>")
 
     def whole(self) -> Column | None:
         """Ranks of the words by hex form that their merges don't lead to; published vocabularies have few or none."""
-        apart = {word.hex().upper(): rank for word, rank in self.ranks.items() if len(merged(word, self.ranks)) > 1}
+        apart = {word.hex().upper(): self.ranks[word] for word, some in self.parts.items() if len(some) > 2}
         return _literal(apart, "map<string,int>") if apart else None
 
     def first(self) -> Column:
@@ -81,8 +92,8 @@ class Vocabulary:
         return _literal([self.ranks[bytes([b])] for b in range(256)], "array<bigint>")
 
     def pieces(self) -> Column:
-        """Pieces in hex by id."""
-        named = {rank: piece.hex() for piece, rank in self.ranks.items()}
+        """Pieces by id, a character for each byte."""
+        named = {rank: piece.decode("latin-1") for piece, rank in self.ranks.items()}
         return _literal([named.get(i) for i in range(max(named, default=-1) + 1)], "array<string>")
 
 
@@ -144,7 +155,7 @@ def _fold(word: Column, table: Column, vocabulary: Vocabulary) -> Column:
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes of token ids: their pieces, one after the other."""
-    return F.unhex(F.array_join(_bind(vocabulary.pieces(), lambda pieces: F.transform(ids, lambda i: F.get(pieces, i))), ""))
+    return F.encode(F.array_join(_bind(vocabulary.pieces(), lambda pieces: F.transform(ids, lambda i: F.get(pieces, i))), ""), "ISO-8859-1")
 
 
 def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -152,15 +163,15 @@ def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word]] if word in ranks else merged(word, ranks)
 
 
-def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ranked merges with a heap."""
+def merged(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
+    """The ranked merges with a heap, but for that into the whole word if not whole."""
     ends = list(range(1, len(word) + 1))  # end of the piece that starts at i, 0 when it was merged away
     before = list(range(-1, len(word) - 1))
     heap: list[tuple[int, int, int]] = []
 
     def offer(i: int) -> None:
         j = ends[i]
-        if j < len(word) and (rank := ranks.get(word[i : ends[j]])) is not None:
+        if j < len(word) and (whole or ends[j] - i < len(word)) and (rank := ranks.get(word[i : ends[j]])) is not None:
             heapq.heappush(heap, (rank, i, ends[j]))
 
     for i in range(len(word)):

@@ -137,6 +137,12 @@ def test_heap_and_fold_agree(spark):
         assert list(r.ids) == (bpe.heap_encode(bytes(r.word), VOCABULARY.ranks) if r.word else []), r.word
 
 
+def test_a_piece_is_made_of_one_pair_in_the_plan(spark):
+    # The driver describes plans with their literals: one pair a piece, and pieces of one character a byte.
+    ranks = VOCABULARY.ranks
+    assert len(VOCABULARY.pairs()._jc.toString()) < 30 * len(ranks) and len(VOCABULARY.pieces()._jc.toString()) < sum(map(len, ranks)) + 10 * len(ranks)
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
