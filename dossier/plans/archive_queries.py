@@ -89,10 +89,10 @@ def guessed_languages(spark, sf_dir):
     return language.detect(docs.where("doc_id % 2 = 1").select("doc_id", "text"), profiles).select("doc_id", "language", F.round("confidence", 6).alias("confidence"))
 
 
-def _written(spark, rows, kind: str) -> str:
+def _written(spark, rows, kind: str, write=packages.write_files) -> str:
     """(name, content) rows as files of a new folder of the shared one."""
     folder = f"{shared_folder(spark)}/dossier-{kind}-{uuid.uuid4().hex}"
-    packages.write_files(rows, folder)
+    write(rows, folder)
     return folder
 
 
@@ -105,10 +105,8 @@ def zip_listing(spark, sf_dir):
     part = F.struct(F.concat(F.lit("c/"), key.cast("string"), F.lit(".txt")).alias("name"), F.repeat(F.lit("x"), (key % 100).cast("int")).alias("text"))
     held = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 50").alias("archive")).agg(F.collect_list(part).alias("parts"))  # fifty
     junk = F.array(F.struct(F.lit("__MACOSX/._c").alias("name"), F.lit("junk").alias("text")))
-    content = packages.zip_of(F.concat(junk, F.array_sort("parts")))
-    cut = F.when(F.col("archive") % 7 == 3, F.substring(F.col("content"), 1, 40)).otherwise(F.col("content"))
-    rows = held.withColumn("content", content).select(F.concat(F.col("archive").cast("string"), F.lit(".zip")).alias("name"), cut.alias("content"))
-    found = spark.read.format("archive_entries").option("path", _written(spark, rows, "archives")).load()
+    rows = held.select(F.concat(F.col("archive").cast("string"), F.lit(".zip")).alias("name"), F.concat(junk, F.array_sort("parts")).alias("parts"), F.when(F.col("archive") % 7 == 3, 40).alias("bytes"))
+    found = spark.read.format("archive_entries").option("path", _written(spark, rows, "archives", packages.write_archives)).load()
     number = F.regexp_extract("path", "([0-9]+)[.]zip$", 1).cast("long")
     return found.select(number.alias("archive"), "name", F.col("size").cast("double").alias("size"), "entries", F.col("total").cast("double").alias("total"), "problem")
 

@@ -244,3 +244,42 @@ def write_files(rows: DataFrame, folder: str) -> int:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     return rows.select("name", "content").mapInArrow(write, "n long").groupBy().sum("n").first()[0] or 0
+
+
+def write_archives(rows: DataFrame, folder: str) -> int:
+    """Writes (name, parts) rows, parts as for zip_of, as archives of a folder; returns their number.
+
+    The parts travel one a row, so that a task holds one archive and not a batch of 10,000. Null parts are none. Of a
+    column bytes, where there is one, an archive is cut to so many bytes (null: whole).
+    """
+    most = F.col("bytes") if "bytes" in rows.columns else F.lit(None)
+    flat = rows.select("name", most.cast("long").alias("bytes"), F.posexplode_outer("parts").alias("at", "part")).select("name", "bytes", "at", F.col("part")["name"].alias("part"), F.col("part")["text"].alias("text"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(folder)
+        store.create_dir(base, recursive=True)
+
+        def archives() -> Iterator[tuple[str, int | None, memoryview]]:
+            held = None
+            pieces = (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256))
+            for name, most, at, part, text in (row for some in pieces for row in zip(*(c.to_pylist() for c in some.columns), strict=True)):
+                if not at:  # the first part of the next archive, or one without parts
+                    if held is not None:
+                        archive.close()
+                        yield *held, out.getbuffer()
+                    held, out = (name, most), io.BytesIO()
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                if at is not None:
+                    archive.writestr(zipfile.ZipInfo(part), text)
+            if held is not None:
+                archive.close()
+                yield *held, out.getbuffer()
+
+        n = 0
+        for name, most, content in archives():
+            with store.open_output_stream(f"{base}/{name}") as file:
+                file.write(content[:most])
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return flat.mapInArrow(write, "n long").groupBy().sum("n").first()[0] or 0

@@ -100,3 +100,15 @@ def test_folders_as_data_sources(spark, tmp_path):
     rows = spark.read.format("workbook_rows").option("path", str(tmp_path / "in")).load().select(name, "sheet", "row", "cells", "problem").collect()
     assert sorted((r.file, r.sheet, r.cells, (r.problem or "")[:12]) for r in rows if r.file == "w.xlsx") == [("w.xlsx", "First", ["5"], ""), ("w.xlsx", "Gone", None, "its part is ")]
     assert [r.problem[:10] for r in rows if r.file == "v.xlsx"] == ["BadZipFile"]
+
+
+def test_archives_are_written_part_by_part(spark, tmp_path):
+    parts = {"a.zip": [("x", "1" * 500), ("y", "2")], "b.zip": [], "c.zip": None, "d.zip": [("x", "3")]}
+    frame = spark.createDataFrame([(n, p, 40 if n == "d.zip" else None) for n, p in parts.items()], "name string, parts array<struct<name:string,text:string>>, bytes int")
+    assert packages.write_archives(frame, str(tmp_path / "in")) == 4
+    whole = {r["name"]: bytes(r.content) for r in frame.where("parts IS NOT NULL").select("name", packages.zip_of("parts").alias("content")).collect()}
+    found = {f.name: f.read_bytes() for f in (tmp_path / "in").iterdir()}
+    assert found == {"a.zip": whole["a.zip"], "b.zip": whole["b.zip"], "c.zip": whole["b.zip"], "d.zip": whole["d.zip"][:40]}
+    many = spark.range(0, 25_000, 1, 1).select(F.concat("id", F.lit(".zip")).alias("name"), F.array(*[F.struct(F.lit(f"p{k}").alias("name"), F.col("id").cast("string").alias("text")) for k in range(3)]).alias("parts"))
+    assert packages.write_archives(many.where("id % 25 = 0"), str(tmp_path / "many")) == 1000  # parts of one archive may come in two batches
+    assert listed((tmp_path / "many" / "24975.zip").read_bytes())[2].size == 5
