@@ -133,8 +133,8 @@ def workbook_cells(spark, sf_dir):
     }
     part = lambda name, content: F.struct(F.lit(name).alias("name"), content.alias("text"))
     parts = F.array(*[part(n, F.lit(t)) for n, t in fixed.items()], part("xl/worksheets/sheet1.xml", F.col("odd")), part("xl/worksheets/sheet2.xml", F.col("even")))
-    rows = books.select(F.concat(text(F.col("book")), F.lit(".xlsx")).alias("name"), packages.zip_of(parts).alias("content"))
-    found = spark.read.format("workbook_rows").option("path", _written(spark, rows, "workbooks")).load()
+    rows = books.select(F.concat(text(F.col("book")), F.lit(".xlsx")).alias("name"), parts.alias("parts"))
+    found = spark.read.format("workbook_rows").option("path", _written(spark, rows, "workbooks", packages.write_archives)).load()
     number = F.regexp_extract("path", "([0-9]+)[.]xlsx$", 1).cast("long")
     return found.select(number.alias("book"), "sheet", "row", F.get("shown", F.lit(0)).cast("long").alias("key"), F.get("shown", F.lit(2)).alias("day"), F.get("cells", F.lit(2)).alias("serial"), F.get("shown", F.lit(3)).alias("share"))
 
