@@ -140,3 +140,37 @@ def test_dates_are_dealt_once(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((r.doc_id, r.date) for r in found.collect()) == [(1, "1999-05-05"), (2, "1997-03-03")]
     assert [x[3] for x in dates._candidates("date de facturation 1.2.2003 date limite due data limite 4.5.2006")] == [3, -3]
+
+
+def test_languages_as_counted_plainly(spark):
+    import re
+    from collections import Counter
+
+    from dossier.functions import language
+
+    texts = [("a", "the cat sat on the mat with the other cats"), ("b", "le chat était sur le tapis, là-bas; où ça?"), ("c", "𐐀𐐁 𐐨x 12 _ ab"), (None, "the mat"), ("a", None), ("b", " 1 é 2 "), ("a", "the"), ("c", "...")]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, lang string, text string").repartition(3)
+    assert docs.select(language.words(F.col("text")).alias("w")).schema["w"].dataType.simpleString() == "string"  # a list of words before
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            out.update(f" {w} "[i : i + 3] for i in range(len(w)))
+        return sorted(out, key=lambda g: (-out[g], g)), out
+
+    summed = {}
+    for lang, text in texts:
+        if lang:
+            summed.setdefault(lang, Counter()).update(grams(text)[1])
+    want = {lang: {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], g))[:300])} for lang, c in summed.items()}
+    profiles = language.learn(docs)
+    assert profiles == want
+    for r in language.detect(docs, profiles).collect():
+        mine, n = grams(r.text)[0][:300], len(re.findall(r"[^\W\d_]+", r.text or ""))
+        if not mine:
+            assert (r.language, r.confidence) == ("und", 0.0)
+            continue
+        near = {k: (1 - sum(abs(i - p[g]) if g in p else 300 for i, g in enumerate(mine)) / (300 * len(mine))) ** 12 for k, p in want.items()}
+        best = min(near, key=lambda k: (-near[k], k))
+        assert abs(r.confidence - near[best] / sum(near.values())) < 1e-12 and r.language == (best if r.confidence >= (0.9 if n < 4 else 0.5) else "other")
+    assert [r.language for r in language.detect(docs.where("id < 4"), {}).collect()] == ["other"] * 4
