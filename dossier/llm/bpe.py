@@ -25,6 +25,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import after_shuffle, release
+from dossier.llm.common import after_shuffle, release, small_batches
 
 #: Bits of a token id, and of a place in a word, in the fold's state.
 BITS = 20
@@ -214,6 +215,12 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
+def _numbered(parts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct strings of the parts in the order of their coming, and of each string its number."""
+    coded = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
 def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets: int) -> DataFrame:
     """Rows of a batch by kind: 0 a document (its unit numbers), 1 the units (sizes, then word numbers), 2 a bucket's words.
 
@@ -241,35 +248,43 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
             return pa.RecordBatch.from_arrays(arrays, ["to", "batch", "kind", "bucket", "codes", "more", *passed])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            # The first unit of a text has no space before it; the others are split and numbered at once.
-            heads, rests = [], []
-            for s in texts:
-                head, space, rest = s.partition(" ") if _single_spaced(s) else (s, "", "")
-                heads.append(head)
-                rests.append(rest if space else None)
+            # The first unit of a text has no space before it; the others are split and numbered at once. All goes in
+            # slices, of which Arrow's arrays alone stay: texts and units are never held whole a second time.
+            heads, sizes, rests = [], [], []
+            for at in range(0, len(texts), 1024):
+                some = []
+                for i in range(at, min(at + 1024, len(texts))):
+                    s, texts[i] = texts[i], ""
+                    head, space, rest = s.partition(" ") if _single_spaced(s) else (s, "", "")
+                    heads.append(head)
+                    some.append(rest if space else None)
+                split = pc.split_pattern(pa.array(some, pa.string()), " ")
+                sizes.append(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))
+                rests.append(split.flatten())
             texts.clear()
-            split = pc.split_pattern(pa.array(rests, pa.string()), " ")
-            sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
-            coded = split.flatten().dictionary_encode()
-            del rests, split
-            units, numbers = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-            first = pa.array(heads, pa.string()).dictionary_encode()
-            at_head = first.indices.to_numpy(zero_copy_only=False) + len(units)
-            ends = np.r_[0, np.cumsum(sizes)].tolist()
+            del some, split
+            units, numbers = _numbered(rests)
+            del rests
+            first, at_head = _numbered([pa.array(heads, pa.string())])
+            del heads
+            at_head = at_head + len(units)
+            ends = np.r_[0, np.cumsum(np.concatenate(sizes))].tolist()
             done = 0
             for others in beside:
                 codes = [_pack(np.r_[at_head[i], numbers[ends[i] : ends[i + 1]]]) for i in range(done, done + others.num_rows)]
                 yield batch_of(0, [0] * len(codes), codes, [None] * len(codes), others)
                 done += others.num_rows
+            del numbers, at_head, ends, codes
             inside, lengths = [], []
-            for unit in (*map(" ".__add__, units), *first.dictionary.to_pylist()):
-                found = find(unit)
-                lengths.append(len(found))
-                inside += found
-            words_ = pa.array(inside, pa.string()).dictionary_encode()
-            del inside
-            yield batch_of(1, [0], [_pack(np.array(lengths))], [_pack(words_.indices.to_numpy(zero_copy_only=False))], None)
-            listed = words_.dictionary.cast(pa.binary()).to_pylist()
+            for space, listed in ((" ", units), ("", first)):
+                for at in range(0, len(listed), 1 << 14):
+                    found = [find(space + unit) for unit in listed.slice(at, 1 << 14).to_pylist()]
+                    lengths += map(len, found)
+                    inside.append(pa.array(chain.from_iterable(found), pa.string()))
+            del units, first, found, listed
+            words_, inside = _numbered(inside)
+            yield batch_of(1, [0], [_pack(np.array(lengths))], [_pack(inside)], None)
+            listed = words_.cast(pa.binary()).to_pylist()
             bucket = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)) % buckets
             order = np.argsort(bucket, kind="stable")
             for members in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
@@ -277,11 +292,12 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
                     some = [listed[m] for m in members.tolist()]
                     yield batch_of(2, [int(bucket[members[0]])], [_pack(np.r_[members, [len(w) for w in some]])], [press(b"".join(some))], None)
             beside.clear()
-            del heads, coded, numbers, units, first, words_, listed
+            del words_, inside, lengths, listed
             release()
 
         for rows_in in rows:
-            others, done = rows_in.select(passed), 0
+            # A copy: else the texts stay as long as the columns beside them.
+            others, done = rows_in.select(passed).take(pa.array(range(rows_in.num_rows))) if passed else rows_in.select(passed), 0
             for n, value in enumerate(rows_in.column(rows_in.schema.get_field_index(text))):
                 texts.append(value.as_py() or "")
                 held += len(texts[-1])
@@ -392,6 +408,7 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", k
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     renamed = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     rows = _batches(renamed, "_text", vocabulary.pattern, batch_bytes, 16 * n).repartition(n, "to")

@@ -53,6 +53,18 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's spark.sql.execution.arrow.maxBytesPerBatch to 2 MB, unless the user chose a value.
+
+    By default a batch of texts has up to 64 MB: a task's whole share of a table, held at once in buffers beside the
+    executor's heap, each grown by doubling, and in Python, both ways. Spark reads the setting when the rows are
+    computed, so that it stays. It changes no rows.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, 2 << 20)
+
+
 def after_shuffle(condition: Column) -> Column:
     """The condition, kept above the shuffle of its rows: several uses of these rows then share that one shuffle.
 
