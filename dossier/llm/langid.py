@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored
+from dossier.llm.common import release, small_batches, stored
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -125,7 +125,9 @@ def train(docs: DataFrame, slots: int = 1 << 15) -> Model:
         for lang, held in tables.items():
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(held[at])], ["lang", "slot", "n"])
+        release()
 
+    small_batches(docs.sparkSession)
     known = docs.where("lang IS NOT NULL").select("text", "lang")
     counted = stored(known.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["total"] for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row per language
@@ -155,6 +157,7 @@ def train(docs: DataFrame, slots: int = 1 << 15) -> Model:
 
 def predict(docs: DataFrame, model: Model, ambiguous: float = 0.1) -> DataFrame:
     """docs with lang_pred, score and ambiguous: the runner-up's score is within `ambiguous` of the best."""
+    small_batches(docs.sparkSession)
     results = ("lang_pred", "score", "ambiguous")
     names = [c for c in docs.columns if c not in results]
     held = docs.sparkSession.sparkContext.broadcast(model)  # slots by bits: bounded by the code's length
@@ -167,6 +170,7 @@ def predict(docs: DataFrame, model: Model, ambiguous: float = 0.1) -> DataFrame:
             found = [decode(t.as_py() or "") for t in batch.column(at)]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] != UNKNOWN and f[1] - f[2] < ambiguous for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *results])
+        release()
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["lang_pred string", "score double", "ambiguous boolean"])
     return docs.select(*names).mapInArrow(run, fields)

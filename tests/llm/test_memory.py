@@ -6,12 +6,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe
+from dossier.llm import bpe, langid, shingles
 
 VOCABULARY = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@pytest.mark.parametrize("prepare", [lambda d: bpe.encode_decode(d, VOCABULARY)], ids=["bpe"])
+@pytest.mark.parametrize("prepare", [lambda d: bpe.encode_decode(d, VOCABULARY), langid.train, shingles.near_duplicates], ids=["bpe", "langid", "shingles"])
 def test_texts_come_to_python_in_small_batches(spark, prepare):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     one = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
