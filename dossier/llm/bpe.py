@@ -201,7 +201,35 @@ OTHER_WHITE = [chr(c) for c in (*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0
 
 def _single_spaced(text: str) -> bool:
     """No space touches other white space, an end of the text or a space."""
-    return bool(text) and text[0] != " " != text[-1] and "  " not in text and not any(f" {w}" in text or f"{w} " in text for w in OTHER_WHITE)
+    return bool(text) and text[0] != " " != text[-1] and "  " not in text and not any(w in text and (f" {w}" in text or f"{w} " in text) for w in OTHER_WHITE)
+
+
+#: The pattern of which the cuts of plain units are known without it.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _finder(pattern: str):
+    """Cuts a unit, and the space before it if there is one, by the pattern. Latin letters with one mark at most behind need no search."""
+    import regex
+
+    find = regex.compile(pattern).findall
+    if pattern != PLAIN:
+        return lambda space, unit: find(space + unit)
+
+    def cut(space: str, unit: str) -> list[str]:
+        if unit and max(unit) < "\u0250":
+            if unit.isalpha():
+                return [space + unit]
+            if unit[-1] in ",.;:!?" and unit[:-1].isalpha():
+                return [space + unit[:-1], unit[-1]]
+        return find(space + unit)
+
+    return cut
+
+
+def _listed(array: pa.Array) -> list:
+    """The values of an array of strings or bytes without nulls, as to_pylist gives them, in a fraction of its time."""
+    return array.to_numpy(zero_copy_only=False).tolist()
 
 
 def _pack(values: np.ndarray, level: int = 3) -> bytes:
@@ -228,13 +256,11 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
     words and only a batch's distinct units need the pattern. A text with other spacing is one unit. The column to says
     where a row is dealt: the batch, or below zero the bucket.
     """
-    import regex
-
     passed = [c for c in docs.columns if c != text]
     schema = docs.select(*passed).schema
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        find = _finder(pattern)
         press = zstandard.ZstdCompressor(level=3).compress
         part, k, held = TaskContext.get().partitionId() << 24, 0, 0
         texts: list[str] = []
@@ -278,13 +304,13 @@ def _batches(docs: DataFrame, text: str, pattern: str, batch_bytes: int, buckets
             inside, lengths = [], []
             for space, listed in ((" ", units), ("", first)):
                 for at in range(0, len(listed), 1 << 14):
-                    found = [find(space + unit) for unit in listed.slice(at, 1 << 14).to_pylist()]
+                    found = [find(space, unit) for unit in _listed(listed.slice(at, 1 << 14))]
                     lengths += map(len, found)
                     inside.append(pa.array(chain.from_iterable(found), pa.string()))
             del units, first, found, listed
             words_, inside = _numbered(inside)
             yield batch_of(1, [0], [_pack(np.array(lengths))], [_pack(inside)], None)
-            listed = words_.cast(pa.binary()).to_pylist()
+            listed = _listed(words_.cast(pa.binary()))
             bucket = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed)) % buckets
             order = np.argsort(bucket, kind="stable")
             for members in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):

@@ -45,3 +45,27 @@ def test_bpe_of_more_texts_than_a_slice(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     found = {r.doc_id: bytes(r.decoded).decode() for r in bpe.encode_decode(docs, VOCABULARY).collect()}
     assert found == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_plain_units_are_cut_as_by_the_pattern():
+    import itertools
+
+    import regex
+
+    assert bpe.PLAIN == public_tokenizers.PATTERN
+    find, cut = regex.compile(bpe.PLAIN).findall, bpe._finder(bpe.PLAIN)
+    for unit in ("".join(x) for n in range(5) for x in itertools.product("aS's.,?1é\n", repeat=n)):
+        assert cut(" ", unit) == find(" " + unit) and cut("", unit) == find(unit)
+    for letter in map(chr, range(0x300)):  # the first of no Latin letters included
+        assert all(cut(" ", u) == find(" " + u) for u in (letter, letter + ",", "a" + letter))
+    assert bpe._finder(r"\p{L}|.")(" ", "ab") == [" ", "a", "b"]  # another pattern has cuts of its own
+    assert bpe._listed(pa.array(["b", "", "é"]).cast(pa.binary())) == [b"b", b"", "é".encode()]
+
+
+def test_plain_units_are_not_searched(monkeypatch):
+    import regex
+
+    searched, compiled = [], regex.compile(bpe.PLAIN)
+    monkeypatch.setattr(regex, "compile", lambda p: type("Searches", (), {"findall": staticmethod(lambda s: [searched.append(s), compiled.findall(s)][1])}))
+    cut = bpe._finder(bpe.PLAIN)
+    assert [cut(" ", u) for u in ("ab", "é,", "a'b", "ж")] == [[" ab"], [" é", ","], [" a", "'", "b"], [" ж"]] and searched == [" a'b", " ж"]
