@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -22,18 +22,20 @@ def arrivals(spark: SparkSession, path: str, schema: str, per_trigger: int = 100
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
 
 
-def settled(polls: DataFrame, needed: int = POLLS, then: tuple[str, ...] = ()) -> DataFrame:
+def settled(polls: DataFrame, needed: int = POLLS, then: tuple[str, ...] = (), filled: Column | None = None) -> DataFrame:
     """SRC2 in batch form: (path, settled_at, size): the first poll that ends `needed` alike, readable ones in a row.
 
-    then: columns that order polls of one path and time.
+    then: columns that order polls of one path and time. filled: which polls may end a row, by default those of a size
+    above 0; an empty one can still begin it. Polls without a time come last.
     """
-    w = Window.partitionBy("path").orderBy("polled_at", *then)
+    filled = F.col("size") > 0 if filled is None else filled
+    w = Window.partitionBy("path").orderBy(F.col("polled_at").asc_nulls_last(), *then)
     until = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    alike = F.col("readable") & (F.col("size") > 0) & (F.lag("size").over(w) == F.col("size")) & (F.lag("mtime").over(w) == F.col("mtime")) & F.lag("readable").over(w)
+    alike = F.col("readable") & filled & (F.lag("size").over(w) == F.col("size")) & (F.lag("mtime").over(w) == F.col("mtime")) & F.lag("readable").over(w)
     marked = polls.withColumn("alike", F.coalesce(alike, F.lit(False))).withColumn("n", F.row_number().over(w))
     # Counted from the last poll that isn't alike, row by row: polls of one time are no peers.
     marked = marked.withColumn("streak", F.col("n") - F.max(F.when(~F.col("alike"), F.col("n"))).over(until) + 1)
-    return marked.where(F.col("alike") & (F.col("streak") >= needed)).groupBy("path").agg(F.min("polled_at").alias("settled_at"), F.min_by("size", F.struct("polled_at", "n")).alias("size"))
+    return marked.where(F.col("alike") & (F.col("streak") >= needed)).groupBy("path").agg(F.min("polled_at").alias("settled_at"), F.min_by("size", "n").alias("size"))
 
 
 class Settling(StatefulProcessor):

@@ -5,6 +5,7 @@ import datetime
 import pandas as pd
 from pyspark.sql import functions as F
 
+from dossier.plans import queries, registry  # noqa: F401  registers
 from dossier.plans.stream_queries import Streamed
 from dossier.sources.follow import FollowedLines, Follower
 from dossier.streaming import arrivals, changes
@@ -124,3 +125,23 @@ def test_polls_of_one_time(spark):
     assert sorted((r.path, r.size) for r in arrivals.settled(polls, then=("id",)).collect()) == [("a", 5), ("b", 6), ("d", 6)]
     assert [r.path for r in arrivals.settled(polls.where("path = 'b'"), 3, ("id",)).collect()] == []
     assert [r.size for r in arrivals.settled(spark.createDataFrame([("a", 1, 3 - i, 5) for i in range(3)], polls.schema[:4]).selectExpr("*", "0 AS mtime", "true AS readable"), 3, ("id",)).collect()] == [5]
+
+
+def test_settled_files_of_empty_and_missing_polls(spark, tmp_path):
+    """An empty poll can begin a row of alike ones, as in the SQL; polls without a time come last."""
+    import random
+
+    import duckdb
+
+    draw = random.Random(3)
+    rows = [(0, 1, 0, "view", 0.0), (1, 2, 0, "view", 5.0), (2, 1, 1, "view", 0.0), (3, 2, 1, "view", 50.0), (4, None, 2, "view", 5.0), (5, 1, 2, "view", 5.0), (6, 2, 2, "view", 50.0)]
+    for user in range(3, 300):  # no times twice: the SQL leaves such ties open
+        times = draw.sample(range(50), 6)
+        rows += [(10 * user + k, t or None, user if user > 3 else None, draw.choice(["view", "view", "error", None]), draw.choice([0.0, 0.0, 5.0, 10.0, 10.5, 50.0, -1.0, float("nan"), None])) for k, t in enumerate(times)]
+    events = spark.createDataFrame(rows, "event_id long, t int, user_id long, event_type string, value double")
+    events.select("event_id", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.QUERIES["settled_files"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(registry.ORACLE["settled_files"]).fetchall()
+    assert set(map(tuple, found)) == set(want) and len(found) == len(want) and (0, datetime.datetime(1970, 1, 1, 0, 0, 2)) in want
